@@ -22,7 +22,7 @@ from palimpsest.llm.common import GOLDEN, broadcast_if_small, hash_words, materi
 #: 24 bands of 4 registers: a pair at similarity 0.8 meets in no band with a chance of 3e-6.
 BANDS, ROWS = 24, 4
 #: Members of a bucket that are compared in one task.
-BLOCK = 1024
+BLOCK = 512
 #: Hashes of whole sets that a verifying task keeps at hand.
 HELD = 8_000_000
 _LOW = np.uint64(0xFFFFFFFF)
@@ -42,6 +42,12 @@ def shingles(text: str | None, k: int, memo) -> np.ndarray:
     return np.unique(out)
 
 
+def common(a: np.ndarray, b: np.ndarray) -> int:
+    """Elements that two sorted sets share."""
+    both = np.sort(np.concatenate([a, b]), kind="stable")
+    return int(np.count_nonzero(both[1:] == both[:-1]))
+
+
 def superminhash(items: np.ndarray, registers: int) -> np.ndarray:
     """Signature of a set of 64-bit hashes.
 
@@ -117,33 +123,56 @@ def _confirm(k: int, percent: int):
             keep = []
             for a, b, text_a, text_b in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), batch.column("text_a"), batch.column("text_b")):
                 left, right = of(a, text_a), of(b, text_b)
-                merged = np.sort(np.concatenate([left, right]), kind="stable")
-                both = np.count_nonzero(merged[1:] == merged[:-1])
+                both = common(left, right)
                 keep.append(100 * both >= percent * (len(left) + len(right) - both))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     return run
 
 
-def _alike(percent: int, registers: int):
-    """Within one block of a bucket: probes against members of other groups whose signatures do not rule them out.
+def _partners(table: pa.Table, percent: int, registers: int) -> Iterator[tuple[int, np.ndarray]]:
+    """Within one block of a bucket: each probe's members of other groups that signatures and sizes do not rule out.
 
     The estimate may fall 15 points below the threshold, above four standard deviations.
     """
     least = registers * (percent - 15) // 100
+    root, size = (table.column(c).to_numpy() for c in ("root", "size"))
+    probe = table.column("probe").to_numpy()
+    signature = np.frombuffer(b"".join(table.column("signature").to_pylist()), np.uint16).reshape(-1, registers)
+    members = np.flatnonzero(~probe)
+    for i in np.flatnonzero(probe):
+        j = members[(root[members] != root[i]) & (100 * np.minimum(size[members], size[i]) >= percent * np.maximum(size[members], size[i]))]
+        j = j[(signature[j] == signature[i]).sum(axis=1) >= least]
+        if len(j):
+            yield int(i), j
+
+
+def _alike(percent: int, registers: int):
+    """The rows of a block that have a partner."""
+
+    def run(table: pa.Table) -> pa.Table:
+        found = [np.append(j, i) for i, j in _partners(table, percent, registers)]
+        return table.take(pa.array(np.unique(np.concatenate(found)) if found else [], pa.int64()))
+
+    return run
+
+
+def _links(k: int, percent: int, registers: int):
+    """Links between partners of a block, by their whole texts."""
 
     def run(table: pa.Table) -> pa.Table:
-        rep, root, size = (table.column(c).to_numpy() for c in ("rep", "root", "size"))
-        probe = table.column("probe").to_numpy()
-        signature = np.frombuffer(b"".join(table.column("signature").to_pylist()), np.uint16).reshape(-1, registers)
-        members = np.flatnonzero(~probe)
-        found = []
-        for i in np.flatnonzero(probe):
-            j = members[(root[members] != root[i]) & (100 * np.minimum(size[members], size[i]) >= percent * np.maximum(size[members], size[i]))]
-            j = j[(signature[j] == signature[i]).sum(axis=1) >= least]
-            found.append(np.stack([np.minimum(rep[i], rep[j]), np.maximum(rep[i], rep[j])]))
-        both = np.unique(np.concatenate([*found, np.empty((2, 0), np.int64)], axis=1), axis=1)
-        return pa.table({"a": pa.array(both[0], pa.int64()), "b": pa.array(both[1], pa.int64())})
+        memo, rep, texts = word_hashes(), table.column("rep").to_pylist(), table.column("text")
+        sets: dict[int, np.ndarray] = {}
+        out: list[tuple[int, int]] = []
+        for i, partners in _partners(table, percent, registers):
+            left = shingles(texts[i].as_py(), k, memo)
+            for j in partners.tolist():
+                if j not in sets:
+                    sets[j] = shingles(texts[j].as_py(), k, memo)
+                both = common(left, sets[j])
+                if 100 * both >= percent * (len(left) + len(sets[j]) - both):
+                    out.append((min(rep[i], rep[j]), max(rep[i], rep[j])))
+        return pa.table({"a": pa.array([a for a, _ in out], pa.int64()), "b": pa.array([b for _, b in out], pa.int64())})
 
     return run
 
@@ -218,8 +247,12 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80,
         every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
         sides = rest.select(*columns, F.lit(False).alias("probe"), F.col("own").alias("block"), every.alias("other"))
         sides = sides.union(rest.where("root <> main").select(*columns, F.lit(True), every, F.col("own")))
-        alike = sides.groupBy("key", "block", "other").applyInArrow(_alike(percent, bands * rows), "a long, b long")
-        again = verified(alike.distinct().join(first, ["a", "b"], "left_anti"))
+        blocks = ["key", "block", "other"]
+        alike = materialise(sides.groupBy(*blocks).applyInArrow(_alike(percent, bands * rows), sides.schema))
+        wanted = materialise(alike.select(F.col("rep").alias("doc_id")).distinct())
+        whole = materialise(texts.join(broadcast_if_small(wanted, 16), "doc_id", "left_semi").dropDuplicates(["doc_id"]))
+        full = alike.join(whole.withColumnRenamed("doc_id", "rep"), "rep").groupBy(*blocks)
+        again = materialise(full.applyInArrow(_links(shingle_words, percent, bands * rows), "a long, b long").distinct())
         if again.take(1):
             roots = materialise(connected(roots.select(F.col("root").alias("a"), F.col("node").alias("b")).union(again)))
     roots = classes.join(roots, classes.rep == roots.node, "left").select("print", F.coalesce("root", "rep").alias("component_id"))

@@ -1,4 +1,388 @@
-"""Queries of the engine's own operators."""
+"""Queries of the engine's own operators over the sample tables, each with SQL of the same result."""
 
-QUERIES: dict = {}
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from palimpsest.functions import geo
+from palimpsest.functions.values import clean_text, field_name_column
+from palimpsest.operators import ingest, parsing, profile, search, versions
+from palimpsest.operators.diffing import diff_flat, diff_json, patch_json
+from palimpsest.operators.options import OptionsBuilder
+from palimpsest.plans import tiers
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
+OPTIONS = OptionsBuilder().with_true_value("click").with_true_value("O").with_false_value("view").with_false_value("F").build()
+#: A moment within the events, in milliseconds.
+MOMENT = 1_704_500_000_000
+
+
+def query(sql: str | None = None):
+    def add(f: Callable[[SparkSession, str], DataFrame]):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _millis(column: str):
+    return F.unix_millis(F.col(column).cast("timestamp"))
+
+
+def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Users as records whose state is their last event; of one moment the last event counts."""
+    events = _table(spark, sf_dir, "events").select(F.col("user_id").alias("id"), _millis("ts").alias("version"), "event_id", "event_type", "value")
+    rows = events.groupBy("id", "version").agg(F.max_by(F.struct("event_type", "value"), "event_id").alias("x"))
+    return versions.intervals(rows.select("id", "version", "x.event_type", "x.value"))
+
+
+_EVENTS = """WITH e AS (SELECT user_id AS id, epoch_us(ts) // 1000 AS version, arg_max(event_type, event_id) AS event_type, arg_max(value, event_id) AS value FROM events GROUP BY 1, 2),
+d AS (SELECT *, lead(version) OVER (PARTITION BY id ORDER BY version) AS next FROM e) """
+
+
+@query(_EVENTS + "SELECT id, version, next, event_type, value FROM d")
+def version_intervals(spark, sf_dir):
+    return _events(spark, sf_dir).select("id", "version", "next", "event_type", "value")
+
+
+@query(_EVENTS + f"SELECT event_type, count(*) AS n FROM d WHERE version <= {MOMENT} AND (next IS NULL OR next > {MOMENT}) GROUP BY 1")
+def as_of_snapshot(spark, sf_dir):
+    return versions.as_of(_events(spark, sf_dir), MOMENT).groupBy("event_type").agg(F.count("*").alias("n"))
+
+
+@query(_EVENTS + "SELECT id, version, event_type FROM d WHERE next IS NULL")
+def latest_snapshot(spark, sf_dir):
+    return versions.latest(_events(spark, sf_dir)).select("id", "version", "event_type")
+
+
+@query(_EVENTS + "SELECT id, count(*) AS n FROM d GROUP BY 1")
+def all_versions_count(spark, sf_dir):
+    return _events(spark, sf_dir).groupBy("id").agg(F.count("*").alias("n"))
+
+
+@query(_EVENTS + f"SELECT 'a' AS name, count(*) AS n FROM d WHERE version <= {MOMENT} AND (next IS NULL OR next > {MOMENT}) UNION ALL SELECT 'b', count(*) FROM d WHERE version <= {MOMENT + 10**9} AND (next IS NULL OR next > {MOMENT + 10**9})")
+def multi_index_versions(spark, sf_dir):
+    docs = _events(spark, sf_dir)
+    return versions.of_versions({"a": (docs, MOMENT), "b": (docs, MOMENT + 10**9)}).groupBy("name").agg(F.count("*").alias("n"))
+
+
+def _orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    orders = _table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("id"), _millis("o_orderdate").alias("version"), "o_orderkey", "o_orderstatus", "o_totalprice")
+    return orders.groupBy("id", "version").agg(F.max_by(F.struct("o_orderstatus", "o_totalprice"), "o_orderkey").alias("x")).select("id", "version", "x.*")
+
+
+_OPTIONS = [(0, 100000), (800_000_000_000, 200000), (850_000_000_000, 50000)]
+_FOLD = """WITH RECURSIVE o AS (SELECT o_custkey AS id, epoch_ms(o_orderdate) AS version, arg_max(o_totalprice, o_orderkey) AS price, arg_max(o_orderstatus, o_orderkey) AS status FROM orders GROUP BY 1, 2),
+h AS (SELECT id, version, CASE WHEN {alive} THEN price END AS data FROM o),
+opt(version, lim) AS (VALUES (0, 100000), (800000000000, 200000), (850000000000, 50000)),
+f AS (SELECT id, min(version) AS first FROM h GROUP BY 1),
+g AS (SELECT id, version FROM h UNION SELECT id, opt.version FROM f, opt WHERE opt.version >= first),
+j AS (SELECT g.id, g.version, CASE WHEN h.id IS NULL THEN NULL ELSE {{'v': h.data}} END AS s, opt.lim AS o FROM g LEFT JOIN h ON g.id = h.id AND g.version = h.version LEFT JOIN opt ON g.version = opt.version),
+c AS (SELECT id, version, last_value(s IGNORE NULLS) OVER w AS s, coalesce(last_value(o IGNORE NULLS) OVER w, 100000) AS o FROM j WINDOW w AS (PARTITION BY id ORDER BY version ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+p AS (SELECT id, version, CASE WHEN s.v IS NOT NULL THEN (s.v >= o)::INT END AS parsed FROM c),
+k AS (SELECT *, row_number() OVER w AS n, lag(parsed) OVER w AS before FROM p WINDOW w AS (PARTITION BY id ORDER BY version)),
+q AS (SELECT id, version, parsed, lead(version) OVER (PARTITION BY id ORDER BY version) AS next FROM k WHERE n = 1 OR parsed IS DISTINCT FROM before)
+SELECT id, version, next, parsed FROM q WHERE parsed IS NOT NULL"""
+
+
+def _folded(spark, history):
+    options = spark.createDataFrame(_OPTIONS, "version bigint, option int")
+    parse = lambda df: df.withColumn("parsed", (F.col("data") >= F.col("option")).cast("int"))
+    return versions.fold(history, options, parse).select("id", "version", "next", "parsed")
+
+
+@query(_FOLD.format(alive="true"))
+def options_fold(spark, sf_dir):
+    return _folded(spark, _orders(spark, sf_dir).select("id", "version", F.col("o_totalprice").alias("data")))
+
+
+@query(_FOLD.format(alive="status <> 'F'"))
+def delete_fold(spark, sf_dir):
+    return _folded(spark, _orders(spark, sf_dir).select("id", "version", F.when(F.col("o_orderstatus") != "F", F.col("o_totalprice")).alias("data")))
+
+
+def _batches(spark, sf_dir):
+    """Two states of customers as JSON records: a third new, some deleted, some changed, some only in their time."""
+    c = _table(spark, sf_dir, "customer").withColumn("id", F.col("c_custkey").cast("string"))
+    old = c.where("c_custkey % 3 <> 0").select("id", F.to_json(F.struct(F.col("c_name").alias("name"), F.col("c_nationkey").alias("nation"), F.lit("1").alias("modified"))).alias("data"))
+    gone, moved = F.col("c_custkey") % 11 == 0, (F.col("c_nationkey") + F.when(F.col("c_custkey") % 7 == 0, 1).otherwise(0)).alias("nation")
+    stamp = F.when(F.col("c_custkey") % 5 == 0, "2").otherwise("1").alias("modified")
+    new = c.select("id", F.when(~gone, F.to_json(F.struct(F.col("c_name").alias("name"), moved, stamp))).alias("data"))
+    make = lambda df: df.select("id", ingest.prepared("id", "data").alias("x")).select("id", "x.data", "x.same")
+    return make(new), make(old)
+
+
+_INGEST = """WITH c AS (SELECT c_custkey::VARCHAR AS id, c_custkey % 3 <> 0 AS has_old, c_custkey % 11 = 0 AS gone, c_custkey % 7 = 0 AS moved, c_custkey % 5 = 0 AS stamped FROM customer)
+SELECT id, CASE WHEN has_old THEN 'update' ELSE 'insert' END AS op FROM c WHERE CASE WHEN has_old THEN gone OR moved {stamped} ELSE NOT gone END"""
+
+
+@query(_INGEST.format(stamped="OR stamped"))
+def ingest_ops(spark, sf_dir):
+    new, old = _batches(spark, sf_dir)
+    return ingest.classify(new, old, old.limit(0)).select("id", "op")
+
+
+@query(_INGEST.format(stamped=""))
+def ingest_modified_field(spark, sf_dir):
+    new, old = _batches(spark, sf_dir)
+    return ingest.classify(new, old, old.limit(0), "modified").select("id", "op")
+
+
+@query("SELECT o_custkey AS id, arg_max(o_orderstatus, o_orderkey) AS status, max(o_orderkey) AS seq FROM orders GROUP BY 1")
+def last_wins_dedupe(spark, sf_dir):
+    orders = _table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("id"), F.col("o_orderstatus").alias("status"), F.col("o_orderkey").alias("seq"))
+    return ingest.last_wins(orders)
+
+
+@query(r"SELECT doc_id, regexp_replace(text, '[^\n\r\t\PC]', '', 'g') AS text FROM documents")
+def sanitize_strings(spark, sf_dir):
+    return _table(spark, sf_dir, "documents").select("doc_id", clean_text(F.col("text")).alias("text"))
+
+
+@query("SELECT p_partkey, CASE WHEN starts_with(n, '_') AND n <> '_id' THEN '-' || substr(n, 2) WHEN n = '' THEN '-' ELSE n END AS name FROM (SELECT p_partkey, trim(replace('_' || p_name || '.x ', '.', '_'), ' ') AS n FROM part)")
+def field_names(spark, sf_dir):
+    name = F.concat(F.lit("_"), F.col("p_name"), F.lit(".x "))
+    return _table(spark, sf_dir, "part").select("p_partkey", field_name_column(name).alias("name"))
+
+
+@query("SELECT event_id, TRY_CAST(json_extract_string(props, '$.k') AS DOUBLE) AS n FROM events")
+def parse_number(spark, sf_dir):
+    return _table(spark, sf_dir, "events").select("event_id", parsing.number_of(F.get_json_object("props", "$.k")).alias("n"))
+
+
+@query("SELECT o_orderkey, CASE o_orderstatus WHEN 'O' THEN 1 WHEN 'F' THEN 0 END AS b FROM orders")
+def parse_boolean(spark, sf_dir):
+    options = OptionsBuilder().with_true_value("o").with_false_value("f").build()
+    return _table(spark, sf_dir, "orders").select("o_orderkey", parsing.boolean_of(F.col("o_orderstatus"), options).cast("int").alias("b"))
+
+
+@query("SELECT o_orderkey, epoch_ms(date_trunc('day', o_orderdate)) AS d FROM orders")
+def parse_date(spark, sf_dir):
+    text = F.date_format("o_orderdate", "yyyy-MM-dd")
+    return _table(spark, sf_dir, "orders").select("o_orderkey", parsing.date_of(text, parsing.SPARK_FORMATS).alias("d"))
+
+
+@query("SELECT doc_id, substr(text, 1, 40) AS k FROM documents")
+def keyword_trunc(spark, sf_dir):
+    docs = _table(spark, sf_dir, "documents")
+    options = OptionsBuilder().with_keyword_length(40).build()
+    return docs.select("doc_id", parsing.leaf("text", F.col("text"), "string", options)["k"].alias("k"))
+
+
+def _parsed(spark, sf_dir, table: str, key: str, columns: list[str]) -> DataFrame:
+    df = _table(spark, sf_dir, table)
+    return df.select(F.col(key).alias("id"), parsing.flat_leaves(df, columns, OPTIONS).alias("leaves"))
+
+
+@query("SELECT c_custkey AS id FROM customer WHERE lower(c_mktsegment) = 'building'")
+def term_keyword_ci(spark, sf_dir):
+    return _parsed(spark, sf_dir, "customer", "c_custkey", ["c_mktsegment", "c_name"]).where(search.term("c_mktsegment", "Building")).select("id")
+
+
+@query("SELECT p_partkey AS id FROM part WHERE p_size = 7")
+def term_number(spark, sf_dir):
+    return _parsed(spark, sf_dir, "part", "p_partkey", ["p_size", "p_brand"]).where(search.term("p_size", 7)).select("id")
+
+
+@query("SELECT o_orderkey AS id FROM orders WHERE o_totalprice >= 100000 AND o_totalprice < 200000")
+def range_number(spark, sf_dir):
+    return _parsed(spark, sf_dir, "orders", "o_orderkey", ["o_totalprice"]).where(search.between("o_totalprice", gte=100000, lt=200000)).select("id")
+
+
+@query("SELECT o_orderkey AS id FROM orders WHERE epoch_ms(o_orderdate) >= 820454400000")
+def range_date(spark, sf_dir):
+    return _parsed(spark, sf_dir, "orders", "o_orderkey", ["o_orderdate"]).where(search.between("o_orderdate", gte=820454400000, kind="_d")).select("id")
+
+
+def _lines(spark, sf_dir) -> DataFrame:
+    """Orders whose lines' quantities are the values of one path."""
+    lines = _table(spark, sf_dir, "lineitem")
+    return lines.groupBy(F.col("l_orderkey").alias("id")).agg(F.collect_list(parsing.leaf("quantity", F.col("l_quantity"), "double", OPTIONS)).alias("leaves"))
+
+
+@query("SELECT DISTINCT l_orderkey AS id FROM lineitem WHERE l_quantity >= 4 AND l_quantity < 6")
+def range_multivalue(spark, sf_dir):
+    return _lines(spark, sf_dir).where(search.between("quantity", gte=4, lt=6)).select("id")
+
+
+@query("SELECT event_id AS id FROM events WHERE json_extract_string(props, '$.k') IS NOT NULL")
+def exists_field(spark, sf_dir):
+    return _events_json(spark, sf_dir).where(search.exists("props.k")).select("id")
+
+
+def _events_json(spark, sf_dir) -> DataFrame:
+    """Events as nested JSON through the parsing kernel."""
+    events = _table(spark, sf_dir, "events")
+    data = F.concat(F.lit('{"type": "'), F.col("event_type"), F.lit('", "props": '), F.coalesce("props", F.lit("null")), F.lit("}"))
+    return parsing.parse_documents(events.select(F.col("event_id").alias("id"), data.alias("data")), OPTIONS)
+
+
+@query(r"SELECT doc_id AS id FROM documents WHERE list_contains(regexp_extract_all(lower(text), '\p{N}+(?:[.,]\p{N}+)+|[\p{L}\p{N}_]+(?:[\x27.]\p{L}+)*'), 'license') OR list_contains(regexp_extract_all(lower(text), '\p{N}+(?:[.,]\p{N}+)+|[\p{L}\p{N}_]+(?:[\x27.]\p{L}+)*'), 'nicht')")
+def match_all_text(spark, sf_dir):
+    return _parsed(spark, sf_dir, "documents", "doc_id", ["text"]).where(search.match("License nicht")).select("id")
+
+
+@query("SELECT p_partkey AS id FROM part WHERE list_contains(str_split(lower(p_type), ' '), lower(str_split((SELECT min(p_type) FROM part), ' ')[1]))")
+def match_field_and(spark, sf_dir):
+    df = _table(spark, sf_dir, "part")
+    word = df.agg(F.min("p_type")).first()[0].split(" ")[0]
+    return _parsed(spark, sf_dir, "part", "p_partkey", ["p_type"]).where(search.match(word, "p_type", "and")).select("id")
+
+
+@query("""WITH n AS (SELECT count(*) AS n FROM events), k AS (SELECT json_type(props, '$.k') AS t, count(*) AS n FROM events GROUP BY 1)
+SELECT 'type' AS path, '#s' AS tag, n AS "count", n AS tag_count FROM n UNION ALL SELECT 'props', '#d', n, n FROM n
+UNION ALL SELECT 'props.k', CASE WHEN t IN ('BIGINT', 'UBIGINT') THEN '#i' WHEN t = 'DOUBLE' THEN '#f' ELSE '#s' END, (SELECT sum(n)::BIGINT FROM k WHERE t IS NOT NULL), n FROM k WHERE t IS NOT NULL""")
+def data_fields(spark, sf_dir):
+    return profile.fields(_events_json(spark, sf_dir))
+
+
+@query("""WITH t AS (SELECT event_type IN ('click', 'view') AS b FROM events), k AS (SELECT count(*) AS n FROM events WHERE json_extract_string(props, '$.k') IS NOT NULL)
+SELECT 'type' AS path, tag, (SELECT count(*) FROM t) AS "count", count(*) AS tag_count FROM t, (VALUES ('_t'), ('_k'), ('_u')) x(tag) GROUP BY tag
+UNION ALL SELECT 'type', '_b', (SELECT count(*) FROM t), count(*) FROM t WHERE b HAVING count(*) > 0
+UNION ALL SELECT 'props.k', tag, n, n FROM k, (VALUES ('_t'), ('_k'), ('_u'), ('_n')) x(tag)""")
+def parsed_fields(spark, sf_dir):
+    return profile.fields(_events_json(spark, sf_dir), "parsed_types")
+
+
+@query("SELECT 'props' AS parent, 'props.k' AS child")
+def field_hierarchy(spark, sf_dir):
+    return profile.hierarchy(profile.fields(_events_json(spark, sf_dir)))
+
+
+@query('SELECT event_type AS value, count(*) AS "count" FROM events GROUP BY 1')
+def terms_composite(spark, sf_dir):
+    return profile.terms(_table(spark, sf_dir, "events"), "event_type")
+
+
+@query(_EVENTS + 'SELECT coalesce(a.version, b.version) AS version, coalesce(b.n, a.n) AS "count" FROM (SELECT version, count(*) AS n FROM d GROUP BY 1) a FULL JOIN (SELECT next AS version, count(*) AS n FROM d WHERE next IS NOT NULL GROUP BY 1) b ON a.version = b.version')
+def version_changed_counts(spark, sf_dir):
+    return profile.changed_counts(_events(spark, sf_dir))
+
+
+@query(_EVENTS + 'SELECT version, count(DISTINCT id) AS "count" FROM d GROUP BY 1')
+def version_changed_counts_exact(spark, sf_dir):
+    return profile.changed_counts(_events(spark, sf_dir), exact=True)
+
+
+@query(_EVENTS + "SELECT DISTINCT version FROM d")
+def versions_list(spark, sf_dir):
+    return profile.versions(_events(spark, sf_dir))
+
+
+@query(_EVENTS + f"SELECT max(version) AS version FROM d WHERE version <= {MOMENT}")
+def rounded_version(spark, sf_dir):
+    return profile.rounded(_events(spark, sf_dir), MOMENT)
+
+
+@query(_EVENTS + "SELECT max(version) AS version FROM d")
+def indexed_version(spark, sf_dir):
+    return profile.indexed_version(_events(spark, sf_dir))
+
+
+@query(_EVENTS + "SELECT arc, least(1000, n - greatest(0, arc * 1000 - 400)) - CASE WHEN arc = 0 THEN greatest(0, least(1000, n) - 400) ELSE 0 END AS n FROM (SELECT count(*) AS n FROM d WHERE next IS NOT NULL) c, unnest(range(0, 1 + (n + 599) // 1000)) t(arc) WHERE arc = 0 OR n > 400 + (arc - 1) * 1000".replace("least(1000, n - greatest(0, arc * 1000 - 400)) - CASE WHEN arc = 0 THEN greatest(0, least(1000, n) - 400) ELSE 0 END", "CASE WHEN arc = 0 THEN least(400, n) ELSE least(1000, n - 400 - (arc - 1) * 1000) END"))
+def arc_assignment(spark, sf_dir):
+    """Archives of 1000 documents, the first of which holds 600 already."""
+    closed = _events(spark, sf_dir).where("next IS NOT NULL")
+    return tiers.assign(closed, 1000, 0, 600).groupBy("arc").agg(F.count("*").alias("n"))
+
+
+@query(_EVENTS + f"SELECT 'index' AS op, id, version, next FROM d WHERE version > {MOMENT} OR next > {MOMENT}")
+def incremental_sync(spark, sf_dir):
+    return versions.changed_since(_events(spark, sf_dir), MOMENT)
+
+
+def _states(spark, sf_dir):
+    """Customers before and after, as maps of texts."""
+    c = _table(spark, sf_dir, "customer")
+    entry = lambda k, v: F.struct(F.lit(k).alias("key"), v.cast("string").alias("value"))
+    base = F.map_from_entries(F.array(entry("name", F.col("c_name")), entry("nation", F.col("c_nationkey")), entry("old", F.col("c_mktsegment"))))
+    name = F.when(F.col("c_custkey") % 2 == 0, F.col("c_name")).otherwise(F.upper("c_mktsegment"))
+    new = F.map_from_entries(F.array(entry("name", name), entry("nation", F.col("c_nationkey")), entry("new", F.col("c_acctbal"))))
+    return c.select(F.col("c_custkey").alias("id"), base.alias("base"), new.alias("new"))
+
+
+@query("SELECT c_custkey AS id, 'new' AS dn, 'old' AS dd, CASE WHEN c_custkey % 2 = 0 OR c_name = upper(c_mktsegment) THEN '' ELSE 'name' END AS dc FROM customer")
+def diff_flat_fields(spark, sf_dir):
+    d = diff_flat(F.col("base"), F.col("new"))
+    return _states(spark, sf_dir).select("id", *[F.array_join(d[k], ",").alias(k) for k in ("dn", "dd", "dc")])
+
+
+@query("SELECT c_custkey AS id, 1 AS same FROM customer")
+def patch_roundtrip(spark, sf_dir):
+    states = _states(spark, sf_dir).select("id", F.to_json("base").alias("base"), F.to_json("new").alias("new"))
+    back = patch_json(F.col("base"), diff_json(F.col("base"), F.col("new")))
+    kind = T.MapType(T.StringType(), T.StringType())
+    sets = [F.array_sort(F.map_entries(F.from_json(x, kind))) for x in (back, F.col("new"))]
+    return states.select("id", (sets[0] == sets[1]).cast("int").alias("same"))
+
+
+@query("SELECT event_id AS id, json_extract_string(props, '$.k') AS k FROM events")
+def rebuild_data(spark, sf_dir):
+    @F.pandas_udf(T.StringType())
+    def rebuilt(data):
+        import json
+
+        return data.map(lambda x: json.dumps(parsing.rebuild(json.loads(x))))
+
+    docs = _events_json(spark, sf_dir).select("id", rebuilt("data").alias("data"))
+    return docs.select("id", F.get_json_object("data", "$.props.k").alias("k"))
+
+
+_LAT, _LON = "(c_custkey * 37 % 20000) / 100.0 - 100", "(c_custkey * 91 % 36000) / 100.0 - 180"
+
+
+def _points(spark, sf_dir):
+    c = _table(spark, sf_dir, "customer")
+    lat, lon = F.expr(_LAT).cast("double"), F.expr(_LON).cast("double")
+    return c.select(F.col("c_custkey").alias("id"), parsing.geo_point(lat, lon).alias("p"), lat.alias("lat"), lon.alias("lon"))
+
+
+@query(f"SELECT c_custkey AS id, round({_LAT}, 4)::DOUBLE AS lat, round({_LON}, 4)::DOUBLE AS lon FROM customer WHERE {_LAT} BETWEEN -90 AND 90")
+def geo_hint_points(spark, sf_dir):
+    return _points(spark, sf_dir).where("p IS NOT NULL").select("id", F.round("p.lat", 4).alias("lat"), F.round("p.lon", 4).alias("lon"))
+
+
+@query(f"SELECT c_custkey AS id FROM customer WHERE {_LAT} BETWEEN 10 AND 50 AND {_LON} BETWEEN -20 AND 60")
+def geo_bbox_points(spark, sf_dir):
+    return _points(spark, sf_dir).where("p.lat BETWEEN 10 AND 50 AND p.lon BETWEEN -20 AND 60").select("id")
+
+
+def _wkt_docs(spark, sf_dir):
+    """Customers with their points as WKT texts, through the parsing kernel."""
+    points = _table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.expr("c_custkey * 37 % 200 - 100").alias("lat"), F.expr("c_custkey * 91 % 360 - 180").alias("lon"))
+    return parsing.parse_documents(points.select("id", F.format_string('{"where": "POINT (%d %d)"}', "lon", "lat").alias("data")), OPTIONS)
+
+
+@query("SELECT c_custkey AS id, format('POINT ({} {})', c_custkey * 91 % 360 - 180, c_custkey * 37 % 200 - 100) AS gp FROM customer WHERE c_custkey * 37 % 200 - 100 BETWEEN -90 AND 90")
+def wkt_points(spark, sf_dir):
+    return _wkt_docs(spark, sf_dir).select("id", F.col("leaves")[0]["gp"].alias("gp")).where("gp IS NOT NULL")
+
+
+@query("SELECT count(*) AS n FROM customer WHERE c_custkey * 37 % 200 - 100 BETWEEN -90 AND 90")
+def has_geo(spark, sf_dir):
+    return _wkt_docs(spark, sf_dir).where(search.has_geo()).agg(F.count("*").alias("n"))
+
+
+@query()
+def geo_circles(spark, sf_dir):
+    """A circle around each supplier's point; SQL has no geodesic, tests hold its radius."""
+
+    @F.pandas_udf(T.StringType())
+    def ring(lat, lon, radius):
+        import pandas as pd
+
+        return pd.Series([geo.wkt("polygon", [geo.circle(a, b, r, 8)]) for a, b, r in zip(lat, lon, radius)])
+
+    s = _table(spark, sf_dir, "supplier").withColumns({"lat": F.expr("(s_suppkey * 37 % 120) - 60.0").cast("double"), "lon": F.expr("(s_suppkey * 91 % 300) - 150.0").cast("double")})
+    return s.select(F.col("s_suppkey").alias("id"), ring("lat", "lon", F.lit(1000.0)).alias("circle"))
