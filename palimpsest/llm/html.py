@@ -173,7 +173,8 @@ def _walk(node: Node, page: Page, keep: bool) -> None:
             _walk(child, page, keep)
             continue
         page.newline()
-        page.gap |= tag in _SPACED and not page.mark
+        spaced = tag in _SPACED and not (node.tag == "li" and tag in ("ul", "ol"))
+        page.gap |= spaced and not page.mark
         if tag == "table":
             _table(child, page)
         elif tag == "hr":
@@ -192,7 +193,7 @@ def _walk(node: Node, page: Page, keep: bool) -> None:
             page.newline()
             page.indent = was
         page.newline()
-        page.gap |= tag in _SPACED and not page.mark
+        page.gap |= spaced and not page.mark
 
 
 def render(node: Node) -> str:
