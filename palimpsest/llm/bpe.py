@@ -2,7 +2,8 @@
 
 Texts fall into pieces by the vocabulary's pattern. A block of texts keeps its distinct pieces once, and where they occur
 as numbers into that list, in order of position. The lists of all blocks are exploded and shuffled by piece; each distinct
-piece is encoded once where its rows meet, and the ids go back to the blocks, where they are put together by position.
+piece is encoded once where its rows meet, and the ids go back to the blocks, where they are put together by position. The
+blocks are written in buckets, so only the ids, packed by block, are shuffled to meet them.
 Decoding looks every id of a text up in the token-byte table, whose size the vocabulary bounds.
 """
 
@@ -20,11 +21,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.llm.common import materialise
+from palimpsest.llm.common import materialise_bucketed
 from palimpsest.llm.tokens import encoder, pieces, read_ranks
 
 #: Pieces after which a block is closed; a longer text is a block of its own.
 BLOCK = 4_000_000
+#: Encoded pieces, and bytes of them, that a task holds before it packs them by block.
+PACK, PACK_BYTES = 1_000_000, 64 << 20
 
 
 class _Numbers(dict):
@@ -74,20 +77,50 @@ def blocks(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, _BLOCKS)
 
 
-def encode_words(words: DataFrame, ranks: str) -> DataFrame:
-    """(word, block, at) -> (block, at, ids): rows of one word meet in one partition, where it is encoded once."""
+def _packed(blocks: list[int], ats: list[int], ids: list[bytes]) -> pa.RecordBatch:
+    """One row per block: steps between the rising places, numbers of ids and the ids, each squeezed."""
+    block, at, count = np.array(blocks, np.int64), np.array(ats, np.int64), np.array([len(x) // 4 for x in ids], np.int64)
+    order = np.lexsort((at, block))
+    ends = np.append(np.flatnonzero(np.diff(block[order])) + 1, len(order))
+    rows = []
+    for part in np.split(order, ends[:-1]):
+        data = np.frombuffer(b"".join(map(ids.__getitem__, part.tolist())), "<u4")
+        rows.append((int(block[part[0]]), _squeeze(np.diff(at[part], prepend=0)), _squeeze(count[part]), _squeeze(data)))
+    types = [pa.int64(), pa.binary(), pa.binary(), pa.binary()]
+    return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), types)], ["block", "steps", "counts", "ids"])
+
+
+def _unpacked(table: pa.Table, words: int) -> list[bytes]:
+    """The ids of a block's distinct pieces, in order."""
+    out = [b""] * words
+    for steps, counts, ids in zip(*(table.column(c).to_pylist() for c in ("steps", "counts", "ids"))):
+        data, ends = _expand(ids).tobytes(), 4 * np.cumsum(_expand(counts), dtype=np.int64)
+        for at, a, b in zip(np.cumsum(_expand(steps), dtype=np.int64).tolist(), [0, *ends[:-1].tolist()], ends.tolist()):
+            out[at] = data[a:b]
+    return out
+
+
+def encode_words(words: DataFrame, ranks: str, pack: int = PACK) -> DataFrame:
+    """(word, block, at) -> packs of ids by block: rows of one word meet in one partition, where it is encoded once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, last, ids = encoder(ranks).word.function, None, b""
+        encode, last, ids, size = encoder(ranks).word.function, None, b"", 0
+        blocks, ats, out = [], [], []
         for batch in batches:
-            out = []
-            for word in batch.column(0).to_pylist():
+            for word, block, at in zip(*(batch.column(i).to_pylist() for i in range(3))):
                 if word != last:
                     last, ids = word, encode(word)
+                blocks.append(block)
+                ats.append(at)
                 out.append(ids)
-            yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), pa.array(out, pa.binary())], ["block", "at", "ids"])
+                size += len(ids)
+                if len(out) >= pack or size >= PACK_BYTES:
+                    yield _packed(blocks, ats, out)
+                    blocks, ats, out, size = [], [], [], 0
+        if out:
+            yield _packed(blocks, ats, out)
 
-    return words.repartition("word").sortWithinPartitions("word").mapInArrow(run, "block long, at int, ids binary")
+    return words.repartition("word").sortWithinPartitions("word").mapInArrow(run, "block long, steps binary, counts binary, ids binary")
 
 
 def encode(docs: DataFrame, ranks: str | None = None, block: int = BLOCK, keep: bool = False) -> DataFrame:
@@ -96,14 +129,13 @@ def encode(docs: DataFrame, ranks: str | None = None, block: int = BLOCK, keep:
     ranks = ranks or path("byte_bpe_multi_50k.tiktoken")
     table = {rank: token for token, rank in read_ranks(ranks).items()}
     token_bytes = docs.sparkSession.sparkContext.broadcast([table.get(i, b"") for i in range(max(table) + 1)])
-    found = materialise(blocks(docs, block))
+    found = materialise_bucketed(blocks(docs, block).withColumn("distinct", F.size("words")), "block")
     coded = encode_words(found.select("block", F.posexplode("words").alias("at", "word")).select("word", "block", "at"), ranks)
 
     def run(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
-        order = np.argsort(right.column("at").to_numpy())
-        ids = right.column("ids").take(pa.array(order)).to_pylist()
         rows = []
         for k in range(left.num_rows):
+            ids = _unpacked(right, left.column("distinct")[k].as_py())
             places = _expand(left.column("places")[k].as_py())
             at = 0
             for doc, size in zip(left.column("docs")[k].as_py(), left.column("sizes")[k].as_py()):
@@ -116,4 +148,4 @@ def encode(docs: DataFrame, ranks: str | None = None, block: int = BLOCK, keep:
         return pa.table([pa.array(x, t) for x, t in zip(zip(*rows), types)] if rows else [pa.array([], t) for t in types[: len(names)]], names)
 
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids binary, decoded string" * keep
-    return found.select("block", "docs", "sizes", "places").groupBy("block").cogroup(coded.groupBy("block")).applyInArrow(run, schema)
+    return found.select("block", "docs", "sizes", "places", "distinct").groupBy("block").cogroup(coded.groupBy("block")).applyInArrow(run, schema)

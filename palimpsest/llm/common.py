@@ -45,6 +45,18 @@ def materialise(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def materialise_bucketed(df: DataFrame, key: str) -> DataFrame:
+    """Like ``materialise``, in as many buckets of ``key`` as a shuffle has partitions: grouping by it shuffles no row again."""
+    spark, name = df.sparkSession, f"scratch_{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/scratch-{spark.sparkContext.applicationId}/{name}"
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    df.write.format("parquet").option("compression", "zstd").option("path", path).bucketBy(buckets, key).saveAsTable(name)
+    found = spark.table(name).select("*")
+    found.schema  # resolved before the name goes; the files of a table with a path of its own stay
+    spark.sql(f"DROP TABLE {name}")
+    return found
+
+
 def broadcast_if_small(df: DataFrame, row_bytes: int) -> DataFrame:
     """``df``, which must be materialised, hinted for broadcast if its counted rows fit; else Spark shuffles."""
     return F.broadcast(df) if df.count() * row_bytes <= BROADCAST_BYTES else df
