@@ -40,7 +40,8 @@ CLOSES = {
 }
 _BLOCK, _VOID, _RAW, _UNSEEN, _SPACED = map(frozenset, (BLOCKS, VOID, RAW, UNSEEN, SPACED))
 _NOT_IN_P = frozenset(BLOCKS) - {"body", "html", "td", "th", "tr", "tbody", "thead", "tfoot", "caption", "option", "legend"}
-_TAG = re.compile(r"""<(?:!--.*?(?:-->|\Z)|[!?][^>]*>|(/?)([A-Za-z][^\s/>]*)((?:"[^"]*"|'[^']*'|[^>"']+)*)>)""", re.S)
+# Possessive, so that a tag without an end fails at once; it ends at the next "<" at the latest, outside of quotes.
+_TAG = re.compile(r"""<(?:!--.*?(?:-->|\Z)|[!?][^>]*+>|(/?)([A-Za-z][^\s/><]*+)((?:"[^"]*"|'[^']*'|[^<>"']++)*+)>)""", re.S)
 _HIDDEN = re.compile(r"""(?:^|\s)(?:hidden(?=[\s=/]|$)|style\s*=\s*["'][^"']*(?:display\s*:\s*none|visibility\s*:\s*hidden)|type\s*=\s*["']?hidden|aria-hidden\s*=\s*["']?true)""", re.I)
 _SPACE = re.compile(r"[ \t\n\r\f]+")
 
@@ -66,8 +67,9 @@ def parse(source: str) -> Node:
             if stack[k].tag in ends:
                 return
 
+    last = source.rfind(">")
     while at < len(source):
-        found = _TAG.search(source, at)
+        found = _TAG.search(source, at) if at <= last or "<!--" in source[at:] else None
         if not found:
             stack[-1].children.append(source[at:])
             break

@@ -25,6 +25,9 @@ text_of = lambda source: html.render(html.parse(source))
         ("<blockquote>q</blockquote>", "  q"),
         ("", ""),
         ("<p", "<p"),
+        ("<p>one<" + "a" * 5000, "one<" + "a" * 5000),
+        ("x <a href=" + "y" * 5000 + " <b>bold</b>", "x <a href=" + "y" * 5000 + " bold"),
+        ('<a title="1 > 0">link</a>', "link"),
     ],
 )
 def test_render(source, want):
