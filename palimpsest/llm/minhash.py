@@ -133,9 +133,10 @@ def _confirm(k: int, percent: int):
 def _partners(table: pa.Table, percent: int, registers: int) -> Iterator[tuple[int, np.ndarray]]:
     """Within one block of a bucket: each probe's members of other groups that signatures and sizes do not rule out.
 
-    The estimate may fall 15 points below the threshold, above four standard deviations.
+    The estimate may fall 20 points below the threshold: at 96 registers a pair at similarity 0.8 falls lower with a
+    chance of 1e-6.
     """
-    least = registers * (percent - 15) // 100
+    least = registers * (percent - 20) // 100
     root, size = (table.column(c).to_numpy() for c in ("root", "size"))
     probe = table.column("probe").to_numpy()
     signature = np.frombuffer(b"".join(table.column("signature").to_pylist()), np.uint16).reshape(-1, registers)
