@@ -181,13 +181,13 @@ def _links(k: int, percent: int, registers: int):
 def connected(edges: DataFrame) -> DataFrame:
     """(a, b) with a < b -> (node, root): the smallest node that edges reach, for each node with an edge.
 
-    Alternating large-star and small-star steps; every step is a grouped minimum and a join on the same key, and the
-    loop ends when the edges no longer change, which takes a logarithmic number of rounds.
+    Alternating large-star and small-star steps; every step is a grouped minimum and a join on the same key. The minima
+    are written first: only a join of two plain tables is split where one node has very many edges. The loop ends when the edges no longer change, which takes a logarithmic number of rounds.
     """
 
     def star(e: DataFrame, large: bool) -> DataFrame:
         both = e.select("a", "b").union(e.select(F.col("b"), F.col("a"))) if large else e.select(F.col("b").alias("a"), F.col("a").alias("b"))
-        low = both.groupBy("a").agg(F.min("b").alias("low")).withColumn("low", F.least("low", "a"))
+        low = materialise(both.groupBy("a").agg(F.min("b").alias("low")).withColumn("low", F.least("low", "a")))
         joined = both.join(low, "a")
         if large:
             out = joined.where("b > a").select(F.col("low").alias("a"), "b")
@@ -224,7 +224,8 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80,
     classes = signed.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("print").agg(F.min("doc_id").alias("rep"), F.max("n_shingles").alias("size"))
     firsts = signed.withColumnRenamed("doc_id", "rep").join(classes, ["rep", "print"])
     members = firsts.select("rep", "size", F.explode("bands").alias("key"))
-    buckets = members.groupBy("key").agg(F.min("rep").alias("low"), F.min_by("size", "rep").alias("size_a"), F.count("*").alias("n")).where("n > 1")
+    # What is joined with hot keys is written first: Spark splits a skewed join only between two plain tables.
+    buckets = materialise(members.groupBy("key").agg(F.min("rep").alias("low"), F.min_by("size", "rep").alias("size_a"), F.count("*").alias("n")).where("n > 1"))
     shared = materialise(members.join(buckets, "key").select("key", "rep", "size", "low", "size_a"))
 
     def verified(pairs: DataFrame) -> DataFrame:
@@ -237,10 +238,10 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80,
     first = shared.where(f"rep > low AND 100 * least(size, size_a) >= {percent} * greatest(size, size_a)").select(F.col("low").alias("a"), F.col("rep").alias("b")).distinct()
     roots = materialise(connected(verified(first)))
     placed = shared.select("key", "rep", "size").join(roots, shared.rep == roots.node, "left").select("key", "rep", "size", F.coalesce("root", "rep").alias("root"))
-    open_keys = placed.groupBy("key").agg(F.min("root").alias("least"), F.max("root").alias("most"), F.count("*").alias("n")).where("least < most").select("key", "n")
+    open_keys = materialise(placed.groupBy("key").agg(F.min("root").alias("least"), F.max("root").alias("most"), F.count("*").alias("n")).where("least < most").select("key", "n"))
     placed = materialise(placed.join(open_keys, "key"))
     if placed.take(1):
-        largest = placed.groupBy("key", "root").agg(F.count("*").alias("n")).groupBy("key").agg(F.max(F.struct("n", "root")).alias("top")).select("key", F.col("top.root").alias("main"))
+        largest = materialise(placed.groupBy("key", "root").agg(F.count("*").alias("n")).groupBy("key").agg(F.max(F.struct("n", "root")).alias("top")).select("key", F.col("top.root").alias("main")))
         wanted = materialise(placed.select("rep").distinct())
         signatures = materialise(firsts.select("rep", "signature").join(broadcast_if_small(wanted, 16), "rep", "left_semi").dropDuplicates(["rep"]))
         rest = placed.join(largest, "key").join(signatures, "rep").withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int")).withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
@@ -256,7 +257,7 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80,
         again = materialise(full.applyInArrow(_links(shingle_words, percent, bands * rows), "a long, b long").distinct())
         if again.take(1):
             roots = materialise(connected(roots.select(F.col("root").alias("a"), F.col("node").alias("b")).union(again)))
-    roots = classes.join(roots, classes.rep == roots.node, "left").select("print", F.coalesce("root", "rep").alias("component_id"))
+    roots = materialise(classes.join(roots, classes.rep == roots.node, "left").select("print", F.coalesce("root", "rep").alias("component_id")))
     out = signed.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("print")).alias("print")).join(roots, "print", "left")
     out = out.withColumn("component_id", F.coalesce("component_id", "doc_id"))
     return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
