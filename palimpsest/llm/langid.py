@@ -96,13 +96,15 @@ class Model:
         chances = sure[:many] / sure[:many].sum() if many else np.ones(1)
         k = int(chances.argmax())
         own = [x for x in self.langs if family_of(x) == self.families[k]]
-        votes = dict.fromkeys(own, 1.0 if len(own) == 1 else 0.0)
+        odds = dict.fromkeys(own, 2.0 - len(own))
         for (a, b), p in zip(self.pairs, sure[many:]):
-            if a in votes:
-                votes[a] += p / (len(own) * (len(own) - 1) / 2)
-                votes[b] += (1 - p) / (len(own) * (len(own) - 1) / 2)
-        best = max(own, key=lambda x: (votes[x], x))
-        return best, float(min(max(chances[k] * votes[best], 0.0), 1.0))
+            if a in odds:
+                odds[a] += 1 / p
+                odds[b] += 1 / (1 - p)
+        shares = {x: 1 / max(odds[x], 1.0) for x in own}  # pairwise coupling: 1 if every pair is certain, 1/n if none is
+        total = sum(shares.values())
+        best = max(own, key=lambda x: (shares[x], x))
+        return best, float(min(max(chances[k] * shares[best] / total, 0.0), 1.0))
 
 
 def train(labelled: DataFrame, sample: int = SAMPLE) -> Model | None:

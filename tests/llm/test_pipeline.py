@@ -1,4 +1,5 @@
 import os
+import random
 
 import pytest
 
@@ -55,3 +56,16 @@ def test_near_duplicates_use_five_words(spark):
     docs = spark.createDataFrame([(1, "a b c d e f g"), (2, "a b c d e f g"), (3, "h i j k l m n")], "doc_id long, text string")
     assert sorted(r["doc_id"] for r in corpus_pipeline.distinct(spark, docs, SMALL).collect()) == [1, 3]
     assert minhash.near_duplicates(docs).where("doc_id = 1").first()["n_shingles"] == 3
+
+
+def test_clean_documents_of_a_large_family_are_kept(spark):
+    rng = random.Random(3)
+    langs = ["da", "de", "en", "nb", "nl", "sv"]
+    words = {x: ["".join(rng.choices("abcdefghijklmnoprstuvy", k=rng.randrange(3, 9))) for _ in range(40)] for x in langs}
+    rows = [(i, " ".join(rng.choices(words[x], k=40)), x, "web", 0) for i, x in enumerate(langs * 40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    assert corpus_pipeline.language(spark, docs, SMALL).count() == len(rows)
+    model = langid.train(docs)
+    assert all(model.predict(text)[0] == x and model.predict(text)[1] >= 0.8 for _, text, x, *_ in rows)
+    mixed = " ".join(w for own in zip(*words.values()) for w in own)
+    assert model.predict(mixed)[1] < corpus_pipeline.LEAST_SURE
