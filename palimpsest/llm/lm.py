@@ -1,12 +1,14 @@
 """Masked pseudo-likelihood: a window network predicts every token from the two before and the two behind it.
 
-The vocabulary is counted over all words of the corpus; its size is a parameter, other words are one token. Every task
-trains the network on its texts in numpy, and the networks are averaged, weighted by their targets. The output is a class
-of 32 words, then the word in it. A document's score is the sum of the log-probabilities of its tokens.
+All words of the corpus are counted. The most frequent are the network's vocabulary, whose size is a parameter; others are
+one token to it, and each has its own share of that token's chance by its count. Every task trains the network on its texts
+in numpy, and the networks are averaged, weighted by their targets, round by round until the loss on held-out texts settles.
+The output is a class of 32 words, then the word in it. A document's score is the sum of its words' log-probabilities.
 """
 
 from __future__ import annotations
 
+import math
 from collections import Counter
 from collections.abc import Iterator
 
@@ -16,12 +18,19 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from palimpsest.llm.common import materialise
+
 SIDE, CLASSES, WIDTH = 2, 32, 16
 #: Tokens of the vocabulary, one of which stands for all other words.
 VOCABULARY = CLASSES * CLASSES
 #: One target in so many positions is trained on, in every document; all are scored.
-STRIDE = 8
-BATCH, RATE, ROUNDS = 4096, 0.15, 1
+STRIDE = 1
+#: A round's targets are taken in batches, smaller in small slices, so that these make steps enough too.
+BATCH, RATE = 1024, 0.15
+#: Rounds at most; they end when the averaged network's loss on held-out texts falls by less than SETTLED a token.
+ROUNDS, SETTLED = 40, 0.05
+#: One in so many texts, chosen by its hash, measures the loss and is trained on when that has settled.
+HOLD = 64
 #: Distinct words that a counting task holds before it passes its counts on.
 HELD = 300_000
 _PAD, _OTHER = VOCABULARY, VOCABULARY - 1
@@ -31,8 +40,8 @@ def words(text: str | None) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").lower().split() if text else []
 
 
-def vocabulary(docs: DataFrame) -> tuple[dict[bytes, int], np.ndarray]:
-    """The most frequent words with their numbers, and the counts of all tokens."""
+def word_counts(docs: DataFrame) -> DataFrame:
+    """(word, n) of all words of (text)."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def pack(held: Counter) -> pa.RecordBatch:
@@ -47,7 +56,12 @@ def vocabulary(docs: DataFrame) -> tuple[dict[bytes, int], np.ndarray]:
                     held = Counter()
         yield pack(held)
 
-    counts = docs.select("text").mapInArrow(count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return docs.select("text").mapInArrow(count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
+
+
+def vocabulary(docs: DataFrame, counts: DataFrame | None = None) -> tuple[dict[bytes, int], np.ndarray]:
+    """The most frequent words with their numbers, and the counts of all tokens."""
+    counts = word_counts(docs) if counts is None else counts
     top = counts.orderBy(F.desc("n"), "word").limit(VOCABULARY - 1).collect()
     total = docs.sparkSession.createDataFrame([], "n long") if not top else counts
     n = np.zeros(VOCABULARY)
@@ -107,14 +121,20 @@ class Network:
         p_group /= len(target)
         p_member /= len(target)
         back = (p_group @ outer.T + p_member @ inner.T) * (1 - hidden**2)
-        by_vector = np.zeros_like(vectors)
+        moves = []
         for k in range(2 * SIDE):
-            order = np.argsort(context[:, k], kind="stable")
+            order = np.argsort(context[:, k].astype(np.int16), kind="stable")
             at, first = np.unique(context[order, k], return_index=True)
-            by_vector[k][at] = np.add.reduceat(back[order], first, axis=0)
+            gradient = np.add.reduceat(back[order], first, axis=0)
+            squares[0][k][at] += gradient**2
+            moves.append((k, at, RATE * gradient / np.sqrt(squares[0][k][at] + 1e-8)))
         by_group = np.zeros_like(self.parameters[4])
-        np.add.at(by_group, group, p_member)
-        for value, gradient, square in zip(self.parameters, (by_vector, hidden.T @ p_group, hidden.T @ p_member, p_group.sum(axis=0), by_group), squares):
+        order = np.argsort(group.astype(np.int16), kind="stable")
+        at, first = np.unique(group[order], return_index=True)
+        by_group[at] = np.add.reduceat(p_member[order], first, axis=0)
+        for k, at, move in moves:
+            vectors[k][at] -= move
+        for value, gradient, square in zip(self.parameters[1:], (hidden.T @ p_group, hidden.T @ p_member, p_group.sum(axis=0), by_group), squares[1:]):
             square += gradient**2
             value -= RATE * gradient / np.sqrt(square + 1e-8)
 
@@ -136,49 +156,78 @@ def _context(tokens: np.ndarray, at: np.ndarray) -> np.ndarray:
     return np.stack([tokens[at + k] for k in (*range(-SIDE, 0), *range(1, SIDE + 1))], axis=1)
 
 
-def train(docs: DataFrame, stride: int = STRIDE, rounds: int = ROUNDS) -> tuple[dict[bytes, int], Network]:
-    """The vocabulary and the network learnt from all rows of (text)."""
-    numbers, counts = vocabulary(docs)
-    network = Network.fresh(counts)
-    spark = docs.sparkSession
+def _round(docs: DataFrame, numbers: dict[bytes, int], network: Network, squares: Network, number: int, stride: int) -> tuple[Network, Network]:
+    """The network and Adagrad's squares after every task has trained on its texts, averaged by their targets."""
+    shared = docs.sparkSession.sparkContext.broadcast((numbers, network.flat().tobytes(), squares.flat().tobytes()))
+
+    def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, start, sums = shared.value
+        own, squares = Network.read(start), Network.read(sums)
+        n = 0
+        for batch in batches:
+            for first in range(0, batch.num_rows, 1000):
+                tokens, at, _ = _windows(batch.column(0)[first : first + 1000].to_pylist(), known)
+                at = at[number % stride :: stride]
+                at = np.random.default_rng(len(at) + number).permutation(at)
+                size = min(BATCH, max(16, len(at) // 64))
+                for k in range(0, len(at), size):
+                    own.step(_context(tokens, at[k : k + size]), tokens[at[k : k + size]], squares.parameters)
+                n += len(at)
+        if n:
+            both = np.concatenate([own.flat(), squares.flat()])
+            yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()]), pa.array([n]), pa.array([both.tobytes()], pa.binary())], ["part", "n", "network"])
+
+    def total(table: pa.Table) -> pa.Table:
+        table = table.sort_by("part")
+        n = np.array(table.column("n").to_pylist())
+        flat = sum(k * np.frombuffer(x, np.float32).astype(np.float64) for k, x in zip(n, table.column("network").to_pylist()))
+        return pa.table({"part": [table.column("part")[0].as_py()], "n": [int(n.sum())], "network": pa.array([(flat / n.sum()).astype(np.float32).tobytes()], pa.binary())})
+
+    schema = "part long, n long, network binary"
+    found = docs.select("text").mapInArrow(fit, schema)
+    found = found.groupBy(F.pmod("part", F.lit(16))).applyInArrow(total, schema).collect()  # 16 networks at most
+    if not found:
+        return network, squares
+    found.sort(key=lambda r: r["part"])
+    flat = sum(r["n"] * np.frombuffer(r["network"], np.float32).astype(np.float64) for r in found) / sum(r["n"] for r in found)
+    network, squares = (Network.read(x.tobytes()) for x in np.split(flat.astype(np.float32), 2))
+    return network, squares
+
+
+def mean_loss(docs: DataFrame, numbers: dict[bytes, int], network: Network) -> float | None:
+    """Minus the mean log-probability of the network's tokens of all rows of (text); None if there are none."""
+    total = score(docs.select(F.lit(None).alias("doc_id"), "text"), numbers, network).agg(F.sum("n_tokens"), F.sum("log_likelihood")).first()
+    return -total[1] / total[0] if total[0] else None
+
+
+def train(docs: DataFrame, stride: int = STRIDE, rounds: int = ROUNDS, counts: DataFrame | None = None) -> tuple[dict[bytes, int], Network]:
+    """The vocabulary and the network learnt from all rows of (text); ``counts`` are those of their words if known."""
+    numbers, sizes = vocabulary(docs, counts)
+    network = Network.fresh(sizes)
+    squares = Network([np.zeros_like(x) for x in network.parameters])
+    away = F.coalesce(F.pmod(F.xxhash64("text"), F.lit(HOLD)) == 0, F.lit(False))
+    held, rest = materialise(docs.select("text").where(away)), docs.where(~away)
+    before = mean_loss(held, numbers, network)
+    few = before is None  # so few texts that none is held out: all measure the loss
+    if few and (before := mean_loss(docs, numbers, network)) is None:
+        return numbers, network
     for number in range(rounds):
-        shared = spark.sparkContext.broadcast((numbers, network.flat().tobytes()))
-
-        def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            known, start = shared.value
-            own = Network.read(start)
-            squares = [np.zeros_like(x) for x in own.parameters]
-            n = 0
-            for batch in batches:
-                for first in range(0, batch.num_rows, 1000):
-                    tokens, at, _ = _windows(batch.column(0)[first : first + 1000].to_pylist(), known)
-                    at = at[number % stride :: stride]
-                    at = np.random.default_rng(len(at)).permutation(at)
-                    for k in range(0, len(at), BATCH):
-                        own.step(_context(tokens, at[k : k + BATCH]), tokens[at[k : k + BATCH]], squares)
-                    n += len(at)
-            if n:
-                yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()]), pa.array([n]), pa.array([own.flat().tobytes()], pa.binary())], ["part", "n", "network"])
-
-        def total(table: pa.Table) -> pa.Table:
-            table = table.sort_by("part")
-            n = np.array(table.column("n").to_pylist())
-            flat = sum(k * np.frombuffer(x, np.float32).astype(np.float64) for k, x in zip(n, table.column("network").to_pylist()))
-            return pa.table({"part": [table.column("part")[0].as_py()], "n": [int(n.sum())], "network": pa.array([(flat / n.sum()).astype(np.float32).tobytes()], pa.binary())})
-
-        schema = "part long, n long, network binary"
-        found = docs.select("text").mapInArrow(fit, schema)
-        found = found.groupBy(F.pmod("part", F.lit(16))).applyInArrow(total, schema).collect()  # 16 networks at most
-        if found:
-            found.sort(key=lambda r: r["part"])
-            flat = sum(r["n"] * np.frombuffer(r["network"], np.float32).astype(np.float64) for r in found) / sum(r["n"] for r in found)
-            network = Network.read(flat.astype(np.float32).tobytes())
-    return numbers, network
-
-
-def score(docs: DataFrame, numbers: dict[bytes, int], network: Network) -> DataFrame:
-    """doc_id, n_tokens, log_likelihood (sum; 0 for a null or empty text) and mean_log_likelihood (null there) of every row."""
+        network, squares = _round(rest, numbers, network, squares, number, stride)
+        loss = mean_loss(docs if few else held, numbers, network)
+        if before - loss < SETTLED:
+            break
+        before = loss
+    return numbers, network if few else _round(held, numbers, network, squares, 0, stride)[0]
+
+
+def score(docs: DataFrame, numbers: dict[bytes, int], network: Network, counts: DataFrame | None = None) -> DataFrame:
+    """doc_id, n_tokens, log_likelihood (sum; 0 for a null or empty text) and mean_log_likelihood (null there) of every row.
+
+    With the ``counts`` of all words, a word outside the vocabulary takes the chance of the token for these times its own
+    share of their count; all unseen words share one count. Without, each takes the whole chance of that token.
+    """
     shared = docs.sparkSession.sparkContext.broadcast((numbers, network.flat().tobytes()))
+    counted = counts is not None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, data = shared.value
@@ -191,13 +240,26 @@ def score(docs: DataFrame, numbers: dict[bytes, int], network: Network) -> DataF
                 sums = np.concatenate([[0.0], *chances]).cumsum(dtype=np.float64)
                 ends = np.concatenate([[0], sizes.cumsum()])
                 total = sums[ends[1:]] - sums[ends[:-1]]
-                mean = pa.array([float(t / n) if n else None for t, n in zip(total, sizes)], pa.float64())
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sizes), pa.array(total), mean], ["doc_id", "n_tokens", "log_likelihood", "mean_log_likelihood"])
+                rare = [[w for w in words(x) if w not in known] if counted else None for x in part.column(1).to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sizes), pa.array(total), pa.array(rare, pa.list_(pa.binary()))], ["doc_id", "n_tokens", "log_likelihood", "rare"])
 
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return own.mapInArrow(run, "doc_id long, n_tokens long, log_likelihood double, mean_log_likelihood double")
+    found = own.mapInArrow(run, "doc_id long, n_tokens long, log_likelihood double, rare array<binary>")
+    if counted:
+        found = materialise(found.withColumn("row", F.monotonically_increasing_id()))
+        known = docs.sparkSession.createDataFrame([(bytearray(w),) for w in numbers], "word binary")
+        tail = materialise(counts.join(F.broadcast(known), "word", "left_anti").select("word", "n"))
+        whole = math.log((tail.agg(F.sum("n")).first()[0] or 0) + 1)
+        # A word outside the vocabulary is rarer than all within, so no key is hot.
+        shares = found.select("row", F.explode("rare").alias("word")).join(tail, "word", "left").select("row", (F.log(F.coalesce("n", F.lit(1))) - whole).alias("share"))
+        shares = shares.groupBy("row").agg(F.sum("share").alias("share"))
+        found = found.drop("rare").join(shares, "row", "left").withColumn("log_likelihood", F.col("log_likelihood") + F.coalesce("share", F.lit(0.0)))
+    mean = F.when(F.col("n_tokens") > 0, F.col("log_likelihood") / F.col("n_tokens")).alias("mean_log_likelihood")
+    return found.select("doc_id", "n_tokens", "log_likelihood", mean)
 
 
 def pseudo_likelihood(docs: DataFrame) -> DataFrame:
     """Train on the rows of (doc_id, text), then score them all."""
-    return score(docs, *train(docs.select(F.col("text").cast("string").alias("text"))))
+    texts = docs.select(F.col("text").cast("string").alias("text"))
+    counts = materialise(word_counts(texts))
+    return score(docs, *train(texts, counts=counts), counts)

@@ -188,3 +188,24 @@ def test_pseudo_likelihood_is_the_sum_over_both_sides(spark):
         total += float(network.forward(np.array([around]), np.array([tokens[i]]))[3][0])
     got = lm.score(spark.createDataFrame([(1, text)], "doc_id long, text string"), numbers, network).first()
     assert got["log_likelihood"] == pytest.approx(total, rel=1e-4)
+
+
+def test_registered_parameters_know_the_order(spark):
+    rows = lm_rows() + [(900, "one two three four five six seven eight"), (901, "eight three one six two seven four five")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: r["mean_log_likelihood"] for r in lm.pseudo_likelihood(docs).collect()}
+    assert got[900] > got[901] + 1
+    numbers, network = lm.train(docs.select("text"))
+    assert lm.mean_loss(docs.select("text"), numbers, network) < 1.0  # log(8) = 2.08 without the order
+
+
+def test_junk_scores_below_prose_when_the_tail_is_long(spark):
+    rng = random.Random(5)
+    common, tail = [f"c{k}" for k in range(1500)], [f"t{k}" for k in range(4000)]
+    weights = [1 / (k + 10) for k in range(1500)]
+    prose = [" ".join(rng.choices(common, weights, k=30) + rng.choices(tail, k=30)) for _ in range(600)]
+    rows = [*enumerate(prose), (900, "zq xv wk"), (901, " ".join(f"j{k}" for k in range(60)))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: r["mean_log_likelihood"] for r in lm.pseudo_likelihood(docs).collect()}
+    low = min(got[i] for i in range(600))
+    assert len(got) == len(rows) and got[901] < low and got[900] < low
