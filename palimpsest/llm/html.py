@@ -19,7 +19,7 @@ DEEPEST = 150
 # Element classes of HTML.
 VOID = "area base br col embed hr img input link meta source track wbr".split()
 RAW = "script style textarea title noscript iframe template".split()
-UNSEEN = "head script style title noscript iframe template datalist object audio video canvas svg".split()
+UNSEEN = "head script style title noscript iframe template datalist object audio video canvas".split()
 BLOCKS = (
     "address article aside blockquote body center details dialog div dd dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
     "header hgroup hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th thead tr ul caption"
@@ -42,7 +42,11 @@ _BLOCK, _VOID, _RAW, _UNSEEN, _SPACED = map(frozenset, (BLOCKS, VOID, RAW, UNSEE
 _NOT_IN_P = frozenset(BLOCKS) - {"body", "html", "td", "th", "tr", "tbody", "thead", "tfoot", "caption", "option", "legend"}
 # Possessive, so that a tag without an end fails at once; it ends at the next "<" at the latest, outside of quotes.
 _TAG = re.compile(r"""<(?:!--.*?(?:-->|\Z)|[!?][^>]*+>|(/?)([A-Za-z][^\s/><]*+)((?:"[^"]*"|'[^']*'|[^<>"']++)*+)>)""", re.S)
-_HIDDEN = re.compile(r"""(?:^|\s)(?:hidden(?=[\s=/]|$)|style\s*=\s*["'][^"']*(?:display\s*:\s*none|visibility\s*:\s*hidden)|type\s*=\s*["']?hidden|aria-hidden\s*=\s*["']?true)""", re.I)
+_ATTRIBUTE = re.compile(r"""([^\s=/"'][^\s=/]*+)(?:\s*+=\s*+("[^"]*+"|'[^']*+'|[^\s"']\S*+))?+|"[^"]*+"|'[^']*+'""")
+_STYLE = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*hidden)", re.I)
+# What may stand in head, and what table, its sections and rows hold as structure.
+IN_HEAD = frozenset("head base basefont bgsound link meta noframes noscript script style template title".split())
+PARTS = frozenset("tr tbody thead tfoot colgroup col".split())
 _SPACE = re.compile(r"[ \t\n\r\f]+")
 
 
@@ -54,6 +58,17 @@ class Node:
         self.children: list = []
 
 
+def hidden(tag: str, attributes: str) -> bool:
+    """Whether the attributes hidden, style or aria-hidden (or type, on input) take the element out of sight."""
+    seen = {}
+    for found in _ATTRIBUTE.finditer(attributes):
+        if found[1]:
+            seen.setdefault(found[1].lower(), html.unescape((found[2] or "").strip("\"'")))
+    if seen.get("aria-hidden", "").strip().lower() == "true":
+        return True
+    return "hidden" in seen or bool(_STYLE.search(seen.get("style", ""))) or (tag == "input" and seen.get("type", "").strip().lower() == "hidden")
+
+
 def parse(source: str) -> Node:
     root = Node("")
     stack = [root]
@@ -67,14 +82,19 @@ def parse(source: str) -> Node:
             if stack[k].tag in ends:
                 return
 
+    def string(text: str) -> None:
+        if text.strip():
+            close(["head"], ["template"])
+        stack[-1].children.append(text)
+
     last = source.rfind(">")
     while at < len(source):
         found = _TAG.search(source, at) if at <= last or "<!--" in source[at:] else None
         if not found:
-            stack[-1].children.append(source[at:])
+            string(source[at:])
             break
         if found.start() > at:
-            stack[-1].children.append(source[at : found.start()])
+            string(source[at : found.start()])
         at = found.end()
         if not found[2]:
             continue
@@ -83,6 +103,8 @@ def parse(source: str) -> Node:
             ends = ["table"] if tag not in ("table", "html", "body") and any(x.tag == "table" for x in stack) else []
             close([tag], ends if tag not in ("td", "th", "tr", "tbody", "thead", "tfoot", "caption") else ["table"])
             continue
+        if tag not in IN_HEAD:
+            close(["head"], [])
         if tag in CLOSES:
             close(*CLOSES[tag])
         if tag in _NOT_IN_P:
@@ -91,13 +113,17 @@ def parse(source: str) -> Node:
             row = Node("tr")
             stack[-1].children.append(row)
             stack.append(row)
-        node = Node(tag, tag not in _UNSEEN and not (found[3] and _HIDDEN.search(found[3])))
+        deep = len(stack) >= DEEPEST
+        if deep and tag in _BLOCK and tag not in _VOID and tag not in _RAW:
+            stack[-1].children.append(Node("div"))  # its content follows as the parent's, on a line of its own
+            continue
+        node = Node(tag, tag not in _UNSEEN and not (found[3] and hidden(tag, found[3])))
         stack[-1].children.append(node)
         if tag in _RAW:
             end = re.compile(f"</{tag}[^>]*>", re.I).search(source, at)
             node.children.append(source[at : end.start() if end else len(source)])
             at = end.end() if end else len(source)
-        elif tag not in _VOID and not found[3].endswith("/") and len(stack) < DEEPEST:
+        elif tag not in _VOID and not found[3].endswith("/") and not deep:
             stack.append(node)
     return root
 
@@ -138,25 +164,58 @@ class Page:
 
 
 def _table(node: Node, page: Page) -> None:
-    rows, todo = [], [node]
-    while todo:
-        x = todo.pop()
-        for child in reversed(x.children) if isinstance(x, Node) and x.tag != "tr" else []:
-            if isinstance(child, Node) and child.seen:
-                todo.append(child)
-        if x.tag == "tr":
-            rows.append([" ".join(render(c).split()) for c in x.children if isinstance(c, Node) and c.seen and c.tag in ("td", "th")])
-        elif x.tag == "caption":
-            rows.append([" ".join(render(x).split())])
-            todo = [y for y in todo if y not in x.children]
+    """Rows of cells; what is neither structure nor cell stands before the table, as HTML's tree builder puts it."""
+    rows: list[list[str]] = []
+    outside: list = []
+
+    def cells(x: Node, row: list[str] | None) -> None:
+        for child in x.children:
+            if isinstance(child, str):
+                outside.append(child)
+                continue
+            if not child.seen:
+                continue
+            inner = child.tag in PARTS or (child.tag not in ("td", "th", "caption", "table") and _holds(child))
+            if not inner and child.tag not in ("td", "th", "caption"):
+                outside.append(child)
+                continue
+            outside.append(Node("div"))  # what stands on both sides is on lines of its own
+            if child.tag in ("td", "th"):
+                if row is None:
+                    rows.append(row := [])
+                row.append(" ".join(render(child).split()))
+            elif child.tag == "caption":
+                rows.append([" ".join(render(child).split())])
+            elif child.tag == "tr":
+                rows.append(own := [])
+                cells(child, own)
+            else:
+                cells(child, row)
+            outside.append(Node("div"))
+
+    cells(node, None)
+    if outside:
+        around = Node("")
+        around.children = outside
+        _walk(around, page, False)
+        page.newline()
     widths = [max((len(r[k]) for r in rows if len(r) > max(k, 1)), default=0) for k in range(max(map(len, rows), default=0))]
     for row in rows:
         page.parts = ["  ".join(cell.ljust(w) for cell, w in zip(row, widths)) if len(row) > 1 else "".join(row)]
         page.newline()
-    for child in node.children:  # text outside of cells stays
-        if isinstance(child, str) and child.strip():
-            page.text(child, False)
-            page.newline()
+
+
+def _holds(node: Node) -> bool:
+    """Whether a cell or row of the table around lies below a form or the like."""
+    todo = [node]
+    while todo:
+        for child in todo.pop().children:
+            if isinstance(child, Node) and child.seen:
+                if child.tag in ("td", "th", "tr", "caption"):
+                    return True
+                if child.tag != "table":
+                    todo.append(child)
+    return False
 
 
 def _walk(node: Node, page: Page, keep: bool) -> None:

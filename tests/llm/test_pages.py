@@ -159,3 +159,52 @@ def test_recall_over_several_shards(spark):
         score[q] = -np.inf
         hit += len({r["vec_id"] for r in got if r["query_id"] == q} & set(np.argsort(-score)[:20].tolist()))
     assert hit / (100 * 20) >= 0.9
+
+
+@pytest.mark.parametrize(
+    "source",
+    [
+        "<html><head><title>t</title><body><p>text",
+        "<html><head><title>t</title><p>text",
+        "<head><meta charset=x>text",
+    ],
+)
+def test_an_open_head_ends_where_the_body_begins(source):
+    assert text_of(source) == "text"
+
+
+@pytest.mark.parametrize(
+    "attributes, seen",
+    [
+        ('title="a hidden gem"', True), ('class="x hidden y"', True), ('data-note="now hidden = no"', True), ('title="style=\'display:none\'"', True), ("type=hidden", True),
+        ("hidden", False), ("HIDDEN=''", False), ('class=a hidden id="b"', False), ("style=display:none", False), ('style="color: red; visibility: hidden"', False),
+    ],
+)
+def test_only_the_attributes_themselves_hide(attributes, seen):
+    assert text_of(f"<p {attributes}>text</p>") == "text" * seen
+
+
+def test_svg_text_is_visible():
+    assert text_of("<svg><text>label</text></svg>") == "label"
+
+
+@pytest.mark.parametrize(
+    "source",
+    [
+        "<table><tr><form><td>one<td>two</form></table>",
+        "<table><tr>one <a>two</a> <b>x</b><td>three</table>",
+        "<table><div>one</div><tbody>two<tr><td>three</table>",
+        "<table><tr><td>one<table><tr><td>two</table>three</table>",
+        "<table><tr><td>" * 150 + "deep" + "<table><tr><td>one<td>two<tr>three</table>",
+        "<div>" * 148 + "<table><tr><td>one<td>two</table>",
+    ],
+)
+def test_tables_lose_no_word(source):
+    words, todo = [], [html.parse(source)]
+    while todo:
+        x = todo.pop()
+        if isinstance(x, str):
+            words += x.split()
+        elif x.seen:
+            todo += x.children
+    assert sorted(text_of(source).split()) == sorted(words) and words
