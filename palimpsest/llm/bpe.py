@@ -15,13 +15,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import zstandard
 from public_tokenizers import path
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.llm.common import materialise_bucketed
+from palimpsest.llm.common import expand, materialise_bucketed, squeeze
 from palimpsest.llm.tokens import encoder, pieces, read_ranks
 
 #: Pieces after which a block is closed; a longer text is a block of its own.
@@ -36,14 +35,6 @@ class _Numbers(dict):
         return out
 
 
-def _squeeze(numbers: np.ndarray) -> bytes:
-    return zstandard.compress(numbers.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes(), 3)
-
-
-def _expand(data: bytes) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(zstandard.decompress(data), np.uint8).reshape(4, -1).T).view("<u4").ravel()
-
-
 _BLOCKS = "block long, docs array<long>, sizes array<long>, places binary, words array<string>"
 
 
@@ -57,7 +48,7 @@ def blocks(docs: DataFrame, block: int = BLOCK) -> DataFrame:
             rank = np.empty(len(order), np.uint32)
             rank[order] = np.arange(len(order))
             words = list(numbers)
-            row = [(part << 32) + next(count), ids, [len(x) for x in found], _squeeze(rank[places]), [words[i] for i in order]]
+            row = [(part << 32) + next(count), ids, [len(x) for x in found], squeeze(rank[places]), [words[i] for i in order]]
             types = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary(), pa.list_(pa.string())]
             return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, types)], ["block", "docs", "sizes", "places", "words"])
 
@@ -85,7 +76,7 @@ def _packed(blocks: list[int], ats: list[int], ids: list[bytes]) -> pa.RecordBat
     rows = []
     for part in np.split(order, ends[:-1]):
         data = np.frombuffer(b"".join(map(ids.__getitem__, part.tolist())), "<u4")
-        rows.append((int(block[part[0]]), _squeeze(np.diff(at[part], prepend=0)), _squeeze(count[part]), _squeeze(data)))
+        rows.append((int(block[part[0]]), squeeze(np.diff(at[part], prepend=0)), squeeze(count[part]), squeeze(data)))
     types = [pa.int64(), pa.binary(), pa.binary(), pa.binary()]
     return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), types)], ["block", "steps", "counts", "ids"])
 
@@ -94,8 +85,8 @@ def _unpacked(table: pa.Table, words: int) -> list[bytes]:
     """The ids of a block's distinct pieces, in order."""
     out = [b""] * words
     for steps, counts, ids in zip(*(table.column(c).to_pylist() for c in ("steps", "counts", "ids"))):
-        data, ends = _expand(ids).tobytes(), 4 * np.cumsum(_expand(counts), dtype=np.int64)
-        for at, a, b in zip(np.cumsum(_expand(steps), dtype=np.int64).tolist(), [0, *ends[:-1].tolist()], ends.tolist()):
+        data, ends = expand(ids).tobytes(), 4 * np.cumsum(expand(counts), dtype=np.int64)
+        for at, a, b in zip(np.cumsum(expand(steps), dtype=np.int64).tolist(), [0, *ends[:-1].tolist()], ends.tolist()):
             out[at] = data[a:b]
     return out
 
@@ -136,7 +127,7 @@ def encode(docs: DataFrame, ranks: str | None = None, block: int = BLOCK, keep:
         rows = []
         for k in range(left.num_rows):
             ids = _unpacked(right, left.column("distinct")[k].as_py())
-            places = _expand(left.column("places")[k].as_py())
+            places = expand(left.column("places")[k].as_py())
             at = 0
             for doc, size in zip(left.column("docs")[k].as_py(), left.column("sizes")[k].as_py()):
                 data = b"".join(map(ids.__getitem__, places[at : at + size].tolist()))

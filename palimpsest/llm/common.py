@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
 import numpy as np
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,7 +29,7 @@ def shared_dir(spark: SparkSession) -> str:
     """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
-        if not spark.sparkContext.master.startswith("local["):
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="palimpsest-"))
         found = spark.sparkContext.getCheckpointDir()
@@ -46,14 +48,19 @@ def materialise(df: DataFrame) -> DataFrame:
 
 
 def materialise_bucketed(df: DataFrame, key: str) -> DataFrame:
-    """Like ``materialise``, in as many buckets of ``key`` as a shuffle has partitions: grouping by it shuffles no row again."""
+    """Like ``materialise``, in as many buckets of ``key`` as a shuffle has partitions: grouping by it shuffles no row again.
+
+    Spark knows buckets of tables with a name only, so one is in the current database while this runs.
+    """
     spark, name = df.sparkSession, f"scratch_{uuid.uuid4().hex}"
     path = f"{shared_dir(spark)}/scratch-{spark.sparkContext.applicationId}/{name}"
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    df.write.format("parquet").option("compression", "zstd").option("path", path).bucketBy(buckets, key).saveAsTable(name)
-    found = spark.table(name).select("*")
-    found.schema  # resolved before the name goes; the files of a table with a path of its own stay
-    spark.sql(f"DROP TABLE {name}")
+    try:
+        df.write.format("parquet").option("compression", "zstd").option("path", path).bucketBy(buckets, key).saveAsTable(name)
+        found = spark.table(name).select("*")
+        found.schema  # resolved before the name goes; the files of a table with a path of its own stay
+    finally:
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
     return found
 
 
@@ -69,16 +76,25 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def squeeze(numbers: np.ndarray) -> bytes:
+    """Numbers below 2^32, compressed byte plane by byte plane."""
+    return zstandard.compress(numbers.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes(), 3)
+
+
+def expand(data: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(zstandard.decompress(data), np.uint8).reshape(4, -1).T).view("<u4").ravel()
+
+
 class Memo(dict):
-    """A bounded memo of a pure function; beyond its bound the function is just called again."""
+    """A memo of a pure function, bounded by its entries and the length of its keys; beyond, the function is called again."""
 
-    def __init__(self, function, limit: int = 400_000):
+    def __init__(self, function, limit: int = 400_000, longest: int = 256):
         super().__init__()
-        self.function, self.limit = function, limit
+        self.function, self.limit, self.longest = function, limit, longest
 
     def __missing__(self, key):
         value = self.function(key)
-        if len(self) < self.limit:
+        if len(self) < self.limit and len(key) <= self.longest:
             self[key] = value
         return value
 

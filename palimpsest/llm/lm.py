@@ -1,43 +1,56 @@
 """Masked pseudo-likelihood: a window network predicts every token from the two before and the two behind it.
 
 All words of the corpus are counted. The most frequent are the network's vocabulary, whose size is a parameter; others are
-one token to it, and each has its own share of that token's chance by its count. Every task trains the network on its texts
-in numpy, and the networks are averaged, weighted by their targets, round by round until the loss on held-out texts settles.
-The output is a class of 32 words, then the word in it. A document's score is the sum of its words' log-probabilities.
+one token to it, and each has its own share of that token's chance by its count. Every task trains the network on every
+position of its texts in numpy, and the networks are averaged as a tree, weighted by their targets; rounds go on until the
+loss settles. The output is a class of 64 words, then the word in it. A document's score is the sum of its words'
+log-probabilities.
 """
 
 from __future__ import annotations
 
+import itertools
 import math
+import re
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.llm.common import materialise
+from palimpsest.llm.common import Memo, expand, materialise, materialise_bucketed, squeeze
 
-SIDE, CLASSES, WIDTH = 2, 32, 16
+SIDE, CLASSES, WIDTH = 2, 64, 16
 #: Tokens of the vocabulary, one of which stands for all other words.
 VOCABULARY = CLASSES * CLASSES
-#: One target in so many positions is trained on, in every document; all are scored.
-STRIDE = 1
 #: A round's targets are taken in batches, smaller in small slices, so that these make steps enough too.
-BATCH, RATE = 1024, 0.15
-#: Rounds at most; they end when the averaged network's loss on held-out texts falls by less than SETTLED a token.
+BATCH, RATE = 2048, 0.15
+#: Rounds at most; they end when the last quarter of a round's targets is, with confidence, predicted less than SETTLED a
+#: token better than the quarter before, each by the network that has not yet seen it in that round.
 ROUNDS, SETTLED = 40, 0.05
-#: One in so many texts, chosen by its hash, measures the loss and is trained on when that has settled.
-HOLD = 64
 #: Distinct words that a counting task holds before it passes its counts on.
 HELD = 300_000
+#: Tokens whose positions are shuffled together in training, and tokens of a block of scored texts.
+TOGETHER, BLOCK = 500_000, 2_000_000
+#: Bytes of a text that are split into words at once.
+PIECE = 1 << 20
 _PAD, _OTHER = VOCABULARY, VOCABULARY - 1
+_BLANK = re.compile(rb"[ \t-\r]")
 
 
-def words(text: str | None) -> list[bytes]:
-    return text.encode("utf-8", "surrogatepass").lower().split() if text else []
+def words(text: str | None) -> Iterator[list[bytes]]:
+    """The lower-cased words of a text between ASCII white space, in lists of bounded size."""
+    data = text.encode("utf-8", "surrogatepass") if text else b""
+    at = 0
+    while at < len(data):
+        cut = _BLANK.search(data, at + PIECE)
+        end = cut.end() if cut else len(data)
+        yield data[at:end].lower().split()
+        at = end
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
@@ -50,10 +63,11 @@ def word_counts(docs: DataFrame) -> DataFrame:
         held: Counter = Counter()
         for batch in batches:
             for text in batch.column(0):
-                held.update(words(text.as_py()))
-                if len(held) > HELD:
-                    yield pack(held)
-                    held = Counter()
+                for part in words(text.as_py()):
+                    held.update(part)
+                    if len(held) > HELD:
+                        yield pack(held)
+                        held = Counter()
         yield pack(held)
 
     return docs.select("text").mapInArrow(count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
@@ -61,12 +75,11 @@ def word_counts(docs: DataFrame) -> DataFrame:
 
 def vocabulary(docs: DataFrame, counts: DataFrame | None = None) -> tuple[dict[bytes, int], np.ndarray]:
     """The most frequent words with their numbers, and the counts of all tokens."""
-    counts = word_counts(docs) if counts is None else counts
+    counts = materialise(word_counts(docs)) if counts is None else counts
     top = counts.orderBy(F.desc("n"), "word").limit(VOCABULARY - 1).collect()
-    total = docs.sparkSession.createDataFrame([], "n long") if not top else counts
     n = np.zeros(VOCABULARY)
     n[: len(top)] = [r["n"] for r in top]
-    n[_OTHER] = max((total.agg(F.sum("n")).first()[0] or 0) - n.sum(), 1)
+    n[_OTHER] = max((counts.agg(F.sum("n")).first()[0] or 0) - n.sum(), 1)
     return {bytes(r["word"]): i for i, r in enumerate(top)}, n
 
 
@@ -98,100 +111,150 @@ class Network:
         return np.concatenate([x.ravel() for x in self.parameters])
 
     def forward(self, context: np.ndarray, target: np.ndarray):
-        """Hidden layer, softmax of classes and of the target's class, and the log-probability of each target."""
+        """Hidden layer (targets by WIDTH), softmax of classes and of the target's class (CLASSES by targets), and the
+        log-probability of each target."""
         vectors, outer, inner, outer_bias, inner_bias = self.parameters
-        hidden = np.tanh(sum(vectors[k][context[:, k]] for k in range(2 * SIDE)))
-        group, member = target // CLASSES, target % CLASSES
-        row = np.arange(len(target))
-        out = []
-        for logits, at in ((hidden @ outer + outer_bias, group), (hidden @ inner + inner_bias[group], member)):
-            logits -= logits.max(axis=1, keepdims=True)
-            p = np.exp(logits)
-            total = p.sum(axis=1, keepdims=True)
-            out.append((p / total, logits[row, at] - np.log(total[:, 0])))
+        hidden = vectors[0][context[:, 0]]
+        for k in range(1, 2 * SIDE):
+            hidden += vectors[k][context[:, k]]
+        np.tanh(hidden, out=hidden)
+        across = np.ascontiguousarray(hidden.T)
+        group, member = np.divmod(target, CLASSES)
+        row, out = np.arange(len(target)), []
+        own = np.take(np.ascontiguousarray(inner_bias.T), group, axis=1)
+        for logits, at in ((outer.T @ across + outer_bias[:, None], group), (np.add(inner.T @ across, own, out=own), member)):
+            logits -= logits.max(axis=0)
+            chosen = logits[at, row]
+            p = np.exp(logits, out=logits)
+            total = p.sum(axis=0)
+            p /= total
+            out.append((p, chosen - np.log(total)))
         return hidden, out[0][0], out[1][0], out[0][1] + out[1][1]
 
-    def step(self, context: np.ndarray, target: np.ndarray, squares: list[np.ndarray]) -> None:
-        """One Adagrad step on a batch."""
+    def step(self, context: np.ndarray, target: np.ndarray, squares: list[np.ndarray]) -> np.ndarray:
+        """One Adagrad step on the mean loss of a batch; the losses before it."""
+        order = np.argsort(target.astype(np.int16), kind="stable")
+        context, target = context[order], target[order]
         vectors, outer, inner, _, _ = self.parameters
-        hidden, p_group, p_member, _ = self.forward(context, target)
-        group, row = target // CLASSES, np.arange(len(target))
-        p_group[row, group] -= 1
-        p_member[row, target % CLASSES] -= 1
+        hidden, p_group, p_member, chance = self.forward(context, target)
+        group, member = np.divmod(target, CLASSES)
+        row = np.arange(len(target))
+        p_group[group, row] -= 1
+        p_member[member, row] -= 1
         p_group /= len(target)
         p_member /= len(target)
-        back = (p_group @ outer.T + p_member @ inner.T) * (1 - hidden**2)
-        moves = []
+        back = (outer @ p_group + inner @ p_member).T * (1 - hidden**2)
+        by_group = np.zeros_like(self.parameters[4])
+        first = _starts(group)
+        by_group[group[first]] = np.add.reduceat(p_member, first, axis=1).T
+        gradients = (hidden.T @ p_group.T, hidden.T @ p_member.T, p_group.sum(axis=1), by_group)
         for k in range(2 * SIDE):
             order = np.argsort(context[:, k].astype(np.int16), kind="stable")
-            at, first = np.unique(context[order, k], return_index=True)
-            gradient = np.add.reduceat(back[order], first, axis=0)
-            squares[0][k][at] += gradient**2
-            moves.append((k, at, RATE * gradient / np.sqrt(squares[0][k][at] + 1e-8)))
-        by_group = np.zeros_like(self.parameters[4])
-        order = np.argsort(group.astype(np.int16), kind="stable")
-        at, first = np.unique(group[order], return_index=True)
-        by_group[at] = np.add.reduceat(p_member[order], first, axis=0)
-        for k, at, move in moves:
-            vectors[k][at] -= move
-        for value, gradient, square in zip(self.parameters[1:], (hidden.T @ p_group, hidden.T @ p_member, p_group.sum(axis=0), by_group), squares[1:]):
+            own = context[order, k]
+            first = _starts(own)
+            at, gradient = own[first], np.add.reduceat(back[order], first, axis=0)
+            square = squares[0][k][at] + gradient**2
+            squares[0][k][at] = square
+            vectors[k][at] -= RATE * gradient / np.sqrt(square + 1e-8)
+        for value, gradient, square in zip(self.parameters[1:], gradients, squares[1:]):
             square += gradient**2
             value -= RATE * gradient / np.sqrt(square + 1e-8)
+        return -chance
 
 
-def _windows(texts: list, numbers: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Tokens of all texts with paddings between, the places of true tokens, and the number of each text's tokens."""
-    pad = [_PAD] * SIDE
-    flat, sizes = list(pad), []
-    for text in texts:
-        own = [numbers.get(w, _OTHER) for w in words(text)]
-        flat += own
-        flat += pad
-        sizes.append(len(own))
-    tokens = np.array(flat, np.int32)
-    return tokens, np.flatnonzero(tokens != _PAD), np.array(sizes, np.int64)
+def _starts(ordered: np.ndarray) -> np.ndarray:
+    """Places where a new value begins."""
+    return np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
+
+
+def _tokens(text: str | None, numbers: dict[bytes, int], rare: list[bytes] | None = None) -> np.ndarray:
+    """The text's tokens between two paddings on each side; words outside the vocabulary are added to ``rare``."""
+    pad, out = np.full(SIDE, _PAD, np.int32), []
+    for part in words(text):
+        out.append(np.fromiter((numbers.get(w, _OTHER) for w in part), np.int32, len(part)))
+        if rare is not None:
+            rare += [w for w in part if w not in numbers]
+    return np.concatenate([pad, *out, pad])
 
 
 def _context(tokens: np.ndarray, at: np.ndarray) -> np.ndarray:
     return np.stack([tokens[at + k] for k in (*range(-SIDE, 0), *range(1, SIDE + 1))], axis=1)
 
 
-def _round(docs: DataFrame, numbers: dict[bytes, int], network: Network, squares: Network, number: int, stride: int) -> tuple[Network, Network]:
-    """The network and Adagrad's squares after every task has trained on its texts, averaged by their targets."""
+def _gathered(texts: Iterator, numbers: dict[bytes, int]) -> Iterator[np.ndarray]:
+    """Tokens of several texts, until they are TOGETHER; a longer text is alone or ends such a group."""
+    held, n = [], 0
+    for text in texts:
+        held.append(_tokens(text, numbers))
+        n += len(held[-1])
+        if n >= TOGETHER:
+            yield np.concatenate(held)
+            held, n = [], 0
+    if held:
+        yield np.concatenate(held)
+
+
+_TRAINED = "part long, n long, network binary, quarters array<double>"
+
+
+def _round(docs: DataFrame, numbers: dict[bytes, int], network: Network, squares: Network, number: int, stride: int) -> tuple[Network, Network, bool]:
+    """The network and Adagrad's squares after every task has trained on its texts, averaged by their targets, and whether
+    the loss has settled."""
     shared = docs.sparkSession.sparkContext.broadcast((numbers, network.flat().tobytes(), squares.flat().tobytes()))
 
     def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, start, sums = shared.value
         own, squares = Network.read(start), Network.read(sums)
-        n = 0
-        for batch in batches:
-            for first in range(0, batch.num_rows, 1000):
-                tokens, at, _ = _windows(batch.column(0)[first : first + 1000].to_pylist(), known)
-                at = at[number % stride :: stride]
-                at = np.random.default_rng(len(at) + number).permutation(at)
-                size = min(BATCH, max(16, len(at) // 64))
-                for k in range(0, len(at), size):
-                    own.step(_context(tokens, at[k : k + size]), tokens[at[k : k + size]], squares.parameters)
-                n += len(at)
+        losses = [np.zeros((0, 3))]
+        for tokens in _gathered((x.as_py() for batch in batches for x in batch.column(0)), known):
+            at = np.flatnonzero(tokens != _PAD)[number % stride :: stride]
+            at = np.random.default_rng(len(at) + number).permutation(at)
+            size = min(BATCH, max(16, len(at) // 64))
+            for k in range(0, len(at), size):
+                found = own.step(_context(tokens, at[k : k + size]), tokens[at[k : k + size]], squares.parameters).astype(np.float64)
+                losses.append(np.array([[len(found), found.sum(), found @ found]]))
+        steps = np.concatenate(losses)
+        n = int(steps[:, 0].sum())
         if n:
+            done = steps[:, 0].cumsum() / n
+            quarters = [*steps[(done > 0.5) & (done <= 0.75)].sum(axis=0), *steps[done > 0.75].sum(axis=0)]
             both = np.concatenate([own.flat(), squares.flat()])
-            yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()]), pa.array([n]), pa.array([both.tobytes()], pa.binary())], ["part", "n", "network"])
+            yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()]), pa.array([n]), pa.array([both.tobytes()], pa.binary()), pa.array([quarters], pa.list_(pa.float64()))], ["part", "n", "network", "quarters"])
 
-    def total(table: pa.Table) -> pa.Table:
-        table = table.sort_by("part")
-        n = np.array(table.column("n").to_pylist())
-        flat = sum(k * np.frombuffer(x, np.float32).astype(np.float64) for k, x in zip(n, table.column("network").to_pylist()))
-        return pa.table({"part": [table.column("part")[0].as_py()], "n": [int(n.sum())], "network": pa.array([(flat / n.sum()).astype(np.float32).tobytes()], pa.binary())})
-
-    schema = "part long, n long, network binary"
-    found = docs.select("text").mapInArrow(fit, schema)
-    found = found.groupBy(F.pmod("part", F.lit(16))).applyInArrow(total, schema).collect()  # 16 networks at most
+    found = docs.select("text").mapInArrow(fit, _TRAINED)
+    for groups in (1024, 32):
+        found = found.groupBy(F.pmod("part", F.lit(groups))).applyInArrow(_total, _TRAINED)
+    found = found.collect()  # 32 networks at most
     if not found:
-        return network, squares
-    found.sort(key=lambda r: r["part"])
-    flat = sum(r["n"] * np.frombuffer(r["network"], np.float32).astype(np.float64) for r in found) / sum(r["n"] for r in found)
-    network, squares = (Network.read(x.tobytes()) for x in np.split(flat.astype(np.float32), 2))
-    return network, squares
+        return network, squares, True
+    found = _total(pa.Table.from_pylist([r.asDict() for r in found])).to_pylist()[0]
+    network, squares = (Network.read(x.tobytes()) for x in np.split(np.frombuffer(found["network"], np.float32), 2))
+    return network, squares, settled(found["quarters"])
+
+
+def _total(table: pa.Table) -> pa.Table:
+    """One row of several: the networks' mean, weighted by their targets, and the sums of all else."""
+    table = table.sort_by("part")
+    n = table.column("n").to_pylist()
+    flat = 0
+    for k, x in zip(n, table.column("network")):
+        flat = flat + k * np.frombuffer(x.as_py(), np.float32).astype(np.float64)
+    quarters = np.array(table.column("quarters").to_pylist()).sum(axis=0).tolist()
+    types = [pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.float64())]
+    row = [table.column("part")[0].as_py(), sum(n), (flat / sum(n)).astype(np.float32).tobytes(), quarters]
+    return pa.table([pa.array([x], t) for x, t in zip(row, types)], ["part", "n", "network", "quarters"])
+
+
+def settled(quarters: list[float]) -> bool:
+    """Whether the mean loss fell by less than SETTLED from one quarter to the next (each: number, sum, sum of squares), with
+    two standard errors to spare."""
+    means, errors = [], 0.0
+    for n, total, square in (quarters[:3], quarters[3:]):
+        if not n:
+            return False
+        means.append(total / n)
+        errors += max(square / n - (total / n) ** 2, 0) / n
+    return means[0] - means[1] + 2 * math.sqrt(errors) < SETTLED
 
 
 def mean_loss(docs: DataFrame, numbers: dict[bytes, int], network: Network) -> float | None:
@@ -200,24 +263,22 @@ def mean_loss(docs: DataFrame, numbers: dict[bytes, int], network: Network) -> f
     return -total[1] / total[0] if total[0] else None
 
 
-def train(docs: DataFrame, stride: int = STRIDE, rounds: int = ROUNDS, counts: DataFrame | None = None) -> tuple[dict[bytes, int], Network]:
-    """The vocabulary and the network learnt from all rows of (text); ``counts`` are those of their words if known."""
+def train(docs: DataFrame, stride: int = 1, rounds: int = ROUNDS, counts: DataFrame | None = None) -> tuple[dict[bytes, int], Network]:
+    """The vocabulary and the network learnt from all rows of (text); ``counts`` are those of their words if known.
+
+    Every position is a target in every round; with ``stride``, one in so many in each round, in turn.
+    """
     numbers, sizes = vocabulary(docs, counts)
     network = Network.fresh(sizes)
     squares = Network([np.zeros_like(x) for x in network.parameters])
-    away = F.coalesce(F.pmod(F.xxhash64("text"), F.lit(HOLD)) == 0, F.lit(False))
-    held, rest = materialise(docs.select("text").where(away)), docs.where(~away)
-    before = mean_loss(held, numbers, network)
-    few = before is None  # so few texts that none is held out: all measure the loss
-    if few and (before := mean_loss(docs, numbers, network)) is None:
-        return numbers, network
     for number in range(rounds):
-        network, squares = _round(rest, numbers, network, squares, number, stride)
-        loss = mean_loss(docs if few else held, numbers, network)
-        if before - loss < SETTLED:
+        network, squares, done = _round(docs, numbers, network, squares, number, stride)
+        if done and number + 1 >= stride:
             break
-        before = loss
-    return numbers, network if few else _round(held, numbers, network, squares, 0, stride)[0]
+    return numbers, network
+
+
+_SCORED = "doc_id long, n_tokens long, log_likelihood double"
 
 
 def score(docs: DataFrame, numbers: dict[bytes, int], network: Network, counts: DataFrame | None = None) -> DataFrame:
@@ -228,38 +289,71 @@ def score(docs: DataFrame, numbers: dict[bytes, int], network: Network, counts:
     """
     shared = docs.sparkSession.sparkContext.broadcast((numbers, network.flat().tobytes()))
     counted = counts is not None
+    names = ["block", "docs", "sizes", "sums", "many", "places", "words"]
+    types = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.float64()), pa.list_(pa.int64()), pa.binary(), pa.list_(pa.int64())]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, data = shared.value
-        own = Network.read(data)
+        own, hashes = Network.read(data), Memo(lambda w: xxhash.xxh64_intdigest(w, 42))
+        part, block = TaskContext.get().partitionId(), itertools.count()
+        ids, tokens, rare, held = [], [], [], 0
+
+        def close() -> pa.RecordBatch:
+            ends = np.cumsum([0, *map(len, tokens)])
+            flat = np.concatenate(tokens)
+            at = np.flatnonzero(flat != _PAD)
+            chances = [own.forward(_context(flat, at[k : k + BATCH]), flat[at[k : k + BATCH]])[3] for k in range(0, len(at), BATCH)]
+            sums = np.concatenate([[0.0], *chances]).cumsum(dtype=np.float64)[np.searchsorted(at, ends)]
+            sizes = [len(x) - 2 * SIDE for x in tokens]
+            if not counted:
+                return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(np.diff(sums))], _SCORED.replace(",", "").split()[::2])
+            distinct, places = np.unique(np.concatenate(rare), return_inverse=True)
+            row = [(part << 32) + next(block), ids, sizes, np.diff(sums).tolist(), [len(x) for x in rare], squeeze(places), distinct.view(np.int64).tolist()]
+            return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, types)], names)
+
         for batch in batches:
-            for first in range(0, batch.num_rows, 1000):
-                part = batch.slice(first, 1000)
-                tokens, at, sizes = _windows(part.column(1).to_pylist(), known)
-                chances = [own.forward(_context(tokens, at[k : k + 16384]), tokens[at[k : k + 16384]])[3] for k in range(0, len(at), 16384)]
-                sums = np.concatenate([[0.0], *chances]).cumsum(dtype=np.float64)
-                ends = np.concatenate([[0], sizes.cumsum()])
-                total = sums[ends[1:]] - sums[ends[:-1]]
-                rare = [[w for w in words(x) if w not in known] if counted else None for x in part.column(1).to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sizes), pa.array(total), pa.array(rare, pa.list_(pa.binary()))], ["doc_id", "n_tokens", "log_likelihood", "rare"])
+            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+                found: list[bytes] = []
+                ids.append(doc)
+                tokens.append(_tokens(text.as_py(), known, found if counted else None))
+                rare.append(np.fromiter(map(hashes.__getitem__, found), np.uint64, len(found)))
+                held += len(tokens[-1])
+                if held >= BLOCK:
+                    yield close()
+                    ids, tokens, rare, held = [], [], [], 0
+        if ids:
+            yield close()
 
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    found = own.mapInArrow(run, "doc_id long, n_tokens long, log_likelihood double, rare array<binary>")
-    if counted:
-        found = materialise(found.withColumn("row", F.monotonically_increasing_id()))
+    if not counted:
+        found = own.mapInArrow(run, _SCORED)
+    else:
+        blocks = materialise_bucketed(own.mapInArrow(run, "block long, docs array<long>, sizes array<long>, sums array<double>, many array<long>, places binary, words array<long>"), "block")
         known = docs.sparkSession.createDataFrame([(bytearray(w),) for w in numbers], "word binary")
-        tail = materialise(counts.join(F.broadcast(known), "word", "left_anti").select("word", "n"))
+        tail = materialise(counts.join(F.broadcast(known), "word", "left_anti").select(F.xxhash64("word").alias("word"), "n"))
         whole = math.log((tail.agg(F.sum("n")).first()[0] or 0) + 1)
-        # A word outside the vocabulary is rarer than all within, so no key is hot.
-        shares = found.select("row", F.explode("rare").alias("word")).join(tail, "word", "left").select("row", (F.log(F.coalesce("n", F.lit(1))) - whole).alias("share"))
-        shares = shares.groupBy("row").agg(F.sum("share").alias("share"))
-        found = found.drop("rare").join(shares, "row", "left").withColumn("log_likelihood", F.col("log_likelihood") + F.coalesce("share", F.lit(0.0)))
+        # Each block asks once for each of its words, so no key is hot.
+        asked = blocks.select("block", F.posexplode("words").alias("at", "word")).join(tail.groupBy("word").agg(F.sum("n").alias("n")), "word")
+
+        def add(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
+            out = []
+            for row in left.to_pylist():
+                share = np.full(row["distinct"], -whole)  # an unseen word counts as one
+                share[right.column("at").to_numpy()] += np.log(right.column("n").to_numpy())
+                sums = np.concatenate([[0.0], share[expand(row["places"])]]).cumsum()
+                ends = np.cumsum([0, *row["many"]])
+                out.append((row["docs"], row["sizes"], np.array(row["sums"]) + np.diff(sums[ends])))
+            columns = [list(itertools.chain.from_iterable(x)) for x in zip(*out)] or [[], [], []]
+            return pa.table([pa.array(x, t) for x, t in zip(columns, (pa.int64(), pa.int64(), pa.float64()))], ["doc_id", "n_tokens", "log_likelihood"])
+
+        left = blocks.select("block", "docs", "sizes", "sums", "many", "places", F.size("words").alias("distinct"))
+        found = left.groupBy("block").cogroup(asked.select(F.col("block").alias("of"), "at", "n").groupBy("of")).applyInArrow(add, _SCORED)
     mean = F.when(F.col("n_tokens") > 0, F.col("log_likelihood") / F.col("n_tokens")).alias("mean_log_likelihood")
     return found.select("doc_id", "n_tokens", "log_likelihood", mean)
 
 
 def pseudo_likelihood(docs: DataFrame) -> DataFrame:
-    """Train on the rows of (doc_id, text), then score them all."""
+    """Train on the rows of (doc_id, text), then score them all. Equal rows have equal scores; rows without id are scored too."""
     texts = docs.select(F.col("text").cast("string").alias("text"))
     counts = materialise(word_counts(texts))
     return score(docs, *train(texts, counts=counts), counts)

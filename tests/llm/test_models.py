@@ -209,3 +209,77 @@ def test_junk_scores_below_prose_when_the_tail_is_long(spark):
     got = {r["doc_id"]: r["mean_log_likelihood"] for r in lm.pseudo_likelihood(docs).collect()}
     low = min(got[i] for i in range(600))
     assert len(got) == len(rows) and got[901] < low and got[900] < low
+
+
+def plain_chances(parameters, around):
+    """Log-probabilities of all tokens between these neighbours, in double precision."""
+    vectors, outer, inner, outer_bias, inner_bias = (x.astype(float) for x in parameters)
+    hidden = np.tanh(sum(vectors[k][x] for k, x in enumerate(around)))
+    log_softmax = lambda x: x - np.log(np.exp(x).sum())
+    groups = log_softmax(hidden @ outer + outer_bias)
+    return np.concatenate([groups[g] + log_softmax(hidden @ inner + inner_bias[g]) for g in range(lm.CLASSES)])
+
+
+def test_one_training_step_against_a_plain_version():
+    """Every parameter that a target or its neighbours touch, and some that none does, by numerical gradients."""
+    rng = np.random.default_rng(4)
+    network = lm.Network.fresh(rng.integers(1, 50, lm.VOCABULARY).astype(float))
+    context, target = rng.integers(0, lm.VOCABULARY, (6, 2 * lm.SIDE)), rng.integers(0, lm.VOCABULARY, 6)
+    context[3] = context[2]  # repeated neighbours gather their gradients
+    before = [x.copy() for x in network.parameters]
+    losses = network.step(context, target, [np.zeros_like(x) for x in network.parameters])
+    mean = lambda p: -np.mean([plain_chances(p, a)[t] for a, t in zip(context, target)])
+    assert losses.mean() == pytest.approx(mean(before), rel=1e-5)
+    places = [(0, (k, context[i, k], w)) for k in range(2 * lm.SIDE) for i in (0, 2) for w in (0, 7)] + [(0, (0, lm.VOCABULARY, 3))]
+    places += [(1, (2, target[0] // lm.CLASSES)), (1, (5, 60)), (2, (3, target[1] % lm.CLASSES)), (2, (9, 1)), (3, (target[2] // lm.CLASSES,)), (3, (0,)), (4, (target[3] // lm.CLASSES, target[3] % lm.CLASSES)), (4, (target[4] // lm.CLASSES, 0))]
+    for k, at in places:
+        side = []
+        for d in (1e-4, -1e-4):
+            moved = [x.astype(float) for x in before]
+            moved[k][at] += d
+            side.append(mean(moved))
+        gradient = (side[0] - side[1]) / 2e-4
+        move = lm.RATE * gradient / np.sqrt(gradient**2 + 1e-8)
+        assert before[k][at] - network.parameters[k][at] == pytest.approx(move, abs=2e-3), (k, at)
+
+
+def test_scores_against_a_plain_version(spark, monkeypatch):
+    monkeypatch.setattr(lm, "BLOCK", 200)
+    rng = random.Random(6)
+    common, tail = [f"c{k}" for k in range(4200)], [f"t{k}" for k in range(50)]
+    rows = [(i, " ".join(common[i * 70 : i * 70 + 70] * 2 + rng.choices(tail, k=5))) for i in range(60)] + [(None, "t1 c1\tT2\nnew"), (70, ""), (71, None), (71, "t1")]
+    docs = spark.createDataFrame([(i, x, 1, "clash") for i, x in rows], "doc_id long, text string, n long, word string")
+    counts = lm.word_counts(docs)
+    numbers, network = lm.train(docs, rounds=1, counts=counts)
+    held = {}
+    for _, text in rows:
+        for w in (text or "").lower().split():
+            held[w] = held.get(w, 0) + 1
+    assert len(numbers) == lm.VOCABULARY - 1 and {bytes(r["word"]).decode(): r["n"] for r in counts.collect()} == held
+    rare = sum(n for w, n in held.items() if w.encode() not in numbers)
+    want = []
+    for doc, text in rows[:60:6] + rows[60:]:  # each of the others takes a second
+        own = (text or "").lower().split()
+        tokens = [lm._PAD] * 2 + [numbers.get(w.encode(), lm._OTHER) for w in own] + [lm._PAD] * 2
+        total = 0.0
+        for i, w in enumerate(own, 2):
+            total += plain_chances(network.parameters, [tokens[i - 2], tokens[i - 1], tokens[i + 1], tokens[i + 2]])[tokens[i]]
+            total += np.log(held[w] / (rare + 1)) if tokens[i] == lm._OTHER else 0.0
+        want.append((str(doc), len(own), total))
+    found = lm.score(docs, numbers, network, counts).collect()
+    assert len(found) == len(rows)
+    want.sort()
+    got = sorted(x for r in found if (x := (str(r["doc_id"]), r["n_tokens"], r["log_likelihood"]))[:2] in {y[:2] for y in want})
+    assert [x[:2] for x in got] == [x[:2] for x in want] and np.allclose([x[2] for x in got], [x[2] for x in want], rtol=1e-4)
+
+
+def test_words_are_split_the_same_in_slices(monkeypatch):
+    text = " a bb\tccc\néÉ  " * 50 + "x" * 100
+    whole = [w for part in lm.words(text) for w in part]
+    monkeypatch.setattr(lm, "PIECE", 7)
+    assert [w for part in lm.words(text) for w in part] == whole == text.encode().lower().split()
+
+
+def test_settled_needs_confidence():
+    assert not lm.settled([0, 0, 0, 10, 1, 1]) and not lm.settled([100, 500.0, 3000.0, 100, 499.0, 3000.0])
+    assert lm.settled([1e6, 5e6, 3e7, 1e6, 4.99e6, 3e7]) and not lm.settled([1e6, 5e6, 3e7, 1e6, 4.9e6, 3e7])
