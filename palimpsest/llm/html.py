@@ -1,7 +1,9 @@
 """HTML extraction by layout: a tree builder with implied tags, visibility rules, and a renderer of all visible text.
 
 Blocks stand on lines of their own, some with a blank line around; lists have marks and indents, tables aligned columns;
-white space collapses but in ``pre``. Elements deeper than ``DEEPEST`` become children of the one at that depth.
+white space collapses but in ``pre``. The cells of a row that has one of several lines stand one below the other. Elements may
+be nested as deep as they are. Indents and the padding of cells are bounded, so a rendered page grows in proportion to its
+source.
 """
 
 from __future__ import annotations
@@ -14,7 +16,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-DEEPEST = 150
+#: Widest indent of a line, widest cell that the others of its column are aligned with, most columns or rows that a cell spans.
+INDENT, WIDEST, SPAN = 80, 60, 100
+#: Tables within so many others have their cells one below the other.
+NESTED = 16
 
 # Element classes of HTML.
 VOID = "area base br col embed hr img input link meta source track wbr".split()
@@ -39,6 +44,7 @@ CLOSES = {
     "tfoot": (["tbody", "thead", "tfoot"], ["table"]),
 }
 _BLOCK, _VOID, _RAW, _UNSEEN, _SPACED = map(frozenset, (BLOCKS, VOID, RAW, UNSEEN, SPACED))
+_CELLS = frozenset({"td", "th"})
 _NOT_IN_P = frozenset(BLOCKS) - {"body", "html", "td", "th", "tr", "tbody", "thead", "tfoot", "caption", "option", "legend"}
 # Possessive, so that a tag without an end fails at once; it ends at the next "<" at the latest, outside of quotes.
 _TAG = re.compile(r"""<(?:!--.*?(?:-->|\Z)|[!?][^>]*+>|(/?)([A-Za-z][^\s/><]*+)((?:"[^"]*"|'[^']*'|[^<>"']++)*+)>)""", re.S)
@@ -51,45 +57,76 @@ _SPACE = re.compile(r"[ \t\n\r\f]+")
 
 
 class Node:
-    __slots__ = ("tag", "children", "seen")
+    """An element: whether it is seen, columns and rows that it spans as a cell, whether a cell or row lies below it."""
+
+    __slots__ = ("tag", "children", "seen", "span", "holds")
 
     def __init__(self, tag: str, seen: bool = True):
-        self.tag, self.seen = tag, seen
+        self.tag, self.seen, self.span, self.holds = tag, seen, (1, 1), False
         self.children: list = []
 
 
-def hidden(tag: str, attributes: str) -> bool:
-    """Whether the attributes hidden, style or aria-hidden (or type, on input) take the element out of sight."""
-    seen = {}
-    for found in _ATTRIBUTE.finditer(attributes):
+def attributes_of(source: str) -> dict[str, str]:
+    """Names in lower case with their values; of one name the first counts, as HTML has it."""
+    out: dict[str, str] = {}
+    for found in _ATTRIBUTE.finditer(source):
         if found[1]:
-            seen.setdefault(found[1].lower(), html.unescape((found[2] or "").strip("\"'")))
-    if seen.get("aria-hidden", "").strip().lower() == "true":
+            out.setdefault(found[1].lower(), html.unescape((found[2] or "").strip("\"'")))
+    return out
+
+
+def hidden(tag: str, attributes: dict[str, str]) -> bool:
+    """Whether the attributes hidden, style or aria-hidden (or type, on input) take the element out of sight."""
+    if attributes.get("aria-hidden", "").strip().lower() == "true":
         return True
-    return "hidden" in seen or bool(_STYLE.search(seen.get("style", ""))) or (tag == "input" and seen.get("type", "").strip().lower() == "hidden")
+    return "hidden" in attributes or bool(_STYLE.search(attributes.get("style", ""))) or (tag == "input" and attributes.get("type", "").strip().lower() == "hidden")
+
+
+def _span(attributes: dict[str, str], name: str) -> int:
+    value = attributes.get(name, "").strip()
+    return min(max(int(value), 1), SPAN) if value.isascii() and value.isdigit() and len(value) < 10 else 1
+
+
+class Tree:
+    """The elements that are open, and where in the stack each kind is, so that the search for one takes no walk."""
+
+    def __init__(self):
+        self.stack = [Node("")]
+        self.at: dict[str, list[int]] = {}
+
+    def is_open(self, tag: str) -> bool:
+        return bool(self.at.get(tag))
+
+    def add(self, child) -> None:
+        self.stack[-1].children.append(child)
+
+    def push(self, node: Node) -> None:
+        self.add(node)
+        self.at.setdefault(node.tag, []).append(len(self.stack))
+        self.stack.append(node)
+
+    def close(self, tags: list[str], ends: list[str]) -> None:
+        """Close the innermost element of ``tags``, unless one of ``ends`` lies further in."""
+        last = lambda names: max((self.at[x][-1] for x in names if self.at.get(x)), default=0)
+        k = last(tags)
+        if k and k >= last(ends):
+            for node in self.stack[k:]:
+                self.at[node.tag].pop()
+            del self.stack[k:]
 
 
 def parse(source: str) -> Node:
-    root = Node("")
-    stack = [root]
+    tree = Tree()
     at = 0
 
-    def close(tags: list[str], ends: list[str]) -> None:
-        for k in range(len(stack) - 1, 0, -1):
-            if stack[k].tag in tags:
-                del stack[k:]
-                return
-            if stack[k].tag in ends:
-                return
-
     def string(text: str) -> None:
         if text.strip():
-            close(["head"], ["template"])
-        stack[-1].children.append(text)
+            tree.close(["head"], ["template"])
+        tree.add(text)
 
     last = source.rfind(">")
     while at < len(source):
-        found = _TAG.search(source, at) if at <= last or "<!--" in source[at:] else None
+        found = _TAG.search(source, at) if at <= last or source.find("<!--", at) >= 0 else None
         if not found:
             string(source[at:])
             break
@@ -100,32 +137,38 @@ def parse(source: str) -> Node:
             continue
         tag = found[2].lower()
         if found[1]:
-            ends = ["table"] if tag not in ("table", "html", "body") and any(x.tag == "table" for x in stack) else []
-            close([tag], ends if tag not in ("td", "th", "tr", "tbody", "thead", "tfoot", "caption") else ["table"])
+            if tag in _CELLS | PARTS | {"caption"}:
+                ends = ["table"]
+            else:  # what is open outside of a table is not closed from within
+                ends = ["table"] if tag not in ("table", "html", "body") else []
+            tree.close([tag], ends)
             continue
         if tag not in IN_HEAD:
-            close(["head"], [])
+            tree.close(["head"], [])
         if tag in CLOSES:
-            close(*CLOSES[tag])
+            tree.close(*CLOSES[tag])
         if tag in _NOT_IN_P:
-            close(["p"], ["td", "th", "table", "li", "div", "blockquote"])
-        if tag in ("td", "th") and stack[-1].tag in ("table", "tbody", "thead", "tfoot"):
-            row = Node("tr")
-            stack[-1].children.append(row)
-            stack.append(row)
-        deep = len(stack) >= DEEPEST
-        if deep and tag in _BLOCK and tag not in _VOID and tag not in _RAW:
-            stack[-1].children.append(Node("div"))  # its content follows as the parent's, on a line of its own
-            continue
-        node = Node(tag, tag not in _UNSEEN and not (found[3] and hidden(tag, found[3])))
-        stack[-1].children.append(node)
+            tree.close(["p"], ["td", "th", "table", "li", "div", "blockquote"])
+        if tag in _CELLS and tree.stack[-1].tag in ("table", "tbody", "thead", "tfoot"):
+            tree.push(Node("tr"))
+        attributes = attributes_of(found[3]) if found[3] else {}
+        node = Node(tag, tag not in _UNSEEN and not (attributes and hidden(tag, attributes)))
+        if tag in _CELLS or tag in ("tr", "caption"):
+            node.span = (_span(attributes, "colspan"), _span(attributes, "rowspan"))
+            for above in reversed(tree.stack):
+                if above.tag == "table" or above.holds:
+                    break
+                above.holds = True
         if tag in _RAW:
+            tree.add(node)
             end = re.compile(f"</{tag}[^>]*>", re.I).search(source, at)
             node.children.append(source[at : end.start() if end else len(source)])
             at = end.end() if end else len(source)
-        elif tag not in _VOID and not found[3].endswith("/") and not deep:
-            stack.append(node)
-    return root
+        elif tag in _VOID or found[3].endswith("/"):
+            tree.add(node)
+        else:
+            tree.push(node)
+    return tree.stack[0]
 
 
 class Page:
@@ -163,62 +206,127 @@ class Page:
             self.mark = ""
 
 
-def _table(node: Node, page: Page) -> None:
+    def result(self) -> list[str]:
+        """All lines, without empty ones at both ends."""
+        self.newline()
+        first = next((i for i, line in enumerate(self.lines) if line), len(self.lines))
+        while len(self.lines) > first and not self.lines[-1]:
+            self.lines.pop()
+        return self.lines[first:]
+
+
+# The functions below that walk the tree are generators: what they yield is run before they go on, by ``_run``. So the depth
+# of a page takes no depth of calls.
+
+
+def _run(walk) -> None:
+    todo = [walk]
+    while todo:
+        below = next(todo[-1], None)
+        if below is None:
+            todo.pop()
+        else:
+            todo.append(below)
+
+
+def _table(node: Node, page: Page, nested: int):
     """Rows of cells; what is neither structure nor cell stands before the table, as HTML's tree builder puts it."""
-    rows: list[list[str]] = []
+    rows: list[list[tuple[int, Node]]] = []
     outside: list = []
-
-    def cells(x: Node, row: list[str] | None) -> None:
+    busy: dict[int, int] = {}  # columns that cells of rows above still take, and for how many rows
+
+    def begin() -> list[tuple[int, Node]]:
+        for column in list(busy):
+            busy[column] -= 1
+            if busy[column] <= 0:
+                del busy[column]
+        rows.append([])
+        return rows[-1]
+
+    def place(row: list[tuple[int, Node]], cell: Node) -> None:
+        column = row[-1][0] + row[-1][1].span[0] if row else 0
+        while column in busy:
+            column += 1
+        row.append((column, cell))
+        if cell.span[1] > 1:
+            busy.update((column + k, cell.span[1]) for k in range(cell.span[0]))
+
+    def cells(x: Node, row: list[tuple[int, Node]] | None):
         for child in x.children:
             if isinstance(child, str):
                 outside.append(child)
                 continue
             if not child.seen:
                 continue
-            inner = child.tag in PARTS or (child.tag not in ("td", "th", "caption", "table") and _holds(child))
+            inner = child.tag in PARTS or (child.tag not in ("td", "th", "caption", "table") and child.holds)
             if not inner and child.tag not in ("td", "th", "caption"):
                 outside.append(child)
                 continue
             outside.append(Node("div"))  # what stands on both sides is on lines of its own
-            if child.tag in ("td", "th"):
-                if row is None:
-                    rows.append(row := [])
-                row.append(" ".join(render(child).split()))
+            if child.tag in _CELLS:
+                row = begin() if row is None else row
+                place(row, child)
             elif child.tag == "caption":
-                rows.append([" ".join(render(child).split())])
+                rows.append([(0, child)])
             elif child.tag == "tr":
-                rows.append(own := [])
-                cells(child, own)
+                yield cells(child, begin())
             else:
-                cells(child, row)
+                yield cells(child, row)
             outside.append(Node("div"))
 
-    cells(node, None)
+    yield cells(node, None)
     if outside:
         around = Node("")
         around.children = outside
-        _walk(around, page, False)
+        yield _walk(around, page, False, nested)
         page.newline()
-    widths = [max((len(r[k]) for r in rows if len(r) > max(k, 1)), default=0) for k in range(max(map(len, rows), default=0))]
+    if nested >= NESTED:
+        for row in rows:
+            for _, cell in row:
+                page.newline()
+                yield _walk(cell, page, False, nested)
+                page.newline()
+        return
+    found: list[list[tuple[int, int, list[str]]]] = []
+    for row in rows:
+        found.append([])
+        for column, cell in row:
+            own = Page()
+            yield _walk(cell, own, False, nested + 1)
+            found[-1].append((column, cell.span[0], own.result()))
+    _lay_out(found, page)
+
+
+def _lay_out(rows: list[list[tuple[int, int, list[str]]]], page: Page) -> None:
+    """Rows of (column, columns, lines) with aligned columns; a row with a cell of several lines has its cells one below the
+    other. A cell that is wider than WIDEST is not waited for by others of its column."""
+    widths: dict[int, int] = {}
+    for row in rows:
+        for column, columns, lines in row if len(row) > 1 else ():
+            if columns == 1 and lines and len(lines) == 1 and len(lines[0]) <= WIDEST:
+                widths[column] = max(widths.get(column, 0), len(lines[0]))
+    starts, at = {}, 0
+    for column in sorted(widths):
+        starts[column] = at
+        at += widths[column] + 2 if widths[column] else 0
     for row in rows:
-        page.parts = ["  ".join(cell.ljust(w) for cell, w in zip(row, widths)) if len(row) > 1 else "".join(row)]
+        if any(len(lines) > 1 for _, _, lines in row):
+            for _, _, lines in row:
+                page.gap |= len(lines) > 1
+                for line in lines:
+                    page.parts = [line]
+                    page.newline(True)
+                page.gap |= len(lines) > 1
+            continue
+        line = ""
+        for k, (column, _, lines) in enumerate(row):
+            line = line.ljust(max(starts.get(column, 0), len(line) + 2 if k and line else 0))
+            line += "".join(lines)
+        page.parts = [line]
         page.newline()
 
 
-def _holds(node: Node) -> bool:
-    """Whether a cell or row of the table around lies below a form or the like."""
-    todo = [node]
-    while todo:
-        for child in todo.pop().children:
-            if isinstance(child, Node) and child.seen:
-                if child.tag in ("td", "th", "tr", "caption"):
-                    return True
-                if child.tag != "table":
-                    todo.append(child)
-    return False
-
-
-def _walk(node: Node, page: Page, keep: bool) -> None:
+def _walk(node: Node, page: Page, keep: bool, nested: int):
     number = 0
     for child in node.children:
         if isinstance(child, str):
@@ -231,26 +339,27 @@ def _walk(node: Node, page: Page, keep: bool) -> None:
             page.newline(True)
             continue
         if tag not in _BLOCK:
-            _walk(child, page, keep)
+            if child.children:
+                yield _walk(child, page, keep, nested)
             continue
         page.newline()
         spaced = tag in _SPACED and not (node.tag == "li" and tag in ("ul", "ol"))
         page.gap |= spaced and not page.mark
         if tag == "table":
-            _table(child, page)
+            yield _table(child, page, nested)
         elif tag == "hr":
             page.parts = ["---"]
         elif tag == "li":
             number += 1
             was, mark = page.indent, f"{number}. " if node.tag == "ol" else "- "
-            page.indent, page.mark = was + " " * len(mark), mark
-            _walk(child, page, keep)
+            page.indent, page.mark = was[: INDENT - len(mark)] + " " * len(mark), mark
+            yield _walk(child, page, keep, nested)
             page.newline()
             page.indent, page.mark = was, ""
         else:
             was = page.indent
-            page.indent += "  " * (tag in ("blockquote", "dd"))
-            _walk(child, page, keep or tag == "pre")
+            page.indent = (was + "  " * (tag in ("blockquote", "dd")))[:INDENT]
+            yield _walk(child, page, keep or tag == "pre", nested)
             page.newline()
             page.indent = was
         page.newline()
@@ -259,11 +368,8 @@ def _walk(node: Node, page: Page, keep: bool) -> None:
 
 def render(node: Node) -> str:
     page = Page()
-    _walk(node, page, False)
-    page.newline()
-    while page.lines and not page.lines[-1]:
-        page.lines.pop()
-    return "\n".join(page.lines).lstrip("\n")
+    _run(_walk(node, page, False, 0))
+    return "\n".join(page.result())
 
 
 def extract(pages: DataFrame) -> DataFrame:

@@ -208,3 +208,74 @@ def test_tables_lose_no_word(source):
         elif x.seen:
             todo += x.children
     assert sorted(text_of(source).split()) == sorted(words) and words
+
+
+def visible_words(source):
+    """All words of visible strings, by a plain walk over the tree."""
+    words, todo = [], [html.parse(source)]
+    while todo:
+        x = todo.pop()
+        if isinstance(x, str):
+            words += __import__("html").unescape(x).split()
+        elif x.seen:
+            todo += x.children
+    return sorted(words)
+
+
+def test_rules_hold_at_any_depth():
+    assert text_of("<div>" * 160 + "<div hidden>secret</div>after") == "after"
+    assert text_of("<b>" * 5000 + "<div hidden><p>secret</div>after" + "</b>" * 5000 + "<p>end") == "after\n\nend"
+    assert text_of("<section>" * 300 + "<ul><li>a</ul>" + "</section>" * 300 + "b") == "- a\n\nb"
+    deep = text_of("<ul><li>x" * 3000 + "<blockquote>" * 3000 + "end")
+    assert deep.count("x") == 3000 and deep.endswith("end") and max(map(len, deep.split("\n"))) < 100
+    tables = text_of("<table><tr><td>a<td>" * 2000 + "end")
+    assert tables.count("a") == 2000 and "end" in tables and len(tables) < 50_000
+
+
+@pytest.mark.parametrize(
+    "source, want",
+    [
+        ("<table><tr><td><p>a</p><p>b</p><td>c</table>", "a\n\nb\n\nc"),
+        ("<table><tr><td><pre>x\n  y</pre></td></tr></table>", "x\n  y"),
+        ("<table><tr><td><ul><li>p<li>q</ul><td>r</table>", "- p\n- q\n\nr"),
+        ("<table><tr><td>a<td>b<td>c<tr><td colspan=2>wide<td>d<tr><td>long one<td>e<td>f</table>", "a         b  c\nwide         d\nlong one  e  f"),
+        ("<table><tr><td rowspan=2>a<td>b<tr><td>c<td>d<tr><td>e<td>f</table>", "a  b\n   c  d\ne  f"),
+        ("<table><caption>title of all</caption><tr><td>a<td>b<tr><td>c<td>d</table>", "title of all\na  b\nc  d"),
+        ("<table><tr><td>" + "w" * 200 + "<td>b<tr><td>c<td>d</table>", "w" * 200 + "  b\nc  d"),
+        ("<table><tr><td>&lt;i&gt;<td><table><tr><td>in<td>side</table></table>", "<i>  in  side"),
+    ],
+)
+def test_cells_keep_their_layout(source, want):
+    assert text_of(source) == want
+
+
+def test_padding_is_bounded():
+    source = "<table><tr><td>" + "w" * 50_000 + "<td>b" + "<tr><td>c<td colspan=1000000 rowspan=99999>d" * 2000 + "</table>"
+    assert len(text_of(source)) < 3 * len(source)
+    assert len(text_of("<table>" + "<tr><td>a<td>b<td>c" * 2000 + "<tr>" + "<td>x" * 3000 + "</table>")) < 100_000
+
+
+@pytest.mark.parametrize("unit", ["<p><span>", "</li>", "<table></b>", "<li><table></li>", "<form><table>", "<dd><b>", "<table><tr><form>", "<!-", "<td colspan=9>"])
+def test_time_grows_with_the_page(unit):
+    import time
+
+    began = time.time()
+    text_of(unit * 20_000 + "end")
+    assert time.time() - began < 20
+
+
+def test_repeated_attributes_take_the_first():
+    assert text_of("<p style='color: red' style='display:none'>a</p>") == "a" and text_of("<input type=hidden type=text><i hidden=x class=y>no</i>b") == "b"
+
+
+@pytest.mark.skipif(not __import__("os").path.isdir("/root/testdata/sf0.01"), reason="no tables")
+def test_no_visible_word_of_the_pages_is_lost(spark):
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    got = {r["page_id"]: r["text"] for r in queries.op4_html_text(spark, "/root/testdata/sf0.01").collect()}
+    rows = pages.collect()
+    assert len(got) == len(rows)
+    for r in rows:
+        words = sorted(w for w in got[r["page_id"]].split())
+        want = visible_words(r["html"] or "")
+        joined = sorted("".join(words))  # marks of lists and rules are added, and inline elements join words
+        assert len(joined) >= len("".join(want)) and not (__import__("collections").Counter("".join(want)) - __import__("collections").Counter(joined))
