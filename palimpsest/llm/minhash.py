@@ -99,7 +99,7 @@ def _sign(k: int, bands: int, rows: int):
                 signatures.append(mix(signature).astype(np.uint16).tobytes())
             ends = np.cumsum([0, *map(len, keys)], dtype=np.int32)
             lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([*keys, np.empty(0, np.int64)])))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(prints, pa.binary()), pa.array(signatures, pa.binary()), lists], ["doc_id", "n_shingles", "print", "signature", "bands"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(sizes, pa.int64()), pa.array(prints, pa.binary()), pa.array(signatures, pa.binary()), lists], ["doc_id", "mark", "n_shingles", "print", "signature", "bands"])
 
     return run
 
@@ -108,21 +108,21 @@ def _confirm(k: int, percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo, sets, held = word_hashes(), {}, 0
 
-        def of(doc: int, text: pa.StringScalar) -> np.ndarray:
+        def of(document: tuple[int, int], text: pa.StringScalar) -> np.ndarray:
             nonlocal held
-            if doc not in sets:
+            if document not in sets:
                 found = shingles(text.as_py(), k, memo)
                 if held + len(found) > HELD:
                     sets.clear()
                     held = 0
-                sets[doc] = found
+                sets[document] = found
                 held += len(found)
-            return sets[doc]
+            return sets[document]
 
         for batch in batches:
             keep = []
-            for a, b, text_a, text_b in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), batch.column("text_a"), batch.column("text_b")):
-                left, right = of(a, text_a), of(b, text_b)
+            for a, mark_a, b, mark_b, text_a, text_b in zip(*(batch.column(c).to_pylist() for c in ("a", "mark_a", "b", "mark_b")), batch.column("text_a"), batch.column("text_b")):
+                left, right = of((a, mark_a), text_a), of((b, mark_b), text_b)
                 both = common(left, right)
                 keep.append(100 * both >= percent * (len(left) + len(right) - both))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
@@ -214,46 +214,76 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80,
 
     component_id is the smallest doc_id reached by links; kept marks that document. Documents of equal sets form one
     class and only its smallest id is compared. A row without doc_id takes no part: its component is null, it is kept.
+    Rows of one id with several texts are one document of which each text has its links: all are in one component.
 
     In each bucket of a band, all members are compared with the bucket's smallest id. Buckets that then still hold
     several groups compare the members of every group but the bucket's largest with all members of other groups, in
     blocks of bounded size, by signature and then by text, so no link among bucket members is lost.
     """
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    signed = materialise(texts.mapInArrow(_sign(shingle_words, bands, rows), "doc_id long, n_shingles long, print binary, signature binary, bands array<long>"))
-    classes = signed.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("print").agg(F.min("doc_id").alias("rep"), F.max("n_shingles").alias("size"))
-    firsts = signed.withColumnRenamed("doc_id", "rep").join(classes, ["rep", "print"])
-    members = firsts.select("rep", "size", F.explode("bands").alias("key"))
+    schema = "doc_id long, mark long, n_shingles long, print binary, signature binary, bands array<long>"
+    signed = materialise(texts.withColumn("mark", F.xxhash64("text")).mapInArrow(_sign(shingle_words, bands, rows), schema))
+    real = signed.where("n_shingles > 0 AND doc_id IS NOT NULL")
+    # Ids of several rows; only if these have several sets does a text need more than its id to be found again: its mark.
+    often = real.groupBy("doc_id").agg(F.count("*").alias("n"), F.min(F.xxhash64("print")).alias("p"), F.max(F.xxhash64("print")).alias("q"))
+    often = materialise(often.where("n > 1").select("doc_id", (F.col("p") != F.col("q")).alias("several")))
+    clashing = often.where("several").select(F.col("doc_id").alias("rep"), F.lit(True).alias("several"))
+    classes = real.groupBy("print").agg(F.min("doc_id").alias("rep"), F.min_by("mark", "doc_id").alias("mark"), F.max("n_shingles").alias("size"))
+    mark = F.when(F.col("several"), F.col("mark")).otherwise(0).alias("mark")
+    classes = materialise(classes.join(broadcast_if_small(clashing, 16), "rep", "left").select("print", "rep", mark, "size"))
+    firsts = real.withColumnRenamed("doc_id", "rep").drop("mark").join(classes, ["rep", "print"])
+    members = firsts.select("rep", "mark", "size", F.explode("bands").alias("key"))
     # What is joined with hot keys is written first: Spark splits a skewed join only between two plain tables.
-    buckets = materialise(members.groupBy("key").agg(F.min("rep").alias("low"), F.min_by("size", "rep").alias("size_a"), F.count("*").alias("n")).where("n > 1"))
-    shared = materialise(members.join(buckets, "key").select("key", "rep", "size", "low", "size_a"))
+    lowest = [F.min("rep").alias("low"), F.min_by("mark", "rep").alias("low_mark"), F.min_by("size", "rep").alias("low_size"), F.count("*").alias("n")]
+    buckets = materialise(members.groupBy("key").agg(*lowest).where("n > 1"))
+    shared = materialise(members.join(buckets.drop("n"), "key").select("key", "rep", "mark", "size", "low", "low_mark", "low_size"))
+
+    def texts_of(wanted: DataFrame) -> DataFrame:
+        """(doc_id, mark, text) of distinct (doc_id, mark), once each."""
+        wanted = wanted.join(broadcast_if_small(often, 16), "doc_id", "left").select("doc_id", "mark", F.col("several").isNotNull().alias("often"))
+        wanted = materialise(wanted)
+        found = materialise(texts.join(broadcast_if_small(wanted, 24), "doc_id").where("mark = 0 OR mark = xxhash64(text)").select("doc_id", "mark", "text", "often"))
+        again = found.where("often").groupBy("doc_id", "mark").agg(F.min("text").alias("text"))
+        return found.where("NOT often").drop("often").unionByName(again)
 
     def verified(pairs: DataFrame) -> DataFrame:
         pairs = materialise(pairs)
-        wanted = materialise(pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b"))).distinct())
-        sides = materialise(texts.join(broadcast_if_small(wanted, 16), "doc_id", "left_semi"))
-        full = pairs.join(sides.withColumnsRenamed({"doc_id": "b", "text": "text_b"}), "b").join(sides.withColumnsRenamed({"doc_id": "a", "text": "text_a"}), "a")
-        return materialise(full.select("a", "b", "text_a", "text_b").mapInArrow(_confirm(shingle_words, percent), "a long, b long"))
-
-    first = shared.where(f"rep > low AND 100 * least(size, size_a) >= {percent} * greatest(size, size_a)").select(F.col("low").alias("a"), F.col("rep").alias("b")).distinct()
-    roots = materialise(connected(verified(first)))
-    placed = shared.select("key", "rep", "size").join(roots, shared.rep == roots.node, "left").select("key", "rep", "size", F.coalesce("root", "rep").alias("root"))
+        sides = pairs.select(F.col("a").alias("doc_id"), F.col("mark_a").alias("mark")).union(pairs.select("b", "mark_b")).distinct()
+        sides = materialise(texts_of(sides))
+        full = pairs.join(sides.withColumnsRenamed({"doc_id": "b", "mark": "mark_b", "text": "text_b"}), ["b", "mark_b"])
+        full = full.join(sides.withColumnsRenamed({"doc_id": "a", "mark": "mark_a", "text": "text_a"}), ["a", "mark_a"])
+        return full.select("a", "mark_a", "b", "mark_b", "text_a", "text_b").mapInArrow(_confirm(shingle_words, percent), "a long, b long")
+
+    first = shared.where(f"rep > low AND 100 * least(size, low_size) >= {percent} * greatest(size, low_size)")
+    first = first.select(F.col("low").alias("a"), F.col("low_mark").alias("mark_a"), F.col("rep").alias("b"), F.col("mark").alias("mark_b")).distinct()
+    edges = verified(first)
+    if clashing.take(1):
+        own = real.join(broadcast_if_small(clashing.select(F.col("rep").alias("doc_id")), 8), "doc_id", "left_semi").select("doc_id", "print")
+        own = materialise(own.join(classes.select("print", "rep"), "print").select("doc_id", "rep").distinct())
+        least = materialise(own.groupBy("doc_id").agg(F.min("rep").alias("low")))
+        edges = edges.union(own.join(least, "doc_id").where("low < rep").select(F.col("low").alias("a"), F.col("rep").alias("b")))
+    roots = materialise(connected(edges))
+    placed = shared.select("key", "rep", "mark", "size").join(roots, shared.rep == roots.node, "left").select("key", "rep", "mark", "size", F.coalesce("root", "rep").alias("root"))
     open_keys = materialise(placed.groupBy("key").agg(F.min("root").alias("least"), F.max("root").alias("most"), F.count("*").alias("n")).where("least < most").select("key", "n"))
     placed = materialise(placed.join(open_keys, "key"))
     if placed.take(1):
-        largest = materialise(placed.groupBy("key", "root").agg(F.count("*").alias("n")).groupBy("key").agg(F.max(F.struct("n", "root")).alias("top")).select("key", F.col("top.root").alias("main")))
-        wanted = materialise(placed.select("rep").distinct())
-        signatures = materialise(firsts.select("rep", "signature").join(broadcast_if_small(wanted, 16), "rep", "left_semi").dropDuplicates(["rep"]))
-        rest = placed.join(largest, "key").join(signatures, "rep").withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int")).withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
-        columns = ["key", "rep", "root", "size", "signature"]
-        every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-        sides = rest.select(*columns, F.lit(False).alias("probe"), F.col("own").alias("block"), every.alias("other"))
-        sides = sides.union(rest.where("root <> main").select(*columns, F.lit(True), every, F.col("own")))
-        blocks = ["key", "block", "other"]
-        alike = materialise(sides.groupBy(*blocks).applyInArrow(_alike(percent, bands * rows), sides.schema))
-        wanted = materialise(alike.select(F.col("rep").alias("doc_id")).distinct())
-        whole = materialise(texts.join(broadcast_if_small(wanted, 16), "doc_id", "left_semi").dropDuplicates(["doc_id"]))
-        full = alike.join(whole.withColumnRenamed("doc_id", "rep"), "rep").groupBy(*blocks)
+        largest = placed.groupBy("key", "root").agg(F.count("*").alias("n")).groupBy("key").agg(F.max(F.struct("n", "root")).alias("top"))
+        largest = materialise(largest.select("key", F.col("top.root").alias("main"), F.col("top.n").alias("most")))
+        wanted = materialise(placed.select("rep", "mark").distinct())
+        signatures = materialise(firsts.select("rep", "mark", "signature").join(broadcast_if_small(wanted, 24), ["rep", "mark"], "left_semi").dropDuplicates(["rep", "mark"]))
+        rest = placed.join(largest, "key").join(signatures, ["rep", "mark"])
+        # Blocks of members, and of probes: those outside of the largest group. Each block of one meets each of the other.
+        spread = F.xxhash64("rep", "mark")
+        blocks = {"all": F.ceil(F.col("n") / BLOCK).cast("int"), "few": F.ceil((F.col("n") - F.col("most")) / BLOCK).cast("int")}
+        every = {k: F.explode(F.sequence(F.lit(0), n - 1)) for k, n in blocks.items()}
+        dealt = {k: F.pmod(spread, n).cast("int") for k, n in blocks.items()}
+        columns = ["key", "rep", "mark", "root", "size", "signature"]
+        sides = rest.select(*columns, F.lit(False).alias("probe"), dealt["all"].alias("block"), every["few"].alias("other"))
+        sides = sides.union(rest.where("root <> main").select(*columns, F.lit(True), every["all"], dealt["few"]))
+        groups = ["key", "block", "other"]
+        alike = materialise(sides.groupBy(*groups).applyInArrow(_alike(percent, bands * rows), sides.schema))
+        whole = materialise(texts_of(alike.select(F.col("rep").alias("doc_id"), "mark").distinct()))
+        full = alike.join(whole.withColumnRenamed("doc_id", "rep"), ["rep", "mark"]).groupBy(*groups)
         again = materialise(full.applyInArrow(_links(shingle_words, percent, bands * rows), "a long, b long").distinct())
         if again.take(1):
             roots = materialise(connected(roots.select(F.col("root").alias("a"), F.col("node").alias("b")).union(again)))

@@ -144,3 +144,28 @@ def test_components_of_a_path(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(1, 60)] + [(100, 101), (101, 103), (100, 103)], "a long, b long")
     got = dict(map(tuple, minhash.connected(edges).collect()))
     assert got == {i: 1 for i in range(2, 61)} | {101: 100, 103: 100}
+
+
+def test_one_id_with_several_texts(spark):
+    rng = random.Random(11)
+    a, b, c, d = (" ".join(f"{x}{rng.randrange(500)}" for _ in range(60)) for x in "abcd")
+    rows = [(1, a), (1, b), (2, a + " tail"), (3, b + " tail"), (5, c), (9, c), (9, d), (10, d + " tail"), (10, d + " tail"), (11, "x y z u v w")]
+    want = brute(rows)
+    assert result(spark, rows, shingle_words=4, percent=80) == want
+    assert {x[0]: x[2] for x in want if x[0] not in (1,)} == {2: 1, 3: 1, 5: 5, 9: 5, 10: 5, 11: 11}
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_repeated_ids_against_brute_force(spark, monkeypatch, seed):
+    monkeypatch.setattr(minhash, "BLOCK", 8)
+    rng = random.Random(seed)
+    rows = [(rng.randrange(40) if rng.random() < 0.5 else 100 + i, text) for i, (_, text) in enumerate(corpus(seed, 10))]
+    rows += rng.choices(rows, k=20)
+    assert result(spark, rows, shingle_words=4, percent=80) == brute(rows)
+
+
+def test_a_text_in_very_many_rows_of_one_id(spark):
+    base = " ".join(f"w{i}" for i in range(60))
+    rows = [(7, base)] * 3000 + [(8, base + " tail")] * 3000 + [(9, "other words stand here now")]
+    got = result(spark, rows, shingle_words=4, percent=80)
+    assert len(got) == 6001 and {(x[0], x[2]) for x in got} == {(7, 7), (8, 7), (9, 9)}
