@@ -23,8 +23,8 @@ ROW = 192
 #: Rows of blocks in one image (the format ends at 65,535 lines); longer payloads are stored as several images.
 MOST_ROWS = 8191
 
-#: Payload bytes that are coded together.
-TOGETHER = 4 << 20
+#: Payload bytes that are coded together: an image at least.
+TOGETHER = MOST_ROWS * ROW
 
 # Code lengths and symbols of the standard luminance DC table (JPEG, table K.3), then a small AC table
 # that holds the end of block alone.
@@ -180,7 +180,8 @@ def thumbnails(found: list[dict]) -> list[np.ndarray]:
     out: list[np.ndarray | None] = [None] * len(found)
     makes: dict = {}
     for i, image in enumerate(found):
-        makes.setdefault((tuple(image["components"]), tuple(sorted(image["scan"].items())), image["restart"], tuple(sorted(image["tables"].items()))), []).append(i)
+        make = tuple(image["components"]), *(tuple(sorted(image[x].items())) for x in ("scan", "tables", "quant")), image["restart"]
+        makes.setdefault(make, []).append(i)
     for own in makes.values():
         for i, pixels in zip(own, _together([found[i] for i in own])):
             out[i] = pixels
@@ -254,14 +255,41 @@ def feature(pixels: np.ndarray) -> str:
     return f"{pixels.shape[1] * 8}x{pixels.shape[0] * 8}:{bits.tobytes().hex()}"
 
 
-def stored(payloads: list[bytes]) -> Iterator[tuple[bytes, bytes, str]]:
-    """(media, payload read back from it, feature) of each payload. The features of several images are joined by blanks."""
-    media = encode(payloads)
-    found = [list(images(x)) for x in media]
-    pixels = iter(thumbnails([x for own in found for x in own]))
-    for data, own in zip(media, found):
-        parts = list(itertools.islice(pixels, len(own)))
-        yield data, b"".join(x.tobytes() for x in parts), " ".join(map(feature, parts))
+class Stored:
+    """A payload as it is stored image by image: digests of the media and of the payload read back, and features."""
+
+    def __init__(self, payload: bytes, keep: bool):
+        self.parts = [payload[at : at + MOST_ROWS * ROW] for at in range(0, len(payload), MOST_ROWS * ROW)]
+        self.media_hash, self.back_hash, self.media_bytes, self.back_bytes = hashlib.sha256(), hashlib.sha256(), 0, 0
+        self.tail, self.features, self.media = b"", [], [] if keep else None
+
+    def add(self, media: bytes, pixels: np.ndarray) -> None:
+        back = pixels.tobytes()
+        self.media_hash.update(media)
+        self.back_hash.update(back)
+        self.media_bytes += len(media)
+        self.back_bytes += len(back)
+        self.tail = (self.tail + back[-16:])[-16:]
+        self.features.append(feature(pixels))
+        if self.media is not None:
+            self.media.append(media)
+
+
+def store(payloads: list[bytes], keep: bool = False) -> list[Stored]:
+    """All payloads, in groups of images of bounded size: what is held at once doesn't grow with a payload."""
+    out = [Stored(x, keep) for x in payloads]
+    todo = [(x, part) for x in out for part in x.parts]
+    at = 0
+    while at < len(todo):
+        end, held = at, 0
+        while end < len(todo) and (end == at or held + len(todo[end][1]) <= TOGETHER):
+            held += len(todo[end][1])
+            end += 1
+        media = encode([part for _, part in todo[at:end]])
+        for (own, _), data, pixels in zip(todo[at:end], media, thumbnails([x for data in media for x in images(data)])):
+            own.add(data, pixels)
+        at = end
+    return out
 
 
 _DIGEST = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
@@ -270,7 +298,8 @@ _DIGEST = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string,
 def media_columns(docs: DataFrame, keep: bool = False) -> DataFrame:
     """Sizes, digests and feature of every text of (doc_id, text) as an image; with ``keep`` the image itself too (media).
 
-    A null text is an empty one. The payload is the UTF-8 text filled up with blanks to a positive multiple of ROW bytes.
+    A null text is an empty one. The payload is the UTF-8 text filled up with blanks to a positive multiple of ROW bytes. The
+    features of several images of one text are joined by blanks.
     """
     names = [x.split(" ")[0] for x in _DIGEST.split(", ")] + ["media"] * keep
     types = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.binary()][: len(names)]
@@ -278,8 +307,9 @@ def media_columns(docs: DataFrame, keep: bool = False) -> DataFrame:
     def digest(docs: list, texts: list[bytes]) -> pa.RecordBatch:
         rows = []
         payloads = [x.ljust(max(-(-len(x) // ROW), 1) * ROW) for x in texts]
-        for doc, text, (media, back, found) in zip(docs, texts, stored(payloads)):
-            rows.append((doc, len(text), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-16:]), len(media), hashlib.sha256(media).hexdigest(), found, *((media,) if keep else ())))
+        for doc, text, own in zip(docs, texts, store(payloads, keep)):
+            row = (doc, len(text), own.back_bytes, own.back_hash.hexdigest(), zlib.crc32(own.tail), own.media_bytes, own.media_hash.hexdigest(), " ".join(own.features))
+            rows.append((*row, b"".join(own.media)) if keep else row)
         return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), types)], names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

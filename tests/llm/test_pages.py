@@ -279,3 +279,100 @@ def test_no_visible_word_of_the_pages_is_lost(spark):
         want = visible_words(r["html"] or "")
         joined = sorted("".join(words))  # marks of lists and rules are added, and inline elements join words
         assert len(joined) >= len("".join(want)) and not (__import__("collections").Counter("".join(want)) - __import__("collections").Counter(joined))
+
+
+class Bits:
+    """Entropy-coded bits, with stuffed zeros and restart markers."""
+
+    def __init__(self):
+        self.out, self.held = bytearray(), ""
+
+    def add(self, value, n):
+        self.held += f"{value:0{n}b}" if n else ""
+
+    def flush(self):
+        self.held += "1" * (-len(self.held) % 8)
+        for k in range(0, len(self.held), 8):
+            self.out.append(int(self.held[k : k + 8], 2))
+            if self.out[-1] == 255:
+                self.out.append(0)
+        self.held = ""
+
+
+# Two small tables by hand: sizes 0 to 7 for DC; end of block, (0, 1), (0, 3), (5, 2), sixteen zeros and (15, 1) for AC.
+HAND_DC = ([0, 0, 6, 4] + [0] * 12, [0, 1, 2, 3, 4, 5, 6, 7, 8, 9])
+HAND_AC = ([0, 2, 2, 2] + [0] * 12, [0x00, 0x01, 0x03, 0x52, 0xF0, 0xF1])
+
+
+def by_hand(width, height, parts, restart, quant, seed):
+    """A baseline JPEG of random coefficients, (h, v) of each component in ``parts``, and the grey values of its first
+    component, written with plain loops."""
+    rng = np.random.default_rng(seed)
+    dc_codes, ac_codes = (dict(zip(symbols, media.codes(counts))) for counts, symbols in (HAND_DC, HAND_AC))
+    most_h, most_v = max(h for h, _ in parts), max(v for _, v in parts)
+    across, down = -(-width // (8 * most_h)), -(-height // (8 * most_v))
+    grey = np.zeros((down * parts[0][1], across * parts[0][0]), np.int64)
+    bits, before = Bits(), [0] * len(parts)
+
+    def signed(value, size):
+        bits.add(value if value >= 0 else value + (1 << size) - 1, size)
+
+    for m in range(across * down):
+        if restart and m and m % restart == 0:
+            bits.flush()
+            bits.out += bytes([255, 0xD0 + (m // restart - 1) % 8])
+            before = [0] * len(parts)
+        for k, (h, v) in enumerate(parts):
+            for y in range(v):
+                for x in range(h):
+                    value = int(rng.integers(-60, 60))
+                    step = value - before[k]
+                    before[k] = value
+                    size = abs(step).bit_length()
+                    bits.add(*dc_codes[size])
+                    signed(step, size)
+                    place = 1
+                    for symbol in rng.choice(HAND_AC[1][1:], rng.integers(0, 5)).tolist():
+                        if place + (symbol >> 4) > 62:
+                            break
+                        place += (symbol >> 4) + 1
+                        bits.add(*ac_codes[symbol])
+                        if symbol & 15:
+                            signed(int(rng.integers(1 << (symbol & 15) - 1, 1 << (symbol & 15))) * int(rng.choice([-1, 1])), symbol & 15)
+                    bits.add(*ac_codes[0])
+                    if k == 0:
+                        grey[m // across * v + y, m % across * h + x] = np.clip((value * quant + 4) // 8 + 128, 0, 255)
+    bits.flush()
+    segment = lambda marker, body: bytes([255, marker]) + (len(body) + 2).to_bytes(2, "big") + bytes(body)
+    head = b"\xff\xd8" + segment(0xE0, b"JFIF\0") + segment(0xDB, [0, *[quant] * 64, 1, *[7] * 64])
+    head += segment(0xC0, [8, *height.to_bytes(2, "big"), *width.to_bytes(2, "big"), len(parts), *[x for k, (h, v) in enumerate(parts) for x in (k + 1, h << 4 | v, min(k, 1))]])
+    head += segment(0xC4, [0x00, *HAND_DC[0], *HAND_DC[1], 0x10, *HAND_AC[0], *HAND_AC[1]])
+    head += segment(0xC4, [0x01, *HAND_DC[0], *HAND_DC[1], 0x11, *HAND_AC[0], *HAND_AC[1]])
+    head += segment(0xDD, restart.to_bytes(2, "big")) if restart else b""
+    scan = segment(0xDA, [len(parts), *[x for k in range(len(parts)) for x in (k + 1, 0x11 * min(k, 1))], 0, 63, 0])
+    return head + scan + bytes(bits.out) + b"\xff\xd9", grey
+
+
+SHAPES = [(40, 24, [(1, 1)], 0, 16), (33, 50, [(2, 2), (1, 1), (1, 1)], 0, 8), (100, 70, [(2, 2), (1, 1), (1, 1)], 3, 5), (64, 64, [(2, 1), (1, 1), (1, 1)], 4, 8), (17, 90, [(1, 2), (1, 1)], 1, 3), (48, 48, [(2, 2)], 2, 8)]
+
+
+@pytest.mark.parametrize("width, height, parts, restart, quant", SHAPES)
+def test_streams_made_by_hand(width, height, parts, restart, quant):
+    data, grey = by_hand(width, height, parts if len(parts) > 1 else [(1, 1)], restart, quant, 3)
+    assert np.array_equal(media.thumbnails(list(media.images(data)))[0], grey)
+
+
+def test_images_with_different_quantisers_keep_their_own():
+    made = [by_hand(40, 40, [(1, 1)], 0, quant, 5) for quant in (8, 4, 8, 1)] + [by_hand(100, 70, [(2, 2), (1, 1), (1, 1)], 3, 5, 9)]
+    found = media.thumbnails([next(media.images(data)) for data, _ in made])
+    assert all(np.array_equal(a, grey) for a, (_, grey) in zip(found, made))
+
+
+def test_long_payloads_are_stored_image_by_image(monkeypatch):
+    monkeypatch.setattr(media, "MOST_ROWS", 3)
+    monkeypatch.setattr(media, "TOGETHER", 3 * media.ROW)
+    payloads = [np.random.default_rng(n).integers(0, 256, n * media.ROW).astype(np.uint8).tobytes() for n in (1, 2, 7, 3, 10)]
+    found = media.store(payloads, keep=True)
+    assert [x.back_hash.hexdigest() for x in found] == [hashlib.sha256(x).hexdigest() for x in payloads]
+    assert [x.tail for x in found] == [x[-16:] for x in payloads] and [len(x.features) for x in found] == [1, 1, 3, 1, 4]
+    assert [b"".join(x.media) for x in found] == media.encode(payloads)
