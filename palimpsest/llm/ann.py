@@ -1,7 +1,8 @@
 """Nearest neighbours by inner product: a robust-pruned directed graph in every shard, searched by beam.
 
 Equal vectors are one point of the graph, with the smallest of their ids (no search can return more than its k). Points
-get a coordinate that makes all norms equal, so that distance orders them as the inner product does; zero in queries.
+get a coordinate that makes all norms of a shard equal, so that distance orders them as the inner product does; zero in
+queries.
 """
 
 from __future__ import annotations
@@ -122,61 +123,82 @@ def _smallest(k: int):
     return run
 
 
-def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        found = [np.asarray(x, np.float32).tobytes() for x in batch.column(1).to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], ["vec_id", "vector"])
+def _scaled(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Vectors by the largest of their components, and the squares of their norms: neither overflows."""
+    inner = x.astype(np.float64)
+    inner /= np.abs(inner).max()
+    return inner, (inner**2).sum(axis=1)
 
 
+def _packed(kind: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [np.asarray(x, kind).tobytes() for x in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], ["vec_id", "vector"])
+
+    return run
+
 
 def nearest(vectors: DataFrame, query: str, k: int = 20, beam: int = BEAM, shard: int = SHARD) -> DataFrame:
     """query_id, rank, vec_id, score: for each row of (vec_id, embedding) where the SQL condition ``query`` holds, the k
     other rows of the largest inner products found, ties to the smaller vec_id.
 
-    Rows without id take no part, nor do vectors that are null, empty, zero or hold null or non-finite components; all
-    others must have one length. Rows of one id and one vector are one row.
+    Rows without id take no part, nor do vectors that are null, empty, zero or hold null or non-finite components. Vectors of
+    different lengths have no inner product: each finds those of its own length. Rows of one id and one vector are one row.
+    Components are kept as they are (double, or float for a column of floats), scores are computed from them in double; only
+    the graph of a shard works on floats, of vectors scaled to its largest component and of queries of one length.
     """
+    kind = "double" if dict(vectors.dtypes)["embedding"] != "array<float>" else "float"
     real = "vec_id IS NOT NULL AND embedding IS NOT NULL AND NOT exists(embedding, x -> x IS NULL OR isnan(x) OR abs(x) = double('infinity')) AND exists(embedding, x -> x <> 0)"
-    usable = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<float>").alias("embedding")).where(real)
-    usable = usable.withColumn("embedding", F.transform("embedding", lambda x: x + F.lit(0.0).cast("float")))  # no negative zeros
-    rows = usable.mapInArrow(_packed, "vec_id long, vector binary")
+    usable = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast(f"array<{kind}>").alias("embedding")).where(real)
+    usable = usable.withColumn("embedding", F.transform("embedding", lambda x: x + F.lit(0.0).cast(kind)))  # no negative zeros
+    number = np.float64 if kind == "double" else np.float32
+    rows = usable.mapInArrow(_packed(kind if kind == "double" else "float32"), "vec_id long, vector binary")
     classes = rows.mapInArrow(_smallest(k + 1), "vector binary, ids array<long>").groupBy("vector").agg(F.flatten(F.collect_list("ids")).alias("ids"))
     classes = materialise(classes.select("vector", F.slice(F.array_sort(F.array_distinct("ids")), 1, k + 1).alias("ids")).withColumn("rep", F.col("ids")[0]))
     asked = materialise(rows.where(query).distinct())
-    n = classes.count()
-    norm = usable.agg(F.max(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))).first()[0] or 0.0
-    shards = max(-(-n // shard), 1)
+    # Shards of each length in proportion to its vectors.
+    n = classes.groupBy(F.length("vector").alias("size")).agg(F.count("*").alias("n"))
+    shards = n.select("size", F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("n") / shard) - 1)).alias("shard"), F.ceil(F.col("n") / shard).alias("of"))
+    shards = materialise(shards)
+    sizes = shards.select("size", "of").distinct()
 
     def index(key: tuple, table: pa.Table) -> pa.Table:
         table = table.sort_by("rep")
         own = table.column("vector").to_pylist()
-        x = np.frombuffer(b"".join(own), np.float32).reshape(len(own), -1)
-        rest = np.sqrt(np.maximum(norm - (x.astype(np.float64) ** 2).sum(axis=1), 0)).astype(np.float32)
-        graph, start = build(np.ascontiguousarray(np.concatenate([x, rest[:, None]], axis=1)))
-        return pa.table({"shard": [key[0].as_py()], "start": [start], "reps": pa.array([table.column("rep").to_pylist()], pa.list_(pa.int64())), "points": pa.array([x.tobytes()], pa.binary()), "rest": pa.array([rest.tobytes()], pa.binary()), "graph": pa.array([graph.astype(np.int32).tobytes()], pa.binary())})
-
-    schema = "shard long, start long, reps array<long>, points binary, rest binary, graph binary"
-    shard_of = F.pmod(F.xxhash64("vector"), F.lit(shards)).alias("shard")
-    graphs = materialise(classes.select(shard_of, "rep", "vector").groupBy("shard").applyInArrow(index, schema))
+        x = np.frombuffer(b"".join(own), number).reshape(len(own), -1)
+        inner, squares = _scaled(x)
+        rest = np.sqrt(np.maximum(squares.max() - squares, 0)).astype(np.float32)
+        graph, start = build(np.ascontiguousarray(np.concatenate([inner.astype(np.float32), rest[:, None]], axis=1)))
+        return pa.table({"size": pa.array([key[0].as_py()], pa.int32()), "shard": [key[1].as_py()], "start": [start], "reps": pa.array([table.column("rep").to_pylist()], pa.list_(pa.int64())), "points": pa.array([x.tobytes()], pa.binary()), "rest": pa.array([rest.tobytes()], pa.binary()), "graph": pa.array([graph.astype(np.int32).tobytes()], pa.binary())})
+
+    schema = "size int, shard long, start long, reps array<long>, points binary, rest binary, graph binary"
+    dealt = classes.withColumn("size", F.length("vector")).join(sizes, "size").withColumn("shard", F.pmod(F.xxhash64("vector"), F.col("of")))
+    graphs = materialise(dealt.select("size", "shard", "rep", "vector").groupBy("size", "shard").applyInArrow(index, schema))
     points = materialise(asked.select("vector").distinct())
     groups = max(-(-points.count() // (QUERIES * BLOCKS)), 1)
     left = graphs.withColumn("group", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
-    right = points.withColumn("group", F.pmod(F.xxhash64("vector", F.lit("group")), F.lit(groups)).cast("int")).withColumn("shard", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long"))))
+    right = points.withColumn("group", F.pmod(F.xxhash64("vector", F.lit("group")), F.lit(groups)).cast("int")).withColumn("size", F.length("vector"))
+    right = right.join(sizes, "size").withColumn("shard", F.explode(F.sequence(F.lit(0).cast("long"), F.col("of") - 1))).select("size", "shard", "group", "vector")
 
     def search(key: tuple, one: pa.Table, queries: pa.Table) -> pa.Table:
         out = {"query": [], "rep": [], "score": []}
         if one.num_rows and queries.num_rows:
             asked_for = queries.column("vector").to_pylist()
             reps = np.array(one.column("reps")[0].as_py())
-            x = np.frombuffer(one.column("points")[0].as_py(), np.float32).reshape(len(reps), -1)
-            augmented = np.concatenate([x, np.frombuffer(one.column("rest")[0].as_py(), np.float32)[:, None]], axis=1)
+            x = np.frombuffer(one.column("points")[0].as_py(), number).reshape(len(reps), -1)
+            inner, norms = _scaled(x)
+            augmented = np.concatenate([inner.astype(np.float32), np.frombuffer(one.column("rest")[0].as_py(), np.float32)[:, None]], axis=1)
             graph = np.frombuffer(one.column("graph")[0].as_py(), np.int32).reshape(len(reps) + 1, -1)
             squares = (augmented**2).sum(axis=1)
             for at in range(0, len(asked_for), QUERIES):
                 own = asked_for[at : at + QUERIES]
-                q = np.frombuffer(b"".join(own), np.float32).reshape(len(own), -1)
-                found, _ = beam_search(augmented, squares, graph, one.column("start")[0].as_py(), np.concatenate([q, np.zeros((len(q), 1), np.float32)], axis=1), beam)
-                for vector, ids, row in zip(own, found, q.astype(np.float64)):
+                q = np.frombuffer(b"".join(own), number).reshape(len(own), -1).astype(np.float64)
+                unit = q / np.abs(q).max(axis=1, keepdims=True)
+                unit *= np.sqrt(norms.max() / (unit**2).sum(axis=1, keepdims=True))  # the order is the same, whatever its length
+                low = np.concatenate([unit, np.zeros((len(q), 1))], axis=1).astype(np.float32)
+                found, _ = beam_search(augmented, squares, graph, one.column("start")[0].as_py(), low, beam)
+                for vector, ids, row in zip(own, found, q):
                     ids = ids[ids >= 0]
                     score = x[ids].astype(np.float64) @ row
                     best = np.lexsort((reps[ids], -score))[: k + 1]
@@ -185,7 +207,7 @@ def nearest(vectors: DataFrame, query: str, k: int = 20, beam: int = BEAM, shard
                     out["score"] += score[best].tolist()
         return pa.table([pa.array(out["query"], pa.binary()), pa.array(out["rep"], pa.int64()), pa.array(out["score"], pa.float64())], ["query", "rep", "score"])
 
-    found = left.groupBy("shard", "group").cogroup(right.groupBy("shard", "group")).applyInArrow(search, "query binary, rep long, score double")
+    found = left.groupBy("size", "shard", "group").cogroup(right.groupBy("size", "shard", "group")).applyInArrow(search, "query binary, rep long, score double")
     first = lambda c: F.slice(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("down"), F.col(c)))), 1, k + 1)
     best = found.groupBy("query").agg(first("rep").alias("top")).select("query", F.explode("top").alias("x")).select("query", F.col("x.rep").alias("rep"), (-F.col("x.down")).alias("score"))
     members = best.join(classes.select("rep", F.col("ids")), "rep").select("query", "score", F.explode("ids").alias("vec_id"))

@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import hashlib
 import itertools
+import struct
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from palimpsest.llm.common import expand, materialise_bucketed, squeeze
-from palimpsest.llm.tokens import encoder, pieces, read_ranks
+from palimpsest.llm.tokens import known_ranks, merged, pieces, read_ranks
 
 #: Pieces after which a block is closed; a longer text is a block of its own.
 BLOCK = 4_000_000
@@ -95,12 +96,13 @@ def encode_words(words: DataFrame, ranks: str, pack: int = PACK) -> DataFrame:
     """(word, block, at) -> packs of ids by block: rows of one word meet in one partition, where it is encoded once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, last, ids, size = encoder(ranks).word.function, None, b"", 0
+        known, last, ids, size = known_ranks(ranks), None, b"", 0
         blocks, ats, out = [], [], []
         for batch in batches:
             for word, block, at in zip(*(batch.column(i).to_pylist() for i in range(3))):
                 if word != last:
-                    last, ids = word, encode(word)
+                    last, found = word, merged(word.encode("utf-8", "surrogatepass"), known)
+                    ids = struct.pack(f"<{len(found)}I", *found)
                 blocks.append(block)
                 ats.append(at)
                 out.append(ids)

@@ -64,9 +64,13 @@ def materialise_bucketed(df: DataFrame, key: str) -> DataFrame:
     return found
 
 
-def broadcast_if_small(df: DataFrame, row_bytes: int) -> DataFrame:
-    """``df``, which must be materialised, hinted for broadcast if its counted rows fit; else Spark shuffles."""
-    return F.broadcast(df) if df.count() * row_bytes <= BROADCAST_BYTES else df
+def broadcast_if_small(df: DataFrame, row_bytes: int, *texts: str) -> DataFrame:
+    """``df``, which must be materialised, hinted for broadcast if its rows fit; else Spark shuffles.
+
+    A counted row takes ``row_bytes`` and the measured length of its columns ``texts``.
+    """
+    length = sum((F.coalesce(F.octet_length(c), F.lit(0)) for c in texts), F.lit(row_bytes))
+    return F.broadcast(df) if (df.agg(F.sum(length.cast("long"))).first()[0] or 0) <= BROADCAST_BYTES else df
 
 
 def mix(x: np.ndarray) -> np.ndarray:

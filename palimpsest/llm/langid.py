@@ -21,6 +21,8 @@ from palimpsest.llm import svm
 DIMS = 8192
 #: Training texts of each language: all if there are fewer, else about so many, chosen by the hash of their id.
 SAMPLE = 400
+#: Languages that are learnt: all if fewer, else those of the most labelled texts (ties: by name).
+LANGUAGES = 500
 #: Scale of the trigram frequencies, so that rows have norms near one.
 SCALE = 10.0
 #: Bytes of a text that are hashed at once.
@@ -58,16 +60,23 @@ def frequencies(text: str) -> np.ndarray:
     return SCALE * total / max(total.sum(), 1.0)
 
 
+def sparse(x: np.ndarray) -> tuple[bytes, bytes]:
+    """Places that are not zero, and their values."""
+    at = np.flatnonzero(x)
+    return at.astype(np.uint16).tobytes(), x[at].astype(np.float32).tobytes()
+
+
 class Model:
     """Families, languages and one matrix that holds all linear models."""
 
-    def __init__(self, texts: list[np.ndarray], langs: list[str]):
+    def __init__(self, texts: list, langs: list[str]):
+        """``texts`` are frequencies, or (places, values) of those that are not zero."""
         self.langs = sorted(set(langs))
         self.families = sorted({family_of(x) for x in self.langs})
         self.pairs = [(a, b) for a, b in combinations(self.langs, 2) if family_of(a) == family_of(b)]
         family = np.array([self.families.index(family_of(x)) for x in langs])
         lang = np.array([self.langs.index(x) for x in langs])
-        rows = [(np.flatnonzero(x), x[np.flatnonzero(x)]) for x in texts]
+        rows = [x if isinstance(x, tuple) else (np.flatnonzero(x), x[np.flatnonzero(x)]) for x in texts]
         columns, self.curves = [], []
 
         def learn(keep: np.ndarray, y: np.ndarray) -> None:
@@ -86,6 +95,8 @@ class Model:
         self.weights, self.bias = np.ascontiguousarray(SCALE * w[:, :-1].T).astype(np.float32), w[:, -1]
 
     def predict(self, text: str) -> tuple[str, float]:
+        """The likeliest family's likeliest language, with its chance; equal ones go to the later in order of names within a
+        family, to the earlier between families."""
         total, n = np.zeros(self.weights.shape[1]), 0
         for at in trigrams(text):
             total += self.weights[at].sum(axis=0, dtype=np.float64)
@@ -110,7 +121,8 @@ class Model:
 def train(labelled: DataFrame, sample: int = SAMPLE) -> Model | None:
     """The model learnt from (doc_id, text, lang), which must hold labelled rows only; None without any such row."""
     rows = labelled.where("lang IS NOT NULL AND text IS NOT NULL AND doc_id IS NOT NULL")
-    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    counts = rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES)
+    counts = {r["lang"]: r["n"] for r in counts.collect()}
     if not counts:
         return None
     share = F.create_map(*[x for lang, n in counts.items() for x in (F.lit(lang), F.lit(min(1.0, sample / n)))])[F.col("lang")]
@@ -118,12 +130,12 @@ def train(labelled: DataFrame, sample: int = SAMPLE) -> Model | None:
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [frequencies(x).astype(np.float32).tobytes() for x in batch.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.binary())], ["doc_id", "lang", "x"])
+            found = [sparse(frequencies(x)) for x in batch.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array([x[k] for x in found], pa.binary()) for k in (0, 1))], ["doc_id", "lang", "at", "x"])
 
-    drawn = rows.where(spread < share).select("doc_id", "lang", "text").mapInArrow(features, "doc_id long, lang string, x binary").collect()
-    drawn.sort(key=lambda r: (r["doc_id"], r["lang"]))
-    return Model([np.frombuffer(r["x"], np.float32).astype(float) for r in drawn], [r["lang"] for r in drawn]) if drawn else None
+    drawn = rows.where(spread < share).select("doc_id", "lang", "text").mapInArrow(features, "doc_id long, lang string, at binary, x binary").collect()
+    drawn.sort(key=lambda r: (r["doc_id"], r["lang"], bytes(r["at"]), bytes(r["x"])))
+    return Model([(np.frombuffer(r["at"], np.uint16).astype(np.int64), np.frombuffer(r["x"], np.float32).astype(float)) for r in drawn], [r["lang"] for r in drawn]) if drawn else None
 
 
 def identify(docs: DataFrame, model: Model | None, text: str = "text", pred: str = "lang_pred", sure: str = "score") -> DataFrame:

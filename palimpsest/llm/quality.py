@@ -19,20 +19,34 @@ from palimpsest.llm import svm
 from palimpsest.llm.common import GOLDEN, Memo, broadcast_if_small, hash_words, materialise, mix, word_hashes
 from palimpsest.llm.langid import remainder
 
-BITS = 16
-#: Labelled rows of each class that the hinge-loss model is fitted on: all if fewer, else about so many by hash of their
-#: id. The log-count ratios are always taken over all labelled rows.
-SAMPLE = 3000
+#: Features are hashed into 2^BITS places.
+BITS = 18
+#: Labelled rows of each class that the hinge-loss model is fitted on: all if fewer and of no more than SAMPLE_BYTES of
+#: features, else about so many by hash of their id. The log-count ratios are always taken over all labelled rows.
+SAMPLE, SAMPLE_BYTES = 3000, 64 << 20
+#: Classes of a word's shape in one window.
+WINDOW = 12
 _REPEAT = np.uint64(0xD6E8FEB86659FD93)
 
 
-def shape(word: bytes) -> int:
+def classes(word: bytes) -> str:
+    """Runs of capitals, other letters and digits as one mark each, and all other characters as they are."""
     out = []
     for c in word.decode("utf-8", "replace"):
         kind = "A" if c.isupper() else "a" if c.isalpha() else "0" if c.isdigit() else c
         if not out or out[-1] != kind or kind not in "Aa0":
             out.append(kind)
-    return xxhash.xxh3_64_intdigest("".join(out[:12]))
+    return "".join(out)
+
+
+def shape(word: bytes) -> int:
+    return xxhash.xxh3_64_intdigest(classes(word))
+
+
+def windows(word: bytes) -> list[int]:
+    """Of a word with a long shape (a line of a script without blanks, say), the shape in consecutive windows."""
+    found = classes(word)
+    return [xxhash.xxh3_64_intdigest(found[k : k + WINDOW], 1) for k in range(0, len(found), WINDOW)] if len(found) > WINDOW else []
 
 
 class Features:
@@ -47,10 +61,13 @@ class Features:
         h, s = hash_words(words, self.words), hash_words(words, self.shapes)
         s[1:] ^= np.where(h[1:] == h[:-1], _REPEAT, np.uint64(0))
         two = mix(s[:-1] * GOLDEN + s[1:])
-        parts = [mix(h), mix(s), two, mix(two[:-1] * GOLDEN + s[2:])]
+        long = [x for w in words if len(w) > WINDOW for x in windows(w)]
+        parts = [mix(h), mix(s), two, mix(two[:-1] * GOLDEN + s[2:]), mix(np.array(long, np.uint64))]
+        found = (np.concatenate(parts) >> np.uint64(64 - BITS)).astype(np.uint32)
+        if len(found) < 1 << BITS - 5:
+            return np.unique(found)
         flags = np.zeros(1 << BITS, bool)
-        for x in parts:
-            flags[x >> np.uint64(64 - BITS)] = True
+        flags[found] = True
         return np.flatnonzero(flags).astype(np.uint32)
 
 
@@ -94,16 +111,18 @@ def train(labelled: DataFrame, sample: int = SAMPLE) -> Model | None:
 
     rows = labelled.where("label IN (0, 1) AND doc_id IS NOT NULL").select("doc_id", F.col("label").cast("int").alias("label"), "text")
     rows = materialise(rows.mapInArrow(features, "doc_id long, label int, x binary"))
-    sizes = {r["label"]: r["n"] for r in rows.groupBy("label").agg(F.count("*").alias("n")).collect()}
+    totals = rows.groupBy("label").agg(F.count("*").alias("n"), F.sum(F.length("x")).alias("bytes")).collect()
+    sizes = {r["label"]: r["n"] for r in totals}
     if not sizes:
         return None
     found = rows.select("label", "x").mapInArrow(counts, "at long, n0 long, n1 long").groupBy("at").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")).toPandas()
     n = np.ones((2, 1 << BITS))
     n[:, found["at"]] += found[["n0", "n1"]].to_numpy(float).T
     ratios = np.log(n[1] / (sizes.get(1, 0) + 2)) - np.log(n[0] / (sizes.get(0, 0) + 2))
-    share = F.create_map(*[x for label, n in sizes.items() for x in (F.lit(label), F.lit(min(1.0, sample / n)))])[F.col("label")]
+    shares = {r["label"]: min(1.0, sample / r["n"], SAMPLE_BYTES / max(r["bytes"], 1)) for r in totals}
+    share = F.create_map(*[F.lit(x) for pair in shares.items() for x in pair])[F.col("label")]
     drawn = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / float(1 << 30) < share).collect()
-    drawn.sort(key=lambda r: (r["doc_id"], r["label"]))
+    drawn.sort(key=lambda r: (r["doc_id"], r["label"], bytes(r["x"])))
     return Model(ratios, [np.frombuffer(r["x"], np.uint32) for r in drawn], np.array([r["label"] for r in drawn])) if drawn else None
 
 
@@ -125,6 +144,8 @@ def score(docs: DataFrame, model: Model | None, text: str = "text", name: str =
 def labelled(docs: DataFrame, labels: DataFrame, folds: int = 5, held: int = 0) -> DataFrame:
     """(doc_id, text, label) of the rows that may be learnt from: labelled and outside the held-out fold.
 
+    Of several labels of one id the largest counts; labels other than 0 and 1 are none.
+
     Labels hold two numbers a document, far less than its text; they are broadcast if counted small, else joined by shuffle.
     """
     marks = labels.where("quality IN (0, 1)").groupBy("doc_id").agg(F.max(F.col("quality").cast("int")).alias("label"))

@@ -1,13 +1,14 @@
 """Token ids of whole texts by a public byte-level vocabulary, with memos of what recurs.
 
-A text is cut by the vocabulary's pattern; a piece that came before is looked up, a new one is encoded from the
-vocabulary's rank file. The pattern has a quick form for texts of plain characters; op9's tests hold both against the
+A text is cut by the vocabulary's pattern. ``merged`` makes a piece's ids from the vocabulary's rank file, for op8. ``Encoder``
+looks up pieces that came before and takes the ids of new ones from the library that reads that file, for op9. The pattern has a quick form for texts of plain characters; op9's tests hold both against the
 library that reads the vocabulary's own file.
 """
 
 from __future__ import annotations
 
 import base64
+import heapq
 import re
 import struct
 from functools import cache
@@ -41,6 +42,57 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
 
 
+#: Parts from which on the pairs of a piece are kept in a heap.
+MANY = 100
+_NONE = 1 << 62
+
+
+def merged(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
+    """Ids of a piece: the piece itself if it is a token, else its bytes after all merges, lowest rank first, left before right."""
+    own = ranks.get(piece)
+    if own is not None:
+        return [own]
+    parts = [piece[i : i + 1] for i in range(len(piece))]
+    if len(parts) >= MANY:
+        return [ranks[x] for x in _merged_by_heap(parts, ranks)]
+    pairs = [ranks.get(a + b, _NONE) for a, b in zip(parts, parts[1:])]
+    while pairs and (low := min(pairs)) < _NONE:
+        at = pairs.index(low)
+        parts[at] += parts.pop(at + 1)
+        del pairs[at]
+        if at:
+            pairs[at - 1] = ranks.get(parts[at - 1] + parts[at], _NONE)
+        if at < len(pairs):
+            pairs[at] = ranks.get(parts[at] + parts[at + 1], _NONE)
+    return [ranks[x] for x in parts]
+
+
+def _merged_by_heap(parts: list[bytes], ranks: dict[bytes, int]) -> list[bytes]:
+    """The same for a long piece: parts are a linked list, a heap holds pairs; pairs that have changed since are passed over."""
+    after, before = list(range(1, len(parts) + 1)), list(range(-1, len(parts) - 1))
+    heap = [(r, i) for i, (a, b) in enumerate(zip(parts, parts[1:])) if (r := ranks.get(a + b)) is not None]
+    heapq.heapify(heap)
+    while heap:
+        rank, i = heapq.heappop(heap)
+        j = after[i]
+        if not parts[i] or j >= len(parts) or ranks.get(parts[i] + parts[j]) != rank:
+            continue
+        parts[i], parts[j] = parts[i] + parts[j], b""
+        after[i] = after[j]
+        if after[j] < len(parts):
+            before[after[j]] = i
+        for left, right in ((before[i], i), (i, after[i])):
+            if left >= 0 and right < len(parts) and (r := ranks.get(parts[left] + parts[right])) is not None:
+                heapq.heappush(heap, (r, left))
+    return [x for x in parts if x]
+
+
+@cache
+def known_ranks(path: str) -> dict[bytes, int]:
+    """One table for all tasks of a worker process."""
+    return read_ranks(path)
+
+
 class _Chunks(dict):
     """Memo of what lies between two blanks, with the blank before it or, at a text's or line's start, without."""
 

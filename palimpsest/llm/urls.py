@@ -62,8 +62,8 @@ def listed_hits(pages: DataFrame, listed: DataFrame, bits: int = BITS) -> DataFr
     near = keys.withColumn("block", _block(F.col("canonical"), blocks)).join(broadcast_if_small(bloom, 64), "block")
     for m, w in zip(_masks(F.col("canonical")), words):
         near = near.where(F.col(w).bitwiseAND(m) == m)
-    hits = materialise(near.select("canonical").join(broadcast_if_small(names, 200), "canonical", "left_semi"))
-    return pages.join(broadcast_if_small(hits.withColumn("listed", F.lit(True)), 200), "canonical", "left").withColumn("listed", F.coalesce("listed", F.lit(False)))
+    hits = materialise(near.select("canonical").join(broadcast_if_small(names, 32, "canonical"), "canonical", "left_semi"))
+    return pages.join(broadcast_if_small(hits.withColumn("listed", F.lit(True)), 32, "canonical"), "canonical", "left").withColumn("listed", F.coalesce("listed", F.lit(False)))
 
 
 def judge(pages: DataFrame, listed: DataFrame, rules: list[tuple[str, str, str]]) -> DataFrame:

@@ -376,3 +376,40 @@ def test_long_payloads_are_stored_image_by_image(monkeypatch):
     assert [x.back_hash.hexdigest() for x in found] == [hashlib.sha256(x).hexdigest() for x in payloads]
     assert [x.tail for x in found] == [x[-16:] for x in payloads] and [len(x.features) for x in found] == [1, 1, 3, 1, 4]
     assert [b"".join(x.media) for x in found] == media.encode(payloads)
+
+
+def test_nearest_in_double_among_the_same_length(spark):
+    """Double vectors keep all their digits, huge ones do not overflow, and each length is searched for itself."""
+    rng = np.random.default_rng(7)
+    rows = [(i, (rng.normal(size=4) * 1e3).tolist()) for i in range(200)] + [(1000 + i, (rng.normal(size=6) * 1e30).tolist()) for i in range(50)] + [(2000, [1e-200, 3.0, 4.0]), (2001, [1.0, 1.0, 1.0])]
+    rows += [(300, [1.0, 2.0, 3.0, 4.0]), (301, [1.0, 2.0, 3.0, 4.0 + 1e-12]), (302, [-0.0, 2.0, 0.0, 1.0]), (303, [0.0, 2.0, 0.0, 1.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in ann.nearest(df, "vec_id % 20 = 0", k=5, shard=60).collect())
+    want = []
+    for q, a in rows:
+        if q % 20 == 0:
+            scored = sorted((-float(np.dot(a, b)), i) for i, b in rows if i != q and len(a) == len(b))
+            want += [(q, rank, i, -s) for rank, (s, i) in enumerate(scored[:5], 1)]
+    want.sort()
+    assert [x[:3] for x in got] == [x[:3] for x in want] and np.allclose([x[3] for x in got], [x[3] for x in want], rtol=1e-12)
+
+
+def recall(x, got, step=20):
+    double = x.astype(np.float64)
+    found, hit, n = {}, 0, 0
+    for r in got:
+        found.setdefault(r["query_id"], set()).add(r["vec_id"])
+    for q in range(0, len(x), step):
+        score = double @ double[q]
+        score[q] = -np.inf
+        best = np.argpartition(-score, 20)[:20]
+        hit, n = hit + len(found[q] & set(best.tolist())), n + 20
+    return hit / n
+
+
+def test_recall_with_the_registered_parameters_over_full_shards(spark):
+    rng = np.random.default_rng(3)
+    n = 2 * ann.SHARD
+    x = rng.normal(size=(n, 32)).astype(np.float32) + 1.5 * rng.normal(size=(50, 32)).astype(np.float32)[rng.integers(0, 50, n)]
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "vec_id long, embedding array<float>")
+    assert recall(x, ann.nearest(df, "vec_id % 200 = 0", k=20).collect(), 200) >= 0.9

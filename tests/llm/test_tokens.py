@@ -10,7 +10,7 @@ import tiktoken
 from tokenizers import Tokenizer
 
 from palimpsest.llm import bpe, packing
-from palimpsest.llm.tokens import encoder, pieces, read_ranks
+from palimpsest.llm.tokens import encoder, merged, pieces, read_ranks
 
 SCHEMA = "doc_id long, text string, lang string, tokens string, block long"
 TEXTS = [
@@ -170,3 +170,22 @@ def test_packing_of_repeated_and_missing_ids(spark):
     got = packing.pack(rows).collect()
     assert len(got) == 4 and len({(r["sequence_id"], r["offset"]) for r in got}) == 4
     assert packing.pack(rows.limit(0)).count() == 0
+
+
+def test_merging_against_the_library(multi):
+    """Pieces of all lengths, on both sides of where the heap begins."""
+    rng = random.Random(4)
+    ranks = read_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
+    made = ["".join(rng.choice("aeiourtnsléü") for _ in range(n)) for n in [*range(1, 130), 99, 100, 101, 500, 3000]] + ["x" * n for n in (1, 50, 99, 100, 1000)] + ["ab" * 400, "日本語" * 60]
+    for piece in made:
+        assert merged(piece.encode(), ranks) == multi._core_bpe.encode_single_piece(piece.encode()), piece[:50]
+
+
+def test_a_very_long_piece_takes_no_square_time():
+    import time
+
+    ranks = read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    began = time.time()
+    assert b"".join({v: k for k, v in ranks.items()}[i] for i in merged(b"xy" * 100, ranks)) == b"xy" * 100
+    merged(random.Random(1).randbytes(300_000), ranks)
+    assert time.time() - began < 30
