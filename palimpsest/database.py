@@ -10,17 +10,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from palimpsest.functions.values import now as clock
+from palimpsest.functions.values import prepare
 from palimpsest.operators import ingest as merging
 from palimpsest.operators import profile, versions
 from palimpsest.operators.options import ParsingOptions
-from palimpsest.operators.parsing import PARSED, parse_documents
-from palimpsest.operators.search import Search
+from palimpsest.operators.parsing import LEAF, PARSED, parse_documents
+from palimpsest.operators.search import Search, leaf_rows
 from palimpsest.plans import tiers
-from palimpsest.sources.store import Folder, Locks
+from palimpsest.sources.store import Buckets, Folder, Locks, WriteError
 
 HISTORY = "id string, version bigint, data string, same string"
 STAGED = "id string, data string, same string, committed boolean"
-DOCS = f"id string, version bigint, next bigint, data string, {PARSED}, tier string, arc int"
+FOLDED = f"id string, version bigint, next bigint, data string, {PARSED}"
+DOCS = f"{FOLDED}, tier string, arc int"
+LEAVES = "id string, version bigint, next bigint, " + LEAF[len("struct<") : -1].replace(":", " ")
 
 
 @dataclass(frozen=True)
@@ -62,40 +65,50 @@ class Database:
         self.folder = Folder(engine.spark, f"{engine.root}/{name}")
         self.locks = Locks(self.folder)
 
-    # -- state
+    # -- state: the history of all commits, the present state of every record, and what is not committed, each by buckets of ids
 
-    def _history(self, manifest: dict | None = None) -> DataFrame:
-        return self.folder.table((manifest or self.folder.manifest()).get("history", []), HISTORY)
+    def _buckets(self, what: str, schema: str, manifest: dict | None = None) -> Buckets:
+        return Buckets(self.folder, (manifest or self.folder.manifest()).get(what, []), schema)
 
-    def _staged(self, manifest: dict | None = None) -> DataFrame:
-        return self.folder.table((manifest or self.folder.manifest()).get("staged", []), STAGED)
+    def _staged(self, manifest: dict | None = None) -> Buckets:
+        return self._buckets("staged", STAGED, manifest)
+
+    def _current(self, manifest: dict | None = None) -> Buckets:
+        return self._buckets("current", HISTORY, manifest)
+
+    def _latest(self, manifest: dict | None = None) -> Buckets:
+        return self._buckets("latest", DOCS, manifest)
+
+    def _archives(self, manifest: dict | None = None) -> DataFrame:
+        return self.folder.parts((manifest or self.folder.manifest()).get("arcs", []), DOCS)
 
     def _docs(self) -> DataFrame:
-        return self.folder.table(self.folder.manifest().get("docs", []), DOCS)
+        manifest = self.folder.manifest()
+        return self._latest(manifest).rows().unionByName(self._archives(manifest))
 
-    def _committed(self, manifest: dict) -> DataFrame:
-        rows = self._history(manifest).groupBy("id").agg(F.max_by(F.struct("version", "data", "same"), "version").alias("x"))
-        return rows.select("id", "x.version", "x.data", "x.same")
+    def leaves(self) -> DataFrame:
+        """(id, version, next, forms of a value) for each leaf of the documents in any tier, sorted by path within files."""
+        return self.folder.table(self.folder.manifest().get("leaves", []), LEAVES)
 
     def records(self) -> DataFrame:
         """(id, version, data) of the current state; an uncommitted one has no version, a deleted one no data."""
         manifest = self.folder.manifest()
-        staged = self._staged(manifest).select("id", F.lit(None).cast("bigint").alias("version"), "data")
-        return self._committed(manifest).select("id", "version", "data").join(staged.select("id"), "id", "left_anti").unionByName(staged)
+        staged = self._staged(manifest).rows().select("id", F.lit(None).cast("bigint").alias("version"), "data")
+        return self._current(manifest).rows().select("id", "version", "data").join(staged.select("id"), "id", "left_anti").unionByName(staged)
 
     def history(self) -> DataFrame:
-        return self._history().select("id", "version", "data")
+        return self._buckets("history", HISTORY).rows().select("id", "version", "data")
 
     def has_data(self) -> bool:
-        manifest = self.folder.manifest()
-        return bool(manifest.get("history") or manifest.get("staged"))
+        """Whether any record is committed."""
+        return bool(self.folder.manifest().get("history"))
 
     def has_options(self) -> bool:
-        manifest = self.folder.manifest()
-        return bool(manifest.get("options") or manifest.get("pending_options"))
+        """Whether any options are committed."""
+        return bool(self.folder.manifest().get("options"))
 
     def has_uncommitted_data(self) -> bool:
-        return bool(self._staged().take(1))
+        return bool(self._staged().rows().take(1))
 
     def has_uncommitted_options(self) -> bool:
         return bool(self.folder.manifest().get("pending_options"))
@@ -115,22 +128,29 @@ class Database:
 
     def frame(self, records: Iterable[tuple[str, dict | None]]) -> DataFrame:
         """(id, data, seq) of records in order; None or an empty object deletes."""
-        rows = [(i, json.dumps(x) if x else None, n) for n, (i, x) in enumerate(records)]
+        rows = [(i, json.dumps(prepare(x)) if x else None, n) for n, (i, x) in enumerate(records)]
         return self.spark.createDataFrame(rows, "id string, data string, seq bigint")
 
     def ingest(self, records: DataFrame, commit: bool = True, modified_field: str | None = None) -> IngestResult:
-        """Merge (id, data as JSON, seq); of one id the last row counts. Empty data deletes."""
+        """Merge (id, data as JSON, seq); of one id the last row counts. Empty data deletes.
+
+        Only buckets that ids of the batch fall into are read and, of what is not committed, written.
+        """
         manifest = self.folder.manifest()
         batch = merging.last_wins(records.select("id", "data", "seq")).select("id", merging.prepared("id", "data").alias("x")).select("id", "x.data", "x.same")
-        committed, staged = self._committed(manifest).select("id", "data", "same"), self._staged(manifest)
-        ops = merging.classify(batch, committed, staged, modified_field)
-        found = ops.join(committed.select("id", F.lit(True).alias("committed")), "id", "left")
+        batch = self.folder.table([self.folder.write(batch)], "id string, data string, same string")
+        number = max(manifest.get("buckets", 1), tiers.buckets(manifest.get("rows", 0) + batch.count()))
+        touched = Buckets.of(batch, number)
+        current, staged = self._current(manifest).within(touched).rows(), self._staged(manifest).within(touched).rows()
+        ops = merging.classify(batch, current, staged, modified_field)
+        found = ops.join(current.select("id", F.lit(True).alias("committed")), "id", "left")
         table = self.folder.write(found.select("id", "data", "same", F.coalesce("committed", F.lit(False)).alias("committed"), "op"))
         written = self.folder.table([table], STAGED + ", op string")
         counts = {r["op"]: r["n"] for r in written.groupBy("op").agg(F.count("*").alias("n")).collect()}
         if counts:
             kept = staged.join(written.select("id"), "id", "left_anti").unionByName(written.where("op IN ('insert', 'update')").drop("op"))
-            self.folder.publish({**manifest, "staged": [self.folder.write(kept)]})
+            out = self._staged(manifest).replace(touched, kept, number)
+            self.folder.publish({**manifest, "staged": out.tables, "buckets": number})
         updated = counts.get("update", 0) + counts.get("revert", 0)
         return IngestResult(self.commit() if commit else None, counts.get("insert", 0), updated, counts.get("delete", 0))
 
@@ -139,9 +159,9 @@ class Database:
         with self.locks.lock("commit", name=self.name):
             manifest = self.folder.manifest()
             staged = self._staged(manifest)
-            some = bool(staged.take(1))
+            fresh = {r["committed"]: r["n"] for r in staged.rows().groupBy("committed").agg(F.count("*").alias("n")).collect()}
             pending = manifest.get("pending_options")
-            if not some and not pending:
+            if not fresh and not pending:
                 return None
             version = max(self.now(), (self.committed_version() or 0) + 1)
             out = {**manifest, "staged": []}
@@ -149,9 +169,13 @@ class Database:
                 pending = ParsingOptions().to_doc()
             if pending:
                 out |= {"options": [*manifest.get("options", []), {"version": version, "options": pending}], "pending_options": None}
-            if some:
-                rows = staged.select("id", F.lit(version).cast("bigint").alias("version"), "data", "same")
-                out |= {"history": [*manifest.get("history", []), self.folder.write(rows)], "data_version": version}
+            if fresh:
+                number, touched = manifest["buckets"], staged.covered(manifest["buckets"])
+                rows = staged.rows().select("id", F.lit(version).cast("bigint").alias("version"), "data", "same")
+                others = self._current(manifest).within(touched).rows().join(rows.select("id"), "id", "left_anti")
+                out["history"] = self._buckets("history", HISTORY, manifest).add(rows, number, version=version).tables
+                out["current"] = self._current(manifest).replace(touched, others.unionByName(rows), number).tables
+                out |= {"data_version": version, "rows": manifest.get("rows", 0) + fresh.get(False, 0)}
             self.folder.publish(out)
             return version
 
@@ -172,7 +196,7 @@ class Database:
 
     def rollback_records(self) -> int:
         manifest = self.folder.manifest()
-        n = self._staged(manifest).count()
+        n = self._staged(manifest).rows().count()
         if n:
             self.folder.publish({**manifest, "staged": []})
         return n
@@ -180,66 +204,113 @@ class Database:
     # -- index
 
     def _folded(self, history: DataFrame, strict: bool) -> DataFrame:
-        every = self.options()
-        table = self.spark.createDataFrame([(v, json.dumps(o.to_doc())) for v, o in every.items()], "version bigint, option string")
+        """Written intervals of parsed states; rows under different options are parsed in one pass."""
+        every = [(v, json.dumps(o.to_doc())) for v, o in self.options().items()]
+        table = self.spark.createDataFrame(every, "version bigint, option string")
 
         def parse(rows: DataFrame) -> DataFrame:
-            parts = [parse_documents(rows.where(F.col("option") == json.dumps(o.to_doc())), o) for o in set(every.values())]
-            out = parts[0]
-            for part in parts[1:]:
-                out = out.unionByName(part)
-            return out.withColumn("parsed", F.when(F.col("data").isNotNull(), F.struct("data_types", "parsed_types", "leaves")))
-
-        return versions.fold(history, table, parse, strict).select("id", "version", "next", "data", "parsed.*")
+            return parse_documents(rows).withColumn("parsed", F.when(F.col("data").isNotNull(), F.struct("data_types", "parsed_types", "leaves")))
+
+        found = versions.fold(history.select("id", "version", "data"), table, parse, strict)
+        return self.folder.table([self.folder.write(found.select("id", "version", "next", "data", "parsed.*"))], FOLDED)
+
+    def _archived(self, closed: DataFrame, manifest: dict, size: int) -> list[dict]:
+        """The archives' tables and a new one that goes on where they end; none is written anew."""
+        n = closed.count()
+        if not n:
+            return manifest.get("arcs", [])
+        last, held = tiers.arc_status(manifest)
+        rows = tiers.assign(closed, size, last, held, buckets=max(8, tiers.buckets(n, 100_000)))
+        rows = rows.withColumns({"tier": F.lit("arc"), "part": F.col("arc")})
+        table = self.folder.write_parts(rows, "part", -(-min(size, n) // tiers.BUCKET))
+        counts = self.folder.parts([table], DOCS).groupBy("arc").agg(F.count("*").alias("n")).collect()
+        return [*manifest.get("arcs", []), {**table, "counts": {str(r["arc"]): r["n"] for r in counts}}]
+
+    def _leaves_of(self, tables: list[DataFrame]) -> list[str]:
+        """A table of the leaves of documents, sorted by path and value, so that a scan passes over other paths."""
+        rows = [leaf_rows(x) for x in tables]
+        every = rows[0]
+        for x in rows[1:]:
+            every = every.unionByName(x)
+        return [self.folder.write(every.repartitionByRange("path", "k", "id").sortWithinPartitions("path", "k", "n"))]
 
     def sync(self, resync: bool = False, size: int = tiers.ARCHIVE, strict: bool = False) -> WriteResult:
-        """Bring the tiers up to date: only records with newer data are folded again, or all if options changed since."""
+        """Bring the tiers up to date: only records with newer data are folded again, or all if options changed since.
+
+        Archives get new files for what has been closed since; of the latest tier the buckets of folded records are written
+        anew. Nothing of a sync that fails is visible.
+        """
         with self.locks.lock("sync", name=self.name):
             manifest = self.folder.manifest()
             last = None if resync else manifest.get("synced")
-            history = self._history(manifest)
             if not manifest.get("history") or last == self.committed_version():
                 return WriteResult(0, 0, {})
-            newer_options = last is None or any(x["version"] > last for x in manifest["options"])
-            docs = self._docs() if last is not None else self.spark.createDataFrame([], DOCS)
-            if not newer_options:
-                history = history.join(history.where(F.col("version") > last).select("id").distinct(), "id", "left_semi")
-            folded = self.folder.table([self.folder.write(self._folded(history, strict))], DOCS.replace(", tier string, arc int", ""))
-            ops = versions.changed_since(folded, last)
-            counts = {r["op"]: r["n"] for r in ops.groupBy("op").agg(F.count("*").alias("n")).collect()}
-            closed = folded.where("next IS NOT NULL")
-            archived = docs.where("tier = 'arc'")
-            fresh = closed.join(archived.select("id", "version"), ["id", "version"], "left_anti")
-            at, held = tiers.arc_status(docs)
-            arcs = tiers.assign(fresh, size, at, held).withColumn("tier", F.lit("arc"))
-            untouched = docs.where("tier = 'latest'").join(history.select("id").distinct(), "id", "left_anti")
-            current = folded.where("next IS NULL").withColumns({"tier": F.lit("latest"), "arc": F.lit(None).cast("int")})
-            names = [c.split(" ")[0] for c in ("id", "version", "next", "data", "data_types", "parsed_types", "leaves", "tier", "arc")]
-            every = archived.select(*names).unionByName(untouched.select(*names)).unionByName(arcs.select(*names)).unionByName(current.select(*names))
-            table = self.folder.write(every.repartition("tier", "arc", F.pmod(F.xxhash64("id"), F.lit(tiers.LATEST_FILES))), ["tier", "arc"])
-            self.folder.publish({**manifest, "docs": [table], "synced": self.committed_version()})
-            shares = {f"{r['tier']}-{r['arc']}" if r["arc"] is not None else r["tier"]: r["n"] for r in self._docs().groupBy("tier", "arc").agg(F.count("*").alias("n")).collect()}
-            return WriteResult(counts.get("index", 0), counts.get("delete", 0), shares)
-
-    def resync_arcs(self, size: int = tiers.ARCHIVE) -> WriteResult:
-        return self.sync(resync=True, size=size)
+            if last is None:
+                manifest = {**manifest, "arcs": [], "latest": [], "leaves": []}
+            try:
+                out, counts = self._synced(manifest, last, size, strict)
+            except Exception as error:
+                raise WriteError([str(error).split("\n")[0]]) from error
+            self.folder.publish({**out, "synced": self.committed_version()})
+            return WriteResult(counts.get("index", 0), counts.get("delete", 0), self._shares())
+
+    def _synced(self, manifest: dict, last: int | None, size: int, strict: bool) -> tuple[dict, dict[str, int]]:
+        number, history = manifest["buckets"], self._buckets("history", HISTORY, manifest)
+        touched = set(range(number))
+        rows = history.rows()
+        if last is not None and not any(x["version"] > last for x in manifest["options"]):
+            newer = Buckets(self.folder, [t for t in history.tables if t["version"] > last], HISTORY)
+            touched = newer.covered(number)
+            rows = history.within(touched).rows().join(newer.rows().select("id").distinct(), "id", "left_semi")
+        folded = self._folded(rows, strict)
+        ops = versions.changed_since(folded, last)
+        counts = {r["op"]: r["n"] for r in ops.groupBy("op").agg(F.count("*").alias("n")).collect()}
+        names = [c.split(" ")[0] for c in ("id", "version", "next", "data", "data_types", "parsed_types", "leaves", "tier", "arc")]
+        closed = folded.where("next IS NOT NULL" if last is None else f"next > {last}")
+        arcs = self._archived(closed.select(*names[:7]), manifest, size)
+        untouched = self._latest(manifest).within(touched).rows().join(rows.select("id").distinct(), "id", "left_anti")
+        current = folded.where("next IS NULL").withColumns({"tier": F.lit("latest"), "arc": F.lit(None).cast("int")})
+        latest = self._latest(manifest).replace(touched, untouched.select(*names).unionByName(current.select(*names)), number).tables
+        written = folded.where("next IS NULL" if last is None else f"version > {last} AND next IS NULL").unionByName(closed)
+        leaves = [*manifest.get("leaves", []), *self._leaves_of([written])]
+        return {**manifest, "arcs": arcs, "latest": latest, "leaves": leaves}, counts
+
+    def _shares(self) -> dict[str, int]:
+        manifest = self.folder.manifest()
+        n = self._latest(manifest).rows().count()
+        return ({"latest": n} if n else {}) | {f"arc-{arc}": k for arc, k in tiers.arc_counts(manifest).items()}
+
+    def resync_arcs(self, size: int = tiers.ARCHIVE, strict: bool = False) -> WriteResult:
+        """Write all archives anew; the latest tier is not touched."""
+        with self.locks.lock("sync", name=self.name):
+            manifest = {**self.folder.manifest(), "arcs": []}
+            if not manifest.get("history"):
+                return WriteResult(0, 0, {})
+            closed = self._folded(self._buckets("history", HISTORY, manifest).rows(), strict).where("next IS NOT NULL")
+            synced = manifest.get("synced")
+            if synced is not None:  # what is newer comes with the next sync
+                closed = closed.where(f"next <= {synced}")
+            arcs = self._archived(closed, manifest, size)
+            leaves = self._leaves_of([self._latest(manifest).rows().select(*closed.columns), closed])
+            self.folder.publish({**manifest, "arcs": arcs, "leaves": leaves})
+            shares = {f"arc-{arc}": k for arc, k in tiers.arc_counts({"arcs": arcs}).items()}
+            return WriteResult(sum(shares.values()), 0, shares)
 
     def arc_status(self) -> tuple[int, int]:
-        return tiers.arc_status(self._docs())
+        return tiers.arc_status(self.folder.manifest())
 
     def current_indices(self) -> list[str]:
         names = tiers.index_names(self.name)
-        rows = self._docs().select("tier", "arc").distinct().collect()
-        return sorted(names["latest"] if r["tier"] == "latest" else f"{names['archive']}{r['arc']}" for r in rows)
+        return sorted(names["latest"] if tier == "latest" else f"{names['archive']}{tier[len('arc-') :]}" for tier in self._shares())
 
     def search(self, version: int | str = "latest") -> Search:
         """``latest``, ``all``, or as of a version; from the newest indexed version on, the latest tier is enough."""
-        docs = self._docs()
+        leaves = self.leaves()
         if version == "all":
-            return Search(docs)
+            return Search(self._docs(), leaves)
         if version == "latest" or (newest := self.indexed_version()) is None or version >= newest:
-            return Search(docs.where("tier = 'latest'"))
-        return Search(versions.as_of(docs, version))
+            return Search(self._latest().rows(), leaves)
+        return Search(versions.as_of(self._docs(), version), leaves.where(F.col("version") <= version))
 
     def indexed_version(self) -> int | None:
         return profile.indexed_version(self._docs()).first()["version"]
@@ -254,9 +325,12 @@ class Database:
         return profile.rounded(self._docs(), version).first()["version"]
 
     def data_fields(self, version: int | str = "latest", condition=None) -> DataFrame:
+        """(path, tag, count, tag_count), the most frequent paths first, then by path."""
         search = self.search(version)
-        return profile.fields((search.filter(condition) if condition is not None else search).docs)
+        found = profile.fields((search.filter(condition) if condition is not None else search).docs)
+        return found.orderBy(F.desc("count"), "path", "tag")
 
     def parsed_fields(self, version: int | str = "latest", condition=None) -> DataFrame:
         search = self.search(version)
-        return profile.fields((search.filter(condition) if condition is not None else search).docs, "parsed_types")
+        found = profile.fields((search.filter(condition) if condition is not None else search).docs, "parsed_types")
+        return found.orderBy(F.desc("count"), "path", "tag")

@@ -25,17 +25,25 @@ def clean_text(column: Column) -> Column:
     return F.regexp_replace(column, CONTROL, "")
 
 
+#: White space at the ends of a name, as Python strips it, after class C has gone.
+SPACE = r"\s\p{Z}"
+
+
 def field_name(name) -> str:
-    """A name without control characters and dots; never empty nor with a leading underscore, but for ``_id``."""
+    """A name without control characters, dots and white space at its ends; never empty. A leading underscore becomes a hyphen,
+    but for the very name ``_id``."""
+    if name == "_id":
+        return name
     text = clean(str(name), keep="").replace(".", "_").strip()
     if not text:
         return "-"
-    return "-" + text[1:] if text.startswith("_") and text != "_id" else text
+    return "-" + text[1:] if text.startswith("_") else text
 
 
 def field_name_column(column: Column) -> Column:
-    plain = F.trim(F.replace(F.regexp_replace(column, r"\p{C}", ""), F.lit("."), F.lit("_")))
-    return F.when(plain == "", "-").when(plain.startswith("_") & (plain != "_id"), F.concat(F.lit("-"), F.substring(plain, 2, 1 << 20))).otherwise(plain)
+    plain = F.replace(F.regexp_replace(column, r"\p{C}", ""), F.lit("."), F.lit("_"))
+    plain = F.regexp_replace(plain, f"^[{SPACE}]+|[{SPACE}]+$", "")
+    return F.when(column == "_id", column).when(plain == "", "-").otherwise(F.regexp_replace(plain, "^_", "-"))
 
 
 def prepare(value):
@@ -107,6 +115,35 @@ def parsed_path(field: str, kind: str | None = None, full: bool = True) -> str:
     return ".".join(([("data")] if full else []) + [field] + ([kind] if kind else []))
 
 
+def text(field: str, full: bool = True) -> str:
+    """Path of a field's texts."""
+    return parsed_path(field, TEXT, full)
+
+
+def keyword(field: str, full: bool = True) -> str:
+    return parsed_path(field, KEYWORD, full)
+
+
+def number(field: str, full: bool = True) -> str:
+    return parsed_path(field, NUMBER, full)
+
+
+def boolean(field: str, full: bool = True) -> str:
+    return parsed_path(field, BOOLEAN, full)
+
+
+def moment(field: str, full: bool = True) -> str:
+    return parsed_path(field, DATE, full)
+
+
+def point(field: str, full: bool = True) -> str:
+    return parsed_path(field, POINT, full)
+
+
+def shape(field: str, full: bool = True) -> str:
+    return parsed_path(field, SHAPE, full)
+
+
 def infer_kind(value) -> str:
     """The typed form that a search value of this type is compared with."""
     for kinds, out in ((str, KEYWORD), (bool, BOOLEAN), ((int, float), NUMBER), ((datetime, date), DATE)):

@@ -23,9 +23,20 @@ def prepared(ids: pd.Series, data: pd.Series) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["data", "same"])
 
 
-@F.pandas_udf(T.StringType())
-def without(data: pd.Series, name: pd.Series) -> pd.Series:
-    return pd.Series([None if not isinstance(x, str) else identity({k: v for k, v in json.loads(x).items() if k != n}) for x, n in zip(data, name)], dtype=object)
+@F.pandas_udf(T.BooleanType())
+def same_without(data: pd.Series, old: pd.Series, name: pd.Series) -> pd.Series:
+    """Whether two records both have a top-level field and differ in that field at most."""
+
+    def same(x, y, field) -> bool:
+        if not isinstance(x, str) or not isinstance(y, str):
+            return False
+        x, y = json.loads(x), json.loads(y)
+        if field not in x or field not in y:
+            return False
+        left, right = (identity({k: v for k, v in z.items() if k != field}) for z in (x, y))
+        return left is not None and left == right
+
+    return pd.Series([same(x, y, field) for x, y, field in zip(data, old, name)])
 
 
 def last_wins(records: DataFrame, order: str = "seq") -> DataFrame:
@@ -46,12 +57,10 @@ def classify(batch: DataFrame, committed: DataFrame, staged: DataFrame, modified
     joined = batch.join(old, "id", "left").join(new, "id", "left")
     equal = F.col("same").isNotNull() & F.col("same").eqNullSafe(F.col("old_same"))
     if modified_field is not None:
-        lit = F.lit(modified_field)
-        both = F.get_json_object("data", f"$['{modified_field}']").isNotNull() & F.get_json_object("old_data", f"$['{modified_field}']").isNotNull()
-        equal = equal | F.coalesce(both & (without(F.col("data"), lit) == without(F.col("old_data"), lit)), F.lit(False))
+        equal = equal | same_without(F.col("data"), F.col("old_data"), F.lit(modified_field))
     op = (
         F.when(F.col("has_old") & equal, F.when(F.col("has_staged"), "revert"))
-        .when(F.col("has_old"), F.when(F.col("has_staged") & F.col("same").eqNullSafe(F.col("staged_same")) & F.col("same").isNotNull(), None).otherwise("update"))
+        .when(F.col("has_old"), "update")
         .when(F.col("has_staged"), F.when(F.col("data").isNull(), "delete").when(F.coalesce(F.col("same") == F.col("staged_same"), F.lit(False)), None).otherwise("update"))
         .when(F.col("data").isNotNull(), "insert")
     )

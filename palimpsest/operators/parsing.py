@@ -12,6 +12,7 @@ from collections import defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -47,7 +48,8 @@ def parse_value(value, options: ParsingOptions) -> dict:
     elif low in options.true_values or low in options.false_values:
         out["b"] = low in options.true_values
     if isinstance(value, (int, float)) and not isinstance(value, bool):
-        out["n"] = float(value)
+        number = geo.number_of(value)  # none if it is no finite double, as a very large integer
+        out |= {} if number is None else {"n": number}
     elif _NUMERIC.fullmatch(text) and (number := geo.number_of(text)) is not None:
         out["n"] = number
     for form in sorted(options.date_formats):
@@ -77,8 +79,8 @@ def parse(data: dict, options: ParsingOptions) -> tuple[list[str], list[str], li
                     values(source + ".", path, x)
         elif value is None or value == "":
             return add(path, {"u": json.dumps(value), "u_type": tag(value)})
-        else:
-            return add(path, parse_value(value, options))
+        else:  # the memo takes both zeros for one
+            return add(path, (parse_value.__wrapped__ if value == 0 and isinstance(value, float) else parse_value)(value, options))
         return None
 
     def objects(source: str, path: str, value: dict, within: bool) -> None:
@@ -111,15 +113,25 @@ def rebuild(data):
     return data
 
 
-def parse_documents(docs: DataFrame, options: ParsingOptions, data: str = "data") -> DataFrame:
-    """``docs`` with data_types, parsed_types and leaves of its JSON column; null data gives null."""
+@lru_cache(maxsize=1000)
+def _options(doc: str) -> ParsingOptions:
+    return ParsingOptions.from_doc(json.loads(doc))
+
+
+def parse_documents(docs: DataFrame, options: ParsingOptions | None = None, data: str = "data", option: str = "option") -> DataFrame:
+    """``docs`` with data_types, parsed_types and leaves of its JSON column; null data gives null.
+
+    Without ``options``, each row has its own as JSON in the column ``option``: rows under different options are one pass.
+    """
     at = docs.columns.index(data)
     types = [T.DataType.fromDDL(x) for x in ("array<string>", "array<string>", f"array<{LEAF}>")]
+    own = docs.columns.index(option) if options is None else -1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         leaf = pa.list_(pa.struct([(k, {"n": pa.float64(), "d": pa.int64(), "b": pa.bool_(), "lon": pa.float64(), "lat": pa.float64(), "box": pa.list_(pa.float64())}.get(k, pa.string())) for k in _KEYS]))
         for batch in batches:
-            found = [parse(json.loads(x), options) if x else (None, None, None) for x in batch.column(at).to_pylist()]
+            given = [options] * batch.num_rows if options is not None else [_options(x) if x else None for x in batch.column(own).to_pylist()]
+            found = [parse(json.loads(x), o) if x else (None, None, None) for x, o in zip(batch.column(at).to_pylist(), given)]
             columns = [pa.array([x[k] for x in found], t) for k, t in enumerate((pa.list_(pa.string()), pa.list_(pa.string()), leaf))]
             yield pa.RecordBatch.from_arrays([*batch.columns, *columns], [*batch.schema.names, "data_types", "parsed_types", "leaves"])
 
@@ -128,7 +140,7 @@ def parse_documents(docs: DataFrame, options: ParsingOptions, data: str = "data"
 
 def number_of(text: Column) -> Column:
     """A text as a finite number, or null."""
-    value = F.when(text.rlike(rf"^\s*{NUMERIC}\s*$"), F.trim(text).try_cast("double"))
+    value = F.when(text.rlike(rf"^\s*{NUMERIC}\s*$"), F.regexp_replace(text, r"\s", "").try_cast("double"))
     return F.when(F.abs(value) < float("inf"), value)
 
 
@@ -145,19 +157,113 @@ def date_of(text: Column, forms: list[str]) -> Column:
 
 #: Spark's patterns of the default dates.
 SPARK_FORMATS = ["y-M-d", "y-M-d'T'H:m:s.SSSSSS", "y-M-d'T'H:m:s.SSSSSSXXX"]
+#: What stands for a directive of ``strptime`` in a Java pattern, and in the options' dates.
+DIRECTIVES = {
+    "Y": (r"(\d{4})", "year"), "m": (r"(1[0-2]|0?[1-9])", "month"), "d": (r"(3[01]|[12]\d|0?[1-9]| [1-9])", "day"), "H": (r"(2[0-3]|[01]?\d)", "hour"), "M": (r"([0-5]?\d)", "minute"), "S": (r"(6[01]|[0-5]?\d)", "second"),
+    "f": (r"(\d{1,6})", "fraction"), "z": (r"(Z|[+-]\d{2}:?[0-5]\d(?::?[0-5]\d(?:\.\d{1,6})?)?)", "zone"),
+}
+
+
+def date_by_form(text: Column, form: str) -> Column | None:
+    """Milliseconds of a text in a form of ``strptime``, natively; None for a form with other directives than the above."""
+    pattern, names, at = "", [], 0
+    while at < len(form):
+        if form[at] == "%":
+            if at + 1 == len(form) or form[at + 1] not in DIRECTIVES:
+                return None
+            found, name = DIRECTIVES[form[at + 1]]
+            if name in names:
+                return None
+            pattern, names, at = pattern + found, [*names, name], at + 2
+        else:
+            pattern, at = pattern + (r"\s+" if form[at].isspace() else re.sub(r"([^\w])", r"\\\1", form[at])), at + 1
+    whole = f"^(?i:{pattern})$"
+    part = lambda name, default: F.regexp_extract(text, whole, names.index(name) + 1) if name in names else F.lit(default)
+    digits = lambda name, default: F.trim(part(name, default)).try_cast("int")
+    day = F.concat_ws("-", part("year", "1900"), F.trim(part("month", "1")), F.trim(part("day", "1"))).try_cast("date")
+    micros = F.rpad(part("fraction", "0"), 6, "0").try_cast("bigint")
+    zone = F.regexp_replace(part("zone", "Z"), ":", "")
+    sign = F.when(zone.startswith("-"), -1).otherwise(1)
+    offset = F.when(F.upper(zone) == "Z", 0).otherwise(sign * (F.substring(zone, 2, 2).try_cast("int") * 3600 + F.substring(zone, 4, 2).try_cast("int") * 60 + F.coalesce(F.substring(zone, 6, 2).try_cast("int"), F.lit(0))))
+    second = digits("second", "0")
+    seconds = F.unix_date(day).cast("bigint") * 86400 + digits("hour", "0") * 3600 + digits("minute", "0") * 60 + second - offset
+    # Python's dates begin with the year 1 and know no leap second.
+    fits = text.rlike(whole) & (digits("year", "1900") >= 1) & (second <= 59)
+    return F.when(fits, F.when(seconds < 0, F.ceil((seconds * 1_000_000 + micros) / 1000)).otherwise(seconds * 1000 + F.floor(micros / 1000)).cast("bigint"))
+
+
+@F.pandas_udf(T.LongType())
+def _dates(text: pd.Series, forms: pd.Series) -> pd.Series:
+    def first(x, every):
+        for form in every:
+            try:
+                return parse_to_timestamp(x, form)
+            except ValueError:
+                continue
+        return None
 
-
-def leaf(path: str, column: Column, kind: str, options: ParsingOptions) -> Column:
-    """The leaf of one flat column, natively. ``kind`` is its Spark type; floating numbers take Spark's text form."""
-    moment = kind in ("timestamp", "timestamp_ntz")
-    text = F.date_format(column, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS") if moment else column.cast("string")
-    number = column.cast("double") if kind in ("int", "bigint", "double", "float", "smallint", "tinyint") else number_of(text)
-    letter = "#i" if "int" in kind else "#f" if kind in ("double", "float") else "#b" if kind == "boolean" else "#s"
-    when = F.unix_millis(column.cast("timestamp")) if moment else date_of(text, SPARK_FORMATS) if kind == "string" else F.lit(None)
-    empty = F.coalesce(text == "", F.lit(True))
-    fields = {"path": F.lit(path), "u": text, "u_type": F.when(column.isNull(), "#n").otherwise(letter)}
-    typed = {"t": text, "k": F.substring(text, 1, options.keyword_length), "n": number, "d": when.cast("bigint"), "b": column if kind == "boolean" else boolean_of(text, options)}
-    fields |= {k: F.when(~empty, v) for k, v in typed.items()}
+    return pd.Series([None if x is None else first(x, every) for x, every in zip(text, forms)], dtype="Int64")
+
+
+def date_by_options(text: Column, options: ParsingOptions) -> Column:
+    """Milliseconds of a text in the first fitting one of the options' forms in their order, or null: natively if all of them
+    can be, else through Python."""
+    forms = sorted(options.date_formats)
+    found = [date_by_form(text, x) for x in forms]
+    if any(x is None for x in found):
+        return _dates(text, F.array(*map(F.lit, forms)))
+    return F.coalesce(*found, F.lit(None).cast("bigint"))
+
+
+@F.pandas_udf(T.StringType())
+def _float_text(value: pd.Series, form: pd.Series) -> pd.Series:
+    return pd.Series([None if x is None or x != x else f.format(x) for x, f in zip(value, form)], dtype=object)
+
+
+def text_of(column: Column, kind: str, options: ParsingOptions) -> Column:
+    """A flat value as the text that the kernel gives it. A float that is whole and has at most 15 digits has these digits in
+    the default form; other floats are formatted by Python, as Java rounds and writes them otherwise."""
+    if kind == "boolean":
+        return F.when(column, "True").when(~column, "False")
+    if kind in ("double", "float"):
+        wide = column.cast("double")
+        formatted = _float_text(wide, F.lit(options.float_format))
+        if options.float_format != ParsingOptions().float_format:
+            return formatted
+        plain = (wide == F.floor(wide)) & (F.abs(wide) < 1e15) & ((wide != 0) | (F.concat(wide.cast("string")) == "0.0"))
+        return F.when(plain, F.floor(wide).cast("string")).otherwise(formatted)
+    if kind in ("timestamp", "timestamp_ntz"):
+        return F.date_format(column, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
+    if kind == "date":
+        return F.date_format(column, "yyyy-MM-dd")
+    return column.cast("string")
+
+
+def _json_text(text: Column) -> Column:
+    """A text as a JSON literal, with the escapes of Python's writer."""
+    return F.substring(F.to_json(F.array(text)), 2, F.length(F.to_json(F.array(text))) - 2)
+
+
+def leaf(path: str, column: Column, kind: str, options: ParsingOptions, finite: bool | None = None) -> Column:
+    """The leaf of one flat column, natively but for floats that are not whole. ``kind`` is its Spark type; times are the texts
+    that records hold for them, decimals are texts too. ``finite`` says whether a column of floats holds finite numbers alone or
+    none, if that is known."""
+    text = text_of(column, kind, options)
+    whole, real = kind in ("int", "bigint", "smallint", "tinyint"), kind in ("double", "float")
+    letter = "#i" if whole else "#f" if real else "#b" if kind == "boolean" else "#s"
+    wide = column.cast("double")
+    number = wide if whole or (real and finite) else F.when(F.abs(wide) < float("inf"), wide) if real else number_of(text)
+    number = F.lit(None).cast("double") if real and finite is False else number
+    day, moment = kind == "date", kind in ("timestamp", "timestamp_ntz")
+    if (day or moment) and options.date_formats == ParsingOptions().date_formats:
+        micros = F.unix_micros(column.cast("timestamp"))
+        when = F.unix_date(column).cast("bigint") * 86_400_000 if day else F.call_function("div", micros, F.lit(1000))
+    else:
+        when = date_by_options(text, options)
+    original = _json_text(text) if letter == "#s" else F.lower(text) if letter == "#b" else column.cast("string")
+    fields = {"path": F.lit(path), "u": F.when(column.isNull(), "null").otherwise(original), "u_type": F.when(column.isNull(), "#n").otherwise(letter)}
+    typed = {"t": text, "k": F.substring(text, 1, options.keyword_length), "n": number, "d": when, "b": column if kind == "boolean" else boolean_of(text, options)}
+    fields |= {k: F.when(text != "", v) if kind == "string" else v for k, v in typed.items()}
     rest = {"lon": "double", "lat": "double", "gp": "string", "gs": "string", "box": "array<double>"}
     fields |= {k: F.lit(None).cast(t) for k, t in rest.items()}
     return F.struct(*[fields[k].alias(k) for k in _KEYS])
@@ -169,6 +275,24 @@ def flat_leaves(df: DataFrame, columns: list[str], options: ParsingOptions | Non
     return F.array(*[leaf(c, F.col(c), kinds[c], options or ParsingOptions()) for c in columns])
 
 
+def flat_leaf_rows(df: DataFrame, key: str, columns: list[str], options: ParsingOptions | None = None) -> DataFrame:
+    """A row (id, path and forms of a value) for each value of some columns of a flat table.
+
+    A condition on path and value leaves the one column that it is about, and reaches the table's scan.
+    """
+    kinds = dict(df.dtypes)
+    out = None
+    for c in columns:
+        parts = [(df, None)]
+        if kinds[c] in ("double", "float"):  # apart, so that a bound on finite numbers is one on the column
+            finite = F.coalesce(F.abs(F.col(c)) < float("inf"), F.lit(True))
+            parts = [(df.where(finite), True), (df.where(~finite), False)]
+        for part, finite in parts:
+            rows = part.select(F.col(key).alias("id"), leaf(c, F.col(c), kinds[c], options or ParsingOptions(), finite).alias("x")).select("id", "x.*")
+            out = rows if out is None else out.unionAll(rows)
+    return out
+
+
 def geo_point(lat: Column, lon: Column) -> Column:
     """(lon, lat, wkt) of two number columns in range, or null."""
     fits = lat.between(-90, 90) & lon.between(-180, 180)

@@ -23,6 +23,15 @@ def fields(docs: DataFrame, column: str = "data_types") -> DataFrame:
     return tags.join(totals, "path").select("path", "tag", "count", "tag_count")
 
 
+def listed(profile: DataFrame) -> DataFrame:
+    """(path, count, types, parent) of a profile's fields, the most frequent first, then by path. ``types`` maps tags to their
+    counts; ``parent`` is the container around a path, or null."""
+    types = F.map_from_entries(F.array_sort(F.collect_list(F.struct("tag", "tag_count")))).alias("types")
+    fields = profile.groupBy("path", "count").agg(types)
+    links = hierarchy(profile).withColumnRenamed("child", "path")
+    return fields.join(links, "path", "left").select("path", "count", "types", "parent").orderBy(F.desc("count"), "path")
+
+
 def hierarchy(profile: DataFrame) -> DataFrame:
     """(parent, child) of paths in a profile: a container and the paths one part longer below it."""
     paths = profile.select("path").distinct()

@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from datetime import date
 
+import pandas as pd
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from palimpsest.functions import geo
 from palimpsest.functions.values import BOOLEAN, DATE, KEYWORD, NUMBER, TEXT, infer_kind, to_timestamp
 
 _FIELD = {KEYWORD: "k", NUMBER: "n", DATE: "d", BOOLEAN: "b", TEXT: "t"}
@@ -18,93 +23,175 @@ def _value(value):
     return to_timestamp(value) if isinstance(value, date) else value
 
 
-def _any(test, leaves: str = "leaves") -> Column:
-    return F.coalesce(F.exists(leaves, test), F.lit(False))
+Test = Callable[[Callable[[str], Column]], Column]
 
 
-def term(field: str, value, kind: str | None = None) -> Column:
-    """Some value at the path equals ``value``; keywords whatever their case."""
+class Condition:
+    """A condition that one leaf of a document has to fulfil: over the array of its leaves, or over a table of leaves.
+
+    ``on_leaves()`` is a column over documents; ``of_row()`` one over rows of leaves, which a scan can take.
+    """
+
+    def __init__(self, test: Test):
+        self.test = test
+
+    def on_leaves(self, leaves: str = "leaves") -> Column:
+        return F.coalesce(F.exists(leaves, lambda x: self.test(lambda name: x[name])), F.lit(False))
+
+    def of_row(self) -> Column:
+        return self.test(F.col)
+
+
+def term_of(field: str, value, kind: str | None = None) -> Condition:
     kind = kind or infer_kind(value)
     if kind == KEYWORD:
-        return _any(lambda x: (x["path"] == field) & (F.lower(x["k"]) == str(value).lower()))
-    return _any(lambda x: (x["path"] == field) & (x[_FIELD[kind]] == F.lit(_value(value))))
+        return Condition(lambda x: (x("path") == field) & (F.lower(x("k")) == str(value).lower()))
+    return Condition(lambda x: (x("path") == field) & (x(_FIELD[kind]) == F.lit(_value(value))))
 
 
-def between(field: str, gte=None, lt=None, gt=None, lte=None, kind: str | None = None) -> Column:
-    """Some one value at the path fulfils all the bounds."""
+def term(field: str, value, kind: str | None = None) -> Column:
+    """Some value at the path equals ``value``; keywords whatever their case."""
+    return term_of(field, value, kind).on_leaves()
+
+
+def range_of(field: str, gte=None, lt=None, gt=None, lte=None, kind: str | None = None) -> Condition:
     given = [v for v in (gte, lt, gt, lte) if v is not None]
     if not given:
         raise ValueError("a range needs a bound")
     name = _FIELD[kind or infer_kind(given[0])]
 
-    def test(x: Column) -> Column:
-        out = x["path"] == field
+    def test(x) -> Column:
+        out = x("path") == field
         for bound, compare in ((gte, "__ge__"), (lt, "__lt__"), (gt, "__gt__"), (lte, "__le__")):
             if bound is not None:
-                out = out & getattr(x[name], compare)(F.lit(_value(bound)))
+                out = out & getattr(x(name), compare)(F.lit(_value(bound)))
         return out
 
-    return _any(test)
+    return Condition(test)
+
+
+def between(field: str, gte=None, lt=None, gt=None, lte=None, kind: str | None = None) -> Column:
+    """Some one value at the path fulfils all the bounds."""
+    return range_of(field, gte, lt, gt, lte, kind).on_leaves()
+
+
+def exists_of(field: str) -> Condition:
+    return Condition(lambda x: ((x("path") == field) | x("path").startswith(field + ".")) & (x("t").isNotNull() | x("gp").isNotNull()))
 
 
 def exists(field: str) -> Column:
     """The path, or one below it, has a value that is not null or empty."""
-    return _any(lambda x: ((x["path"] == field) | x["path"].startswith(field + ".")) & (x["t"].isNotNull() | x["gp"].isNotNull()))
+    return exists_of(field).on_leaves()
 
 
 def has_geo() -> Column:
-    return _any(lambda x: x["lon"].isNotNull())
+    return Condition(lambda x: x("lon").isNotNull()).on_leaves()
 
 
 def id_is(value: str) -> Column:
-    return F.lower("id") == value.lower()
+    """The record's id, whatever its case."""
+    return F.lower(F.col("id").cast("string")) == value.lower()
 
 
 def tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(WORD), F.lit(0))
 
 
-def match(query: str, field: str | None = None, operator: str = "or", fuzziness: int = 0) -> Column:
-    """Words of the query occur in a text at the path, or in any text: one of them, or with ``and`` all.
+def words_of(query: str) -> list[str]:
+    """The distinct words of a query, in order; as ``tokens`` finds them in a text."""
+    return list(dict.fromkeys(regex.findall(WORD, query.lower())))
+
+
+def _near(word: str, edits: int):
+    return lambda w: F.levenshtein(w, F.lit(word), edits) >= 0
+
+
+def match_words(found: Column, query: str, operator: str = "or", fuzziness: int = 0) -> Column:
+    """Whether ``found``, the words of a text, holds one of the query's words, or with ``and`` all of them.
 
     With ``fuzziness`` a word may differ by so many edits.
     """
-    asked = tokens(F.lit(query))
+    asked = words_of(query)
+    if not asked:
+        return F.lit(False)
+    if fuzziness:
+        near = [F.exists(found, _near(q, fuzziness)) for q in asked]
+        every = near[0]
+        for x in near[1:]:
+            every = (every & x) if operator == "and" else (every | x)
+        return every
+    wanted = F.array(*map(F.lit, asked))
+    return F.size(F.array_except(wanted, found)) == 0 if operator == "and" else F.arrays_overlap(found, wanted)
+
+
+def match(query: str, field: str | None = None, operator: str = "or", fuzziness: int = 0) -> Column:
+    """Words of the query occur in the texts at the path, or in any texts: one of them, or with ``and`` all."""
     here = lambda x: x["t"].isNotNull() & ((x["path"] == field) if field else F.lit(True))
-    found = F.array_distinct(F.flatten(F.transform(F.filter("leaves", here), lambda x: tokens(x["t"]))))
-    same = lambda q: F.exists(found, lambda w: F.levenshtein(w, q) <= fuzziness) if fuzziness else F.array_contains(found, q)
-    return F.coalesce((F.forall(asked, same) & (F.size(asked) > 0)) if operator == "and" else F.exists(asked, same), F.lit(False))
+    # One text, so that its words are found once; a line end is within no word.
+    texts = F.array_join(F.transform(F.filter("leaves", here), lambda x: x["t"]), "\n")
+    return F.coalesce(match_words(tokens(texts), query, operator, fuzziness), F.lit(False))
+
+
+def box_of(left: float, top: float, right: float, bottom: float) -> Condition:
+    return Condition(lambda x: x("lon").between(left, right) & x("lat").between(bottom, top))
 
 
 def points_in_box(left: float, top: float, right: float, bottom: float) -> Column:
     """A point of the document lies in the box."""
-    return _any(lambda x: x["lon"].between(left, right) & x["lat"].between(bottom, top))
+    return box_of(left, top, right, bottom).on_leaves()
+
+
+@F.pandas_udf(T.BooleanType())
+def _meets(shapes: pd.Series, left: pd.Series, top: pd.Series, right: pd.Series, bottom: pd.Series) -> pd.Series:
+    return pd.Series([any(geo.meets_box(x, *box) for x in own) for own, *box in zip(shapes, left, bottom, right, top)])
 
 
 def shapes_in_box(left: float, top: float, right: float, bottom: float) -> Column:
-    """The bounds of a shape of the document meet the box."""
-    return _any(lambda x: x["box"].isNotNull() & (x["box"][0] <= right) & (x["box"][2] >= left) & (x["box"][1] <= top) & (x["box"][3] >= bottom))
+    """A shape of the document meets the box: by its bounds first, then, of those whose bounds reach out of it, exactly."""
+    near = lambda x: x["box"].isNotNull() & (x["box"][0] <= right) & (x["box"][2] >= left) & (x["box"][1] <= top) & (x["box"][3] >= bottom)
+    inside = lambda x: (x["box"][0] >= left) & (x["box"][2] <= right) & (x["box"][1] >= bottom) & (x["box"][3] <= top)
+    found = F.filter("leaves", near)
+    exact = _meets(F.transform(found, lambda x: x["gs"]), *map(F.lit, map(float, (left, top, right, bottom))))
+    return F.coalesce(F.when(F.size(found) == 0, False).when(F.exists(found, inside), True).otherwise(exact), F.lit(False))
+
+
+def leaf_rows(docs: DataFrame) -> DataFrame:
+    """(id, version, next, and the forms of a value) for each leaf of documents: the table that conditions are looked up in."""
+    return docs.select("id", "version", "next", F.explode("leaves").alias("x")).select("id", "version", "next", "x.*")
+
+
+def documents_of(leaves: DataFrame, condition: Condition) -> DataFrame:
+    """(id, version) of the documents one of whose leaves fulfils the condition."""
+    return leaves.where(condition.of_row()).select("id", "version").distinct()
 
 
 class Search:
-    """Conditions on documents, gathered and then run as one plan."""
+    """Conditions on documents, gathered and then run as one plan.
 
-    def __init__(self, docs: DataFrame):
-        self.docs = docs
+    With the table of leaves at hand, a ``Condition`` is looked up there; a scan of its sorted files reads the rows of the path
+    and the values asked for. Columns, and conditions without that table, are tested on each document.
+    """
 
-    def filter(self, condition: Column) -> Search:
-        return Search(self.docs.where(condition))
+    def __init__(self, docs: DataFrame, leaves: DataFrame | None = None):
+        self.docs, self.leaves = docs, leaves
+
+    def filter(self, condition: Column | Condition) -> Search:
+        if not isinstance(condition, Condition):
+            return Search(self.docs.where(condition), self.leaves)
+        if self.leaves is None:
+            return Search(self.docs.where(condition.on_leaves()))
+        return Search(self.docs.join(documents_of(self.leaves, condition), ["id", "version"], "left_semi"), self.leaves)
 
     must = query = filter
 
     def must_not(self, condition: Column) -> Search:
-        return Search(self.docs.where(~condition))
+        return Search(self.docs.where(~condition), self.leaves)
 
     def should(self, *conditions: Column) -> Search:
         some = conditions[0]
         for c in conditions[1:]:
             some = some | c
-        return Search(self.docs.where(some))
+        return Search(self.docs.where(some), self.leaves)
 
     def source(self, *columns: str) -> Search:
         return Search(self.docs.select(*columns))
@@ -123,6 +210,9 @@ class Search:
     def execute(self) -> DataFrame:
         return self.docs
 
+    def maximum(self, column: str):
+        return self.docs.agg(F.max(column)).first()[0]
+
     def terms(self, column: str) -> DataFrame:
         from palimpsest.operators.profile import terms
 

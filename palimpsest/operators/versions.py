@@ -21,21 +21,24 @@ def grid(history: DataFrame, options: DataFrame, strict: bool = False) -> DataFr
     for each commit of options. Moments begin with a record's first data, for which the earliest options ever hold; with
     ``strict`` those in force then.
     """
+    known = options.select("version", "option").orderBy("version").collect()  # a row for each commit of options
+    points = F.array(*[F.struct(F.lit(v).cast("bigint").alias("at"), F.lit(x).alias("option")) for v, x in known])
     spans = history.groupBy("id").agg(F.min("version").alias("first"))
-    points = F.broadcast(options.select(F.col("version").alias("at"), "option"))
-    if not strict:
-        moments = spans.join(points, F.col("at") >= F.col("first")).select("id", F.col("at").alias("version"), "option")
-        earliest = F.broadcast(options.agg(F.min_by("option", "version").alias("start")))
+    if strict:  # those in force at the first data count from there on
+        before = F.filter(points, lambda x: x["at"] < F.col("first"))
+        held = F.when(F.size(before) > 0, F.transform(F.slice(before, -1, 1), lambda x: F.struct(F.col("first").alias("at"), x["option"].alias("option")))).otherwise(F.slice(points, 1, 0))
+        later = F.filter(points, lambda x: x["at"] >= F.col("first"))
+        held = F.when(F.exists(later, lambda x: x["at"] == F.col("first")), F.slice(points, 1, 0)).otherwise(held)
+        moments = spans.select("id", F.explode(F.concat(held, later)).alias("x"))
     else:
-        held = F.when(F.col("at") < F.col("first"), F.col("first")).otherwise(F.col("at"))
-        moments = spans.join(points).select("id", held.alias("version"), "at", "option").groupBy("id", "version").agg(F.max_by("option", "at").alias("option"))
-        earliest = F.broadcast(options.agg(F.min_by("option", "version").alias("start")))
+        moments = spans.select("id", F.explode(F.filter(points, lambda x: x["at"] >= F.col("first"))).alias("x"))
+    moments = moments.select("id", F.col("x.at").alias("version"), F.col("x.option").alias("option"))
     rows = history.select("id", "version", F.struct("data").alias("state"), F.lit(None).alias("option"))
     rows = rows.unionByName(moments.select("id", "version", F.lit(None).alias("state"), "option"), allowMissingColumns=True)
     merged = rows.groupBy("id", "version").agg(F.first("state", ignorenulls=True).alias("state"), F.first("option", ignorenulls=True).alias("option"))
     w = W.partitionBy("id").orderBy("version").rowsBetween(W.unboundedPreceding, 0)
     carried = merged.select("id", "version", F.last("state", ignorenulls=True).over(w).alias("state"), F.last("option", ignorenulls=True).over(w).alias("option"))
-    return carried.join(earliest).select("id", "version", F.col("state.data").alias("data"), F.coalesce("option", "start").alias("option"))
+    return carried.select("id", "version", F.col("state.data").alias("data"), F.coalesce("option", F.lit(known[0]["option"])).alias("option"))
 
 
 def fold(history: DataFrame, options: DataFrame, parse: Callable[[DataFrame], DataFrame], strict: bool = False) -> DataFrame:
@@ -68,6 +71,16 @@ def of_versions(databases: dict[str, tuple[DataFrame, int]]) -> DataFrame:
     return out
 
 
+def serialised(ops: DataFrame, index: str) -> DataFrame:
+    """(id, version, line): index operations (op, id, version, data as JSON) as lines of JSON, an action and, to index, the
+    document, for a store that takes such lines in bulk."""
+    name = F.concat_ws(":", "id", "version")
+    action = F.to_json(F.struct(F.lit(index).alias("_index"), name.alias("_id")))
+    document = F.concat(F.lit('{"id":'), F.to_json(F.struct("id")).substr(F.lit(7), F.length(F.to_json(F.struct("id"))) - 7), F.lit(',"version":'), F.col("version").cast("string"), F.lit(',"data":'), F.coalesce("data", F.lit("null")), F.lit("}"))
+    line = F.when(F.col("op") == "index", F.concat(F.lit('{"index":'), action, F.lit("}\n"), document)).otherwise(F.concat(F.lit('{"delete":'), action, F.lit("}")))
+    return ops.select("id", "version", line.alias("line"))
+
+
 def changed_since(docs: DataFrame, after: int | None) -> DataFrame:
     """Index operations since a sync at ``after``: op (index or delete), id, version, next.
 

@@ -8,8 +8,13 @@ from pyspark.sql import functions as F
 
 #: Documents of one archive.
 ARCHIVE = 2_000_000
-#: Files of the latest tier.
-LATEST_FILES = 5
+#: Rows of a bucket of ids, and of a file of an archive, about.
+BUCKET = 1_000_000
+
+
+def buckets(rows: int, size: int | None = None) -> int:
+    """The number of buckets for so many rows, of ``size`` or BUCKET each: a power of two."""
+    return 1 << max(-(-rows // (size or BUCKET)) - 1, 0).bit_length()
 
 
 def index_names(name: str) -> dict[str, str]:
@@ -19,7 +24,8 @@ def index_names(name: str) -> dict[str, str]:
 def assign(closed: DataFrame, size: int = ARCHIVE, last: int = 0, held: int = 0, buckets: int = 64) -> DataFrame:
     """``closed`` (id, version, ..) with ``arc``: archives are filled in turn, beginning with what is left in the last one.
 
-    Rows are numbered without one sorted partition: each bucket of ids counts its rows, the buckets' sums come first.
+    Rows are numbered without one sorted partition: each of ``buckets`` buckets of ids counts its rows, the buckets' sums come
+    first. The caller gives as many buckets as keep one within a task's memory.
     """
     spread = closed.withColumn("bucket", F.pmod(F.xxhash64("id"), F.lit(buckets)).cast("int"))
     counts = spread.groupBy("bucket").agg(F.count("*").alias("n"))
@@ -32,7 +38,15 @@ def assign(closed: DataFrame, size: int = ARCHIVE, last: int = 0, held: int = 0,
     return rows.withColumn("arc", arc.cast("int")).drop("bucket", "start", "number")
 
 
-def arc_status(docs: DataFrame) -> tuple[int, int]:
+def arc_counts(manifest: dict) -> dict[int, int]:
+    """The archives and their documents, as the manifest has counted them."""
+    out: dict[int, int] = {}
+    for table in manifest.get("arcs", []):
+        for arc, n in table["counts"].items():
+            out[int(arc)] = out.get(int(arc), 0) + n
+    return dict(sorted(out.items()))
+
+
+def arc_status(manifest: dict) -> tuple[int, int]:
     """The last archive and its documents; (0, 0) without any."""
-    found = docs.where("tier = 'arc'").groupBy("arc").agg(F.count("*").alias("n")).orderBy(F.desc("arc")).limit(1).collect()
-    return (found[0]["arc"], found[0]["n"]) if found else (0, 0)
+    return max(arc_counts(manifest).items(), default=(0, 0))

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from palimpsest.database import Engine
 from palimpsest.functions import geo
 from palimpsest.functions.values import clean_text, field_name_column
 from palimpsest.operators import ingest, parsing, profile, search, versions
@@ -139,6 +142,19 @@ def ingest_modified_field(spark, sf_dir):
     return ingest.classify(new, old, old.limit(0), "modified").select("id", "op")
 
 
+@query("""WITH c AS (SELECT c_custkey::VARCHAR AS id, c_custkey % 3 <> 0 AS has_old, c_custkey % 2 = 0 AS has_staged, c_custkey // 6 % 4 AS k FROM customer), o AS (
+SELECT id, CASE WHEN has_old AND k = 2 THEN CASE WHEN has_staged THEN 'revert' END WHEN has_old THEN 'update'
+WHEN has_staged THEN CASE k WHEN 0 THEN 'delete' WHEN 1 THEN NULL ELSE 'update' END WHEN k <> 0 THEN 'insert' END AS op FROM c)
+SELECT * FROM o WHERE op IS NOT NULL""")
+def ingest_staged(spark, sf_dir):
+    """A batch over committed and uncommitted states: deletions, what is staged already, what was before, and new data."""
+    c = _table(spark, sf_dir, "customer").withColumns({"id": F.col("c_custkey").cast("string"), "k": F.expr("c_custkey div 6 % 4")})
+    data = lambda more: F.to_json(F.struct(F.col("c_name").alias("name"), (F.col("c_nationkey") + more).alias("nation")))
+    new = F.when(F.col("k") == 1, data(100)).when(F.col("k") == 2, data(0)).when(F.col("k") == 3, data(200))
+    make = lambda df, x: df.select("id", ingest.prepared("id", x).alias("x")).select("id", "x.data", "x.same")
+    return ingest.classify(make(c, new), make(c.where("c_custkey % 3 <> 0"), data(0)), make(c.where("c_custkey % 2 = 0"), data(100))).select("id", "op")
+
+
 @query("SELECT o_custkey AS id, arg_max(o_orderstatus, o_orderkey) AS status, max(o_orderkey) AS seq FROM orders GROUP BY 1")
 def last_wins_dedupe(spark, sf_dir):
     orders = _table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("id"), F.col("o_orderstatus").alias("status"), F.col("o_orderkey").alias("seq"))
@@ -150,10 +166,17 @@ def sanitize_strings(spark, sf_dir):
     return _table(spark, sf_dir, "documents").select("doc_id", clean_text(F.col("text")).alias("text"))
 
 
-@query("SELECT p_partkey, CASE WHEN starts_with(n, '_') AND n <> '_id' THEN '-' || substr(n, 2) WHEN n = '' THEN '-' ELSE n END AS name FROM (SELECT p_partkey, trim(replace('_' || p_name || '.x ', '.', '_'), ' ') AS n FROM part)")
+@query(r"""WITH r AS (SELECT p_partkey, CASE p_partkey % 6 WHEN 0 THEN '_id' WHEN 1 THEN ' _id' WHEN 2 THEN '_id' || chr(7) WHEN 3 THEN '__' || p_name
+WHEN 4 THEN chr(9) || chr(160) || p_name || '.x' || chr(8195) ELSE chr(7) || ' ' END AS raw FROM part),
+c AS (SELECT *, regexp_replace(replace(regexp_replace(raw, '\p{C}', '', 'g'), '.', '_'), '^[\s\p{Z}]+|[\s\p{Z}]+$', '', 'g') AS n FROM r)
+SELECT p_partkey, CASE WHEN raw = '_id' THEN raw WHEN n = '' THEN '-' ELSE regexp_replace(n, '^_', '-') END AS name FROM c""")
 def field_names(spark, sf_dir):
-    name = F.concat(F.lit("_"), F.col("p_name"), F.lit(".x "))
-    return _table(spark, sf_dir, "part").select("p_partkey", field_name_column(name).alias("name"))
+    name, kind = F.col("p_name"), F.col("p_partkey") % 6
+    forms = ["_id", " _id", "_id\x07", F.concat(F.lit("__"), name), F.concat(F.lit("\t\xa0"), name, F.lit(".x "))]
+    raw = F.lit("\x07 ")
+    for k, form in enumerate(forms):
+        raw = F.when(kind == k, form).otherwise(raw)
+    return _table(spark, sf_dir, "part").select("p_partkey", field_name_column(raw).alias("name"))
 
 
 @query("SELECT event_id, TRY_CAST(json_extract_string(props, '$.k') AS DOUBLE) AS n FROM events")
@@ -170,7 +193,7 @@ def parse_boolean(spark, sf_dir):
 @query("SELECT o_orderkey, epoch_ms(date_trunc('day', o_orderdate)) AS d FROM orders")
 def parse_date(spark, sf_dir):
     text = F.date_format("o_orderdate", "yyyy-MM-dd")
-    return _table(spark, sf_dir, "orders").select("o_orderkey", parsing.date_of(text, parsing.SPARK_FORMATS).alias("d"))
+    return _table(spark, sf_dir, "orders").select("o_orderkey", parsing.date_by_options(text, OPTIONS).alias("d"))
 
 
 @query("SELECT doc_id, substr(text, 1, 40) AS k FROM documents")
@@ -180,40 +203,39 @@ def keyword_trunc(spark, sf_dir):
     return docs.select("doc_id", parsing.leaf("text", F.col("text"), "string", options)["k"].alias("k"))
 
 
-def _parsed(spark, sf_dir, table: str, key: str, columns: list[str]) -> DataFrame:
-    df = _table(spark, sf_dir, table)
-    return df.select(F.col(key).alias("id"), parsing.flat_leaves(df, columns, OPTIONS).alias("leaves"))
+def _leaves(spark, sf_dir, table: str, key: str, columns: list[str]) -> DataFrame:
+    """The table of leaves of some columns: what conditions are looked up in."""
+    return parsing.flat_leaf_rows(_table(spark, sf_dir, table), key, columns, OPTIONS)
+
+
+def _found(leaves: DataFrame, condition: search.Condition) -> DataFrame:
+    return leaves.where(condition.of_row()).select("id")
 
 
 @query("SELECT c_custkey AS id FROM customer WHERE lower(c_mktsegment) = 'building'")
 def term_keyword_ci(spark, sf_dir):
-    return _parsed(spark, sf_dir, "customer", "c_custkey", ["c_mktsegment", "c_name"]).where(search.term("c_mktsegment", "Building")).select("id")
+    return _found(_leaves(spark, sf_dir, "customer", "c_custkey", ["c_mktsegment", "c_name"]), search.term_of("c_mktsegment", "Building"))
 
 
 @query("SELECT p_partkey AS id FROM part WHERE p_size = 7")
 def term_number(spark, sf_dir):
-    return _parsed(spark, sf_dir, "part", "p_partkey", ["p_size", "p_brand"]).where(search.term("p_size", 7)).select("id")
+    return _found(_leaves(spark, sf_dir, "part", "p_partkey", ["p_size", "p_brand"]), search.term_of("p_size", 7))
 
 
 @query("SELECT o_orderkey AS id FROM orders WHERE o_totalprice >= 100000 AND o_totalprice < 200000")
 def range_number(spark, sf_dir):
-    return _parsed(spark, sf_dir, "orders", "o_orderkey", ["o_totalprice"]).where(search.between("o_totalprice", gte=100000, lt=200000)).select("id")
+    return _found(_leaves(spark, sf_dir, "orders", "o_orderkey", ["o_totalprice", "o_orderstatus"]), search.range_of("o_totalprice", gte=100000, lt=200000))
 
 
 @query("SELECT o_orderkey AS id FROM orders WHERE epoch_ms(o_orderdate) >= 820454400000")
 def range_date(spark, sf_dir):
-    return _parsed(spark, sf_dir, "orders", "o_orderkey", ["o_orderdate"]).where(search.between("o_orderdate", gte=820454400000, kind="_d")).select("id")
-
-
-def _lines(spark, sf_dir) -> DataFrame:
-    """Orders whose lines' quantities are the values of one path."""
-    lines = _table(spark, sf_dir, "lineitem")
-    return lines.groupBy(F.col("l_orderkey").alias("id")).agg(F.collect_list(parsing.leaf("quantity", F.col("l_quantity"), "double", OPTIONS)).alias("leaves"))
+    return _found(_leaves(spark, sf_dir, "orders", "o_orderkey", ["o_orderdate", "o_orderstatus"]), search.range_of("o_orderdate", gte=820454400000, kind="_d"))
 
 
 @query("SELECT DISTINCT l_orderkey AS id FROM lineitem WHERE l_quantity >= 4 AND l_quantity < 6")
 def range_multivalue(spark, sf_dir):
-    return _lines(spark, sf_dir).where(search.between("quantity", gte=4, lt=6)).select("id")
+    """Orders whose lines' quantities are the values of one path: the leaves are filtered before they are grouped."""
+    return _found(_leaves(spark, sf_dir, "lineitem", "l_orderkey", ["l_quantity", "l_tax"]), search.range_of("l_quantity", gte=4, lt=6)).distinct()
 
 
 @query("SELECT event_id AS id FROM events WHERE json_extract_string(props, '$.k') IS NOT NULL")
@@ -230,14 +252,38 @@ def _events_json(spark, sf_dir) -> DataFrame:
 
 @query(r"SELECT doc_id AS id FROM documents WHERE list_contains(regexp_extract_all(lower(text), '\p{N}+(?:[.,]\p{N}+)+|[\p{L}\p{N}_]+(?:[\x27.]\p{L}+)*'), 'license') OR list_contains(regexp_extract_all(lower(text), '\p{N}+(?:[.,]\p{N}+)+|[\p{L}\p{N}_]+(?:[\x27.]\p{L}+)*'), 'nicht')")
 def match_all_text(spark, sf_dir):
-    return _parsed(spark, sf_dir, "documents", "doc_id", ["text"]).where(search.match("License nicht")).select("id")
+    return _leaves(spark, sf_dir, "documents", "doc_id", ["text"]).where(search.match_words(search.tokens(F.col("t")), "License nicht")).select("id")
 
 
-@query("SELECT p_partkey AS id FROM part WHERE list_contains(str_split(lower(p_type), ' '), lower(str_split((SELECT min(p_type) FROM part), ' ')[1]))")
+@query(r"SELECT doc_id AS id FROM documents WHERE list_has_all(regexp_extract_all(lower(text), '\p{N}+(?:[.,]\p{N}+)+|[\p{L}\p{N}_]+(?:[\x27.]\p{L}+)*'), ['und', 'nicht'])")
 def match_field_and(spark, sf_dir):
-    df = _table(spark, sf_dir, "part")
-    word = df.agg(F.min("p_type")).first()[0].split(" ")[0]
-    return _parsed(spark, sf_dir, "part", "p_partkey", ["p_type"]).where(search.match(word, "p_type", "and")).select("id")
+    leaves = _leaves(spark, sf_dir, "documents", "doc_id", ["text", "source"]).where("path = 'text'")
+    return leaves.where(search.match_words(search.tokens(F.col("t")), "Und NICHT", "and")).select("id")
+
+
+@query(r"SELECT p_partkey AS id FROM part WHERE len(list_filter(regexp_extract_all(lower(p_type), '[\p{L}\p{N}_]+'), lambda w: levenshtein(w, 'mediam') <= 1)) > 0")
+def match_fuzzy(spark, sf_dir):
+    data = F.to_json(F.struct(F.col("p_type").alias("type"), F.col("p_size").alias("size")))
+    docs = parsing.parse_documents(_table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), data.alias("data")), OPTIONS)
+    return docs.where(search.match("MEDIAM", "type", fuzziness=1)).select("id")
+
+
+@query("SELECT o_orderkey AS id FROM orders WHERE epoch_ms(o_orderdate) = (SELECT min(epoch_ms(o_orderdate)) FROM orders WHERE epoch_ms(o_orderdate) >= 820454400000)")
+def term_date(spark, sf_dir):
+    orders = _table(spark, sf_dir, "orders")
+    first = orders.where(_millis("o_orderdate") >= 820454400000).agg(F.min(_millis("o_orderdate"))).first()[0]
+    return _found(_leaves(spark, sf_dir, "orders", "o_orderkey", ["o_orderdate", "o_orderstatus"]), search.term_of("o_orderdate", first, "_d"))
+
+
+@query("SELECT o_orderkey AS id FROM orders WHERE o_orderstatus = 'F'")
+def term_boolean(spark, sf_dir):
+    return _found(_leaves(spark, sf_dir, "orders", "o_orderkey", ["o_orderstatus", "o_orderpriority"]), search.term_of("o_orderstatus", False))
+
+
+@query("SELECT c_name AS id, c_nationkey FROM customer WHERE lower(c_name) = (SELECT lower(max(c_name)) FROM customer)")
+def id_query(spark, sf_dir):
+    customers = _table(spark, sf_dir, "customer").select(F.col("c_name").alias("id"), "c_nationkey")
+    return customers.where(search.id_is(customers.agg(F.max("id")).first()[0].upper()))
 
 
 @query("""WITH n AS (SELECT count(*) AS n FROM events), k AS (SELECT json_type(props, '$.k') AS t, count(*) AS n FROM events GROUP BY 1)
@@ -255,9 +301,33 @@ def parsed_fields(spark, sf_dir):
     return profile.fields(_events_json(spark, sf_dir), "parsed_types")
 
 
-@query("SELECT 'props' AS parent, 'props.k' AS child")
+def _nested(spark, sf_dir) -> DataFrame:
+    """Customers as nested objects with keys of their own and lists of objects, through the parsing kernel."""
+    c = _table(spark, sf_dir, "customer")
+    deep = F.format_string('{"o": {"k%d": {"v": %d}}, "l": [{"a": 1}, %d], "e": [], "n": null}', F.col("c_custkey") % 3, "c_custkey", "c_nationkey")
+    return parsing.parse_documents(c.select(F.col("c_custkey").alias("id"), deep.alias("data")), OPTIONS)
+
+
+@query("""SELECT DISTINCT 'o' AS parent, 'o.k' || c_custkey % 3 AS child FROM customer UNION ALL SELECT DISTINCT 'o.k' || c_custkey % 3, 'o.k' || c_custkey % 3 || '.v' FROM customer
+UNION ALL SELECT DISTINCT 'l', 'l.' FROM customer UNION ALL SELECT DISTINCT 'l.', 'l..a' FROM customer""")
 def field_hierarchy(spark, sf_dir):
-    return profile.hierarchy(profile.fields(_events_json(spark, sf_dir)))
+    return profile.hierarchy(profile.fields(_nested(spark, sf_dir)))
+
+
+@query("""WITH n AS (SELECT count(*) AS n FROM customer), k AS (SELECT 'o.k' || c_custkey % 3 AS p, count(*) AS n FROM customer GROUP BY 1)
+SELECT 'o' AS path, n AS "count", '#d=' || n AS types, NULL AS parent FROM n UNION ALL SELECT 'l', n, '#l=' || n, NULL FROM n UNION ALL SELECT 'e', n, '#l=' || n, NULL FROM n
+UNION ALL SELECT 'n', n, '#n=' || n, NULL FROM n UNION ALL SELECT 'l.', n, '#d=' || n || ',#i=' || n, 'l' FROM n UNION ALL SELECT 'l..a', n, '#i=' || n, 'l.' FROM n
+UNION ALL SELECT p, n, '#d=' || n, 'o' FROM k UNION ALL SELECT p || '.v', n, '#i=' || n, p FROM k""")
+def fields_listed(spark, sf_dir):
+    listed = profile.listed(profile.fields(_nested(spark, sf_dir)))
+    types = F.array_join(F.transform(F.map_entries("types"), lambda x: F.concat_ws("=", x["key"], x["value"].cast("string"))), ",")
+    return listed.select("path", "count", types.alias("types"), "parent")
+
+
+@query("SELECT l_returnflag AS value, count(DISTINCT l_orderkey) AS \"count\" FROM lineitem GROUP BY 1")
+def terms_of_lists(spark, sf_dir):
+    lists = _table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.collect_list("l_returnflag").alias("flags"))
+    return profile.terms(lists, "flags")
 
 
 @query('SELECT event_type AS value, count(*) AS "count" FROM events GROUP BY 1')
@@ -302,6 +372,96 @@ def incremental_sync(spark, sf_dir):
     return versions.changed_since(_events(spark, sf_dir), MOMENT)
 
 
+@query(_EVENTS + f""", o AS (SELECT * FROM d WHERE next IS NOT NULL OR id % 3 <> 0), t AS (SELECT * FROM o WHERE version > {MOMENT} OR next > {MOMENT})
+SELECT 'index' AS op, id, version, next FROM t
+UNION ALL SELECT 'delete', id, max(next), NULL FROM t GROUP BY id HAVING bool_and(next IS NOT NULL) AND min(version) <= {MOMENT}""")
+def sync_deletions(spark, sf_dir):
+    """Every third user is deleted at the last moment: those that were open at the sync before leave the latest tier."""
+    return versions.changed_since(_events(spark, sf_dir).where("next IS NOT NULL OR id % 3 <> 0"), MOMENT)
+
+
+@query(_EVENTS + """SELECT id, version, '{"index":{"_index":"data-users-latest","_id":"' || id || ':' || version || '"}}' || chr(10) || '{"id":"' || id || '","version":' || version || ',"data":{"type":"' || event_type || '"}}' AS line FROM d""")
+def index_lines(spark, sf_dir):
+    ops = _events(spark, sf_dir).select(F.lit("index").alias("op"), F.col("id").cast("string").alias("id"), "version", F.to_json(F.struct(F.col("event_type").alias("type"))).alias("data"))
+    return versions.serialised(ops, tiers.index_names("users")["latest"]).withColumn("id", F.col("id").cast("bigint"))
+
+
+def _database(spark, sf_dir):
+    """Customers as a database in the shared folder: all but every fifth, then changes, deletions and the others. Each commit is
+    synced; the clock shows 1000 and 2000. Returns it and the results of both."""
+    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not shared and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    moments = iter(range(1000, 10**9, 1000))
+    db = Engine(spark, f"{(shared or tempfile.mkdtemp(prefix='palimpsest-')).rstrip('/')}/database-{uuid.uuid4().hex}").database("customers", lambda: next(moments))
+    c = _table(spark, sf_dir, "customer").withColumns({"id": F.col("c_custkey").cast("string"), "seq": F.col("c_custkey")})
+    data = lambda more: F.to_json(F.struct(F.col("c_name").alias("name"), (F.col("c_nationkey") + more).alias("nation")))
+    first = db.ingest(c.where("c_custkey % 5 <> 0").select("id", data(0).alias("data"), "seq"))
+    synced = [db.sync()]
+    more = F.when(F.col("c_custkey") % 7 == 0, 1).otherwise(0)
+    second = db.ingest(c.select("id", F.when(F.col("c_custkey") % 11 != 0, data(more)).alias("data"), "seq"))
+    return db, [first, second], [*synced, db.sync()]
+
+
+_DATABASE = """WITH c AS (SELECT c_custkey::VARCHAR AS id, c_nationkey AS nation, c_custkey % 5 <> 0 AS old, c_custkey % 11 = 0 AS gone, c_custkey % 7 = 0 AS moved FROM customer),
+h AS (SELECT id, 1000 AS version, nation FROM c WHERE old UNION ALL SELECT id, 2000, CASE WHEN gone THEN NULL ELSE nation + moved::INT END FROM c WHERE CASE WHEN old THEN gone OR moved ELSE NOT gone END),
+d AS (SELECT id, version, lead(version) OVER (PARTITION BY id ORDER BY version) AS next, nation FROM h), t AS (SELECT *, CASE WHEN next IS NULL THEN 'latest' ELSE 'arc' END AS tier FROM d WHERE nation IS NOT NULL) """
+
+
+@query(_DATABASE + "SELECT id, version::BIGINT AS version, next::BIGINT AS next, nation::BIGINT AS nation, tier FROM t")
+def sync_tiers(spark, sf_dir):
+    """All documents after two commits, the second synced on top of the first."""
+    db, _, _ = _database(spark, sf_dir)
+    return db.search("all").docs.select("id", "version", "next", F.get_json_object("data", "$.nation").cast("bigint").alias("nation"), "tier")
+
+
+@query(_DATABASE + "SELECT id, version::BIGINT AS version, nation IS NULL AS gone FROM h")
+def record_history(spark, sf_dir):
+    db, _, _ = _database(spark, sf_dir)
+    return db.history().select("id", "version", F.col("data").isNull().alias("gone"))
+
+
+@query(_DATABASE + "SELECT id FROM t WHERE next IS NULL AND nation >= 10 AND nation < 15")
+def leaf_lookup(spark, sf_dir):
+    """A condition that is looked up in the database's table of leaves."""
+    db, _, _ = _database(spark, sf_dir)
+    return db.search().filter(search.range_of("nation", gte=10, lt=15)).docs.select("id")
+
+
+@query(_DATABASE + ", n AS (SELECT count(*) AS n FROM t WHERE next IS NOT NULL) SELECT arc::INT AS arc, least(10, n - arc * 10) AS n FROM n, unnest(range(0, (n + 9) // 10)) a(arc)")
+def resynced_arcs(spark, sf_dir):
+    """Archives of ten documents, written anew."""
+    db, _, _ = _database(spark, sf_dir)
+    db.resync_arcs(size=10)
+    return db.search("all").docs.where("tier = 'arc'").groupBy("arc").agg(F.count("*").alias("n"))
+
+
+@query(_DATABASE + """SELECT 'first inserted' AS name, count(*) AS n FROM c WHERE old UNION ALL SELECT 'second inserted', count(*) FROM c WHERE NOT old AND NOT gone
+UNION ALL SELECT 'second updated', count(*) FROM c WHERE old AND (gone OR moved) UNION ALL SELECT 'second deleted', 0
+UNION ALL SELECT 'second indexed', count(*) FROM t WHERE version > 1000 OR next > 1000 UNION ALL SELECT 'second gone from latest', count(*) FROM c WHERE old AND gone
+UNION ALL SELECT 'in archives', count(*) FROM t WHERE next IS NOT NULL UNION ALL SELECT 'last archive', 0 UNION ALL SELECT 'committed version', 2000 UNION ALL SELECT 'indexed version', 2000
+UNION ALL SELECT 'new records', 1 UNION ALL SELECT 'uncommitted', 1 UNION ALL SELECT 'rolled back', 1 UNION ALL SELECT 'uncommitted then', 0 UNION ALL SELECT 'options taken back', 1
+UNION ALL SELECT 'options version', 3000 UNION ALL SELECT 'same options', 0 UNION ALL SELECT 'locked', 1 UNION ALL SELECT 'locked then', 0 UNION ALL SELECT 'indices', 2
+UNION ALL SELECT 'current records', count(*) FROM t WHERE next IS NULL UNION ALL SELECT 'has data', 1 UNION ALL SELECT 'has options', 1""")
+def database_state(spark, sf_dir):
+    """Counts and probes of a database while records and options come, are taken back and committed."""
+    db, (first, second), (_, synced) = _database(spark, sf_dir)
+    out = {"first inserted": first.inserted, "second inserted": second.inserted, "second updated": second.updated, "second deleted": second.deleted}
+    out |= {"second indexed": synced.indexed, "second gone from latest": synced.deleted, "in archives": db.arc_status()[1], "last archive": db.arc_status()[0]}
+    out |= {"committed version": db.committed_version(), "indexed version": db.indexed_version(), "indices": len(db.current_indices())}
+    out["new records"] = db.ingest(db.frame([("new", {"x": 1}), ("other", None)]), commit=False).inserted
+    out["uncommitted"] = int(db.has_uncommitted_data())
+    out |= {"rolled back": db.rollback_records(), "uncommitted then": int(db.has_uncommitted_data())}
+    options = OptionsBuilder().with_keyword_length(5).build()
+    db.update_options(options, commit=False)
+    out["options taken back"] = db.rollback_options()
+    out |= {"options version": db.update_options(options), "same options": int(db.update_options(options) is not None)}
+    with db.locks.lock("sync", why="probe"):
+        out["locked"] = int(db.locks.is_locked("sync") and db.locks.metadata("sync") == {"why": "probe"})
+    out |= {"locked then": int(db.locks.is_locked("sync")), "current records": db.records().where("data IS NOT NULL").count(), "has data": int(db.has_data()), "has options": int(db.has_options())}
+    return spark.createDataFrame(list(out.items()), "name string, n bigint")
+
+
 def _states(spark, sf_dir):
     """Customers before and after, as maps of texts."""
     c = _table(spark, sf_dir, "customer")
@@ -318,25 +478,65 @@ def diff_flat_fields(spark, sf_dir):
     return _states(spark, sf_dir).select("id", *[F.array_join(d[k], ",").alias(k) for k in ("dn", "dd", "dc")])
 
 
-@query("SELECT c_custkey AS id, 1 AS same FROM customer")
+@query("SELECT c_custkey AS id, CASE WHEN c_custkey % 2 = 0 THEN c_name ELSE upper(c_mktsegment) END AS name, c_nationkey AS nation, NULL::VARCHAR AS old, true AS has_new FROM customer")
 def patch_roundtrip(spark, sf_dir):
+    """The older state with the differences applied: what it holds then."""
     states = _states(spark, sf_dir).select("id", F.to_json("base").alias("base"), F.to_json("new").alias("new"))
     back = patch_json(F.col("base"), diff_json(F.col("base"), F.col("new")))
-    kind = T.MapType(T.StringType(), T.StringType())
-    sets = [F.array_sort(F.map_entries(F.from_json(x, kind))) for x in (back, F.col("new"))]
-    return states.select("id", (sets[0] == sets[1]).cast("int").alias("same"))
+    of = lambda k: F.get_json_object("back", f"$.{k}")
+    return states.withColumn("back", back).select("id", of("name").alias("name"), of("nation").cast("bigint").alias("nation"), of("old").alias("old"), of("new").eqNullSafe(F.get_json_object("new", "$.new")).alias("has_new"))
+
+
+@query("""WITH q AS (SELECT l_orderkey AS id, count(*) AS n, list_sort(list({'n': l_linenumber, 'q': l_quantity::BIGINT}))[1].q AS first FROM lineitem GROUP BY 1)
+SELECT id, first + 1 AS changed, CASE WHEN n > 3 THEN n - 1 END AS cut, CASE WHEN n <= 3 THEN n END AS added FROM q""")
+def diff_lists(spark, sf_dir):
+    """An order's quantities in two states: the first is one more; of more than three the last has gone, else one came."""
+    lines = _table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("id")).agg(F.array_sort(F.collect_list(F.struct("l_linenumber", F.col("l_quantity").cast("bigint").alias("q")))).alias("x"))
+    base = F.transform("x", lambda x: x["q"])
+    n = F.size("base")
+    new = F.concat(F.array(F.col("base")[0] + 1), F.when(n > 3, F.slice("base", 2, n - 2)).otherwise(F.concat(F.slice("base", 2, n), F.array(n.cast("bigint")))))
+    states = lines.select("id", base.alias("base")).select("id", F.to_json(F.struct(F.col("base").alias("q"))).alias("base"), F.to_json(F.struct(new.alias("q"))).alias("new"))
+    of = lambda path: F.get_json_object("d", f"$[0][1].{path}").cast("bigint")
+    return states.select("id", diff_json("base", "new").alias("d")).select("id", of("lc[0][1]").alias("changed"), of("ld").alias("cut"), of("ln[0]").alias("added"))
+
 
+@query("""SELECT l_orderkey AS id, count(*) AS n, sum(l_quantity)::DOUBLE AS total, 'q.#l,q..#i' AS types FROM lineitem GROUP BY 1""")
+def list_leaves(spark, sf_dir):
+    """The values of a list are leaves at the list's own path."""
+    lines = _table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("id")).agg(F.to_json(F.struct(F.collect_list(F.col("l_quantity").cast("bigint")).alias("q"))).alias("data"))
+    docs = parsing.parse_documents(lines, OPTIONS).withColumn("own", F.filter("leaves", lambda x: x["path"] == "q"))
+    total = F.aggregate("own", F.lit(0.0), lambda a, x: a + x["n"])
+    return docs.select("id", F.size("own").cast("bigint").alias("n"), total.alias("total"), F.array_join("data_types", ",").alias("types"))
 
-@query("SELECT event_id AS id, json_extract_string(props, '$.k') AS k FROM events")
+
+@query("SELECT l_orderkey, l_linenumber, printf('%.15g', l_discount::DOUBLE) AS discount, printf('%.15g', l_extendedprice::DOUBLE) AS price, CASE WHEN l_quantity > 25 THEN 'True' ELSE 'False' END AS large FROM lineitem")
+def text_forms(spark, sf_dir):
+    """Floats and booleans as the texts that the kernel gives them."""
+    of = lambda column, kind: parsing.text_of(column.cast(kind), kind, OPTIONS)
+    large = of(F.col("l_quantity") > 25, "boolean")
+    return _table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", of(F.col("l_discount"), "double").alias("discount"), of(F.col("l_extendedprice"), "double").alias("price"), large.alias("large"))
+
+
+@query("SELECT o_orderkey, epoch_ms(date_trunc('day', o_orderdate)) + CASE WHEN o_orderkey % 2 = 0 THEN 0 ELSE 13 * 3600000 + 45 * 60000 END AS d FROM orders")
+def parse_date_formats(spark, sf_dir):
+    """Dates in two forms of the options; the other three are tried too."""
+    options = OptionsBuilder().with_date_format("%d/%m/%Y").with_date_format("%Y.%m.%d %H:%M").build()
+    text = F.when(F.col("o_orderkey") % 2 == 0, F.date_format("o_orderdate", "d/M/yyyy")).otherwise(F.concat(F.date_format("o_orderdate", "yyyy.MM.dd"), F.lit(" 13:45")))
+    return _table(spark, sf_dir, "orders").select("o_orderkey", parsing.date_by_options(text, options).alias("d"))
+
+
+@query("""SELECT c_custkey AS id, '{"name": "' || c_name || '", "tags": [null, ' || c_nationkey || ', null, "x"], "deep": {}}' AS data FROM customer""")
 def rebuild_data(spark, sf_dir):
+    """What can be rebuilt: empty containers go, and within lists empty texts too."""
+
     @F.pandas_udf(T.StringType())
     def rebuilt(data):
         import json
 
         return data.map(lambda x: json.dumps(parsing.rebuild(json.loads(x))))
 
-    docs = _events_json(spark, sf_dir).select("id", rebuilt("data").alias("data"))
-    return docs.select("id", F.get_json_object("data", "$.props.k").alias("k"))
+    raw = F.format_string('{"name": "%s", "tags": ["", %d, {}, "x"], "none": [], "deep": {"x": {}}}', "c_name", "c_nationkey")
+    return _table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), rebuilt(raw).alias("data"))
 
 
 _LAT, _LON = "(c_custkey * 37 % 20000) / 100.0 - 100", "(c_custkey * 91 % 36000) / 100.0 - 180"
@@ -353,11 +553,6 @@ def geo_hint_points(spark, sf_dir):
     return _points(spark, sf_dir).where("p IS NOT NULL").select("id", F.round("p.lat", 4).alias("lat"), F.round("p.lon", 4).alias("lon"))
 
 
-@query(f"SELECT c_custkey AS id FROM customer WHERE {_LAT} BETWEEN 10 AND 50 AND {_LON} BETWEEN -20 AND 60")
-def geo_bbox_points(spark, sf_dir):
-    return _points(spark, sf_dir).where("p.lat BETWEEN 10 AND 50 AND p.lon BETWEEN -20 AND 60").select("id")
-
-
 def _wkt_docs(spark, sf_dir):
     """Customers with their points as WKT texts, through the parsing kernel."""
     points = _table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.expr("c_custkey * 37 % 200 - 100").alias("lat"), F.expr("c_custkey * 91 % 360 - 180").alias("lon"))
@@ -374,6 +569,58 @@ def has_geo(spark, sf_dir):
     return _wkt_docs(spark, sf_dir).where(search.has_geo()).agg(F.count("*").alias("n"))
 
 
+@query("SELECT c_custkey AS id FROM customer WHERE c_custkey * 37 % 200 - 100 BETWEEN 10 AND 50 AND c_custkey * 91 % 360 - 180 BETWEEN -20 AND 60")
+def geo_bbox_points(spark, sf_dir):
+    return _wkt_docs(spark, sf_dir).where(search.points_in_box(-20, 50, 60, 10)).select("id")
+
+
+_X, _Y = "(c_custkey * 91 % 350 - 175)", "(c_custkey * 37 % 170 - 85)"
+
+
+def _shapes(spark, sf_dir, form: str, *parts: str) -> DataFrame:
+    """Customers with a shape at a place of their own, through the parsing kernel."""
+    c = _table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.format_string(form, *[F.expr(x).cast("int") for x in parts]).alias("data"))
+    return parsing.parse_documents(c, OPTIONS)
+
+
+@query(f"SELECT c_custkey AS id, {_X} + 1.0::DOUBLE AS lon, {_Y}::DOUBLE AS lat, format('LINESTRING ({{}} {{}}, {{}} {{}})', {_X}, {_Y}, {_X} + 2, {_Y}) AS gs FROM customer")
+def wkt_lines(spark, sf_dir):
+    docs = _shapes(spark, sf_dir, '{"way": "lineString (%d %d, %d %d)"}', _X, _Y, f"{_X} + 2", _Y)
+    return docs.select("id", F.col("leaves")[0]["lon"].alias("lon"), F.col("leaves")[0]["lat"].alias("lat"), F.col("leaves")[0]["gs"].alias("gs"))
+
+
+def _squares(spark, sf_dir) -> DataFrame:
+    """GeoJSON squares; those of even customers wind as the standard asks, those of odd ones the other way."""
+    x, y = (_X, f"{_X} + 2"), (_Y, f"{_Y} + 2")
+    first, second = (f"CASE WHEN c_custkey % 2 = 0 THEN {a} ELSE {b} END" for a, b in ((x[1], x[0]), (y[0], y[1])))
+    third, fourth = (f"CASE WHEN c_custkey % 2 = 0 THEN {a} ELSE {b} END" for a, b in ((x[0], x[1]), (y[1], y[0])))
+    form = '{"area": {"type": "Polygon", "coordinates": [[[%d, %d], [%d, %d], [%d, %d], [%d, %d], [%d, %d]]]}}'
+    return _shapes(spark, sf_dir, form, x[0], y[0], first, second, x[1], y[1], third, fourth, x[0], y[0])
+
+
+@query(f"SELECT c_custkey AS id, {_X} + 1.0::DOUBLE AS lon, {_Y} + 1.0::DOUBLE AS lat FROM customer WHERE c_custkey % 2 = 0")
+def geojson_winding(spark, sf_dir):
+    own = F.filter("leaves", lambda x: (x["path"] == "area") & x["gs"].isNotNull())
+    return _squares(spark, sf_dir).where(search.has_geo()).select("id", F.round(own[0]["lon"], 6).alias("lon"), F.round(own[0]["lat"], 6).alias("lat"))
+
+
+@query(f"SELECT c_custkey AS id FROM customer WHERE {_X} <= 30 AND {_X} + 4 >= -40 AND {_Y} <= 20 AND {_Y} + 4 >= -10 AND greatest({_X}, -40) - {_X} + greatest({_Y}, -10) - {_Y} <= 4")
+def geo_bbox_shapes(spark, sf_dir):
+    """Triangles that meet a box: where only their bounds do, they are no hit."""
+    docs = _shapes(spark, sf_dir, '{"area": "POLYGON ((%d %d, %d %d, %d %d, %d %d))"}', _X, _Y, f"{_X} + 4", _Y, _X, f"{_Y} + 4", _X, _Y)
+    return docs.where(search.shapes_in_box(-40, 20, 30, -10)).select("id")
+
+
+@query(f"""WITH r AS (SELECT s_suppkey AS id, s_suppkey * 37 % 240 - 120 AS lat, s_suppkey * 91 % 300 - 150 AS lon, s_suppkey % 3 AS k FROM supplier)
+SELECT id, lon::DOUBLE AS lon, lat::DOUBLE AS lat, k = 2 AND lat BETWEEN -89 AND 89 AS round FROM r WHERE lat BETWEEN -90 AND 90""")
+def geo_hint_shapes(spark, sf_dir):
+    """Hints of the options: numbers or numeric texts in range are a point, with a positive radius a circle around it."""
+    s = _table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), F.format_string('{"lat": %d, "lon": "%d", "rad": %s}', F.expr("s_suppkey * 37 % 240 - 120").cast("int"), F.expr("s_suppkey * 91 % 300 - 150").cast("int"), F.expr("element_at(array('0', '-5', '12.5'), cast(s_suppkey % 3 + 1 as int))")).alias("data"))
+    docs = parsing.parse_documents(s, OptionsBuilder().with_geo_hint("lat", "lon", "rad").build())
+    own = F.filter("leaves", lambda x: x["path"] == "lat")[0]
+    return docs.where(search.has_geo()).select("id", own["lon"].alias("lon"), own["lat"].alias("lat"), own["gs"].startswith("POLYGON").alias("round"))
+
+
 @query()
 def geo_circles(spark, sf_dir):
     """A circle around each supplier's point; SQL has no geodesic, tests hold its radius."""

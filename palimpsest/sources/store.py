@@ -7,6 +7,15 @@ import uuid
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+
+class WriteError(Exception):
+    """Documents could not be written; nothing of their sync is visible. ``errors`` holds what went wrong."""
+
+    def __init__(self, errors: list):
+        super().__init__(f"{len(errors)} errors while writing. Sample: {errors[0]}")
+        self.errors = errors
 
 
 class AlreadyLocked(Exception):
@@ -49,9 +58,8 @@ class Folder:
 
     def manifest(self) -> dict:
         """The newest manifest; each state of the database is a file of its own, written whole before it has its name."""
-        number = 0
-        while self.exists(f"manifest-{number + 1}.json"):
-            number += 1
+        found = self._fs.globStatus(self._path(f"{self.root}/manifest-*.json")) or []
+        number = max((int(x.getPath().getName()[len("manifest-") : -len(".json")]) for x in found), default=0)
         return (self.read(f"manifest-{number}.json") if number else None) or {"number": 0}
 
     def publish(self, manifest: dict) -> None:
@@ -61,10 +69,10 @@ class Folder:
         if self._fs.exists(target) or not self._fs.rename(self._path(f"{self.root}/manifest-{number}.tmp-{own}"), target):
             raise RuntimeError("the database was changed meanwhile")
 
-    def write(self, df: DataFrame, partition_by: list[str] | None = None) -> str:
+    def write(self, df: DataFrame) -> str:
         """A new table; visible only once a manifest names it."""
         name = f"tables/{uuid.uuid4().hex}"
-        df.write.option("compression", "zstd").partitionBy(*(partition_by or [])).parquet(f"{self.root}/{name}")
+        df.write.option("compression", "zstd").parquet(f"{self.root}/{name}")
         return name
 
     def table(self, names: list[str], schema: str) -> DataFrame:
@@ -72,6 +80,64 @@ class Folder:
             return self.spark.createDataFrame([], schema)
         return self.spark.read.schema(schema).parquet(*[f"{self.root}/{n}" for n in names])
 
+    def write_parts(self, df: DataFrame, key: str, spread: int = 1) -> dict:
+        """A new table with a folder for each value of ``key``, an integer column that the files do not hold; which there are.
+
+        A value's rows are written by ``spread`` tasks, dealt by id, and each file is sorted by id.
+        """
+        name = f"tables/{uuid.uuid4().hex}"
+        dealt = [key] + ([F.pmod(F.xxhash64("id"), F.lit(spread))] if spread > 1 else [])
+        df.repartition(*dealt).sortWithinPartitions(key, "id").write.option("compression", "zstd").partitionBy(key).parquet(f"{self.root}/{name}")
+        found = self._fs.globStatus(self._path(f"{self.root}/{name}/{key}=*")) or []
+        return {"name": name, "key": key, "has": sorted(int(x.getPath().getName().partition("=")[2]) for x in found)}
+
+    def parts(self, tables: list[dict], schema: str) -> DataFrame:
+        return self.table([f"{t['name']}/{t['key']}={k}" for t in tables for k in t["has"]], schema)
+
+
+class Buckets:
+    """Rows by buckets of their ids: which folders of which tables hold the present ones. Their number is a power of two, and a
+    bucket of a table with fewer holds those of a finer division whose numbers are equal to its own by that modulus."""
+
+    def __init__(self, folder: Folder, tables: list[dict], schema: str):
+        self.folder, self.tables, self.schema = folder, tables, schema
+
+    @staticmethod
+    def of(rows: DataFrame, number: int) -> set[int]:
+        """The buckets that the ids of ``rows`` fall into: as many numbers as there are buckets at most."""
+        return {r["bucket"] for r in rows.select(bucket(number).alias("bucket")).distinct().collect()}
+
+    def covered(self, number: int) -> set[int]:
+        """The buckets of a division into ``number``, at least as fine as any here, that rows may be in."""
+        return {x + k * t["of"] for t in self.tables for x in t["has"] for k in range(number // t["of"])}
+
+    def within(self, wanted: set[int]) -> Buckets:
+        return self._split(wanted)[0]
+
+    def _split(self, wanted: set[int]) -> tuple[Buckets, Buckets]:
+        parts: tuple[list, list] = ([], [])
+        for t in self.tables:
+            own = {x % t["of"] for x in wanted}
+            for k, has in enumerate(([x for x in t["has"] if x in own], [x for x in t["has"] if x not in own])):
+                if has:
+                    parts[k].append({**t, "has": has})
+        return Buckets(self.folder, parts[0], self.schema), Buckets(self.folder, parts[1], self.schema)
+
+    def rows(self) -> DataFrame:
+        return self.folder.parts(self.tables, self.schema)
+
+    def add(self, rows: DataFrame, number: int, **about) -> Buckets:
+        table = self.folder.write_parts(rows.withColumn("bucket", bucket(number)), "bucket")
+        return Buckets(self.folder, self.tables + ([{**table, "of": number, **about}] if table["has"] else []), self.schema)
+
+    def replace(self, wanted: set[int], rows: DataFrame, number: int) -> Buckets:
+        """Those outside of ``wanted`` as they are, and ``rows``, which must be all others: no other bucket is written anew."""
+        return self._split(wanted)[1].add(rows, number)
+
+
+def bucket(number: int):
+    return F.pmod(F.xxhash64("id"), F.lit(number)).cast("int")
+
 
 class Locks:
     """Named locks with metadata: a lock is a file that only one can create."""
