@@ -69,3 +69,13 @@ def test_clean_documents_of_a_large_family_are_kept(spark):
     assert all(model.predict(text)[0] == x and model.predict(text)[1] >= 0.8 for _, text, x, *_ in rows)
     mixed = " ".join(w for own in zip(*words.values()) for w in own)
     assert model.predict(mixed)[1] < corpus_pipeline.LEAST_SURE
+
+
+def test_equal_rows_stay_once_and_any_column_passes(spark):
+    rows = [(1, "a b c d e f g", "x"), (1, "a b c d e f g", "x"), (2, "a b c d e f g", "x"), (3, "h i j k l m n", "x"), (4, "one text of this id", "x"), (4, "and another one of it", "x"), (None, "no id", "x"), (None, "no id", "x")]
+    docs = spark.createDataFrame([(*r, "en", 1.0) for r in rows], "doc_id long, text string, _stage_sure string, lang string, _stage_quality double")
+    got = sorted((str(r["doc_id"]), r["text"]) for r in corpus_pipeline.distinct(spark, docs, SMALL).collect())
+    assert got == sorted([("1", rows[0][1]), ("3", rows[3][1]), ("4", rows[4][1]), ("4", rows[5][1]), ("None", "no id"), ("None", "no id")])
+    for _, stage in corpus_pipeline.STAGES[:2]:
+        out = stage(spark, docs, SMALL)
+        assert out.columns == docs.columns and all(r["_stage_sure"] == "x" and r["_stage_quality"] == 1.0 for r in out.collect())
