@@ -39,7 +39,7 @@ def shared_dir(spark: SparkSession) -> str:
 def materialise(df: DataFrame) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it again: cuts the lineage, survives lost executors.
 
-    The tables lie under ``scratch-<application id>`` and may be removed when the application has ended.
+    The tables lie under ``scratch-<application id>``; ``clear_scratch`` removes them.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/scratch-{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
@@ -47,6 +47,13 @@ def materialise(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def clear_scratch(spark: SparkSession) -> bool:
+    """Remove all tables that ``materialise`` has written in this application. For when its results have been written: frames
+    that operators have returned before can't be read any more."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/scratch-{spark.sparkContext.applicationId}")
+    return bool(path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True))
+
+
 def materialise_bucketed(df: DataFrame, key: str) -> DataFrame:
     """Like ``materialise``, in as many buckets of ``key`` as a shuffle has partitions: grouping by it shuffles no row again.
 

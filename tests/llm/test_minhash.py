@@ -169,3 +169,11 @@ def test_a_text_in_very_many_rows_of_one_id(spark):
     rows = [(7, base)] * 3000 + [(8, base + " tail")] * 3000 + [(9, "other words stand here now")]
     got = result(spark, rows, shingle_words=4, percent=80)
     assert len(got) == 6001 and {(x[0], x[2]) for x in got} == {(7, 7), (8, 7), (9, 9)}
+
+
+def test_scratch_tables_can_be_cleared(spark):
+    from palimpsest.llm.common import clear_scratch, materialise
+
+    kept = materialise(spark.range(5).toDF("x"))
+    assert kept.count() == 5 and clear_scratch(spark) and not clear_scratch(spark)
+    assert materialise(spark.range(3).toDF("x")).count() == 3
