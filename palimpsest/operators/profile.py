@@ -13,10 +13,11 @@ def terms(docs: DataFrame, column: str) -> DataFrame:
     return values.where("value IS NOT NULL").groupBy("value").agg(F.count("*").alias("count")).orderBy("value")
 
 
-def fields(docs: DataFrame, column: str = "data_types") -> DataFrame:
+def fields(docs: DataFrame, column: str = "data_types", weight: str | None = None) -> DataFrame:
     """(path, tag, count, tag_count): rows of a path's tags. A combination of tags counts once for its path and once for
-    each of its tags."""
-    combos = docs.select(F.explode(F.array_distinct(column)).alias("x")).groupBy("x").agg(F.count("*").alias("n"))
+    each of its tags; a row that stands for several documents has their number in ``weight``."""
+    number = F.sum(weight) if weight else F.count("*")
+    combos = docs.select(F.explode(F.array_distinct(column)).alias("x"), *([weight] if weight else [])).groupBy("x").agg(number.alias("n"))
     parts = combos.select(F.regexp_extract("x", r"^(.*)\.([^.]*)$", 1).alias("path"), F.split(F.regexp_extract("x", r"^(.*)\.([^.]*)$", 2), ",").alias("tags"), "n")
     totals = parts.groupBy("path").agg(F.sum("n").alias("count"))
     tags = parts.select("path", F.explode("tags").alias("tag"), "n").groupBy("path", "tag").agg(F.sum("n").alias("tag_count"))

@@ -243,11 +243,19 @@ def exists_field(spark, sf_dir):
     return _events_json(spark, sf_dir).where(search.exists("props.k")).select("id")
 
 
-def _events_json(spark, sf_dir) -> DataFrame:
-    """Events as nested JSON through the parsing kernel."""
-    events = _table(spark, sf_dir, "events")
+def _events_data(spark, sf_dir) -> DataFrame:
+    """Events as nested JSON."""
     data = F.concat(F.lit('{"type": "'), F.col("event_type"), F.lit('", "props": '), F.coalesce("props", F.lit("null")), F.lit("}"))
-    return parsing.parse_documents(events.select(F.col("event_id").alias("id"), data.alias("data")), OPTIONS)
+    return _table(spark, sf_dir, "events").select(F.col("event_id").alias("id"), data.alias("data"))
+
+
+def _events_json(spark, sf_dir) -> DataFrame:
+    return parsing.parse_documents(_events_data(spark, sf_dir), OPTIONS)
+
+
+def _events_kinds(spark, sf_dir) -> DataFrame:
+    """Equal events are parsed once, with their number: a profile needs no more."""
+    return parsing.parse_documents(_events_data(spark, sf_dir).groupBy("data").agg(F.count("*").alias("n")), OPTIONS)
 
 
 @query(r"SELECT doc_id AS id FROM documents WHERE list_contains(regexp_extract_all(lower(text), '\p{N}+(?:[.,]\p{N}+)+|[\p{L}\p{N}_]+(?:[\x27.]\p{L}+)*'), 'license') OR list_contains(regexp_extract_all(lower(text), '\p{N}+(?:[.,]\p{N}+)+|[\p{L}\p{N}_]+(?:[\x27.]\p{L}+)*'), 'nicht')")
@@ -290,7 +298,7 @@ def id_query(spark, sf_dir):
 SELECT 'type' AS path, '#s' AS tag, n AS "count", n AS tag_count FROM n UNION ALL SELECT 'props', '#d', n, n FROM n
 UNION ALL SELECT 'props.k', CASE WHEN t IN ('BIGINT', 'UBIGINT') THEN '#i' WHEN t = 'DOUBLE' THEN '#f' ELSE '#s' END, (SELECT sum(n)::BIGINT FROM k WHERE t IS NOT NULL), n FROM k WHERE t IS NOT NULL""")
 def data_fields(spark, sf_dir):
-    return profile.fields(_events_json(spark, sf_dir))
+    return profile.fields(_events_kinds(spark, sf_dir), weight="n")
 
 
 @query("""WITH t AS (SELECT event_type IN ('click', 'view') AS b FROM events), k AS (SELECT count(*) AS n FROM events WHERE json_extract_string(props, '$.k') IS NOT NULL)
@@ -298,7 +306,7 @@ SELECT 'type' AS path, tag, (SELECT count(*) FROM t) AS "count", count(*) AS tag
 UNION ALL SELECT 'type', '_b', (SELECT count(*) FROM t), count(*) FROM t WHERE b HAVING count(*) > 0
 UNION ALL SELECT 'props.k', tag, n, n FROM k, (VALUES ('_t'), ('_k'), ('_u'), ('_n')) x(tag)""")
 def parsed_fields(spark, sf_dir):
-    return profile.fields(_events_json(spark, sf_dir), "parsed_types")
+    return profile.fields(_events_kinds(spark, sf_dir), "parsed_types", "n")
 
 
 def _nested(spark, sf_dir) -> DataFrame:
