@@ -283,3 +283,85 @@ def test_words_are_split_the_same_in_slices(monkeypatch):
 def test_settled_needs_confidence():
     assert not lm.settled([0, 0, 0, 10, 1, 1]) and not lm.settled([100, 500.0, 3000.0, 100, 499.0, 3000.0])
     assert lm.settled([1e6, 5e6, 3e7, 1e6, 4.99e6, 3e7]) and not lm.settled([1e6, 5e6, 3e7, 1e6, 4.9e6, 3e7])
+
+
+def plain_grams(text):
+    """The n-grams of a text as they are, without hashing."""
+    words = text.encode().split()
+    shapes = [(quality.classes(w), k > 0 and words[k - 1] == w) for k, w in enumerate(words)]
+    grams = {("word", w) for w in words} | {("shape", x) for x in shapes} | set(zip(shapes, shapes[1:])) | set(zip(shapes, shapes[1:], shapes[2:]))
+    for w in words:
+        found = quality.classes(w)
+        if len(found) > quality.WINDOW:
+            grams |= {("window", found[k : k + quality.WINDOW]) for k in range(0, len(found), quality.WINDOW)}
+    return grams
+
+
+def test_quality_against_a_plain_version(spark):
+    """Log-count ratios over all labelled rows, the scaled indicators, the hinge-loss model and its curve, on sets of n-grams."""
+    rows = [(i, text, i % 2) for i, text, *_ in quality_rows(80)] + [(200, "a1b2-c3.d4,e5;f6:g7!h8?i9 " * 2, 0), (201, "Zürich 日本語、テキスト。です（はい）「ね」…よ・う！か？", 1)]
+    model = quality.train(spark.createDataFrame(rows, "doc_id long, text string, label int"))
+    grams = [plain_grams(text) for _, text, _ in rows]
+    y = np.array([label for *_, label in rows])
+    every = sorted(set().union(*grams), key=repr)
+    place = {g: k for k, g in enumerate(every)}
+    n = np.ones((2, len(every)))
+    for own, label in zip(grams, y):
+        for g in own:
+            n[label, place[g]] += 1
+    ratios = np.log(n[1] / (y.sum() + 2)) - np.log(n[0] / ((1 - y).sum() + 2))
+
+    def scaled(own):
+        at = np.array(sorted(place[g] for g in own if g in place), int)
+        return at, ratios[at] / np.sqrt(ratios[at] @ ratios[at])
+
+    signs = np.where(y > 0, 1.0, -1.0)
+    w = svm.fit([scaled(x) for x in grams], signs, len(every), svm.balanced_cost(signs, 10.0))
+    margin = lambda own: w[scaled(own)[0]] @ scaled(own)[1] + w[-1]
+    a, b = svm.calibrate(np.array([margin(x) for x in grams]), signs)
+    of = quality.Features()
+    for (_, text, _), own in zip(rows, grams):
+        assert model.score(of(text)) == pytest.approx(1 / (1 + np.exp(-(a * margin(own) + b))), abs=5e-3)
+
+
+def test_long_shapes_keep_all_their_parts():
+    of = quality.Features()
+    same = "x1-" * 20
+    assert len(quality.windows((same + "?!").encode())) == 6 and quality.windows(b"plain") == []
+    assert set(of(same + "end!")) != set(of(same + "end?")) and len(of("ab" * 500_000)) > 0
+
+
+def plain_language(model, text):
+    data = f" {text} ".encode().lower()
+    counts = {}
+    for i in range(len(data) - 2):
+        key = (((data[i] * 0x9E3779B1 + data[i + 1] * 0x85EBCA6B + data[i + 2] * 0xC2B2AE35) & 0xFFFFFFFF) >> 7) % langid.DIMS
+        counts[key] = counts.get(key, 0) + 1
+    total = sum(counts.values())
+    margins = [sum(n * float(model.weights[k, m]) for k, n in counts.items()) / total + model.bias[m] for m in range(model.weights.shape[1])]
+    sure = [1 / (1 + np.exp(-(a * m + b))) for m, (a, b) in zip(margins, model.curves)]
+    families = dict(zip(model.families, sure)) if len(model.families) > 1 else {model.families[0]: 1.0}
+    pairs = dict(zip(model.pairs, sure[len(sure) - len(model.pairs) :]))
+    family = max(families, key=families.get)
+    own = [x for x in model.langs if langid.family_of(x) == family]
+    share = {}
+    for x in own:
+        against = [pairs[x, z] if (x, z) in pairs else 1 - pairs[z, x] for z in own if z != x]
+        share[x] = 1 / max(sum(1 / p for p in against) - (len(own) - 2), 1.0)
+    best = max(own, key=lambda x: share[x])
+    return best, families[family] / sum(families.values()) * share[best] / sum(share.values())
+
+
+def test_language_against_a_plain_version():
+    rng = random.Random(3)
+    langs = [*WORDS, "nl"] * 25
+    words = WORDS | {"nl": "de het een niet met huis worden welke zou mensen water omdat".split()}
+    texts = [sentence(rng, words[x]) for x in langs]
+    model = langid.Model([langid.frequencies(x) for x in texts], langs)
+    sparse = [tuple(np.frombuffer(b, t) for b, t in zip(langid.sparse(langid.frequencies(x)), (np.uint16, np.float32))) for x in texts]
+    again = langid.Model([(at.astype(np.int64), x.astype(float)) for at, x in sparse], langs)
+    assert np.allclose(model.weights, again.weights, atol=1e-3)
+    for text in [*texts[:20], sentence(rng, words["en"] + words["fr"]), "ÄÖ ß", "x"]:
+        lang, score = model.predict(text)
+        want, sure = plain_language(model, text)
+        assert score == pytest.approx(sure, abs=1e-4) and (lang == want or sure < 0.5)
