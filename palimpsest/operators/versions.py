@@ -22,23 +22,25 @@ def grid(history: DataFrame, options: DataFrame, strict: bool = False) -> DataFr
     ``strict`` those in force then.
     """
     known = options.select("version", "option").orderBy("version").collect()  # a row for each commit of options
-    points = F.array(*[F.struct(F.lit(v).cast("bigint").alias("at"), F.lit(x).alias("option")) for v, x in known])
-    spans = history.groupBy("id").agg(F.min("version").alias("first"))
+    kind = dict(options.dtypes)["option"]
+    points = F.array(*[F.struct(F.lit(v).cast("bigint").alias("at"), F.lit(x).cast(kind).alias("option")) for v, x in known])
+    # Moments of options come with a record's first row, so all below is done within one shuffle by id.
+    first = F.col("version")
+    later = F.filter(points, lambda x: x["at"] >= first)
     if strict:  # those in force at the first data count from there on
-        before = F.filter(points, lambda x: x["at"] < F.col("first"))
-        held = F.when(F.size(before) > 0, F.transform(F.slice(before, -1, 1), lambda x: F.struct(F.col("first").alias("at"), x["option"].alias("option")))).otherwise(F.slice(points, 1, 0))
-        later = F.filter(points, lambda x: x["at"] >= F.col("first"))
-        held = F.when(F.exists(later, lambda x: x["at"] == F.col("first")), F.slice(points, 1, 0)).otherwise(held)
-        moments = spans.select("id", F.explode(F.concat(held, later)).alias("x"))
-    else:
-        moments = spans.select("id", F.explode(F.filter(points, lambda x: x["at"] >= F.col("first"))).alias("x"))
-    moments = moments.select("id", F.col("x.at").alias("version"), F.col("x.option").alias("option"))
-    rows = history.select("id", "version", F.struct("data").alias("state"), F.lit(None).alias("option"))
-    rows = rows.unionByName(moments.select("id", "version", F.lit(None).alias("state"), "option"), allowMissingColumns=True)
+        before = F.filter(points, lambda x: x["at"] < first)
+        held = F.transform(F.slice(before, -1, 1), lambda x: F.struct(first.alias("at"), x["option"].alias("option")))
+        later = F.when((F.size(before) > 0) & ~F.exists(later, lambda x: x["at"] == first), F.concat(held, later)).otherwise(later)
+    by_id = W.partitionBy("id").orderBy("version")
+    data = dict(history.dtypes)["data"]
+    state, none = f"struct<data:{data}>", lambda t: F.lit(None).cast(t)
+    own = F.array(F.struct(F.col("version"), F.struct("data").cast(state).alias("state"), none(kind).alias("option")))
+    moments = F.transform(F.when(F.col("n") == 1, later).otherwise(F.slice(points, 1, 0)), lambda x: F.struct(x["at"].alias("version"), none(state).alias("state"), x["option"].alias("option")))
+    rows = history.select("id", "version", "data", F.row_number().over(by_id).alias("n")).select("id", F.explode(F.concat(own, moments)).alias("x")).select("id", "x.*")
     merged = rows.groupBy("id", "version").agg(F.first("state", ignorenulls=True).alias("state"), F.first("option", ignorenulls=True).alias("option"))
-    w = W.partitionBy("id").orderBy("version").rowsBetween(W.unboundedPreceding, 0)
+    w = by_id.rowsBetween(W.unboundedPreceding, 0)
     carried = merged.select("id", "version", F.last("state", ignorenulls=True).over(w).alias("state"), F.last("option", ignorenulls=True).over(w).alias("option"))
-    return carried.select("id", "version", F.col("state.data").alias("data"), F.coalesce("option", F.lit(known[0]["option"])).alias("option"))
+    return carried.select("id", "version", F.col("state.data").alias("data"), F.coalesce("option", F.lit(known[0]["option"]).cast(kind)).alias("option"))
 
 
 def fold(history: DataFrame, options: DataFrame, parse: Callable[[DataFrame], DataFrame], strict: bool = False) -> DataFrame:
