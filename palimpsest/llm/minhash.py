@@ -242,7 +242,8 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80,
         """(doc_id, mark, text) of distinct (doc_id, mark), once each."""
         wanted = wanted.join(broadcast_if_small(often, 16), "doc_id", "left").select("doc_id", "mark", F.col("several").isNotNull().alias("often"))
         wanted = materialise(wanted)
-        found = materialise(texts.join(broadcast_if_small(wanted, 24), "doc_id").where("mark = 0 OR mark = xxhash64(text)").select("doc_id", "mark", "text", "often"))
+        worded = texts.where(F.col("text").rlike(r"[^\x20\x09-\x0D]"))  # other rows of an id have no set
+        found = materialise(worded.join(broadcast_if_small(wanted, 24), "doc_id").where("mark = 0 OR mark = xxhash64(text)").select("doc_id", "mark", "text", "often"))
         again = found.where("often").groupBy("doc_id", "mark").agg(F.min("text").alias("text"))
         return found.where("NOT often").drop("often").unionByName(again)
 

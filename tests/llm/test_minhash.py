@@ -164,6 +164,13 @@ def test_repeated_ids_against_brute_force(spark, monkeypatch, seed):
     assert result(spark, rows, shingle_words=4, percent=80) == brute(rows)
 
 
+def test_rows_of_an_id_without_words(spark):
+    base = " ".join(f"w{i}" for i in range(60))
+    rows = [(1, None), (1, ""), (1, base), (1, " \t"), (2, base + " tail"), (2, None), (3, ""), (3, None)]
+    want = brute(rows)
+    assert result(spark, rows, shingle_words=4, percent=80) == want and {x[2] for x in want if x[0] == 2} == {1}
+
+
 def test_a_text_in_very_many_rows_of_one_id(spark):
     base = " ".join(f"w{i}" for i in range(60))
     rows = [(7, base)] * 3000 + [(8, base + " tail")] * 3000 + [(9, "other words stand here now")]
