@@ -214,7 +214,8 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80,
 
     component_id is the smallest doc_id reached by links; kept marks that document. Documents of equal sets form one
     class and only its smallest id is compared. A row without doc_id takes no part: its component is null, it is kept.
-    Rows of one id with several texts are one document of which each text has its links: all are in one component.
+    Rows of one id with several texts are one document of which each text has its links: all are in one component. A row
+    without words is linked with nothing, whatever other rows its id has.
 
     In each bucket of a band, all members are compared with the bucket's smallest id. Buckets that then still hold
     several groups compare the members of every group but the bucket's largest with all members of other groups, in
