@@ -201,6 +201,14 @@ class Database:
             self.folder.publish({**manifest, "staged": []})
         return n
 
+    def clean(self) -> int:
+        """Remove the tables that the present state no longer needs, and say how many. For when nobody ingests or reads."""
+        with self.locks.lock("commit", name=self.name), self.locks.lock("sync", name=self.name):
+            found = self.folder.unused(self.folder.manifest())
+            for name in found:
+                self.folder.delete(name)
+            return len(found)
+
     # -- index
 
     def _folded(self, history: DataFrame, strict: bool) -> DataFrame:

@@ -69,6 +69,12 @@ class Folder:
         if self._fs.exists(target) or not self._fs.rename(self._path(f"{self.root}/manifest-{number}.tmp-{own}"), target):
             raise RuntimeError("the database was changed meanwhile")
 
+    def unused(self, manifest: dict) -> list[str]:
+        """Tables that a manifest doesn't name."""
+        found = self._fs.globStatus(self._path(f"{self.root}/tables/*")) or []
+        text = json.dumps(manifest)
+        return [name for x in found if (name := f"tables/{x.getPath().getName()}") not in text]
+
     def write(self, df: DataFrame) -> str:
         """A new table; visible only once a manifest names it."""
         name = f"tables/{uuid.uuid4().hex}"

@@ -310,6 +310,7 @@ def test_probes(spark, tmp_path):
     db.ingest(db.frame([("a", {"x": 1})]))
     assert db.has_data() and db.has_options()
     assert db.ingest(db.frame([("a", {"x": 2})]), commit=False).updated == 1 == db.ingest(db.frame([("a", {"x": 2})]), commit=False).updated
+    assert db.clean() > 0 and db.clean() == 0
     assert [json.loads(r["data"])["x"] for r in db.history().collect()] == [1] and [json.loads(r["data"])["x"] for r in db.records().collect()] == [2]
 
 
