@@ -9,7 +9,7 @@ import pytest
 import tiktoken
 from tokenizers import Tokenizer
 
-from palimpsest.llm import bpe, packing
+from palimpsest.llm import bpe, packing, trie
 from palimpsest.llm.tokens import encoder, merged, pieces, read_ranks
 
 SCHEMA = "doc_id long, text string, lang string, tokens string, block long"
@@ -189,3 +189,57 @@ def test_a_very_long_piece_takes_no_square_time():
     assert b"".join({v: k for k, v in ranks.items()}[i] for i in merged(b"xy" * 100, ranks)) == b"xy" * 100
     merged(random.Random(1).randbytes(300_000), ranks)
     assert time.time() - began < 30
+
+
+@pytest.fixture(scope="module")
+def word_library():
+    return Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+
+
+def word_texts():
+    every = "".join(map(chr, range(1, 0x600)))
+    return TEXTS + random_texts() + [every, " ".join(every), "İstanbul ǅ Σίσυφος ΑΣ", "a<|endoftext|>b <|startoftext|><|EndOfText|>", "can't WON'T 's't're 1234½²", "x" * 3000 + "y", "the theme thence then " * 20]
+
+
+def test_words_through_a_trie_against_the_library(spark, word_library, monkeypatch):
+    monkeypatch.setattr(trie, "TRIE", 2000)
+    texts = word_texts()
+    got = {r["doc_id"]: r for r in trie.encode(frame(spark, texts), keep=True).collect()}
+    assert len(got) == len(texts)
+    for i, text in enumerate(texts):
+        ids = word_library.encode(text or "", add_special_tokens=False).ids
+        decoded = word_library.decode(ids, skip_special_tokens=False)
+        assert got[i]["ids"] == ids and got[i]["n_tokens"] == len(ids), repr(text)[:80]
+        assert got[i]["ids_sha256"] == hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest()
+        assert got[i]["decoded"] == decoded and got[i]["decoded_sha256"] == hashlib.sha256(decoded.encode()).hexdigest()
+
+
+def test_words_of_repeated_and_missing_rows(spark, word_library):
+    rows = spark.createDataFrame([(1, "same same"), (1, "same same"), (None, "other"), (None, None)], "doc_id long, text string")
+    assert sorted((r["doc_id"] or -1, r["n_tokens"]) for r in trie.encode(rows).collect()) == [(-1, 0), (-1, 1), (1, 2), (1, 2)]
+    assert trie.encode(rows.limit(0)).count() == 0
+
+
+def test_trie_shares_prefixes():
+    known = trie.vocabulary(public_tokenizers.path("word_bpe_49k.json"))
+    calls, last = [], known.last
+    words = sorted(trie._symbols(x) for x in ("interest", "interests", "interesting", "internal", "in"))
+    own = trie.Trie()
+    for x in words:
+        own.insert(x)
+    known.last = lambda path, lengths: calls.append("".join(path)) or last(path, lengths)
+    try:
+        found = dict(own.encoded(known))
+    finally:
+        del known.last
+    assert sorted(found) == words and all("".join(v) == k for k, v in found.items())
+    assert len(calls) == len(set(calls)) == len({x[:n] for x in words for n in range(1, len(x) + 1)})
+
+
+def test_words_not_seen_again_are_found_again(word_library, monkeypatch):
+    monkeypatch.setattr(trie, "KEPT", 3)
+    known = trie.vocabulary(public_tokenizers.path("word_bpe_49k.json"))
+    own = trie._Encoder(known)
+    for text in ("one two three four", "five one", "two <|endoftext|> six"):
+        own.learn(known.words(text))
+        assert " ".join(own.found[x][1] for x in known.words(text)) == " ".join(map(str, word_library.encode(text, add_special_tokens=False).ids))
