@@ -46,12 +46,18 @@ CLOSES = {
 _BLOCK, _VOID, _RAW, _UNSEEN, _SPACED = map(frozenset, (BLOCKS, VOID, RAW, UNSEEN, SPACED))
 _CELLS = frozenset({"td", "th"})
 _NOT_IN_P = frozenset(BLOCKS) - {"body", "html", "td", "th", "tr", "tbody", "thead", "tfoot", "caption", "option", "legend"}
-# Possessive, so that a tag without an end fails at once; it ends at the next "<" at the latest, outside of quotes.
-_TAG = re.compile(r"""<(?:!--.*?(?:-->|\Z)|[!?][^>]*+>|(/?)([A-Za-z][^\s/><]*+)((?:"[^"]*"|'[^']*'|[^<>"']++)*+)>)""", re.S)
-_ATTRIBUTE = re.compile(r"""([^\s=/"'][^\s=/]*+)(?:\s*+=\s*+("[^"]*+"|'[^']*+'|[^\s"']\S*+))?+|"[^"]*+"|'[^']*+'""")
+# What begins a tag, or is markup without content: comments, declarations, end tags without a name.
+_MARKUP = re.compile(r"<(?:!--(?:-?>|.*?(?:--!?>|\Z))|[!?][^>]*+(?:>|\Z)|/[^A-Za-z>][^>]*+(?:>|\Z)|/>|(/?)([A-Za-z][^ \t\n\f\r/>]*+))", re.S)
+# The states within a tag: before a name, after it, and an unquoted value. Slashes and stray quotes are no end of anything.
+_NAME = re.compile(r"[ \t\n\f\r/]*+([^ \t\n\f\r/>][^ \t\n\f\r/>=]*+)?+")
+_EQUALS = re.compile(r"[ \t\n\f\r]*+=[ \t\n\f\r]*+")
+_BARE = re.compile(r"[^ \t\n\f\r>]*+")
 _STYLE = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*hidden)", re.I)
 # What may stand in head, and what table, its sections and rows hold as structure.
 IN_HEAD = frozenset("head base basefont bgsound link meta noframes noscript script style template title".split())
+# and where SVG or MathML ends: at elements that hold HTML, and at tags that they can't contain.
+HTML_WITHIN = "foreignobject desc annotation-xml".split()
+BREAKS = frozenset("b big blockquote body br center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 head hr i img li menu meta ol p pre ruby s small span strong strike sub sup table tt u ul var".split())
 PARTS = frozenset("tr tbody thead tfoot colgroup col".split())
 _SPACE = re.compile(r"[ \t\n\r\f]+")
 
@@ -66,19 +72,31 @@ class Node:
         self.children: list = []
 
 
-def attributes_of(source: str) -> dict[str, str]:
-    """Names in lower case with their values; of one name the first counts, as HTML has it."""
+def rest_of_tag(source: str, at: int) -> tuple[dict[str, str], bool, int] | None:
+    """What follows a tag's name: its attributes, whether a slash stands before its end, and where it ends; None if the page
+    ends first. Names are in lower case; of one name the first counts. A quote that the page never closes begins no quoted value.
+    """
     out: dict[str, str] = {}
-    for found in _ATTRIBUTE.finditer(source):
-        if found[1]:
-            out.setdefault(found[1].lower(), html.unescape((found[2] or "").strip("\"'")))
-    return out
+    while True:
+        found = _NAME.match(source, at)
+        at = found.end()
+        if found[1] is None:
+            return (out, found[0].endswith("/"), at + 1) if at < len(source) else None
+        value, equals = "", _EQUALS.match(source, at)
+        if equals:
+            at = equals.end()
+            quote = source[at : at + 1]
+            end = source.find(quote, at + 1) if quote in ("'", '"') else -1
+            if end >= 0:
+                value, at = source[at + 1 : end], end + 1
+            else:
+                value = _BARE.match(source, at)[0]
+                at += len(value)
+        out.setdefault(found[1].lower(), html.unescape(value))
 
 
 def hidden(tag: str, attributes: dict[str, str]) -> bool:
-    """Whether the attributes hidden, style or aria-hidden (or type, on input) take the element out of sight."""
-    if attributes.get("aria-hidden", "").strip().lower() == "true":
-        return True
+    """Whether the attributes hidden or style (or type, on input) take the element out of sight."""
     return "hidden" in attributes or bool(_STYLE.search(attributes.get("style", ""))) or (tag == "input" and attributes.get("type", "").strip().lower() == "hidden")
 
 
@@ -97,6 +115,11 @@ class Tree:
     def is_open(self, tag: str) -> bool:
         return bool(self.at.get(tag))
 
+    def foreign(self) -> bool:
+        """Whether a tag here is SVG's or MathML's, where a slash closes any element."""
+        inside = max((self.at[x][-1] for x in ("svg", "math") if self.at.get(x)), default=0)
+        return inside > max((self.at[x][-1] for x in HTML_WITHIN if self.at.get(x)), default=0)
+
     def add(self, child) -> None:
         self.stack[-1].children.append(child)
 
@@ -126,7 +149,7 @@ def parse(source: str) -> Node:
 
     last = source.rfind(">")
     while at < len(source):
-        found = _TAG.search(source, at) if at <= last or source.find("<!--", at) >= 0 else None
+        found = _MARKUP.search(source, at) if at <= last or source.find("<!--", at) >= 0 else None
         if not found:
             string(source[at:])
             break
@@ -135,7 +158,11 @@ def parse(source: str) -> Node:
         at = found.end()
         if not found[2]:
             continue
-        tag = found[2].lower()
+        tag, rest = found[2].lower(), rest_of_tag(source, at)
+        if rest is None:  # what the page ends within is text
+            string(source[found.start() :])
+            break
+        attributes, slash, at = rest
         if found[1]:
             if tag in _CELLS | PARTS | {"caption"}:
                 ends = ["table"]
@@ -151,7 +178,9 @@ def parse(source: str) -> Node:
             tree.close(["p"], ["td", "th", "table", "li", "div", "blockquote"])
         if tag in _CELLS and tree.stack[-1].tag in ("table", "tbody", "thead", "tfoot"):
             tree.push(Node("tr"))
-        attributes = attributes_of(found[3]) if found[3] else {}
+        if tag in BREAKS and tree.foreign():
+            tree.close(["svg", "math"], HTML_WITHIN)
+        foreign = tree.foreign()
         node = Node(tag, tag not in _UNSEEN and not (attributes and hidden(tag, attributes)))
         if tag in _CELLS or tag in ("tr", "caption"):
             node.span = (_span(attributes, "colspan"), _span(attributes, "rowspan"))
@@ -159,13 +188,14 @@ def parse(source: str) -> Node:
                 if above.tag == "table" or above.holds:
                     break
                 above.holds = True
-        if tag in _RAW:
+        if tag in _VOID or (slash and (foreign or tag in ("svg", "math"))):
             tree.add(node)
-            end = re.compile(f"</{tag}[^>]*>", re.I).search(source, at)
-            node.children.append(source[at : end.start() if end else len(source)])
-            at = end.end() if end else len(source)
-        elif tag in _VOID or found[3].endswith("/"):
+        elif tag in _RAW and not foreign:
             tree.add(node)
+            end = re.compile(f"</{tag}(?=[ \\t\\n\\f\\r/>])", re.I).search(source, at)
+            node.children.append(source[at : end.start() if end else len(source)])
+            after = rest_of_tag(source, end.end()) if end else None
+            at = after[2] if after else len(source)
         else:
             tree.push(node)
     return tree.stack[0]

@@ -17,7 +17,7 @@ text_of = lambda source: html.render(html.parse(source))
         ("<ul><li>x<li>y</ul><ol><li>p</li><li>q<ul><li>r</ul></ol>", "- x\n- y\n\n1. p\n2. q\n   - r"),
         ("<table><tr><th>k<th>value<tr><td>long<td>1</table>", "k     value\nlong  1"),
         ("<pre>a\n  b</pre>", "a\n  b"),
-        ("<div hidden>no</div><div style='display: none'>no</div><span aria-hidden=true>no</span>yes", "yes"),
+        ("<div hidden>no</div><div style='display: none'>no</div><span aria-hidden=true>seen</span> yes", "seen yes"),
         ("<head><title>t</title></head><script>if (a<b) {}</script><style>x</style>shown<!-- not -->", "shown"),
         ("&lt;x&gt; &amp; caf&eacute;", "<x> & café"),
         ("<p>one</p></div></b>two", "one\n\ntwo"),
@@ -26,7 +26,21 @@ text_of = lambda source: html.render(html.parse(source))
         ("", ""),
         ("<p", "<p"),
         ("<p>one<" + "a" * 5000, "one<" + "a" * 5000),
-        ("x <a href=" + "y" * 5000 + " <b>bold</b>", "x <a href=" + "y" * 5000 + " bold"),
+        ("x <a href=" + "y" * 5000 + " <b>bold</b>", "x bold"),
+        ("<p title=it's>lost words' here 5 > 3</p>end", "lost words' here 5 > 3\n\nend"),
+        ('<p class="x"">text</p>', "text"),
+        ("<a title=it's>text</a>", "text"),
+        ('<img alt=5">seen', "seen"),
+        ('<a href="x"y">text</a>', "text"),
+        ("<div hidden/>secret</div>after", "after"),
+        ("<table><tr><td align=right/>a<td>b</table>", "a  b"),
+        ("<b/>bold<br/>next", "bold\nnext"),
+        ("<svg><title/><text>drawn</text></svg>on", "drawnon"),
+        ("<svg><style/><p>out<style/>x</style>y", "outy"),
+        ("<a b='1' c = 2 / d=\"3\" =e f='>'>x</a>", "x"),
+        ("<a href='never closed>x</a>", "x"),
+        ("a<!-->b<!--->c<!-- d --!>e</>f</ g>h<?php i ?>j", "abcefhj"),
+        ("<script>a</scripty></script >b", "b"),
         ('<a title="1 > 0">link</a>', "link"),
     ],
 )
@@ -413,3 +427,55 @@ def test_recall_with_the_registered_parameters_over_full_shards(spark):
     x = rng.normal(size=(n, 32)).astype(np.float32) + 1.5 * rng.normal(size=(50, 32)).astype(np.float32)[rng.integers(0, 50, n)]
     df = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "vec_id long, embedding array<float>")
     assert recall(x, ann.nearest(df, "vec_id % 200 = 0", k=20).collect(), 200) >= 0.9
+
+
+def text_by_characters(source):
+    """The text outside of tags, one character and one state at a time; None if the source ends within a tag."""
+    out, state, quote, begun = [], "data", "", 0
+    for k, c in enumerate(source):
+        ahead = source[k + 1 : k + 3]
+        if state == "data":
+            if c == "<" and (ahead[:1].isalpha() or (ahead[:1] == "/" and ahead[1:].isalpha())):
+                state, begun = "name", k
+            else:
+                out.append(c)
+        elif state == "name":
+            state = "data" if c == ">" else "before" if c in " \n/" and k > begun + 1 else "name"
+        elif state == "before":  # before an attribute's name
+            state = "data" if c == ">" else "before" if c in " \n/" else "attribute"
+        elif state == "attribute":
+            state = "data" if c == ">" else "after" if c in " \n" else "before" if c == "/" else "equals" if c == "=" else "attribute"
+        elif state == "after":
+            state = "data" if c == ">" else "after" if c in " \n" else "before" if c == "/" else "equals" if c == "=" else "attribute"
+        elif state == "equals":
+            if c in "'\"":
+                state, quote = "quoted", c
+            else:
+                state = "data" if c == ">" else "equals" if c in " \n" else "bare"
+        elif state == "bare":
+            state = "data" if c == ">" else "before" if c in " \n" else "bare"
+        elif state == "quoted" and c == quote:
+            state = "before"
+    return "".join(out) if state == "data" else None
+
+
+def test_noise_of_quotes_and_slashes_against_a_tokenizer_by_characters():
+    rng = __import__("random").Random(3)
+    parts = ["<b", "<i ", "</b", "</i ", ">", ">", "'", '"', "=", "/", " ", "\n", "word", "x", "5", "<", "< ", "alt", "='", '="', "/>"]
+    seen = 0
+    for _ in range(20_000):
+        source = "".join(rng.choice(parts) for _ in range(rng.randrange(1, 25)))
+        want = text_by_characters(source)
+        if want is not None and not __import__("re").search(r"</[^a-z]|<(?=/?[a-z]*$)", source):
+            seen += 1
+            assert text_of(source) == " ".join(want.split()), source
+    assert seen > 5000
+
+
+def test_a_page_that_ends_within_a_tag_is_read_once():
+    import time
+
+    began = time.time()
+    for unit in ("<a x ", "<a x='", '<a x="', "<a x='>", "<a 'b=\">", "<a/"):
+        text_of(unit * 50_000)
+    assert time.time() - began < 20
