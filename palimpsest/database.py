@@ -11,19 +11,32 @@ from pyspark.sql import functions as F
 
 from palimpsest.functions.values import now as clock
 from palimpsest.functions.values import prepare
+from palimpsest.operators import cells, profile, versions, words
 from palimpsest.operators import ingest as merging
-from palimpsest.operators import profile, versions
 from palimpsest.operators.options import ParsingOptions
 from palimpsest.operators.parsing import LEAF, PARSED, parse_documents
-from palimpsest.operators.search import Search, leaf_rows
+from palimpsest.operators.search import Search, Tables, leaf_rows
 from palimpsest.plans import tiers
-from palimpsest.sources.store import Buckets, Folder, Locks, WriteError
+from palimpsest.sources.store import Buckets, Folder, Layers, Locks, Runs, WriteError
 
 HISTORY = "id string, version bigint, data string, same string"
 STAGED = "id string, data string, same string, committed boolean"
+RECEIVED = "id string, data string, same string, raw string, reason string"
+REJECTS = "id string, raw string, reason string"
 FOLDED = f"id string, version bigint, next bigint, data string, {PARSED}"
 DOCS = f"{FOLDED}, tier string, arc int"
-LEAVES = "id string, version bigint, next bigint, " + LEAF[len("struct<") : -1].replace(":", " ")
+LEAVES = "id string, version bigint, " + LEAF[len("struct<") : -1].replace(":", " ")
+ENDS = "id string, version bigint, next bigint"
+DOC_COLUMNS = [c.split(" ")[0] for c in ("id", "version", "next", "data", "data_types", "parsed_types", "leaves")]
+#: What a sync derives from the documents that it writes, how each is dealt and sorted, and its schema.
+DERIVED: dict[str, tuple[str, Callable[[DataFrame], DataFrame]]] = {
+    "leaves": (LEAVES, lambda x: x.repartitionByRange("path", "k", "id").sortWithinPartitions("path", "k", "n")),
+    "postings": (words.POSTINGS, words.by_token),
+    "terms": (words.TERMS, words.by_rest),
+    "cells": (cells.CELLS, cells.by_cell),
+    "ends": (ENDS, lambda x: x.repartitionByRange("id").sortWithinPartitions("id")),
+    "summary": (profile.SUMMARY, lambda x: x.coalesce(1)),
+}
 
 
 @dataclass(frozen=True)
@@ -32,6 +45,7 @@ class IngestResult:
     inserted: int
     updated: int
     deleted: int
+    rejected: int = 0
 
     @property
     def was_committed(self) -> bool:
@@ -65,30 +79,37 @@ class Database:
         self.folder = Folder(engine.spark, f"{engine.root}/{name}")
         self.locks = Locks(self.folder)
 
-    # -- state: the history of all commits, the present state of every record, and what is not committed, each by buckets of ids
+    # -- state: the history of all commits, the present state of every record, and what is not committed
 
-    def _buckets(self, what: str, schema: str, manifest: dict | None = None) -> Buckets:
-        return Buckets(self.folder, (manifest or self.folder.manifest()).get(what, []), schema)
+    def _layers(self, what: str, schema: str, manifest: dict | None = None) -> Layers:
+        return Layers(self.folder, (self.folder.manifest() if manifest is None else manifest).get(what), schema)
 
-    def _staged(self, manifest: dict | None = None) -> Buckets:
-        return self._buckets("staged", STAGED, manifest)
+    def _staged(self, manifest: dict | None = None) -> Layers:
+        return self._layers("staged", STAGED, manifest)
 
-    def _current(self, manifest: dict | None = None) -> Buckets:
-        return self._buckets("current", HISTORY, manifest)
+    def _current(self, manifest: dict | None = None) -> Layers:
+        return self._layers("current", HISTORY, manifest)
 
-    def _latest(self, manifest: dict | None = None) -> Buckets:
-        return self._buckets("latest", DOCS, manifest)
+    def _latest(self, manifest: dict | None = None) -> Layers:
+        return self._layers("latest", DOCS, manifest)
+
+    def _history(self, manifest: dict | None = None) -> Runs:
+        return self._runs("history", HISTORY, manifest)
+
+    def _runs(self, what: str, schema: str | None = None, manifest: dict | None = None) -> Runs:
+        return Runs(self.folder, (self.folder.manifest() if manifest is None else manifest).get(what), schema or DERIVED[what][0])
 
     def _archives(self, manifest: dict | None = None) -> DataFrame:
-        return self.folder.parts((manifest or self.folder.manifest()).get("arcs", []), DOCS)
+        return self.folder.parts((self.folder.manifest() if manifest is None else manifest).get("arcs", []), DOCS)
 
     def _docs(self) -> DataFrame:
         manifest = self.folder.manifest()
         return self._latest(manifest).rows().unionByName(self._archives(manifest))
 
-    def leaves(self) -> DataFrame:
-        """(id, version, next, forms of a value) for each leaf of the documents in any tier, sorted by path within files."""
-        return self.folder.table(self.folder.manifest().get("leaves", []), LEAVES)
+    def tables(self) -> Tables:
+        """What conditions are looked up in, of the documents in any tier."""
+        manifest = self.folder.manifest()
+        return Tables(*[self._runs(what, manifest=manifest).rows() for what in ("leaves", "postings", "terms", "cells", "ends")])
 
     def records(self) -> DataFrame:
         """(id, version, data) of the current state; an uncommitted one has no version, a deleted one no data."""
@@ -97,7 +118,11 @@ class Database:
         return self._current(manifest).rows().select("id", "version", "data").join(staged.select("id"), "id", "left_anti").unionByName(staged)
 
     def history(self) -> DataFrame:
-        return self._buckets("history", HISTORY).rows().select("id", "version", "data")
+        return self._history().rows().select("id", "version", "data")
+
+    def rejects(self) -> DataFrame:
+        """(id, raw, reason) of the rows that no ingest could take."""
+        return self._runs("rejects", REJECTS).rows()
 
     def has_data(self) -> bool:
         """Whether any record is committed."""
@@ -108,7 +133,7 @@ class Database:
         return bool(self.folder.manifest().get("options"))
 
     def has_uncommitted_data(self) -> bool:
-        return bool(self._staged().rows().take(1))
+        return any(t["kept"] for t in self._staged().deltas) and bool(self._staged().rows().take(1))
 
     def has_uncommitted_options(self) -> bool:
         return bool(self.folder.manifest().get("pending_options"))
@@ -134,48 +159,73 @@ class Database:
     def ingest(self, records: DataFrame, commit: bool = True, modified_field: str | None = None) -> IngestResult:
         """Merge (id, data as JSON, seq); of one id the last row counts. Empty data deletes.
 
-        Only buckets that ids of the batch fall into are read and, of what is not committed, written.
+        The batch is written once, and what it changes once more; a row that is no record (no id, malformed JSON, no object) goes
+        to ``rejects()`` and does not keep the others from landing.
         """
         manifest = self.folder.manifest()
-        batch = merging.last_wins(records.select("id", "data", "seq")).select("id", merging.prepared("id", "data").alias("x")).select("id", "x.data", "x.same")
-        batch = self.folder.table([self.folder.write(batch)], "id string, data string, same string")
-        number = max(manifest.get("buckets", 1), tiers.buckets(manifest.get("rows", 0) + batch.count()))
-        touched = Buckets.of(batch, number)
-        current, staged = self._current(manifest).within(touched).rows(), self._staged(manifest).within(touched).rows()
-        ops = merging.classify(batch, current, staged, modified_field)
-        found = ops.join(current.select("id", F.lit(True).alias("committed")), "id", "left")
-        table = self.folder.write(found.select("id", "data", "same", F.coalesce("committed", F.lit(False)).alias("committed"), "op"))
-        written = self.folder.table([table], STAGED + ", op string")
-        counts = {r["op"]: r["n"] for r in written.groupBy("op").agg(F.count("*").alias("n")).collect()}
-        if counts:
-            kept = staged.join(written.select("id"), "id", "left_anti").unionByName(written.where("op IN ('insert', 'update')").drop("op"))
-            out = self._staged(manifest).replace(touched, kept, number)
-            self.folder.publish({**manifest, "staged": out.tables, "buckets": number})
-        updated = counts.get("update", 0) + counts.get("revert", 0)
-        return IngestResult(self.commit() if commit else None, counts.get("insert", 0), updated, counts.get("delete", 0))
+        bad = F.col("reason").isNotNull()
+        name, seen = self.folder.write_counted(
+            merging.received(records.select("id", "data", "seq")), n=F.count_if(~bad), bad=F.count_if(bad), gone=F.count_if(~bad & F.col("data").isNull())
+        )
+        n, rejected = seen["n"] or 0, seen["bad"] or 0
+        batch = self.folder.table([name], RECEIVED).where("reason IS NULL").select("id", "data", "same")
+        out, counts = dict(manifest), {"insert": 0, "update": 0, "delete": 0, "revert": 0}
+        if rejected:
+            bad_rows = self.folder.write(self.folder.table([name], RECEIVED).where("reason IS NOT NULL").select("id", "raw", "reason"))
+            out["rejects"] = self._runs("rejects", REJECTS, manifest).add(bad_rows, rejected).tables
+        current, staged = self._current(manifest), self._staged(manifest)
+        if n and current.empty and staged.empty and not rejected and not seen["gone"]:  # nothing to compare with: the batch is the change
+            counts["insert"] = n
+            out["staged"] = staged.add(name, n, kept=n, fresh=n).entry
+        elif n:
+            ids = batch.select("id")
+            within = Buckets.of(batch, manifest["buckets"]) if current.base else None
+            old = current.rows(ids, within)
+            ops = merging.classify(batch, old, staged.rows(ids), modified_field).join(old.select("id", F.lit(True).alias("committed")), "id", "left")
+            gone, op = F.col("op").isin("delete", "revert"), F.col("op")
+            made = ops.select("id", "data", "same", F.coalesce("committed", F.lit(False)).alias("committed"), gone.alias("gone"), "op")
+            fresh = ~F.col("committed") & ~F.col("gone")
+            change, seen = self.folder.write_counted(made, **{k: F.count_if(op == k) for k in counts}, fresh=F.count_if(fresh))
+            counts = {k: seen[k] or 0 for k in counts}
+            if sum(counts.values()):
+                out["staged"] = staged.add(change, sum(counts.values()), kept=counts["insert"] + counts["update"], fresh=seen["fresh"] or 0).entry
+        if out != manifest:
+            self.folder.publish(out)
+        return IngestResult(self.commit() if commit else None, counts["insert"], counts["update"] + counts["revert"], counts["delete"], rejected)
 
     def commit(self) -> int | None:
-        """Give all that is uncommitted one new version, in one step; None if there is nothing."""
+        """Give all that is uncommitted one new version, in one step; None if there is nothing.
+
+        What one ingest has staged is not written again: its table becomes one of the history and of the present states, and the
+        version is said in the manifest.
+        """
         with self.locks.lock("commit", name=self.name):
             manifest = self.folder.manifest()
             staged = self._staged(manifest)
-            fresh = {r["committed"]: r["n"] for r in staged.rows().groupBy("committed").agg(F.count("*").alias("n")).collect()}
             pending = manifest.get("pending_options")
-            if not fresh and not pending:
+            table, rows, fresh = None, 0, 0
+            if len(staged.deltas) == 1 and staged.deltas[0]["kept"] == staged.deltas[0]["rows"]:
+                table, rows, fresh = (staged.deltas[0][k] for k in ("name", "rows", "fresh"))
+            elif staged.deltas:
+                table, seen = self.folder.write_counted(staged.rows(), n=F.count(F.lit(1)), fresh=F.count_if(~F.col("committed")))
+                rows, fresh = seen["n"] or 0, seen["fresh"] or 0
+            if not rows and not pending:
+                if not staged.empty:
+                    self.folder.publish({**manifest, "staged": None})
                 return None
             version = max(self.now(), (self.committed_version() or 0) + 1)
-            out = {**manifest, "staged": []}
+            out = {**manifest, "staged": None}
             if not pending and not manifest.get("options"):
                 pending = ParsingOptions().to_doc()
             if pending:
                 out |= {"options": [*manifest.get("options", []), {"version": version, "options": pending}], "pending_options": None}
-            if fresh:
-                number, touched = manifest["buckets"], staged.covered(manifest["buckets"])
-                rows = staged.rows().select("id", F.lit(version).cast("bigint").alias("version"), "data", "same")
-                others = self._current(manifest).within(touched).rows().join(rows.select("id"), "id", "left_anti")
-                out["history"] = self._buckets("history", HISTORY, manifest).add(rows, number, version=version).tables
-                out["current"] = self._current(manifest).replace(touched, others.unionByName(rows), number).tables
-                out |= {"data_version": version, "rows": manifest.get("rows", 0) + fresh.get(False, 0)}
+            if rows:
+                total = manifest.get("rows", 0) + fresh
+                number = max(manifest.get("buckets", 1), tiers.buckets(total))
+                out["history"] = self._history(manifest).add(table, rows, version=version).compacted(lambda x: x.repartitionByRange("id", "version").sortWithinPartitions("id", "version")).tables
+                current = self._current(manifest).add(table, rows, version=version)
+                out["current"] = (current.compacted(number) if current.due(tiers.BUCKET) else current).entry
+                out |= {"data_version": version, "rows": total, "buckets": number}
             self.folder.publish(out)
             return version
 
@@ -196,9 +246,10 @@ class Database:
 
     def rollback_records(self) -> int:
         manifest = self.folder.manifest()
-        n = self._staged(manifest).rows().count()
-        if n:
-            self.folder.publish({**manifest, "staged": []})
+        staged = self._staged(manifest)
+        n = staged.rows().count()
+        if not staged.empty:
+            self.folder.publish({**manifest, "staged": None})
         return n
 
     def clean(self) -> int:
@@ -212,19 +263,17 @@ class Database:
     # -- index
 
     def _folded(self, history: DataFrame, strict: bool) -> DataFrame:
-        """Written intervals of parsed states; rows under different options are parsed in one pass."""
+        """Intervals of parsed states; rows under different options are parsed in one pass."""
         every = [(v, json.dumps(o.to_doc())) for v, o in self.options().items()]
         table = self.spark.createDataFrame(every, "version bigint, option string")
 
         def parse(rows: DataFrame) -> DataFrame:
-            return parse_documents(rows).withColumn("parsed", F.when(F.col("data").isNotNull(), F.struct("data_types", "parsed_types", "leaves")))
+            return parse_documents(rows, state="state").withColumn("parsed", F.when(F.col("data").isNotNull(), F.struct("data_types", "parsed_types", "leaves")))
 
-        found = versions.fold(history.select("id", "version", "data"), table, parse, strict)
-        return self.folder.table([self.folder.write(found.select("id", "version", "next", "data", "parsed.*"))], FOLDED)
+        return versions.fold(history.select("id", "version", "data"), table, parse, strict).select("id", "version", "next", "data", "parsed.*")
 
-    def _archived(self, closed: DataFrame, manifest: dict, size: int) -> list[dict]:
+    def _archived(self, closed: DataFrame, n: int, manifest: dict, size: int) -> list[dict]:
         """The archives' tables and a new one that goes on where they end; none is written anew."""
-        n = closed.count()
         if not n:
             return manifest.get("arcs", [])
         last, held = tiers.arc_status(manifest)
@@ -234,19 +283,18 @@ class Database:
         counts = self.folder.parts([table], DOCS).groupBy("arc").agg(F.count("*").alias("n")).collect()
         return [*manifest.get("arcs", []), {**table, "counts": {str(r["arc"]): r["n"] for r in counts}}]
 
-    def _leaves_of(self, tables: list[DataFrame]) -> list[str]:
-        """A table of the leaves of documents, sorted by path and value, so that a scan passes over other paths."""
-        rows = [leaf_rows(x) for x in tables]
-        every = rows[0]
-        for x in rows[1:]:
-            every = every.unionByName(x)
-        return [self.folder.write(every.repartitionByRange("path", "k", "id").sortWithinPartitions("path", "k", "n"))]
+    def _derived(self, what: str, rows: DataFrame, manifest: dict) -> list[dict]:
+        """A kind of derived tables with one more, of ``rows``; many small ones are put together."""
+        schema, dealt = DERIVED[what]
+        name, seen = self.folder.write_counted(dealt(rows), n=F.count(F.lit(1)))
+        return self._runs(what, manifest=manifest).add(name, seen["n"] or 0).compacted(dealt).tables
 
     def sync(self, resync: bool = False, size: int = tiers.ARCHIVE, strict: bool = False) -> WriteResult:
         """Bring the tiers up to date: only records with newer data are folded again, or all if options changed since.
 
-        Archives get new files for what has been closed since; of the latest tier the buckets of folded records are written
-        anew. Nothing of a sync that fails is visible.
+        What is written follows what has changed: archives get new files for what has been closed since, the latest tier a table
+        of changes on top of its base, and leaves, postings, words, cells and sums one table more each. Nothing of a sync that
+        fails is visible.
         """
         with self.locks.lock("sync", name=self.name):
             manifest = self.folder.manifest()
@@ -254,53 +302,85 @@ class Database:
             if not manifest.get("history") or last == self.committed_version():
                 return WriteResult(0, 0, {})
             if last is None:
-                manifest = {**manifest, "arcs": [], "latest": [], "leaves": []}
+                manifest = {k: v for k, v in manifest.items() if k not in ("arcs", "latest", "indexed", *DERIVED)}
             try:
-                out, counts = self._synced(manifest, last, size, strict)
+                out, indexed, deleted = self._synced(manifest, last, size, strict)
             except Exception as error:
                 raise WriteError([str(error).split("\n")[0]]) from error
             self.folder.publish({**out, "synced": self.committed_version()})
-            return WriteResult(counts.get("index", 0), counts.get("delete", 0), self._shares())
+            return WriteResult(indexed, deleted, self._shares())
 
-    def _synced(self, manifest: dict, last: int | None, size: int, strict: bool) -> tuple[dict, dict[str, int]]:
-        number, history = manifest["buckets"], self._buckets("history", HISTORY, manifest)
-        touched = set(range(number))
+    def _synced(self, manifest: dict, last: int | None, size: int, strict: bool) -> tuple[dict, int, int]:
+        history = self._history(manifest)
         rows = history.rows()
         if last is not None and not any(x["version"] > last for x in manifest["options"]):
-            newer = Buckets(self.folder, [t for t in history.tables if t["version"] > last], HISTORY)
-            touched = newer.covered(number)
-            rows = history.within(touched).rows().join(newer.rows().select("id").distinct(), "id", "left_semi")
-        folded = self._folded(rows, strict)
-        ops = versions.changed_since(folded, last)
-        counts = {r["op"]: r["n"] for r in ops.groupBy("op").agg(F.count("*").alias("n")).collect()}
-        names = [c.split(" ")[0] for c in ("id", "version", "next", "data", "data_types", "parsed_types", "leaves", "tier", "arc")]
-        closed = folded.where("next IS NOT NULL" if last is None else f"next > {last}")
-        arcs = self._archived(closed.select(*names[:7]), manifest, size)
-        untouched = self._latest(manifest).within(touched).rows().join(rows.select("id").distinct(), "id", "left_anti")
-        current = folded.where("next IS NULL").withColumns({"tier": F.lit("latest"), "arc": F.lit(None).cast("int")})
-        latest = self._latest(manifest).replace(touched, untouched.select(*names).unionByName(current.select(*names)), number).tables
-        written = folded.where("next IS NULL" if last is None else f"version > {last} AND next IS NULL").unionByName(closed)
-        leaves = [*manifest.get("leaves", []), *self._leaves_of([written])]
-        return {**manifest, "arcs": arcs, "latest": latest, "leaves": leaves}, counts
+            newer = history.rows(after=last).where(F.col("version") > last).select("id").distinct()
+            rows = rows.join(newer, "id", "left_semi")
+        new = F.lit(True) if last is None else F.col("version") > last
+        ended = F.col("next").isNotNull() if last is None else F.col("next") > last
+        was_open = F.lit(False) if last is None else (F.col("version") <= last) & (F.col("next").isNull() | (F.col("next") > last))
+        name, seen = self.folder.write_counted(
+            self._folded(rows, strict), n=F.count_if(new | F.coalesce(ended, F.lit(False))), closed=F.count_if(ended), open=F.count_if(F.col("next").isNull()),
+            was=F.count_if(was_open), newest=F.max(F.greatest("version", "next")),
+        )
+        folded = self.folder.table([name], FOLDED)
+        count = lambda k: seen[k] or 0
+        number, latest = manifest["buckets"], self._latest(manifest)
+        tier = {"tier": F.lit("latest"), "arc": F.lit(None).cast("int")}
+
+        def latest_tier() -> tuple[dict, int]:
+            opened = folded.where(F.col("next").isNull() & new).withColumns(tier)
+            if last is None:
+                return latest.started(opened, number, count("open")).entry, 0
+            left = folded.groupBy("id").agg(F.bool_or(F.col("next").isNull()).alias("open"), F.bool_or(was_open).alias("was")).where("was AND NOT open")
+            changes = opened.withColumn("gone", F.lit(False)).unionByName(left.select("id", F.lit(True).alias("gone")), allowMissingColumns=True)
+            table, rows = self.folder.write_counted(changes, n=F.count(F.lit(1)), gone=F.count_if("gone"))
+            added = latest.add(table, rows["n"]) if rows["n"] else latest
+            return (added.compacted(number) if added.due(tiers.BUCKET) else added).entry, rows["gone"] or 0
+
+        fresh = folded.where(new)
+        leaves = leaf_rows(fresh)
+        posted = words.postings(leaves)
+        closed = folded.where(ended)
+        jobs = [lambda: latest_tier(), lambda: self._archived(closed.select(*DOC_COLUMNS), count("closed"), manifest, size)]
+        derived = {
+            "leaves": leaves, "postings": posted, "terms": words.terms(posted), "cells": cells.rows(leaves), "ends": closed.select("id", "version", "next"), "summary": profile.summary(folded, last),
+        }
+        jobs += [lambda what=what, x=x: self._derived(what, x, manifest) for what, x in derived.items()]
+        (entry, deleted), arcs, *tables = self.folder.together(*jobs)
+        size_now = manifest.get("latest_rows", 0) + count("open") - count("was") if last is not None else count("open")
+        newest = max(x for x in (manifest.get("indexed"), seen["newest"], 0) if x is not None) or None
+        return {**manifest, "arcs": arcs, "latest": entry, "latest_rows": size_now, "indexed": newest, **dict(zip(derived, tables))}, count("n"), deleted
+
+    def compact(self) -> None:
+        """Put the layers and small tables of this state together at once, as commits and syncs do by and by."""
+        with self.locks.lock("commit", name=self.name), self.locks.lock("sync", name=self.name):
+            manifest = self.folder.manifest()
+            out, number = dict(manifest), manifest.get("buckets", 1)
+            for what, schema in (("current", HISTORY), ("latest", DOCS)):
+                out[what] = self._layers(what, schema, manifest).compacted(number).entry
+            if len(manifest.get("history", [])) > 1:
+                out["history"] = self._history(manifest).compacted(lambda x: x.repartitionByRange("id", "version").sortWithinPartitions("id", "version"), least=2).tables
+            for what, (_, dealt) in DERIVED.items():
+                out[what] = self._runs(what, manifest=manifest).compacted(dealt, least=2).tables
+            self.folder.publish(out)
 
     def _shares(self) -> dict[str, int]:
         manifest = self.folder.manifest()
-        n = self._latest(manifest).rows().count()
+        n = manifest.get("latest_rows", 0)
         return ({"latest": n} if n else {}) | {f"arc-{arc}": k for arc, k in tiers.arc_counts(manifest).items()}
 
     def resync_arcs(self, size: int = tiers.ARCHIVE, strict: bool = False) -> WriteResult:
-        """Write all archives anew; the latest tier is not touched."""
+        """Write all archives anew; the latest tier, and what documents are looked up in, are not touched."""
         with self.locks.lock("sync", name=self.name):
             manifest = {**self.folder.manifest(), "arcs": []}
             if not manifest.get("history"):
                 return WriteResult(0, 0, {})
-            closed = self._folded(self._buckets("history", HISTORY, manifest).rows(), strict).where("next IS NOT NULL")
             synced = manifest.get("synced")
-            if synced is not None:  # what is newer comes with the next sync
-                closed = closed.where(f"next <= {synced}")
-            arcs = self._archived(closed, manifest, size)
-            leaves = self._leaves_of([self._latest(manifest).rows().select(*closed.columns), closed])
-            self.folder.publish({**manifest, "arcs": arcs, "leaves": leaves})
+            fits = F.col("next").isNotNull() if synced is None else F.col("next") <= synced  # what is newer comes with the next sync
+            name, seen = self.folder.write_counted(self._folded(self._history(manifest).rows(), strict).where(fits), n=F.count(F.lit(1)))
+            arcs = self._archived(self.folder.table([name], FOLDED), seen["n"] or 0, manifest, size)
+            self.folder.publish({**manifest, "arcs": arcs})
             shares = {f"arc-{arc}": k for arc, k in tiers.arc_counts({"arcs": arcs}).items()}
             return WriteResult(sum(shares.values()), 0, shares)
 
@@ -313,32 +393,53 @@ class Database:
 
     def search(self, version: int | str = "latest") -> Search:
         """``latest``, ``all``, or as of a version; from the newest indexed version on, the latest tier is enough."""
-        leaves = self.leaves()
+        manifest = self.folder.manifest()
+        tables, newest = self.tables(), manifest.get("indexed")
         if version == "all":
-            return Search(self._docs(), leaves)
-        if version == "latest" or (newest := self.indexed_version()) is None or version >= newest:
-            return Search(self._latest().rows(), leaves)
-        return Search(versions.as_of(self._docs(), version), leaves.where(F.col("version") <= version))
+            return Search(self._docs(), tables, "all")
+        if version == "latest" or newest is None or version >= newest:
+            return Search(self._latest(manifest).rows(), tables)
+        return Search(versions.as_of(self._docs(), version), tables, version)
+
+    def delete_documents(self, found: Search) -> int:
+        """Take the documents of a search out of the latest tier, until a sync from the start; records and archives stay."""
+        with self.locks.lock("sync", name=self.name):
+            manifest = self.folder.manifest()
+            latest = self._latest(manifest)
+            keys = latest.rows().select("id", "version").join(found.docs.select("id", "version"), ["id", "version"], "left_semi")
+            table, seen = self.folder.write_counted(keys.withColumn("gone", F.lit(True)), n=F.count(F.lit(1)))
+            if seen["n"]:
+                self.folder.publish({**manifest, "latest": latest.add(table, seen["n"]).entry, "latest_rows": manifest.get("latest_rows", 0) - seen["n"]})
+            return seen["n"] or 0
+
+    def _sums(self) -> DataFrame:
+        return self._runs("summary").rows()
 
     def indexed_version(self) -> int | None:
-        return profile.indexed_version(self._docs()).first()["version"]
+        return self.folder.manifest().get("indexed")
 
     def version_changed_counts(self, exact: bool = False) -> dict[int, int]:
-        return {r["version"]: r["count"] for r in profile.changed_counts(self._docs(), exact).collect()}
+        return {r["version"]: r["count"] for r in profile.summed_changes(self._sums(), exact).collect()}
 
     def versions(self) -> list[int]:
-        return sorted(r["version"] for r in profile.versions(self._docs()).collect())
+        return sorted(self.version_changed_counts())
 
     def rounded_version(self, version: int) -> int | None:
-        return profile.rounded(self._docs(), version).first()["version"]
+        return max((v for v in self.versions() if v <= version), default=None)
+
+    def _fields(self, kind: str, version: int | str, condition) -> DataFrame:
+        if condition is None:
+            newest = self.indexed_version()
+            at = None if version == "latest" or (isinstance(version, int) and newest is not None and version >= newest) else version
+            found = profile.summed_fields(self._sums(), kind, at)
+        else:
+            found = profile.fields(self.search(version).filter(condition).docs, kind)
+        return found.orderBy(F.desc("count"), "path", "tag")
 
     def data_fields(self, version: int | str = "latest", condition=None) -> DataFrame:
-        """(path, tag, count, tag_count), the most frequent paths first, then by path."""
-        search = self.search(version)
-        found = profile.fields((search.filter(condition) if condition is not None else search).docs)
-        return found.orderBy(F.desc("count"), "path", "tag")
+        """(path, tag, count, tag_count), the most frequent paths first, then by path; from the sums that syncs have kept, or with
+        a condition from the documents."""
+        return self._fields("data_types", version, condition)
 
     def parsed_fields(self, version: int | str = "latest", condition=None) -> DataFrame:
-        search = self.search(version)
-        found = profile.fields((search.filter(condition) if condition is not None else search).docs, "parsed_types")
-        return found.orderBy(F.desc("count"), "path", "tag")
+        return self._fields("parsed_types", version, condition)

@@ -23,6 +23,24 @@ def prepared(ids: pd.Series, data: pd.Series) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["data", "same"])
 
 
+@F.pandas_udf(T.StructType([T.StructField("data", T.StringType()), T.StructField("same", T.StringType()), T.StructField("reason", T.StringType())]))
+def checked(ids: pd.Series, data: pd.Series) -> pd.DataFrame:
+    """What ``prepared`` gives, with the reason why a row is no record: it has no id, or its data is not one JSON object."""
+    out = []
+    for own, x in zip(ids, data):
+        try:
+            value = json.loads(x) if isinstance(x, str) and x else {}
+            reason = None if isinstance(value, dict) else f"no object but {type(value).__name__}"
+            value = prepare(value) if reason is None else {}
+        except (ValueError, RecursionError) as error:
+            value, reason = {}, f"malformed JSON: {str(error).split(':')[0]}"
+        if not isinstance(own, str):
+            reason = reason or "no id"
+        value = {**value, "_id": own} if value and reason is None else None
+        out.append((json.dumps(value, ensure_ascii=False), identity(value), None) if value else (None, "{}", reason))
+    return pd.DataFrame(out, columns=["data", "same", "reason"])
+
+
 @F.pandas_udf(T.BooleanType())
 def same_without(data: pd.Series, old: pd.Series, name: pd.Series) -> pd.Series:
     """Whether two records both have a top-level field and differ in that field at most."""
@@ -45,6 +63,14 @@ def last_wins(records: DataFrame, order: str = "seq") -> DataFrame:
     return records.groupBy("id").agg(F.max_by(F.struct(*others), order).alias("x")).select("id", *[F.col(f"x.{c}").alias(c) for c in others])
 
 
+def received(records: DataFrame) -> DataFrame:
+    """(id, data, same, raw, reason) of records (id, data as JSON, seq): one row an id, the last that is sound; and each different
+    row that is not, as it came."""
+    own = records.select(F.col("id").cast("string").alias("id"), F.col("data").cast("string").alias("raw"), "seq")
+    rows = own.select("id", "raw", "seq", checked("id", "raw").alias("x")).select("id", "seq", "x.*", F.when(F.col("x.reason").isNotNull(), F.col("raw")).alias("raw"))
+    return rows.groupBy("id", "reason", "raw").agg(F.max_by(F.struct("data", "same"), "seq").alias("x")).select("id", "x.data", "x.same", "raw", "reason")
+
+
 def classify(batch: DataFrame, committed: DataFrame, staged: DataFrame, modified_field: str | None = None) -> DataFrame:
     """(id, data, same, op) of a batch (id, data, same; null data deletes) against the committed and the uncommitted state.
 

@@ -6,6 +6,7 @@ Nested JSON goes through a kernel in Arrow batches; flat columns are typed by na
 
 from __future__ import annotations
 
+import hashlib
 import json
 import re
 from collections import defaultdict
@@ -63,33 +64,49 @@ def parse_value(value, options: ParsingOptions) -> dict:
 
 def parse(data: dict, options: ParsingOptions) -> tuple[list[str], list[str], list[dict]]:
     """(data types, parsed types, leaves): types as ``path.tag,tag``, in source paths with an empty part for each list."""
-    tags, kinds, leaves = defaultdict(set), defaultdict(set), []
+    return parse_placed(data, options, False)[:3]
+
+
+def parse_placed(data: dict, options: ParsingOptions, digest: bool = True) -> tuple[list[str], list[str], list[dict], str | None]:
+    """What ``parse`` gives, and a digest of the parsed state: of every leaf with its place, whatever the order of keys. Blanks
+    have a place in their list and no leaf, so which blank it is makes no difference."""
+    tags, kinds, leaves, places = defaultdict(set), defaultdict(set), [], []
+    place: list[str] = []
 
     def add(path: str, leaf: dict) -> dict:
         leaves.append({"path": path, **leaf})
+        places.append(json.dumps(place))
         return leaves[-1]
 
     def values(source: str, path: str, value) -> dict | None:
         if isinstance(value, dict):
             objects(source, path, value, True)
         elif isinstance(value, list):
-            for x in value:
+            for n, x in enumerate(value):
                 tags[source + "."].add(tag(x))
                 if isinstance(x, (dict, list)) or x not in (None, ""):
+                    place.append(n)
                     values(source + ".", path, x)
+                    place.pop()
+            if value:  # a list as long as another with blanks at its end is another one
+                lengths.append(json.dumps([place, len(value)]))
         elif value is None or value == "":
             return add(path, {"u": json.dumps(value), "u_type": tag(value)})
         else:  # the memo takes both zeros for one
             return add(path, (parse_value.__wrapped__ if value == 0 and isinstance(value, float) else parse_value)(value, options))
         return None
 
+    lengths: list[str] = []
+
     def objects(source: str, path: str, value: dict, within: bool) -> None:
         if within and (found := geo.match_geojson(value)):
             add(path, _geo(found))
         own = {}
         for key, x in value.items():
             tags[f"{source}.{key}" if within else key].add(tag(x))
+            place.append(key)
             own[key] = values(f"{source}.{key}" if within else key, f"{path}.{key}" if within else key, x)
+            place.pop()
         for hint in sorted(options.geo_hints):
             found = geo.match_hint(value, hint.lat_field, hint.lon_field, hint.radius_field, hint.segments) if own.get(hint.lat_field) else None
             if found:
@@ -101,7 +118,14 @@ def parse(data: dict, options: ParsingOptions) -> tuple[list[str], list[str], li
         if found:
             kinds[leaf["path"]].update(found + ([ORIGINAL] if "u" in leaf else []))
     lists = [sorted(f"{path}.{','.join(sorted(x))}" for path, x in found.items()) for found in (tags, kinds)]
-    return lists[0], lists[1], leaves
+    if not digest:
+        return lists[0], lists[1], leaves, None
+    state = [lists, sorted(lengths), sorted((at, sorted(leaf.items(), key=lambda x: x[0])) for at, leaf in zip(places, map(_comparable, leaves)))]
+    return lists[0], lists[1], leaves, hashlib.md5(json.dumps(state).encode("utf-8", "surrogatepass")).hexdigest()
+
+
+def _comparable(leaf: dict) -> dict:
+    return {k: repr(v) for k, v in leaf.items() if v is not None}
 
 
 def rebuild(data):
@@ -118,8 +142,9 @@ def _options(doc: str) -> ParsingOptions:
     return ParsingOptions.from_doc(json.loads(doc))
 
 
-def parse_documents(docs: DataFrame, options: ParsingOptions | None = None, data: str = "data", option: str = "option") -> DataFrame:
-    """``docs`` with data_types, parsed_types and leaves of its JSON column; null data gives null.
+def parse_documents(docs: DataFrame, options: ParsingOptions | None = None, data: str = "data", option: str = "option", state: str | None = None) -> DataFrame:
+    """``docs`` with data_types, parsed_types and leaves of its JSON column, and in ``state`` a digest by which equal parsed states
+    are known; null data gives null.
 
     Without ``options``, each row has its own as JSON in the column ``option``: rows under different options are one pass.
     """
@@ -131,11 +156,13 @@ def parse_documents(docs: DataFrame, options: ParsingOptions | None = None, data
         leaf = pa.list_(pa.struct([(k, {"n": pa.float64(), "d": pa.int64(), "b": pa.bool_(), "lon": pa.float64(), "lat": pa.float64(), "box": pa.list_(pa.float64())}.get(k, pa.string())) for k in _KEYS]))
         for batch in batches:
             given = [options] * batch.num_rows if options is not None else [_options(x) if x else None for x in batch.column(own).to_pylist()]
-            found = [parse(json.loads(x), o) if x else (None, None, None) for x, o in zip(batch.column(at).to_pylist(), given)]
-            columns = [pa.array([x[k] for x in found], t) for k, t in enumerate((pa.list_(pa.string()), pa.list_(pa.string()), leaf))]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *columns], [*batch.schema.names, "data_types", "parsed_types", "leaves"])
+            found = [parse_placed(json.loads(x), o, state is not None) if x else (None,) * 4 for x, o in zip(batch.column(at).to_pylist(), given)]
+            columns = [pa.array([x[k] for x in found], t) for k, t in zip(range(len(names)), (pa.list_(pa.string()), pa.list_(pa.string()), leaf, pa.string()))]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *columns], [*batch.schema.names, *names])
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, *(T.StructField(n, t) for n, t in zip(("data_types", "parsed_types", "leaves"), types))]))
+    names = ["data_types", "parsed_types", "leaves", *([state] if state else [])]
+    types.append(T.StringType())
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, *(T.StructField(n, t) for n, t in zip(names, types))]))
 
 
 def number_of(text: Column) -> Column:

@@ -17,7 +17,11 @@ def fields(docs: DataFrame, column: str = "data_types", weight: str | None = Non
     """(path, tag, count, tag_count): rows of a path's tags. A combination of tags counts once for its path and once for
     each of its tags; a row that stands for several documents has their number in ``weight``."""
     number = F.sum(weight) if weight else F.count("*")
-    combos = docs.select(F.explode(F.array_distinct(column)).alias("x"), *([weight] if weight else [])).groupBy("x").agg(number.alias("n"))
+    return of_combinations(docs.select(F.explode(F.array_distinct(column)).alias("x"), *([weight] if weight else [])).groupBy("x").agg(number.alias("n")))
+
+
+def of_combinations(combos: DataFrame) -> DataFrame:
+    """``fields`` from the numbers (x, n) of each path's combinations of tags."""
     parts = combos.select(F.regexp_extract("x", r"^(.*)\.([^.]*)$", 1).alias("path"), F.split(F.regexp_extract("x", r"^(.*)\.([^.]*)$", 2), ",").alias("tags"), "n")
     totals = parts.groupBy("path").agg(F.sum("n").alias("count"))
     tags = parts.select("path", F.explode("tags").alias("tag"), "n").groupBy("path", "tag").agg(F.sum("n").alias("tag_count"))
@@ -63,3 +67,61 @@ def rounded(docs: DataFrame, version: int) -> DataFrame:
 
 def indexed_version(docs: DataFrame) -> DataFrame:
     return docs.agg(F.greatest(F.max("version"), F.max("next")).alias("version"))
+
+
+#: Counts that a sync adds for what it has changed: ``starts`` and ``ends`` at a version of documents (kind ``docs``), and of a
+#: path's combination of tags in them (``data_types``, ``parsed_types``); for kind ``ids``, records that changed at it.
+SUMMARY = "version bigint, kind string, x string, starts bigint, ends bigint"
+
+
+def summary(docs: DataFrame, after: int | None) -> DataFrame:
+    """The counts of documents that begin or end after a version. What begins or ends up to it has been counted before: a later
+    sync adds to the sums and takes away from them, and none is ever changed."""
+    of_kind = lambda kind: lambda x: F.struct(F.lit(kind).alias("kind"), x.alias("x"))
+    lists = F.concat(*[F.transform(F.array_distinct(kind), of_kind(kind)) for kind in ("data_types", "parsed_types")])
+    each = F.concat(F.array(F.struct(F.lit("docs").alias("kind"), F.lit("").alias("x"))), lists)
+    edges = F.array(*[F.struct(F.col(c).alias("version"), F.lit(1 - k).alias("starts"), F.lit(k).alias("ends")) for k, c in enumerate(("version", "next"))])
+    new = lambda e: e["version"].isNotNull() & (F.lit(after is None) | (e["version"] > (after or 0)))
+    rows = docs.select(F.col("id"), each.alias("each"), F.explode(F.filter(edges, new)).alias("e")).select("id", "each", "e.*")
+    counted = rows.select("version", "starts", "ends", F.explode("each").alias("k")).select("version", "k.kind", "k.x", "starts", "ends")
+    ids = rows.select("id", "version").distinct().select("version", F.lit("ids").alias("kind"), F.lit("").alias("x"), F.lit(1).alias("starts"), F.lit(0).alias("ends"))
+    return counted.unionByName(ids).groupBy("version", "kind", "x").agg(F.sum("starts").cast("bigint").alias("starts"), F.sum("ends").cast("bigint").alias("ends"))
+
+
+def summed_fields(sums: DataFrame, kind: str, at: int | str | None = None) -> DataFrame:
+    """``fields`` of the documents that hold as of a version (None: now; ``all``: of every document), from the sums alone."""
+    own = sums.where(F.col("kind") == kind)
+    if isinstance(at, int):
+        own = own.where(F.col("version") <= at)
+    n = F.sum("starts") if at == "all" else F.sum(F.col("starts") - F.col("ends"))
+    return of_combinations(own.groupBy("x").agg(n.alias("n")).where("n > 0"))
+
+
+def summed_changes(sums: DataFrame, exact: bool = False) -> DataFrame:
+    """``changed_counts`` from the sums."""
+    own = sums.where(F.col("kind") == ("ids" if exact else "docs")).groupBy("version").agg(F.sum("starts").alias("starts"), F.sum("ends").alias("ends"))
+    return own.select("version", F.when(F.col("ends") > 0, F.col("ends")).otherwise(F.col("starts")).alias("count"))
+
+
+class TermPages:
+    """A column's terms and their counts in the order of terms, a page at a time: each asks for what comes after the last one's
+    key, so no page holds more than its size and none is counted again.
+
+    The terms are written once, sorted, and a page's scan passes over the files that end before its key.
+    """
+
+    def __init__(self, docs: DataFrame, column: str, path: str, size: int = 50):
+        found = terms(docs, column)
+        found.write.option("compression", "zstd").parquet(path)
+        self.table, self.size = docs.sparkSession.read.schema(found.schema).parquet(path), size
+
+    def after(self, key=None) -> list:
+        """The next rows (value, count) behind a key, or the first ones."""
+        rest = self.table if key is None else self.table.where(F.col("value") > F.lit(key))
+        return rest.orderBy("value").limit(self.size).collect()
+
+    def __iter__(self):
+        page = self.after()
+        while page:
+            yield page
+            page = self.after(page[-1]["value"]) if len(page) == self.size else []

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
 from datetime import date
 
 import pandas as pd
@@ -13,6 +14,7 @@ from pyspark.sql import types as T
 
 from palimpsest.functions import geo
 from palimpsest.functions.values import BOOLEAN, DATE, KEYWORD, NUMBER, TEXT, infer_kind, to_timestamp
+from palimpsest.operators import cells
 
 _FIELD = {KEYWORD: "k", NUMBER: "n", DATE: "d", BOOLEAN: "b", TEXT: "t"}
 #: Words of a text: numbers with inner marks, words with inner apostrophes or dots.
@@ -26,15 +28,31 @@ def _value(value):
 Test = Callable[[Callable[[str], Column]], Column]
 
 
+@dataclass(frozen=True)
+class Tables:
+    """What conditions are looked up in: leaves by path and value, postings and dictionary of words, cells, and the ends of
+    documents' validity (id, version, next)."""
+
+    leaves: DataFrame
+    postings: DataFrame | None = None
+    terms: DataFrame | None = None
+    cells: DataFrame | None = None
+    ends: DataFrame | None = None
+
+
 class Condition:
     """A condition that one leaf of a document has to fulfil: over the array of its leaves, or over a table of leaves.
 
-    ``on_leaves()`` is a column over documents; ``of_row()`` one over rows of leaves, which a scan can take.
+    ``on_leaves()`` is a column over documents; ``of_row()`` one over rows of leaves, which a scan can take; ``documents()``
+    looks up (id, version) in tables.
     """
 
     def __init__(self, test: Test):
         self.test = test
 
+    def documents(self, tables: Tables) -> DataFrame:
+        return documents_of(tables.leaves, self)
+
     def on_leaves(self, leaves: str = "leaves") -> Column:
         return F.coalesce(F.exists(leaves, lambda x: self.test(lambda name: x[name])), F.lit(False))
 
@@ -84,8 +102,12 @@ def exists(field: str) -> Column:
     return exists_of(field).on_leaves()
 
 
+def has_geo_of() -> Condition:
+    return Condition(lambda x: x("lon").isNotNull())
+
+
 def has_geo() -> Column:
-    return Condition(lambda x: x("lon").isNotNull()).on_leaves()
+    return has_geo_of().on_leaves()
 
 
 def id_is(value: str) -> Column:
@@ -132,8 +154,76 @@ def match(query: str, field: str | None = None, operator: str = "or", fuzziness:
     return F.coalesce(match_words(tokens(texts), query, operator, fuzziness), F.lit(False))
 
 
+class MatchOf(Condition):
+    """Words of a query in the texts at a path, or in any: looked up in postings, with edits through the dictionary."""
+
+    def __init__(self, query: str, field: str | None = None, operator: str = "or", fuzziness: int = 0):
+        self.query, self.field, self.operator, self.fuzziness = query, field, operator, fuzziness
+
+    def on_leaves(self, leaves: str = "leaves") -> Column:
+        return match(self.query, self.field, self.operator, self.fuzziness)
+
+    def of_row(self) -> Column:
+        """For one word, or any word, of the query: all words of an ``and`` may be in several rows."""
+        if self.operator == "and" and len(words_of(self.query)) > 1:
+            raise ValueError("words of several leaves are no condition on one")
+        here = F.coalesce(match_words(tokens(F.col("t")), self.query, "or", self.fuzziness), F.lit(False))
+        return here & (F.col("path") == self.field) if self.field else here
+
+    def documents(self, tables: Tables) -> DataFrame:
+        from palimpsest.operators import words
+
+        if tables.postings is None:
+            return tables.leaves.groupBy("id", "version").agg(F.collect_list(F.struct("path", "t")).alias("leaves")).where(self.on_leaves()).select("id", "version")
+        return words.documents(tables.postings, tables.terms, words_of(self.query), self.field, self.operator == "and", self.fuzziness)
+
+
+class BoxOf(Condition):
+    """A point in a box: looked up by cells."""
+
+    def __init__(self, left: float, top: float, right: float, bottom: float):
+        super().__init__(lambda x: x("lon").between(left, right) & x("lat").between(bottom, top))
+        self.box = (left, top, right, bottom)
+
+    def documents(self, tables: Tables) -> DataFrame:
+        if tables.cells is None:
+            return super().documents(tables)
+        return cells.points_in(tables.cells, *self.box).select("id", "version").distinct()
+
+
+class ShapeBoxOf(Condition):
+    """A shape that meets a box: looked up by cells, then exactly."""
+
+    def __init__(self, left: float, top: float, right: float, bottom: float):
+        self.box = (left, top, right, bottom)
+
+    def on_leaves(self, leaves: str = "leaves") -> Column:
+        return shapes_in_box(*self.box)
+
+    def of_row(self) -> Column:
+        left, top, right, bottom = self.box
+        box = F.col("box")
+        near = box.isNotNull() & (box[0] <= right) & (box[2] >= left) & (box[1] <= top) & (box[3] >= bottom)
+        inside = (box[0] >= left) & (box[2] <= right) & (box[1] >= bottom) & (box[3] <= top)
+        return near & (inside | F.when(near & ~inside, _meets(F.array("gs"), *map(F.lit, map(float, self.box)))).otherwise(False))
+
+    def documents(self, tables: Tables) -> DataFrame:
+        if tables.cells is None:
+            return super().documents(tables)
+        found = cells.shapes_near(tables.cells, *self.box).dropDuplicates(["id", "version", "path", "gs"])
+        return found.where(self.of_row()).select("id", "version").distinct()
+
+
+def match_of(query: str, field: str | None = None, operator: str = "or", fuzziness: int = 0) -> Condition:
+    return MatchOf(query, field, operator, fuzziness)
+
+
+def shapes_of(left: float, top: float, right: float, bottom: float) -> Condition:
+    return ShapeBoxOf(left, top, right, bottom)
+
+
 def box_of(left: float, top: float, right: float, bottom: float) -> Condition:
-    return Condition(lambda x: x("lon").between(left, right) & x("lat").between(bottom, top))
+    return BoxOf(left, top, right, bottom)
 
 
 def points_in_box(left: float, top: float, right: float, bottom: float) -> Column:
@@ -156,8 +246,8 @@ def shapes_in_box(left: float, top: float, right: float, bottom: float) -> Colum
 
 
 def leaf_rows(docs: DataFrame) -> DataFrame:
-    """(id, version, next, and the forms of a value) for each leaf of documents: the table that conditions are looked up in."""
-    return docs.select("id", "version", "next", F.explode("leaves").alias("x")).select("id", "version", "next", "x.*")
+    """(id, version, and the forms of a value) for each leaf of documents: the table that conditions are looked up in."""
+    return docs.select("id", "version", F.explode("leaves").alias("x")).select("id", "version", "x.*")
 
 
 def documents_of(leaves: DataFrame, condition: Condition) -> DataFrame:
@@ -168,30 +258,79 @@ def documents_of(leaves: DataFrame, condition: Condition) -> DataFrame:
 class Search:
     """Conditions on documents, gathered and then run as one plan.
 
-    With the table of leaves at hand, a ``Condition`` is looked up there; a scan of its sorted files reads the rows of the path
-    and the values asked for. Columns, and conditions without that table, are tested on each document.
+    With tables at hand, a ``Condition`` is looked up there; a scan of their sorted files reads what is asked for. Columns, and
+    conditions without tables, are tested on each document. ``keys()`` are the documents found by looking up alone: without the
+    documents themselves, validity as of ``at`` (None: now; ``all``: no matter) comes from the ends of their intervals.
     """
 
-    def __init__(self, docs: DataFrame, leaves: DataFrame | None = None):
-        self.docs, self.leaves = docs, leaves
+    def __init__(self, docs: DataFrame, tables: Tables | DataFrame | None = None, at: int | str | None = None, found: tuple[tuple[str, DataFrame] | None, ...] = ()):
+        self.docs = docs
+        self.tables = Tables(tables) if isinstance(tables, DataFrame) else tables
+        self.at, self.found = at, found
+
+    @property
+    def leaves(self) -> DataFrame | None:
+        return self.tables.leaves if self.tables else None
+
+    def _with(self, docs: DataFrame, *found: tuple[str, DataFrame] | None) -> Search:
+        return Search(docs, self.tables, self.at, (*self.found, *found))
+
+    def _looked_up(self, condition: Column | Condition) -> bool:
+        return isinstance(condition, Condition) and self.tables is not None
+
+    def _tested(self, condition: Column | Condition) -> Column:
+        return condition.on_leaves() if isinstance(condition, Condition) else condition
 
     def filter(self, condition: Column | Condition) -> Search:
-        if not isinstance(condition, Condition):
-            return Search(self.docs.where(condition), self.leaves)
-        if self.leaves is None:
-            return Search(self.docs.where(condition.on_leaves()))
-        return Search(self.docs.join(documents_of(self.leaves, condition), ["id", "version"], "left_semi"), self.leaves)
+        if not self._looked_up(condition):
+            return self._with(self.docs.where(self._tested(condition)), None)
+        keys = condition.documents(self.tables)
+        return self._with(self.docs.join(keys, ["id", "version"], "left_semi"), ("left_semi", keys))
 
     must = query = filter
 
-    def must_not(self, condition: Column) -> Search:
-        return Search(self.docs.where(~condition), self.leaves)
-
-    def should(self, *conditions: Column) -> Search:
-        some = conditions[0]
-        for c in conditions[1:]:
-            some = some | c
-        return Search(self.docs.where(some), self.leaves)
+    def must_not(self, condition: Column | Condition) -> Search:
+        if not self._looked_up(condition):
+            return self._with(self.docs.where(~F.coalesce(self._tested(condition), F.lit(False))), None)
+        keys = condition.documents(self.tables)
+        return self._with(self.docs.join(keys, ["id", "version"], "left_anti"), ("left_anti", keys))
+
+    def should(self, *conditions: Column | Condition) -> Search:
+        """One of the conditions at least. Conditions on one leaf are one lookup together; with a column among them each document
+        is tested."""
+        if not conditions:
+            return self
+        if not all(map(self._looked_up, conditions)):
+            some = F.lit(False)
+            for c in conditions:
+                some = some | F.coalesce(self._tested(c), F.lit(False))
+            return self._with(self.docs.where(some), None)
+        plain = [c for c in conditions if type(c) is Condition]
+        parts = [c.documents(self.tables) for c in conditions if type(c) is not Condition]
+        if plain:
+            row = plain[0].of_row()
+            for c in plain[1:]:
+                row = row | c.of_row()
+            parts.append(self.tables.leaves.where(row).select("id", "version"))
+        keys = parts[0]
+        for x in parts[1:]:
+            keys = keys.unionByName(x)
+        keys = keys.distinct()
+        return self._with(self.docs.join(keys, ["id", "version"], "left_semi"), ("left_semi", keys))
+
+    def keys(self) -> DataFrame:
+        """(id, version) of what is found; the documents are read only if a condition had to be tested on them."""
+        if None in self.found or not self.found or self.found[0][0] != "left_semi" or self.tables is None or self.tables.ends is None:
+            return self.docs.select("id", "version")
+        out = self.found[0][1]
+        for how, keys in self.found[1:]:
+            out = out.join(keys, ["id", "version"], how)
+        if self.at == "all":
+            return out
+        ended = self.tables.ends
+        if self.at is not None:
+            out, ended = out.where(F.col("version") <= self.at), ended.where(F.col("next") <= self.at)
+        return out.join(ended.select("id", "version"), ["id", "version"], "left_anti")
 
     def source(self, *columns: str) -> Search:
         return Search(self.docs.select(*columns))

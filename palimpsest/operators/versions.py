@@ -47,12 +47,13 @@ def fold(history: DataFrame, options: DataFrame, parse: Callable[[DataFrame], Da
     """Intervals of distinct parsed states: (id, version, next, data, parsed).
 
     ``parse`` adds ``parsed``, a comparable column, to rows of (id, version, data, option); it is null where data is null.
-    A moment counts only if its parsed state differs from the one before; a deletion closes the last interval.
+    It may add ``state`` too, by which equal states are known. A moment counts only if its parsed state differs from the one
+    before; a deletion closes the last interval.
     """
     parsed = parse(grid(history, options, strict))
-    w = W.partitionBy("id").orderBy("version")
-    changed = parsed.withColumn("n", F.row_number().over(w)).withColumn("before", F.lag("parsed").over(w))
-    changed = changed.where((F.col("n") == 1) | ~F.col("parsed").eqNullSafe(F.col("before")))
+    w, known = W.partitionBy("id").orderBy("version"), "state" if "state" in parsed.columns else "parsed"
+    changed = parsed.withColumn("n", F.row_number().over(w)).withColumn("before", F.lag(known).over(w))
+    changed = changed.where((F.col("n") == 1) | ~F.col(known).eqNullSafe(F.col("before")))
     return changed.withColumn("next", F.lead("version").over(w)).where("parsed IS NOT NULL").select("id", "version", "next", "data", "parsed")
 
 
@@ -73,6 +74,25 @@ def of_versions(databases: dict[str, tuple[DataFrame, int]]) -> DataFrame:
     return out
 
 
+def stabbed(docs: DataFrame, asked: DataFrame, name: str = "name") -> DataFrame:
+    """Documents (name, version, next, ..) of many databases as of many versions: ``asked`` is (name, at). Rows have ``at`` too.
+
+    A join on ranges would compare every document with every version of its database. Versions fall into bins, about as many as
+    a database has versions asked for; a document goes to the bins that its interval reaches into and that hold one, and meets
+    the versions there.
+    """
+    wanted = asked.select(F.col(name).alias("own"), F.col("at").cast("bigint").alias("at")).where("at IS NOT NULL").distinct()
+    spans = wanted.groupBy("own").agg(F.min("at").alias("low"), F.max("at").alias("high"), F.count("*").alias("n"))
+    spans = spans.withColumn("width", F.expr("(high - low) div n + 1"))
+    binned = wanted.join(spans, "own").select("own", "at", F.expr("(at - low) div width").alias("bin"))
+    rows = docs.select(F.col(name).alias("own"), F.struct(*docs.columns).alias("doc"))
+    first = F.greatest(F.col("doc.version"), F.col("low"))
+    last = F.least(F.coalesce(F.col("doc.next") - 1, F.col("high")), F.col("high"))
+    reach = rows.join(spans, "own").where(first <= last).select("own", "doc", F.explode(F.sequence(F.call_function("div", first - F.col("low"), F.col("width")), F.call_function("div", last - F.col("low"), F.col("width")))).alias("bin"))
+    found = reach.join(binned, ["own", "bin"]).where((F.col("doc.version") <= F.col("at")) & (F.col("doc.next").isNull() | (F.col("at") < F.col("doc.next"))))
+    return found.select("doc.*", "at")
+
+
 def serialised(ops: DataFrame, index: str) -> DataFrame:
     """(id, version, line): index operations (op, id, version, data as JSON) as lines of JSON, an action and, to index, the
     document, for a store that takes such lines in bulk."""
