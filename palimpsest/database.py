@@ -32,7 +32,7 @@ DOC_COLUMNS = [c.split(" ")[0] for c in ("id", "version", "next", "data", "data_
 DERIVED: dict[str, tuple[str, Callable[[DataFrame], DataFrame]]] = {
     "leaves": (LEAVES, lambda x: x.repartitionByRange("path", "k", "id").sortWithinPartitions("path", "k", "n")),
     "postings": (words.POSTINGS, words.by_token),
-    "terms": (words.TERMS, words.by_rest),
+    "words": (words.WORDS, words.by_word),
     "cells": (cells.CELLS, cells.by_cell),
     "ends": (ENDS, lambda x: x.repartitionByRange("id").sortWithinPartitions("id")),
     "summary": (profile.SUMMARY, lambda x: x.coalesce(1)),
@@ -109,7 +109,21 @@ class Database:
     def tables(self) -> Tables:
         """What conditions are looked up in, of the documents in any tier."""
         manifest = self.folder.manifest()
-        return Tables(*[self._runs(what, manifest=manifest).rows() for what in ("leaves", "postings", "terms", "cells", "ends")])
+        return Tables(*[self._runs(what, manifest=manifest).rows() for what in ("leaves", "postings", "cells", "ends")], self.dictionary)
+
+    def dictionary(self) -> DataFrame:
+        """The rests of all words, by which words some edits away are found: made when first asked for, and then of new words alone."""
+        manifest = self.folder.manifest()
+        made = manifest.get("terms_to", -1)
+        if any(t["newest"] > made for t in manifest.get("words", [])):
+            with self.locks.lock("sync", name=self.name):
+                manifest = self.folder.manifest()
+                new = self._runs("words", manifest=manifest).rows(after=made)
+                name, seen = self.folder.write_counted(words.by_rest(words.terms(new)), n=F.count(F.lit(1)))
+                terms = self._runs("terms", words.TERMS, manifest).add(name, seen["n"] or 0).compacted(words.by_rest)
+                manifest = {**manifest, "terms": terms.tables, "terms_to": max(t["newest"] for t in manifest["words"])}
+                self.folder.publish(manifest)
+        return self._runs("terms", words.TERMS, manifest).rows()
 
     def records(self) -> DataFrame:
         """(id, version, data) of the current state; an uncommitted one has no version, a deleted one no data."""
@@ -287,7 +301,7 @@ class Database:
         """A kind of derived tables with one more, of ``rows``; many small ones are put together."""
         schema, dealt = DERIVED[what]
         name, seen = self.folder.write_counted(dealt(rows), n=F.count(F.lit(1)))
-        return self._runs(what, manifest=manifest).add(name, seen["n"] or 0).compacted(dealt).tables
+        return self._runs(what, manifest=manifest).add(name, seen["n"] or 0, newest=manifest["data_version"]).compacted(dealt).tables
 
     def sync(self, resync: bool = False, size: int = tiers.ARCHIVE, strict: bool = False) -> WriteResult:
         """Bring the tiers up to date: only records with newer data are folded again, or all if options changed since.
@@ -302,7 +316,7 @@ class Database:
             if not manifest.get("history") or last == self.committed_version():
                 return WriteResult(0, 0, {})
             if last is None:
-                manifest = {k: v for k, v in manifest.items() if k not in ("arcs", "latest", "indexed", *DERIVED)}
+                manifest = {k: v for k, v in manifest.items() if k not in ("arcs", "latest", "indexed", "terms", "terms_to", *DERIVED)}
             try:
                 out, indexed, deleted = self._synced(manifest, last, size, strict)
             except Exception as error:
@@ -344,7 +358,7 @@ class Database:
         closed = folded.where(ended)
         jobs = [lambda: latest_tier(), lambda: self._archived(closed.select(*DOC_COLUMNS), count("closed"), manifest, size)]
         derived = {
-            "leaves": leaves, "postings": posted, "terms": words.terms(posted), "cells": cells.rows(leaves), "ends": closed.select("id", "version", "next"), "summary": profile.summary(folded, last),
+            "leaves": leaves, "postings": posted, "words": posted.select("token"), "cells": cells.rows(leaves), "ends": closed.select("id", "version", "next"), "summary": profile.summary(folded, last),
         }
         jobs += [lambda what=what, x=x: self._derived(what, x, manifest) for what, x in derived.items()]
         (entry, deleted), arcs, *tables = self.folder.together(*jobs)

@@ -30,14 +30,14 @@ Test = Callable[[Callable[[str], Column]], Column]
 
 @dataclass(frozen=True)
 class Tables:
-    """What conditions are looked up in: leaves by path and value, postings and dictionary of words, cells, and the ends of
-    documents' validity (id, version, next)."""
+    """What conditions are looked up in: leaves by path and value, postings, cells, the ends of documents' validity (id, version,
+    next), and the dictionary of words, which is asked for when words may differ."""
 
     leaves: DataFrame
     postings: DataFrame | None = None
-    terms: DataFrame | None = None
     cells: DataFrame | None = None
     ends: DataFrame | None = None
+    terms: Callable[[], DataFrame] | None = None
 
 
 class Condition:

@@ -8,6 +8,7 @@ then decides. No text is read.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from itertools import combinations
 
 from pyspark.sql import Column, DataFrame
@@ -16,6 +17,7 @@ from pyspark.sql import functions as F
 from palimpsest.operators.search import tokens
 
 POSTINGS = "token string, path string, id string, version bigint, n bigint, first int"
+WORDS = "token string"
 TERMS = "rest string, size int, token string"
 #: Edits that the dictionary's rests cover.
 EDITS = 2
@@ -37,24 +39,31 @@ def by_token(rows: DataFrame) -> DataFrame:
     return rows.repartitionByRange("token", "id").sortWithinPartitions("token", "path", "id")
 
 
-def _shorter(word: Column) -> Column:
-    """A word without each one of its characters."""
-    without = lambda i: F.concat(word.substr(F.lit(1), i), word.substr(i + 2, F.length(word)))
-    return F.when(F.length(word) > 0, F.transform(F.sequence(F.lit(0), F.length(word) - 1), without)).otherwise(F.array().cast("array<string>"))
+def _rests(word: Column) -> Column:
+    """A word, and what is left of it without one and without two of its characters."""
+    size = F.length(word)
+    part = lambda start, length: F.substr(word, start, length)
+    places = lambda first, last: F.when(first <= last, F.sequence(first, last)).otherwise(F.array().cast("array<int>"))
+    one = F.transform(places(F.lit(0), size - 1), lambda i: F.concat(part(F.lit(1), i), part(i + 2, size)))
+    two = F.flatten(F.transform(places(F.lit(0), size - 2), lambda i: F.transform(F.sequence(i + 1, size - 1), lambda j: F.concat(part(F.lit(1), i), part(i + 2, j - i - 1), part(j + 2, size)))))
+    return F.array_distinct(F.concat(F.array(word), one, two))
 
 
 def terms(found: DataFrame) -> DataFrame:
-    """(rest, size, token) of the distinct words of postings: size is the word's length; a long word has no rest but null."""
+    """(rest, size, token) of distinct words: size is the word's length; a long word has no rest but null."""
     words = found.select("token").distinct().withColumn("size", F.length("token"))
-    rests = [F.array(F.col("token"))]
-    for _ in range(EDITS):
-        rests.append(F.array_distinct(F.flatten(F.transform(rests[-1], _shorter))))
-    every = F.array_distinct(F.concat(*rests))
-    return words.select(F.explode(F.when(F.col("size") <= LONG, every).otherwise(F.array(F.lit(None).cast("string")))).alias("rest"), "size", "token")
+    none = F.array(F.lit(None).cast("string"))
+    return words.select(F.explode(F.when(F.col("size") <= LONG, _rests(F.col("token"))).otherwise(none)).alias("rest"), "size", "token")
+
+
+def by_word(rows: DataFrame) -> DataFrame:
+    return rows.distinct().repartitionByRange("token").sortWithinPartitions("token")
 
 
 def by_rest(rows: DataFrame) -> DataFrame:
-    return rows.distinct().repartitionByRange("rest", "size", "token").sortWithinPartitions("rest", "size")
+    """The dictionary in files sorted by rest. A word may come again with a later sync's; dealing by hash saves the second run over
+    all words that finding ranges would take, and within its file a rest is found by the statistics of row groups."""
+    return rows.repartition("rest", "size").sortWithinPartitions("rest", "size")
 
 
 def rests_of(word: str, edits: int) -> list[str]:
@@ -76,16 +85,16 @@ def near(dictionary: DataFrame, word: str, edits: int) -> DataFrame:
     return dictionary.where(fits).select("token").distinct().where(F.levenshtein("token", F.lit(word), edits) >= 0)
 
 
-def documents(found: DataFrame, dictionary: DataFrame | None, asked: list[str], field: str | None, every: bool, edits: int) -> DataFrame:
+def documents(found: DataFrame, dictionary: Callable[[], DataFrame] | None, asked: list[str], field: str | None, every: bool, edits: int) -> DataFrame:
     """(id, version) of the documents that hold one of the words asked for, or with ``every`` all of them, at a path or anywhere."""
     if field is not None:
         found = found.where(F.col("path") == field)
     if not asked:
         return found.where("false").select("id", "version")
     if edits:
-        hits = None
+        known, hits = dictionary() if dictionary else terms(found), None
         for word in asked:
-            own = near(dictionary, word, edits).select("token", F.lit(word).alias("asked"))
+            own = near(known, word, edits).select("token", F.lit(word).alias("asked"))
             hits = own if hits is None else hits.unionByName(own)
         few = hits.limit(FEW + 1).collect()
         if len(few) <= FEW:

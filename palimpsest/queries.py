@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
+import json
+import shutil
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -13,7 +16,7 @@ from pyspark.sql import types as T
 from palimpsest.database import Engine
 from palimpsest.functions import geo
 from palimpsest.functions.values import clean_text, field_name_column
-from palimpsest.operators import ingest, parsing, profile, search, versions
+from palimpsest.operators import cells, ingest, parsing, profile, search, versions, words
 from palimpsest.operators.diffing import diff_flat, diff_json, patch_json
 from palimpsest.operators.options import OptionsBuilder
 from palimpsest.plans import tiers
@@ -395,14 +398,29 @@ def index_lines(spark, sf_dir):
     return versions.serialised(ops, tiers.index_names("users")["latest"]).withColumn("id", F.col("id").cast("bigint"))
 
 
+def _scratch(spark) -> str:
+    """A folder in the one that all executors share. Those of an application lie together, so that ``clear_scratch`` finds them; a
+    local session without a shared folder gets one of its own, which goes when Python ends."""
+    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not shared:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        shared = tempfile.mkdtemp(prefix="palimpsest-")
+        atexit.register(shutil.rmtree, shared, ignore_errors=True)
+    return f"{shared.rstrip('/')}/scratch-{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+
+
+def _written(df: DataFrame) -> DataFrame:
+    path = _scratch(df.sparkSession)
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def _database(spark, sf_dir):
     """Customers as a database in the shared folder: all but every fifth, then changes, deletions and the others. Each commit is
     synced; the clock shows 1000 and 2000. Returns it and the results of both."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not shared and not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     moments = iter(range(1000, 10**9, 1000))
-    db = Engine(spark, f"{(shared or tempfile.mkdtemp(prefix='palimpsest-')).rstrip('/')}/database-{uuid.uuid4().hex}").database("customers", lambda: next(moments))
+    db = Engine(spark, _scratch(spark)).database("customers", lambda: next(moments))
     c = _table(spark, sf_dir, "customer").withColumns({"id": F.col("c_custkey").cast("string"), "seq": F.col("c_custkey")})
     data = lambda more: F.to_json(F.struct(F.col("c_name").alias("name"), (F.col("c_nationkey") + more).alias("nation")))
     first = db.ingest(c.where("c_custkey % 5 <> 0").select("id", data(0).alias("data"), "seq"))
@@ -471,6 +489,126 @@ def database_state(spark, sf_dir):
     return spark.createDataFrame(list(out.items()), "name string, n bigint")
 
 
+@query(_DATABASE + """, m AS (SELECT *, gone AND NOT old AS never FROM c), v AS (SELECT * FROM h UNION ALL SELECT id, 3000, nation + 100 FROM c WHERE id::INT % 200 = 1 AND NOT (gone AND NOT old)),
+e AS (SELECT id, version, lead(version) OVER (PARTITION BY id ORDER BY version) AS next, nation FROM v)
+SELECT id, version::BIGINT AS version, next::BIGINT AS next, nation::BIGINT AS nation, CASE WHEN next IS NULL THEN 'latest' ELSE 'arc' END AS tier FROM e WHERE nation IS NOT NULL""")
+def layered_syncs(spark, sf_dir):
+    """A third sync of every 200th customer, which writes those alone, and a compaction."""
+    db, _, _ = _database(spark, sf_dir)
+    c = _table(spark, sf_dir, "customer").where("c_custkey % 200 = 1 AND NOT (c_custkey % 11 = 0 AND c_custkey % 5 = 0)")
+    data = F.to_json(F.struct(F.col("c_name").alias("name"), (F.col("c_nationkey") + 100).alias("nation")))
+    db.ingest(c.select(F.col("c_custkey").cast("string").alias("id"), data.alias("data"), F.col("c_custkey").alias("seq")))
+    db.sync()
+    db.compact()
+    return db.search("all").docs.select("id", "version", "next", F.get_json_object("data", "$.nation").cast("bigint").alias("nation"), "tier")
+
+
+@query(_DATABASE + """, w(moment) AS (VALUES (1000), (2000)), n AS (SELECT moment, count(*) AS n FROM w, t WHERE version <= moment AND (next IS NULL OR next > moment) GROUP BY 1)
+SELECT 'path' AS what, moment::BIGINT AS moment, path, tag, n AS "count", n AS other FROM n, (VALUES ('_id', '#s'), ('name', '#s'), ('nation', '#i')) p(path, tag)
+UNION ALL SELECT 'changes', version, '', '', count(*) FILTER (version = 1000 OR (is_end AND NOT start_only)), count(DISTINCT id) FROM (
+  SELECT id, version, false AS is_end, false AS start_only FROM t UNION ALL SELECT id, next, true, false FROM t WHERE next IS NOT NULL) GROUP BY version""")
+def kept_sums(spark, sf_dir):
+    """Fields as of both versions, and how many records changed at each (by ends of validity, and by ids), from the sums that the
+    syncs have kept: no document is read."""
+    db, _, _ = _database(spark, sf_dir)
+    fields = [db.data_fields(at).select(F.lit("path").alias("what"), F.lit(at).cast("bigint").alias("moment"), "path", "tag", "count", F.col("tag_count").alias("other")) for at in (1000, 2000)]
+    both = profile.summed_changes(db._sums()).join(profile.summed_changes(db._sums(), exact=True).withColumnRenamed("count", "other"), "version")
+    return fields[0].unionByName(fields[1]).unionByName(both.select(F.lit("changes").alias("what"), F.col("version").alias("moment"), F.lit("").alias("path"), F.lit("").alias("tag"), "count", "other"))
+
+
+@query("""SELECT c_custkey::VARCHAR AS id, CASE WHEN c_custkey % 10 = 0 THEN 'malformed JSON' WHEN c_custkey % 10 = 1 THEN 'no object but list' END AS reason, c_custkey % 10 > 1 AS landed FROM customer""")
+def rejected_rows(spark, sf_dir):
+    """An ingest with malformed rows and lists: the others land, these are listed with their reasons."""
+    db = Engine(spark, _scratch(spark)).database("customers", lambda: 1000)
+    c = _table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("string").alias("id"), F.col("c_custkey").alias("seq"), F.to_json(F.struct("c_name")).alias("data"))
+    bad = F.when(F.col("seq") % 10 == 0, F.concat("data", F.lit(","))).when(F.col("seq") % 10 == 1, F.concat(F.lit("["), "data", F.lit("]"))).otherwise(F.col("data"))
+    db.ingest(c.select("id", bad.alias("data"), "seq"))
+    bad_rows = db.rejects().select("id", F.when(F.col("reason").startswith("malformed JSON"), "malformed JSON").otherwise(F.col("reason")).alias("reason"), F.lit(False).alias("landed"))
+    return bad_rows.unionByName(db.records().select("id", F.lit(None).cast("string").alias("reason"), F.lit(True).alias("landed")))
+
+
+_WORDS = r"'\p{N}+(?:[.,]\p{N}+)+|[\p{L}\p{N}_]+(?:[\x27.]\p{L}+)*'"
+
+
+@query(rf"""WITH w AS (SELECT doc_id AS id, regexp_extract_all(lower(text), {_WORDS}) AS found FROM documents)
+SELECT 'or' AS how, id FROM w WHERE list_has_any(found, ['license', 'nicht']) UNION ALL SELECT 'and', id FROM w WHERE list_has_all(found, ['und', 'nicht'])
+UNION ALL SELECT 'near', id FROM w WHERE len(list_filter(found, lambda x: levenshtein(x, 'licenze') <= 2)) > 0""")
+def match_index(spark, sf_dir):
+    """Words of documents through postings sorted by word; with edits through the dictionary of words."""
+    leaves = _leaves(spark, sf_dir, "documents", "doc_id", ["text"]).select("path", F.col("id").cast("string").alias("id"), F.lit(1).cast("bigint").alias("version"), "t")
+    posted = _written(words.by_token(words.postings(leaves)))
+    tables = search.Tables(leaves, posted, terms=lambda: _written(words.by_rest(words.terms(posted))))
+    asked = {"or": search.match_of("License nicht"), "and": search.match_of("Und NICHT", "text", "and"), "near": search.match_of("LICENZE", fuzziness=2)}
+    parts = [c.documents(tables).select(F.lit(how).alias("how"), F.col("id").cast("bigint").alias("id")) for how, c in asked.items()]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+@query(r"""WITH w AS (SELECT p_partkey AS id, regexp_extract_all(lower(p_type || ' ' || p_name), '[\p{L}\p{N}_]+') AS found FROM part), q AS (SELECT * FROM (VALUES ('mediam', 1), ('mediam', 2), ('stel', 2), ('plted', 1), ('anodised', 3)) q(word, edits))
+SELECT word, edits, id FROM q, w WHERE len(list_filter(found, lambda x: levenshtein(x, word) <= edits)) > 0""")
+def near_words(spark, sf_dir):
+    """Parts with a word some edits away, by what is left of words without some of their characters."""
+    part = _table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.concat_ws(" ", "p_type", "p_name").alias("text"))
+    leaves = parsing.flat_leaf_rows(part, "id", ["text"], OPTIONS).select("path", F.col("id").cast("string").alias("id"), F.lit(1).cast("bigint").alias("version"), "t")
+    posted = _written(words.by_token(words.postings(leaves)))
+    known = _written(words.by_rest(words.terms(posted)))
+    out = None
+    for word, edits in (("mediam", 1), ("mediam", 2), ("stel", 2), ("plted", 1), ("anodised", 3)):
+        own = words.documents(posted, lambda: known, [word], None, False, edits).select(F.lit(word).alias("word"), F.lit(edits).alias("edits"), F.col("id").cast("bigint").alias("id"))
+        out = own if out is None else out.unionByName(own)
+    return out
+
+
+def _stab_asked(name: str, table: str, moment: str) -> str:
+    return f"SELECT '{name}' AS name, (lo + (hi - lo) * k // 250)::BIGINT AS moment FROM (SELECT min(epoch_us({moment}) // 1000) AS lo, max(epoch_us({moment}) // 1000) AS hi FROM {table}), range(251) r(k)"
+
+
+@query(_EVENTS + f""", o AS (SELECT o_custkey AS id, epoch_us(o_orderdate) // 1000 AS version FROM orders GROUP BY 1, 2), p AS (SELECT 'users' AS name, id, version, next FROM d
+UNION ALL SELECT 'customers', id, version, lead(version) OVER (PARTITION BY id ORDER BY version) FROM o),
+a AS ({_stab_asked("users", "events", "ts")} UNION {_stab_asked("customers", "orders", "o_orderdate")})
+SELECT a.name, moment, count(*) AS n, sum(p.version)::DOUBLE AS versions FROM a JOIN p ON a.name = p.name AND version <= moment AND (next IS NULL OR moment < next) GROUP BY 1, 2""")
+def stabbed_versions(spark, sf_dir):
+    """Two databases, each as of 251 versions, by one join of bins."""
+    users = _events(spark, sf_dir).select(F.lit("users").alias("name"), "id", "version", "next")
+    orders = versions.intervals(_table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("id"), _millis("o_orderdate").alias("version")).distinct())
+    docs = users.unionByName(orders.select(F.lit("customers").alias("name"), "id", "version", "next"))
+    asked = None
+    for name, table, moment in (("users", "events", "ts"), ("customers", "orders", "o_orderdate")):
+        ends = _table(spark, sf_dir, table).agg(F.min(_millis(moment)).alias("lo"), F.max(_millis(moment)).alias("hi"))
+        own = ends.select(F.lit(name).alias("name"), "lo", "hi", F.explode(F.sequence(F.lit(0), F.lit(250))).alias("k")).select("name", F.expr("lo + (hi - lo) * k div 250").alias("at"))
+        asked = own if asked is None else asked.unionByName(own)
+    return versions.stabbed(docs, asked).groupBy("name", F.col("at").alias("moment")).agg(F.count("*").alias("n"), F.sum("version").cast("double").alias("versions"))
+
+
+@query("SELECT c_custkey::VARCHAR AS id, 1::BIGINT AS version, CASE WHEN c_custkey % 2 = 1 THEN 2 END::BIGINT AS next FROM customer UNION ALL SELECT c_custkey::VARCHAR, 2, NULL FROM customer WHERE c_custkey % 2 = 1")
+def reordered_keys(spark, sf_dir):
+    """A state with other blanks in a list and its keys in another order is the same version; with a swapped list, of odd customers,
+    it is not."""
+    c = _table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("string").alias("id"), F.col("c_custkey").alias("k"), F.col("c_nationkey").alias("n"))
+    first = F.format_string('{"a": %d, "b": {"c": "x", "d": 2}, "x": ["", null, 1, 2]}', "n")
+    second = F.when(F.col("k") % 2 == 0, F.format_string('{"x": [null, "", 1, 2], "b": {"d": 2, "c": "x"}, "a": %d}', "n")).otherwise(F.format_string('{"x": [null, "", 2, 1], "b": {"d": 2, "c": "x"}, "a": %d}', "n"))
+    history = c.select("id", F.lit(1).cast("bigint").alias("version"), first.alias("data")).unionByName(c.select("id", F.lit(2).cast("bigint").alias("version"), second.alias("data")))
+    options = spark.createDataFrame([(1, json.dumps(OPTIONS.to_doc()))], "version bigint, option string")
+    parse = lambda rows: parsing.parse_documents(rows, state="state").withColumn("parsed", F.struct("data_types", "parsed_types", "leaves"))
+    return versions.fold(history, options, parse).select("id", "version", "next")
+
+
+@query("""SELECT o_orderkey AS id FROM orders WHERE lower(o_orderstatus) <> 'f' AND (o_totalprice < 50000 OR o_orderpriority = '1-URGENT' OR list_contains(regexp_extract_all(lower(o_orderpriority), '[a-z]+'), 'low'))""")
+def must_not_should(spark, sf_dir):
+    """Conditions on leaves that must not hold, and some of which at least one has to, all looked up."""
+    orders = _table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), "o_orderstatus", "o_totalprice", "o_orderpriority", F.lit(1).cast("bigint").alias("version"))
+    leaves = parsing.flat_leaf_rows(orders, "id", ["o_orderstatus", "o_totalprice", "o_orderpriority"], OPTIONS).withColumn("version", F.lit(1).cast("bigint"))
+    found = search.Search(orders.select("id", "version"), leaves).must_not(search.term_of("o_orderstatus", "f"))
+    return found.should(search.range_of("o_totalprice", lt=50000), search.term_of("o_orderpriority", "1-urgent"), search.match_of("LOW", "o_orderpriority")).docs.select("id")
+
+
+@query('SELECT c_nationkey AS value, count(*) AS "count", (row_number() OVER (ORDER BY c_nationkey) - 1) // 7 AS page FROM customer GROUP BY 1')
+def term_pages(spark, sf_dir):
+    """The terms of a column in pages of seven, each asked for behind the last key of the one before."""
+    pages = profile.TermPages(_table(spark, sf_dir, "customer"), "c_nationkey", _scratch(spark), size=7)
+    rows = [(r["value"], r["count"], n) for n, page in enumerate(pages) for r in page]
+    return spark.createDataFrame(rows, "value int, count bigint, page bigint")
+
+
 def _states(spark, sf_dir):
     """Customers before and after, as maps of texts."""
     c = _table(spark, sf_dir, "customer")
@@ -583,6 +721,17 @@ def geo_bbox_points(spark, sf_dir):
     return _wkt_docs(spark, sf_dir).where(search.points_in_box(-20, 50, 60, 10)).select("id")
 
 
+def _cells(docs: DataFrame) -> search.Tables:
+    leaves = search.leaf_rows(docs.select(F.col("id").cast("string").alias("id"), F.lit(1).cast("bigint").alias("version"), "leaves"))
+    return search.Tables(leaves, cells=_written(cells.by_cell(cells.rows(leaves))))
+
+
+@query("SELECT c_custkey AS id FROM customer WHERE c_custkey * 37 % 200 - 100 BETWEEN 10 AND 50 AND c_custkey * 91 % 360 - 180 BETWEEN -20 AND 60")
+def cells_of_points(spark, sf_dir):
+    """Points in a box, through ranges of cells of a sorted table."""
+    return search.box_of(-20, 50, 60, 10).documents(_cells(_wkt_docs(spark, sf_dir))).select(F.col("id").cast("bigint").alias("id"))
+
+
 _X, _Y = "(c_custkey * 91 % 350 - 175)", "(c_custkey * 37 % 170 - 85)"
 
 
@@ -620,6 +769,13 @@ def geo_bbox_shapes(spark, sf_dir):
     return docs.where(search.shapes_in_box(-40, 20, 30, -10)).select("id")
 
 
+@query(f"SELECT c_custkey AS id FROM customer WHERE {_X} <= 30 AND {_X} + 4 >= -40 AND {_Y} <= 20 AND {_Y} + 4 >= -10 AND greatest({_X}, -40) - {_X} + greatest({_Y}, -10) - {_Y} <= 4")
+def cells_of_shapes(spark, sf_dir):
+    """Triangles that meet a box, through ranges of cells on each level."""
+    docs = _shapes(spark, sf_dir, '{"area": "POLYGON ((%d %d, %d %d, %d %d, %d %d))"}', _X, _Y, f"{_X} + 4", _Y, _X, f"{_Y} + 4", _X, _Y)
+    return search.shapes_of(-40, 20, 30, -10).documents(_cells(docs)).select(F.col("id").cast("bigint").alias("id"))
+
+
 @query(f"""WITH r AS (SELECT s_suppkey AS id, s_suppkey * 37 % 240 - 120 AS lat, s_suppkey * 91 % 300 - 150 AS lon, s_suppkey % 3 AS k FROM supplier)
 SELECT id, lon::DOUBLE AS lon, lat::DOUBLE AS lat, k = 2 AND lat BETWEEN -89 AND 89 AS round FROM r WHERE lat BETWEEN -90 AND 90""")
 def geo_hint_shapes(spark, sf_dir):
