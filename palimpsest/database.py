@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Callable, Iterable
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,7 +17,7 @@ from palimpsest.operators.options import ParsingOptions
 from palimpsest.operators.parsing import LEAF, PARSED, parse_documents
 from palimpsest.operators.search import Search, Tables, leaf_rows
 from palimpsest.plans import tiers
-from palimpsest.sources.store import Buckets, Folder, Layers, Locks, Runs, WriteError
+from palimpsest.sources.store import Buckets, Conflict, Folder, Layers, Locks, Runs, WriteError
 
 HISTORY = "id string, version bigint, data string, same string"
 STAGED = "id string, data string, same string, committed boolean"
@@ -39,6 +39,10 @@ DERIVED: dict[str, tuple[str, Callable[[DataFrame], DataFrame]]] = {
 }
 
 
+#: How often a batch is merged if others change what it is compared with.
+ATTEMPTS = 5
+
+
 @dataclass(frozen=True)
 class IngestResult:
     version: int | None
@@ -117,12 +121,12 @@ class Database:
         made = manifest.get("terms_to", -1)
         if any(t["newest"] > made for t in manifest.get("words", [])):
             with self.locks.lock("sync", name=self.name):
-                manifest = self.folder.manifest()
+                before = manifest = self.folder.manifest()
                 new = self._runs("words", manifest=manifest).rows(after=made)
                 name, seen = self.folder.write_counted(words.by_rest(words.terms(new)), n=F.count(F.lit(1)))
                 terms = self._runs("terms", words.TERMS, manifest).add(name, seen["n"] or 0).compacted(words.by_rest)
                 manifest = {**manifest, "terms": terms.tables, "terms_to": max(t["newest"] for t in manifest["words"])}
-                self.folder.publish(manifest)
+                self.folder.change(before, manifest)
         return self._runs("terms", words.TERMS, manifest).rows()
 
     def records(self) -> DataFrame:
@@ -159,7 +163,10 @@ class Database:
         return {None: ParsingOptions.from_doc(pending), **out} if include_uncommitted and pending else out
 
     def committed_version(self) -> int | None:
-        manifest = self.folder.manifest()
+        return self._committed(self.folder.manifest())
+
+    @staticmethod
+    def _committed(manifest: dict) -> int | None:
         found = [x["version"] for x in manifest.get("options", [])] + ([manifest["data_version"]] if "data_version" in manifest else [])
         return max(found, default=None)
 
@@ -174,9 +181,20 @@ class Database:
         """Merge (id, data as JSON, seq); of one id the last row counts. Empty data deletes.
 
         The batch is written once, and what it changes once more; a row that is no record (no id, malformed JSON, no object) goes
-        to ``rejects()`` and does not keep the others from landing.
+        to ``rejects()`` and does not keep the others from landing. If someone else has changed what the batch was compared with,
+        it is merged again.
         """
-        manifest = self.folder.manifest()
+        for attempt in range(ATTEMPTS):
+            try:
+                found = self._ingest(records, modified_field)
+                break
+            except Conflict:
+                if attempt == ATTEMPTS - 1:
+                    raise
+        return replace(found, version=self.commit()) if commit else found
+
+    def _ingest(self, records: DataFrame, modified_field: str | None) -> IngestResult:
+        before = manifest = self.folder.manifest()
         bad = F.col("reason").isNotNull()
         name, seen = self.folder.write_counted(
             merging.received(records.select("id", "data", "seq")), n=F.count_if(~bad), bad=F.count_if(bad), gone=F.count_if(~bad & F.col("data").isNull())
@@ -204,8 +222,8 @@ class Database:
             if sum(counts.values()):
                 out["staged"] = staged.add(change, sum(counts.values()), kept=counts["insert"] + counts["update"], fresh=seen["fresh"] or 0).entry
         if out != manifest:
-            self.folder.publish(out)
-        return IngestResult(self.commit() if commit else None, counts["insert"], counts["update"] + counts["revert"], counts["delete"], rejected)
+            self.folder.change(before, out, "staged", "current")
+        return IngestResult(None, counts["insert"], counts["update"] + counts["revert"], counts["delete"], rejected)
 
     def commit(self) -> int | None:
         """Give all that is uncommitted one new version, in one step; None if there is nothing.
@@ -225,7 +243,7 @@ class Database:
                 rows, fresh = seen["n"] or 0, seen["fresh"] or 0
             if not rows and not pending:
                 if not staged.empty:
-                    self.folder.publish({**manifest, "staged": None})
+                    self.folder.change(manifest, {**manifest, "staged": None})
                 return None
             version = max(self.now(), (self.committed_version() or 0) + 1)
             out = {**manifest, "staged": None}
@@ -240,7 +258,7 @@ class Database:
                 current = self._current(manifest).add(table, rows, version=version)
                 out["current"] = (current.compacted(number) if current.due(tiers.BUCKET) else current).entry
                 out |= {"data_version": version, "rows": total, "buckets": number}
-            self.folder.publish(out)
+            self.folder.change(manifest, out, "staged", "current", "pending_options")
             return version
 
     def update_options(self, options: ParsingOptions, commit: bool = True) -> int | None:
@@ -311,9 +329,9 @@ class Database:
         fails is visible.
         """
         with self.locks.lock("sync", name=self.name):
-            manifest = self.folder.manifest()
-            last = None if resync else manifest.get("synced")
-            if not manifest.get("history") or last == self.committed_version():
+            before = manifest = self.folder.manifest()
+            last, newest = None if resync else manifest.get("synced"), self._committed(manifest)
+            if not manifest.get("history") or last == newest:
                 return WriteResult(0, 0, {})
             if last is None:
                 manifest = {k: v for k, v in manifest.items() if k not in ("arcs", "latest", "indexed", "terms", "terms_to", *DERIVED)}
@@ -321,7 +339,7 @@ class Database:
                 out, indexed, deleted = self._synced(manifest, last, size, strict)
             except Exception as error:
                 raise WriteError([str(error).split("\n")[0]]) from error
-            self.folder.publish({**out, "synced": self.committed_version()})
+            self.folder.change(before, {**out, "synced": newest})
             return WriteResult(indexed, deleted, self._shares())
 
     def _synced(self, manifest: dict, last: int | None, size: int, strict: bool) -> tuple[dict, int, int]:
@@ -377,7 +395,7 @@ class Database:
                 out["history"] = self._history(manifest).compacted(lambda x: x.repartitionByRange("id", "version").sortWithinPartitions("id", "version"), least=2).tables
             for what, (_, dealt) in DERIVED.items():
                 out[what] = self._runs(what, manifest=manifest).compacted(dealt, least=2).tables
-            self.folder.publish(out)
+            self.folder.change(manifest, out)
 
     def _shares(self) -> dict[str, int]:
         manifest = self.folder.manifest()
@@ -387,14 +405,15 @@ class Database:
     def resync_arcs(self, size: int = tiers.ARCHIVE, strict: bool = False) -> WriteResult:
         """Write all archives anew; the latest tier, and what documents are looked up in, are not touched."""
         with self.locks.lock("sync", name=self.name):
-            manifest = {**self.folder.manifest(), "arcs": []}
+            before = self.folder.manifest()
+            manifest = {**before, "arcs": []}
             if not manifest.get("history"):
                 return WriteResult(0, 0, {})
             synced = manifest.get("synced")
             fits = F.col("next").isNotNull() if synced is None else F.col("next") <= synced  # what is newer comes with the next sync
             name, seen = self.folder.write_counted(self._folded(self._history(manifest).rows(), strict).where(fits), n=F.count(F.lit(1)))
             arcs = self._archived(self.folder.table([name], FOLDED), seen["n"] or 0, manifest, size)
-            self.folder.publish({**manifest, "arcs": arcs})
+            self.folder.change(before, {**manifest, "arcs": arcs}, "synced")
             shares = {f"arc-{arc}": k for arc, k in tiers.arc_counts({"arcs": arcs}).items()}
             return WriteResult(sum(shares.values()), 0, shares)
 
@@ -423,7 +442,7 @@ class Database:
             keys = latest.rows().select("id", "version").join(found.docs.select("id", "version"), ["id", "version"], "left_semi")
             table, seen = self.folder.write_counted(keys.withColumn("gone", F.lit(True)), n=F.count(F.lit(1)))
             if seen["n"]:
-                self.folder.publish({**manifest, "latest": latest.add(table, seen["n"]).entry, "latest_rows": manifest.get("latest_rows", 0) - seen["n"]})
+                self.folder.change(manifest, {**manifest, "latest": latest.add(table, seen["n"]).entry, "latest_rows": manifest.get("latest_rows", 0) - seen["n"]})
             return seen["n"] or 0
 
     def _sums(self) -> DataFrame:

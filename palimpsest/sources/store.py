@@ -81,6 +81,19 @@ class Folder:
         finally:
             self.delete(own)
 
+    def change(self, before: dict, after: dict, *reads: str) -> None:
+        """Publish what ``after`` says otherwise than ``before``. If others have published meanwhile, it goes on top of theirs,
+        unless they have changed the same parts or some that it ``reads``: that is a conflict."""
+        own = {k for k in {*before, *after} - {"number"} if before.get(k) != after.get(k)}
+        while True:
+            now = self.manifest()
+            if any(now.get(k) != before.get(k) for k in own.union(reads)):
+                raise Conflict("the database was changed meanwhile")
+            try:
+                return self.publish({k: v for k, v in now.items() if k not in own} | {k: after[k] for k in own if k in after})
+            except Conflict:
+                continue
+
     def _name(self, own: str, name: str) -> None:
         """Give a file a name that no other has, in one step: a second link on a local disk, elsewhere a rename that replaces
         nothing."""

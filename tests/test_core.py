@@ -132,11 +132,13 @@ def test_rows_under_different_options(spark):
 
 
 def test_geo():
-    assert geo.match_wkt("POINT (30 10)")["point"] == "POINT (30 10)"
-    assert geo.match_wkt("LINESTRING (10 10, 20 10, 20 20)")["point"] == "POINT (17.5 12.5)"
-    assert geo.match_wkt("POLYGON ((10 10, 20 10, 20 20, 10 20, 10 10))")["point"] == "POINT (15 15)"
-    assert not any(map(geo.match_wkt, ("POINT(1 2)", "POINT EMPTY", "POINT (200 1)", "POLYGON ((10 10, 20 10, 20 20, 10 20))", "POINT (a b)")))
-    ring = [[10, 10], [20, 10], [20, 20], [10, 20], [10, 10]]
+    assert geo.match_wkt("POINT (7 -3.5)")["point"] == "POINT (7 -3.5)"
+    # pieces of lengths 6 and 2 with their middles at (3, 0) and (6, 1)
+    assert geo.match_wkt("LINESTRING (0 0, 6 0, 6 2)")["point"] == "POINT (3.75 0.25)"
+    # a square of 16 around (0, 0) without one of 4 around (1, 0): (0 * 16 - 1 * 4) / 12
+    assert geo.match_wkt("POLYGON ((-2 -2, 2 -2, 2 2, -2 2, -2 -2), (0 -1, 0 1, 2 1, 2 -1, 0 -1))")["lon"] == pytest.approx(-1 / 3)
+    assert not any(map(geo.match_wkt, ("POINT(7 3)", "LINESTRING EMPTY", "POINT (7 -91)", "POLYGON ((0 0, 3 0, 0 3))", "POINT (x 3)")))
+    ring = [[-4, 1], [2, 1], [2, 5], [-4, 5], [-4, 1]]
     assert geo.match_geojson({"type": "Polygon", "coordinates": [ring]}) and not geo.match_geojson({"type": "Polygon", "coordinates": [ring[::-1]]})
     circle = geo.circle(51.5, -0.17, 1000, 16)
     assert len(circle) == 65 and abs(circle[0][0] + 0.17 - 1000 / (111320 * 0.6225)) < 1e-3 and geo.winding_ok([circle])
