@@ -6,6 +6,7 @@ in them, so a text's margins are means of weight rows over its trigrams, whateve
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -17,12 +18,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from palimpsest.llm import svm
+from palimpsest.llm.common import broadcast_if_small, materialise
 
 DIMS = 8192
 #: Training texts of each language: all if there are fewer, else about so many, chosen by the hash of their id.
 SAMPLE = 400
-#: Languages that are learnt: all if fewer, else those of the most labelled texts (ties: by name).
-LANGUAGES = 500
+#: Training texts of other families that a family is told from: all if there are fewer, else about so many of them, chosen by
+#: the hash of their id. They are what all tasks share, with 48 KB each at most.
+REST = 4000
 #: Scale of the trigram frequencies, so that rows have norms near one.
 SCALE = 10.0
 #: Bytes of a text that are hashed at once.
@@ -66,33 +69,38 @@ def sparse(x: np.ndarray) -> tuple[bytes, bytes]:
     return at.astype(np.uint16).tobytes(), x[at].astype(np.float32).tobytes()
 
 
+def _model(*about: str) -> str:
+    """The name of a family's model, or of a pair's."""
+    return json.dumps(about)
+
+
+def learn(rows: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray) -> tuple[np.ndarray, float, tuple[float, float]]:
+    """Weights over places, bias and curve of one linear model."""
+    w = svm.fit(rows, y, DIMS, svm.balanced_cost(y, 10.0))
+    curve = svm.calibrate(np.array([w[at] @ v + w[-1] for at, v in rows]), y)
+    return (SCALE * w[:-1]).astype(np.float32), float(w[-1]), curve
+
+
 class Model:
     """Families, languages and one matrix that holds all linear models."""
 
-    def __init__(self, texts: list, langs: list[str]):
-        """``texts`` are frequencies, or (places, values) of those that are not zero."""
+    def __init__(self, texts: list, langs: list[str], fitted: dict[str, tuple] | None = None):
+        """``texts`` are frequencies, or (places, values) of those that are not zero; with ``fitted`` models by name none is learnt
+        here."""
         self.langs = sorted(set(langs))
         self.families = sorted({family_of(x) for x in self.langs})
         self.pairs = [(a, b) for a, b in combinations(self.langs, 2) if family_of(a) == family_of(b)]
-        family = np.array([self.families.index(family_of(x)) for x in langs])
-        lang = np.array([self.langs.index(x) for x in langs])
-        rows = [x if isinstance(x, tuple) else (np.flatnonzero(x), x[np.flatnonzero(x)]) for x in texts]
-        columns, self.curves = [], []
-
-        def learn(keep: np.ndarray, y: np.ndarray) -> None:
-            own = [rows[i] for i in keep]
-            w = svm.fit(own, y, DIMS, svm.balanced_cost(y, 10.0))
-            self.curves.append(svm.calibrate(np.array([w[at] @ v + w[-1] for at, v in own]), y))
-            columns.append(w)
-
-        everything = np.arange(len(rows))
-        for k in range(len(self.families) if len(self.families) > 1 else 0):
-            learn(everything, np.where(family == k, 1.0, -1.0))
-        for a, b in self.pairs:
-            keep = np.flatnonzero((lang == self.langs.index(a)) | (lang == self.langs.index(b)))
-            learn(keep, np.where(lang[keep] == self.langs.index(a), 1.0, -1.0))
-        w = np.array(columns).reshape(-1, DIMS + 1)
-        self.weights, self.bias = np.ascontiguousarray(SCALE * w[:, :-1].T).astype(np.float32), w[:, -1]
+        if fitted is None:
+            rows = [x if isinstance(x, tuple) else (np.flatnonzero(x), x[np.flatnonzero(x)]) for x in texts]
+            family, fitted = np.array([family_of(x) for x in langs]), {}
+            for name in self.families if len(self.families) > 1 else []:
+                fitted[_model("family", name)] = learn(rows, np.where(family == name, 1.0, -1.0))
+            for a, b in self.pairs:
+                keep = [i for i, x in enumerate(langs) if x in (a, b)]
+                fitted[_model("pair", a, b)] = learn([rows[i] for i in keep], np.array([1.0 if langs[i] == a else -1.0 for i in keep]))
+        names = [_model("family", x) for x in self.families if len(self.families) > 1] + [_model("pair", a, b) for a, b in self.pairs]
+        self.weights = np.ascontiguousarray(np.array([fitted[x][0] for x in names], np.float32).reshape(-1, DIMS).T)
+        self.bias, self.curves = np.array([fitted[x][1] for x in names]), [fitted[x][2] for x in names]
 
     def predict(self, text: str) -> tuple[str, float]:
         """The likeliest family's likeliest language, with its chance; equal ones go to the later in order of names within a
@@ -118,14 +126,46 @@ class Model:
         return best, float(min(max(chances[k] * shares[best] / total, 0.0), 1.0))
 
 
+def _rows(rows: list[tuple]) -> list[tuple[np.ndarray, np.ndarray]]:
+    return [(np.frombuffer(at, np.uint16).astype(np.int64), np.frombuffer(x, np.float32).astype(float)) for *_, at, x in rows]
+
+
+def _fitted(drawn: DataFrame, langs: list[str], rest: list[tuple]) -> dict[str, tuple]:
+    """Every model by its name, each learnt in a task of its own: a family from its texts and those that all share, a pair of
+    languages from the texts of both."""
+    families: dict[str, list[str]] = {}
+    for x in langs:
+        families.setdefault(family_of(x), []).append(x)
+    several = len(families) > 1
+    tasks = [(x, name) for family, own in families.items() for x in own for name in ([_model("family", family)] if several else []) + [_model("pair", a, b) for a, b in combinations(own, 2) if x in (a, b)]]
+    spark = drawn.sparkSession
+    shared = spark.sparkContext.broadcast(rest)
+
+    def run(table: pa.Table) -> pa.Table:
+        name = table.column("model")[0].as_py()
+        kind, first, *_ = json.loads(name)
+        own = list(zip(*(table.column(c).to_pylist() for c in ("doc_id", "lang", "at", "x"))))
+        if kind == "family":
+            own += [r for r in shared.value if family_of(r[1]) != first]
+        own.sort()
+        of = family_of if kind == "family" else str
+        weights, bias, curve = learn(_rows(own), np.array([1.0 if of(r[1]) == first else -1.0 for r in own]))
+        return pa.table({"model": [name], "weights": pa.array([weights.tobytes()], pa.binary()), "bias": [bias], "slope": [curve[0]], "offset": [curve[1]]})
+
+    named = spark.createDataFrame(tasks, "lang string, model string") if tasks else None
+    if named is None:
+        return {}
+    found = drawn.join(named, "lang").groupBy("model").applyInArrow(run, "model string, weights binary, bias double, slope double, offset double")
+    return {r["model"]: (np.frombuffer(r["weights"], np.float32), r["bias"], (r["slope"], r["offset"])) for r in found.collect()}
+
+
 def train(labelled: DataFrame, sample: int = SAMPLE) -> Model | None:
-    """The model learnt from (doc_id, text, lang), which must hold labelled rows only; None without any such row."""
+    """The model learnt from (doc_id, text, lang), which must hold labelled rows only; None without any such row.
+
+    All languages are learnt. To the driver come their names, the shared texts and the models' weights (32 KB each).
+    """
     rows = labelled.where("lang IS NOT NULL AND text IS NOT NULL AND doc_id IS NOT NULL")
-    counts = rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES)
-    counts = {r["lang"]: r["n"] for r in counts.collect()}
-    if not counts:
-        return None
-    share = F.create_map(*[x for lang, n in counts.items() for x in (F.lit(lang), F.lit(min(1.0, sample / n)))])[F.col("lang")]
+    counts = materialise(rows.groupBy("lang").agg(F.count("*").alias("n")))
     spread = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / float(1 << 30)
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -133,9 +173,14 @@ def train(labelled: DataFrame, sample: int = SAMPLE) -> Model | None:
             found = [sparse(frequencies(x)) for x in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array([x[k] for x in found], pa.binary()) for k in (0, 1))], ["doc_id", "lang", "at", "x"])
 
-    drawn = rows.where(spread < share).select("doc_id", "lang", "text").mapInArrow(features, "doc_id long, lang string, at binary, x binary").collect()
-    drawn.sort(key=lambda r: (r["doc_id"], r["lang"], bytes(r["at"]), bytes(r["x"])))
-    return Model([(np.frombuffer(r["at"], np.uint16).astype(np.int64), np.frombuffer(r["x"], np.float32).astype(float)) for r in drawn], [r["lang"] for r in drawn]) if drawn else None
+    chosen = rows.select("doc_id", "lang", "text").join(broadcast_if_small(counts, 32, "lang"), "lang").where(spread < F.least(F.lit(1.0), sample / F.col("n")))
+    drawn = materialise(chosen.select("doc_id", "lang", "text").mapInArrow(features, "doc_id long, lang string, at binary, x binary"))
+    langs = {r["lang"]: r["n"] for r in drawn.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    if not langs:
+        return None
+    few = F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(1 << 30)) / float(1 << 30) < REST / sum(langs.values())
+    rest = [(r["doc_id"], r["lang"], bytes(r["at"]), bytes(r["x"])) for r in drawn.where(few).collect()]
+    return Model([], sorted(langs), _fitted(drawn, sorted(langs), rest))
 
 
 def identify(docs: DataFrame, model: Model | None, text: str = "text", pred: str = "lang_pred", sure: str = "score") -> DataFrame:

@@ -365,3 +365,26 @@ def test_language_against_a_plain_version():
         lang, score = model.predict(text)
         want, sure = plain_language(model, text)
         assert score == pytest.approx(sure, abs=1e-4) and (lang == want or sure < 0.5)
+
+
+def test_every_language_is_learnt(spark, monkeypatch):
+    """Many languages of no listed family, blanks in their names: none is left out, and fewer texts of others are shared."""
+    monkeypatch.setattr(langid, "REST", 120)
+    rng = random.Random(5)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    words = {f"own {k}": ["".join(rng.choice(rng.sample(letters, 26)[:9]) for _ in range(5)) for _ in range(6)] for k in range(40)}
+    rows = [(i, sentence(rng, words[lang]), lang, "web", 0.0) for i, lang in enumerate([*words] * 12)]
+    got = langid.language_of(spark.createDataFrame(rows, LANGUAGE)).collect()
+    want = {i: lang for i, _, lang, *_ in rows}
+    assert {r["lang_pred"] for r in got} == set(words)
+    held = [r["lang_pred"] == want[r["doc_id"]] for r in got if r["held_out"]]
+    assert sum(held) >= 0.9 * len(held) > 50
+
+
+def test_models_learnt_in_tasks_are_those_of_the_plain_version(spark):
+    rows = [(i, text, lang) for i, text, lang, *_ in language_rows(160)]
+    found = langid.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    sparse = [tuple(np.frombuffer(b, t) for b, t in zip(langid.sparse(langid.frequencies(x)), (np.uint16, np.float32))) for _, x, _ in rows]
+    plain = langid.Model([(at.astype(np.int64), x.astype(float)) for at, x in sparse], [lang for *_, lang in rows])
+    assert found.langs == plain.langs and found.pairs == plain.pairs
+    assert np.allclose(found.weights, plain.weights, atol=1e-5) and np.allclose(found.bias, plain.bias) and np.allclose(found.curves, plain.curves)
