@@ -144,7 +144,8 @@ def nearest(vectors: DataFrame, query: str, k: int = 20, beam: int = BEAM, shard
     other rows of the largest inner products found, ties to the smaller vec_id.
 
     Rows without id take no part, nor do vectors that are null, empty, zero or hold null or non-finite components. Vectors of
-    different lengths have no inner product: each finds those of its own length. Rows of one id and one vector are one row.
+    different lengths have no inner product: each finds those of its own length. Rows of one id and one vector are one row;
+    an id with several vectors has a row, and as a query a list, for each, and only its own row is not among its candidates.
     Components are kept as they are (double, or float for a column of floats), scores are computed from them in double; only
     the graph of a shard works on floats, of vectors scaled to its largest component and of queries of one length.
     """
@@ -155,7 +156,7 @@ def nearest(vectors: DataFrame, query: str, k: int = 20, beam: int = BEAM, shard
     number = np.float64 if kind == "double" else np.float32
     rows = usable.mapInArrow(_packed(kind if kind == "double" else "float32"), "vec_id long, vector binary")
     classes = rows.mapInArrow(_smallest(k + 1), "vector binary, ids array<long>").groupBy("vector").agg(F.flatten(F.collect_list("ids")).alias("ids"))
-    classes = materialise(classes.select("vector", F.slice(F.array_sort(F.array_distinct("ids")), 1, k + 1).alias("ids")).withColumn("rep", F.col("ids")[0]))
+    classes = materialise(classes.select("vector", F.slice(F.array_sort(F.array_distinct("ids")), 1, k + 1).alias("ids")).withColumns({"rep": F.col("ids")[0], "own": F.monotonically_increasing_id()}))
     asked = materialise(rows.where(query).distinct())
     # Shards of each length in proportion to its vectors.
     n = classes.groupBy(F.length("vector").alias("size")).agg(F.count("*").alias("n"))
@@ -164,17 +165,17 @@ def nearest(vectors: DataFrame, query: str, k: int = 20, beam: int = BEAM, shard
     sizes = shards.select("size", "of").distinct()
 
     def index(key: tuple, table: pa.Table) -> pa.Table:
-        table = table.sort_by("rep")
+        table = table.sort_by([("rep", "ascending"), ("vector", "ascending")])
         own = table.column("vector").to_pylist()
         x = np.frombuffer(b"".join(own), number).reshape(len(own), -1)
         inner, squares = _scaled(x)
         rest = np.sqrt(np.maximum(squares.max() - squares, 0)).astype(np.float32)
         graph, start = build(np.ascontiguousarray(np.concatenate([inner.astype(np.float32), rest[:, None]], axis=1)))
-        return pa.table({"size": pa.array([key[0].as_py()], pa.int32()), "shard": [key[1].as_py()], "start": [start], "reps": pa.array([table.column("rep").to_pylist()], pa.list_(pa.int64())), "points": pa.array([x.tobytes()], pa.binary()), "rest": pa.array([rest.tobytes()], pa.binary()), "graph": pa.array([graph.astype(np.int32).tobytes()], pa.binary())})
+        return pa.table({"size": pa.array([key[0].as_py()], pa.int32()), "shard": [key[1].as_py()], "start": [start], "reps": pa.array([table.column("rep").to_pylist()], pa.list_(pa.int64())), "owns": pa.array([table.column("own").to_pylist()], pa.list_(pa.int64())), "points": pa.array([x.tobytes()], pa.binary()), "rest": pa.array([rest.tobytes()], pa.binary()), "graph": pa.array([graph.astype(np.int32).tobytes()], pa.binary())})
 
-    schema = "size int, shard long, start long, reps array<long>, points binary, rest binary, graph binary"
+    schema = "size int, shard long, start long, reps array<long>, owns array<long>, points binary, rest binary, graph binary"
     dealt = classes.withColumn("size", F.length("vector")).join(sizes, "size").withColumn("shard", F.pmod(F.xxhash64("vector"), F.col("of")))
-    graphs = materialise(dealt.select("size", "shard", "rep", "vector").groupBy("size", "shard").applyInArrow(index, schema))
+    graphs = materialise(dealt.select("size", "shard", "rep", "own", "vector").groupBy("size", "shard").applyInArrow(index, schema))
     points = materialise(asked.select("vector").distinct())
     groups = max(-(-points.count() // (QUERIES * BLOCKS)), 1)
     left = graphs.withColumn("group", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
@@ -182,10 +183,10 @@ def nearest(vectors: DataFrame, query: str, k: int = 20, beam: int = BEAM, shard
     right = right.join(sizes, "size").withColumn("shard", F.explode(F.sequence(F.lit(0).cast("long"), F.col("of") - 1))).select("size", "shard", "group", "vector")
 
     def search(key: tuple, one: pa.Table, queries: pa.Table) -> pa.Table:
-        out = {"query": [], "rep": [], "score": []}
+        out = {"query": [], "rep": [], "own": [], "score": []}
         if one.num_rows and queries.num_rows:
             asked_for = queries.column("vector").to_pylist()
-            reps = np.array(one.column("reps")[0].as_py())
+            reps, owns = (np.array(one.column(c)[0].as_py()) for c in ("reps", "owns"))
             x = np.frombuffer(one.column("points")[0].as_py(), number).reshape(len(reps), -1)
             inner, norms = _scaled(x)
             augmented = np.concatenate([inner.astype(np.float32), np.frombuffer(one.column("rest")[0].as_py(), np.float32)[:, None]], axis=1)
@@ -204,14 +205,17 @@ def nearest(vectors: DataFrame, query: str, k: int = 20, beam: int = BEAM, shard
                     best = np.lexsort((reps[ids], -score))[: k + 1]
                     out["query"] += [vector] * len(best)
                     out["rep"] += reps[ids[best]].tolist()
+                    out["own"] += owns[ids[best]].tolist()
                     out["score"] += score[best].tolist()
-        return pa.table([pa.array(out["query"], pa.binary()), pa.array(out["rep"], pa.int64()), pa.array(out["score"], pa.float64())], ["query", "rep", "score"])
-
-    found = left.groupBy("size", "shard", "group").cogroup(right.groupBy("size", "shard", "group")).applyInArrow(search, "query binary, rep long, score double")
-    first = lambda c: F.slice(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("down"), F.col(c)))), 1, k + 1)
-    best = found.groupBy("query").agg(first("rep").alias("top")).select("query", F.explode("top").alias("x")).select("query", F.col("x.rep").alias("rep"), (-F.col("x.down")).alias("score"))
-    members = best.join(classes.select("rep", F.col("ids")), "rep").select("query", "score", F.explode("ids").alias("vec_id"))
-    lists = members.groupBy("query").agg(first("vec_id").alias("top"))
+        return pa.table([pa.array(out["query"], pa.binary()), pa.array(out["rep"], pa.int64()), pa.array(out["own"], pa.int64()), pa.array(out["score"], pa.float64())], ["query", "rep", "own", "score"])
+
+    found = left.groupBy("size", "shard", "group").cogroup(right.groupBy("size", "shard", "group")).applyInArrow(search, "query binary, rep long, own long, score double")
+    first = lambda *c: F.slice(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("down"), *c))), 1, k + 1)
+    best = found.groupBy("query").agg(first("rep", "own").alias("top")).select("query", F.explode("top").alias("x")).select("query", F.col("x.own").alias("own"), (-F.col("x.down")).alias("score"))
+    same = (F.xxhash64("query") == F.col("mark")).alias("same")  # the class of the query's own vector
+    members = best.join(classes.select("own", "ids", F.xxhash64("vector").alias("mark")), "own").select("query", "score", same, F.explode("ids").alias("vec_id"))
+    lists = members.groupBy("query").agg(first("vec_id", "same").alias("top"))
     out = asked.withColumnsRenamed({"vec_id": "query_id", "vector": "query"}).join(lists, "query")
-    out = out.select("query_id", F.posexplode(F.slice(F.filter("top", lambda x: x["vec_id"] != F.col("query_id")), 1, k)).alias("rank", "x"))
+    others = F.filter("top", lambda x: ~(x["same"] & (x["vec_id"] == F.col("query_id"))))
+    out = out.select("query_id", F.posexplode(F.slice(others, 1, k)).alias("rank", "x"))
     return out.select("query_id", (F.col("rank") + 1).alias("rank"), F.col("x.vec_id").alias("vec_id"), (-F.col("x.down")).alias("score"))

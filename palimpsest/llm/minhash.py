@@ -21,8 +21,8 @@ from palimpsest.llm.common import GOLDEN, broadcast_if_small, hash_words, materi
 
 #: 24 bands of 4 registers: a pair at similarity 0.8 meets in no band with a chance of 3e-6.
 BANDS, ROWS = 24, 4
-#: Members of a bucket that are compared in one task.
-BLOCK = 512
+#: Members of a bucket that are compared in one task, and shingles of their texts: fewer members if these are long.
+BLOCK, WEIGHT = 512, 4_000_000
 #: Hashes of whole sets that a verifying task keeps at hand.
 HELD = 8_000_000
 _LOW = np.uint64(0xFFFFFFFF)
@@ -266,17 +266,18 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80,
         edges = edges.union(own.join(least, "doc_id").where("low < rep").select(F.col("low").alias("a"), F.col("rep").alias("b")))
     roots = materialise(connected(edges))
     placed = shared.select("key", "rep", "mark", "size").join(roots, shared.rep == roots.node, "left").select("key", "rep", "mark", "size", F.coalesce("root", "rep").alias("root"))
-    open_keys = materialise(placed.groupBy("key").agg(F.min("root").alias("least"), F.max("root").alias("most"), F.count("*").alias("n")).where("least < most").select("key", "n"))
+    open_keys = materialise(placed.groupBy("key").agg(F.min("root").alias("least"), F.max("root").alias("most"), F.count("*").alias("n"), F.sum("size").alias("total")).where("least < most").select("key", "n", "total"))
     placed = materialise(placed.join(open_keys, "key"))
     if placed.take(1):
-        largest = placed.groupBy("key", "root").agg(F.count("*").alias("n")).groupBy("key").agg(F.max(F.struct("n", "root")).alias("top"))
-        largest = materialise(largest.select("key", F.col("top.root").alias("main"), F.col("top.n").alias("most")))
+        largest = placed.groupBy("key", "root").agg(F.count("*").alias("n"), F.sum("size").alias("own")).groupBy("key").agg(F.max(F.struct("n", "root", "own")).alias("top"))
+        largest = materialise(largest.select("key", F.col("top.root").alias("main"), F.col("top.n").alias("most"), F.col("top.own").alias("held")))
         wanted = materialise(placed.select("rep", "mark").distinct())
         signatures = materialise(firsts.select("rep", "mark", "signature").join(broadcast_if_small(wanted, 24), ["rep", "mark"], "left_semi").dropDuplicates(["rep", "mark"]))
         rest = placed.join(largest, "key").join(signatures, ["rep", "mark"])
         # Blocks of members, and of probes: those outside of the largest group. Each block of one meets each of the other.
         spread = F.xxhash64("rep", "mark")
-        blocks = {"all": F.ceil(F.col("n") / BLOCK).cast("int"), "few": F.ceil((F.col("n") - F.col("most")) / BLOCK).cast("int")}
+        of = lambda n, weight: F.ceil(F.greatest(n / BLOCK, weight / WEIGHT)).cast("int")
+        blocks = {"all": of(F.col("n"), F.col("total")), "few": of(F.col("n") - F.col("most"), F.col("total") - F.col("held"))}
         every = {k: F.explode(F.sequence(F.lit(0), n - 1)) for k, n in blocks.items()}
         dealt = {k: F.pmod(spread, n).cast("int") for k, n in blocks.items()}
         columns = ["key", "rep", "mark", "root", "size", "signature"]

@@ -101,7 +101,9 @@ def test_one_large_group_of_near_copies(spark):
     assert result(spark, rows, shingle_words=4, percent=80) == brute(rows)
 
 
-def test_several_blocks(spark, monkeypatch):
+@pytest.mark.parametrize("weight", [4_000_000, 300])
+def test_several_blocks(spark, monkeypatch, weight):
+    monkeypatch.setattr(minhash, "WEIGHT", weight)
     monkeypatch.setattr(minhash, "BLOCK", 8)
     rng = random.Random(6)
     base = " ".join(f"w{rng.randrange(300)}" for _ in range(60))

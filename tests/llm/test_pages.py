@@ -143,7 +143,7 @@ def brute_nearest(rows, k):
     out = []
     for q, a in seen:
         if q % 20 == 0:
-            scored = sorted((-sum(np.float64(np.float32(x)) * np.float64(np.float32(y)) for x, y in zip(a, b)), i) for i, b in seen if i != q)
+            scored = sorted((-sum(np.float64(np.float32(x)) * np.float64(np.float32(y)) for x, y in zip(a, b)), i) for i, b in seen if (i, b) != (q, a))
             out += [(q, rank, i, -s) for rank, (s, i) in enumerate(scored[:k], 1)]
     return sorted(out)
 
@@ -479,3 +479,13 @@ def test_a_page_that_ends_within_a_tag_is_read_once():
     for unit in ("<a x ", "<a x='", '<a x="', "<a x='>", "<a 'b=\">", "<a/"):
         text_of(unit * 50_000)
     assert time.time() - began < 20
+
+
+def test_ids_with_several_vectors(spark):
+    """Each row of such an id is a query with a list of its own, and a candidate for all rows but itself."""
+    rng = np.random.default_rng(11)
+    rows = [(i, rng.normal(size=4).round(3).tolist()) for i in range(30)] + [(20, [9.0, 9.0, 9.0, 9.0]), (20, [8.0, 8.0, 8.0, 8.0]), (7, [9.0, 9.0, 9.0, 9.0])]
+    got = sorted(tuple(r) for r in ann.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), "vec_id % 20 = 0", k=40).collect())
+    want = brute_nearest(rows, 40)
+    assert [x[:3] for x in got] == [x[:3] for x in want] and np.allclose([x[3] for x in got], [x[3] for x in want])
+    assert len([x for x in got if x[0] == 20]) == 3 * 32
