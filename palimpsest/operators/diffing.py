@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -87,3 +89,38 @@ def diff_flat(base: Column, new: Column) -> Column:
         F.array_sort(F.array_except(F.map_keys(base), F.map_keys(new))).alias("dd"),
         F.array_sort(F.filter(shared, lambda k: ~base[k].eqNullSafe(new[k]))).alias("dc"),
     )
+
+
+#: A full state is kept at least after so many differences.
+EVERY = 16
+
+
+def compressed(history: DataFrame, every: int = EVERY) -> DataFrame:
+    """(id, version, run, place, data, ops) of a history (id, version, data): a record's newest state in full, older ones as the
+    changes that lead back to them from the next newer one, and each ``every``-th in full again.
+
+    A run is a full state and the differences behind it, so no state needs more than ``every`` patches, and a record with very
+    many states is rebuilt run by run. A deletion (null data), and a state next to one, has no differences: it stays as it is.
+    """
+    newest = W.partitionBy("id").orderBy(F.desc("version"))
+    rows = history.select("id", "version", "data", (F.row_number().over(newest) - 1).alias("n"), F.lag("data").over(newest).alias("newer"))
+    rows = rows.select("id", "version", "data", "newer", F.expr(f"n div {every}").alias("run"), (F.col("n") % every).cast("int").alias("place"))
+    back = (F.col("place") > 0) & F.col("data").isNotNull() & F.col("newer").isNotNull()
+    ops = F.when(back, diff_json(F.when(back, F.col("newer")), F.col("data")))
+    return rows.select("id", "version", "run", "place", F.when(~back, F.col("data")).alias("data"), ops.alias("ops"))
+
+
+def restored(stored: DataFrame) -> DataFrame:
+    """The history (id, version, data) that ``compressed`` has stored: each run is folded from its full state on."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        state = None
+        for rows in batches:
+            out = []
+            for data, ops in rows[["data", "ops"]].itertuples(index=False):  # a run's first row holds a state
+                state = patch(state, json.loads(ops)) if isinstance(ops, str) else json.loads(data) if isinstance(data, str) else None
+                out.append(None if state is None else json.dumps(state, ensure_ascii=False))
+            yield pd.DataFrame({"id": rows["id"], "version": rows["version"], "data": pd.Series(out, rows.index, dtype=object)})
+
+    dealt = stored.repartition("id", "run").sortWithinPartitions("id", "run", "place")
+    return dealt.select("id", "version", "data", "ops").mapInPandas(run, "id string, version bigint, data string")

@@ -9,7 +9,7 @@ import tempfile
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -17,7 +17,7 @@ from palimpsest.database import Engine
 from palimpsest.functions import geo
 from palimpsest.functions.values import clean_text, field_name_column
 from palimpsest.operators import cells, ingest, parsing, profile, search, versions, words
-from palimpsest.operators.diffing import diff_flat, diff_json, patch_json
+from palimpsest.operators.diffing import compressed, diff_flat, diff_json, patch_json, restored
 from palimpsest.operators.options import OptionsBuilder
 from palimpsest.plans import tiers
 
@@ -609,6 +609,17 @@ def term_pages(spark, sf_dir):
     return spark.createDataFrame(rows, "value int, count bigint, page bigint")
 
 
+@query("""WITH o AS (SELECT o_custkey AS id, o_orderkey AS version, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS n, o_totalprice, o_orderstatus FROM orders)
+SELECT id, version, '{"n": ' || n || ', "status": "' || o_orderstatus || '", "more": {"odd": [' || n % 2 || ', 7]}}' AS data FROM o WHERE n % 9 <> 0 UNION ALL SELECT id, version, NULL FROM o WHERE n % 9 = 0""")
+def delta_history(spark, sf_dir):
+    """Customers' orders as states of a record, every ninth a deletion: stored as differences, written, and rebuilt."""
+    orders = _table(spark, sf_dir, "orders").select(F.col("o_custkey").cast("string").alias("id"), F.col("o_orderkey").alias("version"), "o_orderstatus")
+    rows = orders.withColumn("n", F.row_number().over(Window.partitionBy("id").orderBy("version")))
+    data = F.format_string('{"n": %d, "status": "%s", "more": {"odd": [%d, 7]}}', F.col("n"), F.col("o_orderstatus"), F.col("n") % 2)
+    stored = _written(compressed(rows.select("id", "version", F.when(F.col("n") % 9 != 0, data).alias("data")), every=4))
+    return restored(stored).select(F.col("id").cast("bigint").alias("id"), "version", "data")
+
+
 def _states(spark, sf_dir):
     """Customers before and after, as maps of texts."""
     c = _table(spark, sf_dir, "customer")

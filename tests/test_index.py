@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from palimpsest.database import Engine
 from palimpsest.functions import geo
-from palimpsest.operators import cells, parsing, profile, search, versions, words
+from palimpsest.operators import cells, diffing, parsing, profile, search, versions, words
 from palimpsest.operators.options import OptionsBuilder, ParsingOptions
 from palimpsest.plans import tiers
 from palimpsest.sources import store
@@ -284,3 +284,18 @@ def test_changes_at_the_same_time(spark, tmp_path, monkeypatch):
     meanwhile.append(lambda: other.ingest(other.frame([("b", {"x": 2})]), commit=False))
     assert db.ingest(db.frame([("d", {"x": 4})]), commit=False).inserted == 1 and len(attempts) == 4  # the other's too
     assert {r["id"] for r in db.records().collect()} == {"a", "b", "c", "d"} and db.commit() and db.sync().tiers == {"latest": 4}
+
+
+def test_histories_from_differences(spark):
+    rng = random.Random(8)
+    rows = []
+    for i in range(12):
+        state = {"a": [1, {"b": None}], "c": "é", "n": 0}
+        for version in range(rng.randrange(1, 40)):
+            state = {**state, "n": version, "a": [*state["a"][: rng.randrange(3)], {"b": version}, "x"]}
+            rows.append((str(i), version, json.dumps(state, ensure_ascii=False) if rng.random() < 0.9 else None))
+    history = spark.createDataFrame(rows, "id string, version bigint, data string")
+    stored = diffing.compressed(history, every=5).cache()
+    assert sorted(map(tuple, diffing.restored(stored).collect()), key=repr) == sorted(rows, key=repr)
+    assert stored.agg(F.max("place")).first()[0] == 4 and stored.where("ops IS NOT NULL").count() > len(rows) / 2
+    assert diffing.restored(stored.limit(0)).count() == 0
