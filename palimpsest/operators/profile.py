@@ -37,6 +37,16 @@ def listed(profile: DataFrame) -> DataFrame:
     return fields.join(links, "path", "left").select("path", "count", "types", "parent").orderBy(F.desc("count"), "path")
 
 
+def described(profile: DataFrame) -> DataFrame:
+    """``listed`` with what a field is: parsed_path (without the empty parts that stand for lists), is_list_element, is_container,
+    and its children in order."""
+    children = hierarchy(profile).groupBy(F.col("parent").alias("path")).agg(F.array_sort(F.collect_list("child")).alias("children"))
+    parsed = F.regexp_replace(F.regexp_replace("path", r"\.+", "."), r"\.$", "")
+    container = F.exists(F.map_keys("types"), lambda tag: tag.isin("#d", "#l"))
+    rows = listed(profile).join(children, "path", "left").withColumn("children", F.coalesce("children", F.array().cast("array<string>")))
+    return rows.withColumns({"parsed_path": parsed, "is_list_element": F.col("path").endswith("."), "is_container": container}).orderBy(F.desc("count"), "path")
+
+
 def hierarchy(profile: DataFrame) -> DataFrame:
     """(parent, child) of paths in a profile: a container and the paths one part longer below it."""
     paths = profile.select("path").distinct()

@@ -336,6 +336,15 @@ def fields_listed(spark, sf_dir):
     return listed.select("path", "count", types.alias("types"), "parent")
 
 
+@query("""SELECT * FROM (VALUES ('o', 'o', false, true, 'o.k0,o.k1,o.k2'), ('l', 'l', false, true, 'l.'), ('e', 'e', false, true, ''), ('n', 'n', false, false, ''), ('l.', 'l', true, true, 'l..a'), ('l..a', 'l.a', false, false, ''))
+t(path, parsed_path, is_list_element, is_container, children) UNION ALL SELECT DISTINCT 'o.k' || c_custkey % 3, 'o.k' || c_custkey % 3, false, true, 'o.k' || c_custkey % 3 || '.v' FROM customer
+UNION ALL SELECT DISTINCT 'o.k' || c_custkey % 3 || '.v', 'o.k' || c_custkey % 3 || '.v', false, false, '' FROM customer""")
+def fields_described(spark, sf_dir):
+    """What each field is, and the fields within it."""
+    found = profile.described(profile.fields(_nested(spark, sf_dir)))
+    return found.select("path", "parsed_path", "is_list_element", "is_container", F.array_join("children", ",").alias("children"))
+
+
 @query("SELECT l_returnflag AS value, count(DISTINCT l_orderkey) AS \"count\" FROM lineitem GROUP BY 1")
 def terms_of_lists(spark, sf_dir):
     lists = _table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.collect_list("l_returnflag").alias("flags"))
@@ -398,6 +407,15 @@ def index_lines(spark, sf_dir):
     return versions.serialised(ops, tiers.index_names("users")["latest"]).withColumn("id", F.col("id").cast("bigint"))
 
 
+@query(_EVENTS + f""", o AS (SELECT * FROM d WHERE next IS NOT NULL OR id % 3 <> 0), g AS (SELECT id, max(next) AS version FROM o WHERE version > {MOMENT} OR next > {MOMENT} GROUP BY id HAVING bool_and(next IS NOT NULL) AND min(version) <= {MOMENT})
+SELECT id, version, '{{"delete":{{"_index":"data-users-latest","_id":"' || id || ':' || version || '"}}}}' AS line FROM g""")
+def delete_lines(spark, sf_dir):
+    """The lines for users that leave the latest tier."""
+    ops = versions.changed_since(_events(spark, sf_dir).where("next IS NOT NULL OR id % 3 <> 0"), MOMENT).where("op = 'delete'")
+    ops = ops.select("op", F.col("id").cast("string").alias("id"), "version", F.lit(None).cast("string").alias("data"))
+    return versions.serialised(ops, tiers.index_names("users")["latest"]).withColumn("id", F.col("id").cast("bigint"))
+
+
 def _scratch(spark) -> str:
     """A folder in the one that all executors share. Those of an application lie together, so that ``clear_scratch`` finds them; a
     local session without a shared folder gets one of its own, which goes when Python ends."""

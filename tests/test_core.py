@@ -1,5 +1,6 @@
 import json
 import random
+import time
 from datetime import date, datetime, timedelta, timezone
 from decimal import Decimal
 
@@ -342,6 +343,15 @@ def test_stream(spark, tmp_path):
     last = db.committed_version()
     ingest_stream(read(), db, f"file://{tmp_path}/other").awaitTermination(120)
     assert db.history().count() >= 3 and db.committed_version() >= last
+    going = ingest_stream(read(), db, f"file://{tmp_path}/check", every="1 second")
+    try:
+        (source / "three.json").write_text(line("late", {"x": 9}, 1))
+        until = time.time() + 120
+        while time.time() < until and not db.records().where("id = 'late'").count():
+            time.sleep(1)
+        assert going.isActive and db.records().where("id = 'late'").count() == 1
+    finally:
+        going.stop()
 
 
 def test_listed_fields(spark):
