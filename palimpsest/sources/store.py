@@ -168,10 +168,6 @@ class Buckets:
         """The buckets that the ids of ``rows`` fall into: as many numbers as there are buckets at most."""
         return {r["bucket"] for r in rows.select(bucket(number).alias("bucket")).distinct().collect()}
 
-    def covered(self, number: int) -> set[int]:
-        """The buckets of a division into ``number``, at least as fine as any here, that rows may be in."""
-        return {x + k * t["of"] for t in self.tables for x in t["has"] for k in range(number // t["of"])}
-
     def within(self, wanted: set[int]) -> Buckets:
         return self._split(wanted)[0]
 

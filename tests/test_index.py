@@ -299,3 +299,16 @@ def test_histories_from_differences(spark):
     assert sorted(map(tuple, diffing.restored(stored).collect()), key=repr) == sorted(rows, key=repr)
     assert stored.agg(F.max("place")).first()[0] == 4 and stored.where("ops IS NOT NULL").count() > len(rows) / 2
     assert diffing.restored(stored.limit(0)).count() == 0
+
+
+def test_states_in_a_store_that_is_no_local_disk(spark, tmp_path):
+    """Through a file system that only Spark's readers know, a state still gets its name once."""
+    (tmp_path / "shared").mkdir()
+    spark._jsc.hadoopConfiguration().set("fs.viewfs.mounttable.elsewhere.link./in", f"file://{tmp_path}/shared")
+    db = Engine(spark, "viewfs://elsewhere/in").database("d", lambda: 5)
+    seen = db.folder.manifest()
+    assert db.ingest(db.frame([("a", {"x": 1})])).version == 5 and db.records().count() == 1
+    with pytest.raises(Conflict):
+        db.folder.publish({**seen, "a": 3})
+    with db.locks.lock("sync"), pytest.raises(AlreadyLocked):
+        db.locks.acquire("sync")
