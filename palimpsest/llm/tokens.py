@@ -96,7 +96,7 @@ def known_ranks(path: str) -> dict[bytes, int]:
 class _Chunks(dict):
     """Memo of what lies between two blanks, with the blank before it or, at a text's or line's start, without."""
 
-    def __init__(self, before: str, word: Memo, limit: int = 500_000):
+    def __init__(self, before: str, word: Memo, limit: int = 150_000):
         super().__init__()
         self.before, self.word, self.limit = before, word, limit
 
@@ -126,7 +126,7 @@ class Encoder:
             ids = words.encode_ordinary(piece)
             return struct.pack(f"<{len(ids)}I", *ids)
 
-        self.word = Memo(encode, 300_000)
+        self.word = Memo(encode, 150_000)
         self.blank, self.bare = _Chunks(" ", self.word), _Chunks("", self.word)
 
     def __call__(self, text: str | None) -> bytes:
