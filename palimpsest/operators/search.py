@@ -47,6 +47,9 @@ class Condition:
     looks up (id, version) in tables.
     """
 
+    #: Whether tables can tell its documents.
+    looked_up = True
+
     def __init__(self, test: Test):
         self.test = test
 
@@ -124,50 +127,132 @@ def words_of(query: str) -> list[str]:
     return list(dict.fromkeys(regex.findall(WORD, query.lower())))
 
 
-def _near(word: str, edits: int):
-    return lambda w: F.levenshtein(w, F.lit(word), edits) >= 0
+def _swaps(word: str) -> set[str]:
+    """The word with two neighbouring characters exchanged, at each place."""
+    return {word[:i] + word[i + 1] + word[i] + word[i + 2 :] for i in range(len(word) - 1)} - {word}
+
+
+def near(found: Column, word: str, edits: int, prefix: int = 0, swaps: bool = False) -> Column:
+    """Whether a word is within so many edits of ``word`` and begins with the same ``prefix`` characters.
+
+    With ``swaps`` an exchange of neighbours is one edit. The exchanges of the word asked for are known when the plan is made. An
+    edit beside an exchange may come after it, or be a deletion before it; others give what plain edits or that order give.
+    """
+    if not edits:
+        return found == word
+    out = F.levenshtein(found, F.lit(word), edits) >= 0
+    if swaps:
+        exact = _swaps(word)
+        if edits == 2:
+            for other in sorted(exact):
+                out = out | (F.levenshtein(found, F.lit(other), 1) >= 0)
+            exact = set().union(*map(_swaps, {*exact, *(word[:i] + word[i + 1 :] for i in range(len(word)))}))
+        out = out | (found.isin(sorted(exact)) if exact else F.lit(False))
+    return out & found.startswith(word[:prefix]) if prefix else out
+
+
+@dataclass(frozen=True)
+class Asked:
+    """What a text query asks for.
+
+    ``fuzziness`` is a number of edits, or ``AUTO`` or ``AUTO:low,high``: none for words shorter than low (3), one for those shorter
+    than high (6), else two. ``minimum_should_match`` is how many of an ``or`` query's distinct words must occur, one at least: a
+    number or a share like ``75%``, rounded down; negative ones say how many may be missing. ``prefix_length`` characters of a
+    word allow no edit, ``fuzzy_transpositions`` makes an exchange of neighbours one edit instead of two (for up to two edits), and
+    ``zero_terms_query`` says whether a query without words finds ``none`` or ``all``.
+    """
+
+    query: str
+    operator: str = "or"
+    fuzziness: int | str = 0
+    minimum_should_match: int | str | None = None
+    prefix_length: int = 0
+    fuzzy_transpositions: bool = False
+    zero_terms_query: str = "none"
+
+    def __post_init__(self):
+        if self.operator.lower() not in ("or", "and") or self.zero_terms_query not in ("none", "all"):
+            raise ValueError("an operator is or, and; zero_terms_query is none, all")
+        if self.fuzzy_transpositions and any(n > 2 for n in self.words.values()):
+            raise ValueError("exchanges are found among two edits at most")
 
+    @property
+    def words(self) -> dict[str, int]:
+        """The distinct words of the query, in order, and how many edits each allows."""
+        return {word: self._edits(word) for word in words_of(self.query)}
 
-def match_words(found: Column, query: str, operator: str = "or", fuzziness: int = 0) -> Column:
+    def _edits(self, word: str) -> int:
+        form = str(self.fuzziness).upper()
+        if not form.startswith("AUTO"):
+            return int(self.fuzziness)
+        low, high = map(int, form[5:].split(",")) if form[4:] else (3, 6)
+        return (len(word) >= low) + (len(word) >= high)
+
+    @property
+    def needed(self) -> int:
+        """How many of the words must occur; more than there are if that can't be."""
+        n = len(self.words)
+        if self.operator.lower() == "and" or self.minimum_should_match is None:
+            return n if self.operator.lower() == "and" else 1
+        text = str(self.minimum_should_match).strip()
+        size = int(n * abs(int(text[:-1])) / 100) if text.endswith("%") else abs(int(text))
+        return max(n - size if text.startswith("-") else size, 1)
+
+    @property
+    def everything(self) -> bool:
+        return self.zero_terms_query == "all" and not self.words
+
+    def within(self, found: Column) -> Column:
+        """Whether ``found``, the words of a text, holds as many of the words as needed."""
+        words, needed = self.words, self.needed
+        if not words:
+            return F.lit(self.everything)
+        if any(words.values()):
+            like = lambda q, n: lambda w: near(w, q, n, self.prefix_length, self.fuzzy_transpositions)
+            hits = [F.exists(found, like(q, n)) for q, n in words.items()]
+            count = hits[0].cast("int")
+            for x in hits[1:]:
+                count = count + x.cast("int")
+            return count >= needed
+        wanted = F.array(*map(F.lit, words))
+        return F.arrays_overlap(found, wanted) if needed == 1 else F.size(F.array_intersect(wanted, found)) >= needed
+
+
+def match_words(found: Column, query: str, operator: str = "or", fuzziness: int | str = 0, **options) -> Column:
     """Whether ``found``, the words of a text, holds one of the query's words, or with ``and`` all of them.
 
-    With ``fuzziness`` a word may differ by so many edits.
+    With ``fuzziness`` a word may differ by so many edits; ``options`` are those of ``Asked``.
     """
-    asked = words_of(query)
-    if not asked:
-        return F.lit(False)
-    if fuzziness:
-        near = [F.exists(found, _near(q, fuzziness)) for q in asked]
-        every = near[0]
-        for x in near[1:]:
-            every = (every & x) if operator == "and" else (every | x)
-        return every
-    wanted = F.array(*map(F.lit, asked))
-    return F.size(F.array_except(wanted, found)) == 0 if operator == "and" else F.arrays_overlap(found, wanted)
-
-
-def match(query: str, field: str | None = None, operator: str = "or", fuzziness: int = 0) -> Column:
-    """Words of the query occur in the texts at the path, or in any texts: one of them, or with ``and`` all."""
+    return Asked(query, operator, fuzziness, **options).within(found)
+
+
+def match(query: str, field: str | None = None, operator: str = "or", fuzziness: int | str = 0, **options) -> Column:
+    """Words of the query occur in the texts at the path, or in any texts: one of them, or with ``and`` all; see ``Asked``."""
+    asked = Asked(query, operator, fuzziness, **options)
+    if asked.everything:
+        return F.lit(True)
     here = lambda x: x["t"].isNotNull() & ((x["path"] == field) if field else F.lit(True))
     # One text, so that its words are found once; a line end is within no word.
     texts = F.array_join(F.transform(F.filter("leaves", here), lambda x: x["t"]), "\n")
-    return F.coalesce(match_words(tokens(texts), query, operator, fuzziness), F.lit(False))
+    return F.coalesce(asked.within(tokens(texts)), F.lit(False))
 
 
 class MatchOf(Condition):
     """Words of a query in the texts at a path, or in any: looked up in postings, with edits through the dictionary."""
 
-    def __init__(self, query: str, field: str | None = None, operator: str = "or", fuzziness: int = 0):
-        self.query, self.field, self.operator, self.fuzziness = query, field, operator, fuzziness
+    def __init__(self, query: str, field: str | None = None, operator: str = "or", fuzziness: int | str = 0, **options):
+        self.asked, self.field, self.options = Asked(query, operator, fuzziness, **options), field, (query, field, operator, fuzziness, options)
+        self.looked_up = not self.asked.everything
 
     def on_leaves(self, leaves: str = "leaves") -> Column:
-        return match(self.query, self.field, self.operator, self.fuzziness)
+        *given, options = self.options
+        return match(*given, **options)
 
     def of_row(self) -> Column:
         """For one word, or any word, of the query: all words of an ``and`` may be in several rows."""
-        if self.operator == "and" and len(words_of(self.query)) > 1:
+        if self.asked.needed > 1:
             raise ValueError("words of several leaves are no condition on one")
-        here = F.coalesce(match_words(tokens(F.col("t")), self.query, "or", self.fuzziness), F.lit(False))
+        here = F.coalesce(self.asked.within(tokens(F.col("t"))), F.lit(False))
         return here & (F.col("path") == self.field) if self.field else here
 
     def documents(self, tables: Tables) -> DataFrame:
@@ -175,7 +260,7 @@ class MatchOf(Condition):
 
         if tables.postings is None:
             return tables.leaves.groupBy("id", "version").agg(F.collect_list(F.struct("path", "t")).alias("leaves")).where(self.on_leaves()).select("id", "version")
-        return words.documents(tables.postings, tables.terms, words_of(self.query), self.field, self.operator == "and", self.fuzziness)
+        return words.documents(tables.postings, tables.terms, self.asked, self.field)
 
 
 class BoxOf(Condition):
@@ -214,8 +299,8 @@ class ShapeBoxOf(Condition):
         return found.where(self.of_row()).select("id", "version").distinct()
 
 
-def match_of(query: str, field: str | None = None, operator: str = "or", fuzziness: int = 0) -> Condition:
-    return MatchOf(query, field, operator, fuzziness)
+def match_of(query: str, field: str | None = None, operator: str = "or", fuzziness: int | str = 0, **options) -> Condition:
+    return MatchOf(query, field, operator, fuzziness, **options)
 
 
 def shapes_of(left: float, top: float, right: float, bottom: float) -> Condition:
@@ -276,7 +361,7 @@ class Search:
         return Search(docs, self.tables, self.at, (*self.found, *found))
 
     def _looked_up(self, condition: Column | Condition) -> bool:
-        return isinstance(condition, Condition) and self.tables is not None
+        return isinstance(condition, Condition) and condition.looked_up and self.tables is not None
 
     def _tested(self, condition: Column | Condition) -> Column:
         return condition.on_leaves() if isinstance(condition, Condition) else condition

@@ -14,6 +14,7 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from palimpsest.operators import search
 from palimpsest.operators.search import tokens
 
 POSTINGS = "token string, path string, id string, version bigint, n bigint, first int"
@@ -71,8 +72,9 @@ def rests_of(word: str, edits: int) -> list[str]:
     return sorted({"".join(c for i, c in enumerate(word) if i not in gone) for n in range(min(edits, len(word)) + 1) for gone in combinations(range(len(word)), n)})
 
 
-def near(dictionary: DataFrame, word: str, edits: int) -> DataFrame:
-    """(token) of the words within so many edits of ``word``."""
+def near(dictionary: DataFrame, word: str, edits: int, prefix: int = 0, swaps: bool = False) -> DataFrame:
+    """(token) of the words within so many edits of ``word`` that begin with the same ``prefix`` characters; ``swaps`` as of
+    ``search.near``. Without one of the exchanged characters two words are the same, so the rests find exchanges too."""
     size = len(word)
     fits = F.lit(False)
     if size + edits > LONG:
@@ -82,19 +84,20 @@ def near(dictionary: DataFrame, word: str, edits: int) -> DataFrame:
             fits = fits | F.col("rest").isin(rests_of(word, edits))
         else:  # beyond what the rests cover, words of like lengths are compared
             fits = fits | ((F.col("rest") == F.col("token")) & F.col("size").between(size - edits, size + edits))
-    return dictionary.where(fits).select("token").distinct().where(F.levenshtein("token", F.lit(word), edits) >= 0)
+    return dictionary.where(fits).select("token").distinct().where(search.near(F.col("token"), word, edits, prefix, swaps))
 
 
-def documents(found: DataFrame, dictionary: Callable[[], DataFrame] | None, asked: list[str], field: str | None, every: bool, edits: int) -> DataFrame:
-    """(id, version) of the documents that hold one of the words asked for, or with ``every`` all of them, at a path or anywhere."""
+def documents(found: DataFrame, dictionary: Callable[[], DataFrame] | None, asked: search.Asked, field: str | None = None) -> DataFrame:
+    """(id, version) of the documents that hold as many as needed of the words asked for, at a path or anywhere."""
     if field is not None:
         found = found.where(F.col("path") == field)
-    if not asked:
+    wanted = asked.words
+    if not wanted or asked.needed > len(wanted):
         return found.where("false").select("id", "version")
-    if edits:
+    if any(wanted.values()):
         known, hits = dictionary() if dictionary else terms(found), None
-        for word in asked:
-            own = near(known, word, edits).select("token", F.lit(word).alias("asked"))
+        for word, edits in wanted.items():
+            own = near(known, word, edits, asked.prefix_length, asked.fuzzy_transpositions).select("token", F.lit(word).alias("asked"))
             hits = own if hits is None else hits.unionByName(own)
         few = hits.limit(FEW + 1).collect()
         if len(few) <= FEW:
@@ -104,7 +107,7 @@ def documents(found: DataFrame, dictionary: Callable[[], DataFrame] | None, aske
         else:
             rows = found.join(hits, "token").select("id", "version", "asked")
     else:
-        rows = found.where(F.col("token").isin(asked)).select("id", "version", F.col("token").alias("asked"))
-    if not every or len(asked) == 1:
+        rows = found.where(F.col("token").isin(list(wanted))).select("id", "version", F.col("token").alias("asked"))
+    if asked.needed == 1:
         return rows.select("id", "version").distinct()
-    return rows.distinct().groupBy("id", "version").agg(F.count("*").alias("n")).where(F.col("n") == len(asked)).select("id", "version")
+    return rows.distinct().groupBy("id", "version").agg(F.count("*").alias("n")).where(F.col("n") >= asked.needed).select("id", "version")

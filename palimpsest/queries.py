@@ -571,7 +571,38 @@ def near_words(spark, sf_dir):
     known = _written(words.by_rest(words.terms(posted)))
     out = None
     for word, edits in (("mediam", 1), ("mediam", 2), ("stel", 2), ("plted", 1), ("anodised", 3)):
-        own = words.documents(posted, lambda: known, [word], None, False, edits).select(F.lit(word).alias("word"), F.lit(edits).alias("edits"), F.col("id").cast("bigint").alias("id"))
+        own = words.documents(posted, lambda: known, search.Asked(word, fuzziness=edits)).select(F.lit(word).alias("word"), F.lit(edits).alias("edits"), F.col("id").cast("bigint").alias("id"))
+        out = own if out is None else out.unionByName(own)
+    return out
+
+
+@query(rf"""WITH w AS (SELECT doc_id AS id, regexp_extract_all(lower(text), {_WORDS}) AS found FROM documents),
+n AS (SELECT id, found, list_contains(found, 'license')::INT + list_contains(found, 'nicht')::INT + list_contains(found, 'und')::INT + list_contains(found, 'the')::INT AS hits FROM w)
+SELECT 'two' AS how, id FROM n WHERE hits >= 2 UNION ALL SELECT 'one missing', id FROM n WHERE hits >= 3 UNION ALL SELECT 'share', id FROM n WHERE hits >= 3
+UNION ALL SELECT 'auto', id FROM w WHERE list_contains(found, 'zu') AND len(list_filter(found, lambda x: levenshtein(x, 'unt') <= 1)) > 0 AND len(list_filter(found, lambda x: levenshtein(x, 'licenze') <= 2)) > 0
+UNION ALL SELECT 'prefix', id FROM w WHERE len(list_filter(found, lambda x: levenshtein(x, 'licenze') <= 2 AND starts_with(x, 'lic'))) > 0
+UNION ALL SELECT 'swaps', id FROM w WHERE len(list_filter(found, lambda x: damerau_levenshtein(x, 'ilcesne') <= 2)) > 0 OR len(list_filter(found, lambda x: damerau_levenshtein(x, 'nihct') <= 2)) > 0
+UNION ALL SELECT 'all', id FROM w""")
+def match_options(spark, sf_dir):
+    """Options of text queries, through postings and the dictionary: how many words must occur, edits by a word's length, prefixes
+    without edits, exchanges of neighbours as one edit, queries without words."""
+    docs = _leaves(spark, sf_dir, "documents", "doc_id", ["text"]).select("path", F.col("id").cast("string").alias("id"), F.lit(1).cast("bigint").alias("version"), "t")
+    posted = _written(words.by_token(words.postings(docs)))
+    known = _written(words.by_rest(words.terms(posted)))
+    tables = search.Tables(docs, posted, terms=lambda: known)
+    four = "License nicht UND the"
+    asked = {
+        "two": search.match_of(four, minimum_should_match=2),
+        "one missing": search.match_of(four, "text", minimum_should_match=-1),
+        "share": search.match_of(four, minimum_should_match="75%"),
+        "auto": search.match_of("zu unt licenze", "text", "and", "AUTO"),
+        "prefix": search.match_of("licenze", fuzziness=2, prefix_length=3),
+        "swaps": search.match_of("ilcesne nihct", fuzziness=2, fuzzy_transpositions=True),
+        "all": search.match_of("...", zero_terms_query="all"),
+    }
+    out = None
+    for how, condition in asked.items():
+        own = (condition.documents(tables) if condition.looked_up else docs.where(condition.on_leaves())).select(F.lit(how).alias("how"), F.col("id").cast("bigint").alias("id"))
         out = own if out is None else out.unionByName(own)
     return out
 
@@ -827,3 +858,25 @@ def geo_circles(spark, sf_dir):
 
     s = _table(spark, sf_dir, "supplier").withColumns({"lat": F.expr("(s_suppkey * 37 % 120) - 60.0").cast("double"), "lon": F.expr("(s_suppkey * 91 % 300) - 150.0").cast("double")})
     return s.select(F.col("s_suppkey").alias("id"), ring("lat", "lon", F.lit(1000.0)).alias("circle"))
+
+
+@query("SELECT s_suppkey AS id, k::INT AS place, 1000.0::DOUBLE AS metres, ((450 - 11.25 * k) % 360)::DOUBLE AS bearing FROM supplier, range(33) r(k)")
+def circle_vertices(spark, sf_dir):
+    """How far from its middle, and in which direction, each vertex of the circles of ``geo_circles`` lies: measured in space, between
+    points of the ellipsoid. At this radius a chord is a micrometre shorter than the way on the ground."""
+    squeezed = geo.FLAT * (2 - geo.FLAT)
+
+    def in_space(lon, lat):
+        lon, lat = F.radians(lon), F.radians(lat)
+        across = F.lit(geo.AXIS) / F.sqrt(1 - squeezed * F.sin(lat) ** 2)
+        return across * F.cos(lat) * F.cos(lon), across * F.cos(lat) * F.sin(lon), across * (1 - squeezed) * F.sin(lat)
+
+    middle = _table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), F.expr("(s_suppkey * 37 % 120) - 60.0").cast("double").alias("lat"), F.expr("(s_suppkey * 91 % 300) - 150.0").cast("double").alias("lon"))
+    ring = F.split(F.regexp_extract("circle", r"POLYGON \(\((.*)\)\)", 1), ", ")
+    vertices = geo_circles(spark, sf_dir).select("id", F.posexplode(ring).alias("place", "vertex")).join(middle, "id")
+    own, other = in_space(F.col("lon"), F.col("lat")), in_space(*(F.split("vertex", " ")[i].cast("double") for i in (0, 1)))
+    x, y, z = (b - a for a, b in zip(own, other))
+    lon, lat = F.radians("lon"), F.radians("lat")
+    east, north = y * F.cos(lon) - x * F.sin(lon), z * F.cos(lat) - F.sin(lat) * (x * F.cos(lon) + y * F.sin(lon))
+    bearing = F.pmod(F.round(F.degrees(F.atan2(east, north)), 2), F.lit(360.0)) + F.lit(0.0)
+    return vertices.select("id", "place", F.round(F.sqrt(x**2 + y**2 + z**2), 3).alias("metres"), bearing.alias("bearing"))

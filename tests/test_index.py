@@ -114,6 +114,39 @@ def test_near_words_against_all_distances(spark):
             assert {r["token"] for r in words.near(table, asked, k).collect()} == {w for w in known if edits(w, asked) <= k}, (asked, k)
 
 
+def exchanged(a, b):
+    """Edits between two words, an exchange of neighbours one of them, by trying all: up to two."""
+    letters = sorted(set(a + b))
+
+    def step(w):
+        out = {w[:i] + w[i + 1 :] for i in range(len(w))} | {w[:i] + c + w[i:] for i in range(len(w) + 1) for c in letters}
+        return out | {w[:i] + c + w[i + 1 :] for i in range(len(w)) for c in letters} | {w[:i] + w[i + 1] + w[i] + w[i + 2 :] for i in range(len(w) - 1)}
+
+    one = step(a)
+    return 0 if a == b else 1 if b in one else 2 if any(b in step(w) for w in one) else 3
+
+
+def test_exchanges_of_neighbours(spark):
+    rng = random.Random(6)
+    known = {"".join(rng.choice("abc") for _ in range(rng.randrange(1, 7))) for _ in range(120)}
+    table = words.terms(spark.createDataFrame([(x,) for x in known], "token string")).cache()
+    for asked in ["ca", "abc", "b", *rng.sample(sorted(known), 3)]:
+        for k in (1, 2):
+            want = {w for w in known if exchanged(asked, w) <= k}
+            assert {r["token"] for r in words.near(table, asked, k, swaps=True).collect()} == want, (asked, k)
+            assert {r["token"] for r in words.near(table, asked, k, 1, True).collect()} == {w for w in want if w[0] == asked[0]}
+
+
+def test_what_a_text_query_asks_for():
+    asked = search.Asked("ab abc Abcde abcdef", fuzziness="AUTO")
+    assert list(asked.words.values()) == [0, 1, 1, 2] and asked.needed == 1
+    needed = lambda x, operator="or": search.Asked("a b c d", operator, minimum_should_match=x).needed
+    assert [needed(x) for x in (None, 0, 3, -3, -9, 9, "74%", "75%", "-26%", "2")] == [1, 1, 3, 1, 1, 9, 2, 3, 3, 2] and needed(1, "and") == 4
+    for wrong in ({"operator": "nor"}, {"zero_terms_query": "some"}, {"fuzziness": 3, "fuzzy_transpositions": True}):
+        with pytest.raises(ValueError):
+            search.Asked("abc", **wrong)
+
+
 def test_lookups_give_what_scans_give(spark, tmp_path, monkeypatch):
     db = database(spark, tmp_path)
     rng = random.Random(4)
@@ -125,10 +158,12 @@ def test_lookups_give_what_scans_give(spark, tmp_path, monkeypatch):
         db.sync()
     conditions = [search.match_of("RED blue"), search.match_of("red blue", "u.v", "and"), search.match_of("grxy", fuzziness=1), search.match_of("marsh grean", "t", "and", 1), search.match_of(""), search.match_of("gene", fuzziness=2)]
     conditions += [search.box_of(-60, 50, 90, -40), search.shapes_of(-60, 50, 90, -40), search.term_of("t", "red"), search.exists_of("u"), search.has_geo_of()]
+    options = [search.match_of("red blue marsh hen", minimum_should_match=x) for x in (2, -1, "60%", "-60%", 9)]
+    options += [search.match_of("erd bleu", "t", "and", "AUTO", fuzzy_transpositions=True), search.match_of("grxy", fuzziness="AUTO:2,4", prefix_length=3), search.match_of("--", zero_terms_query="all")]
     for at in ("latest", "all", 2):
         whole = db.search(at)
         rows = whole.docs.cache()
-        for c in conditions:
+        for c in conditions + options:
             want = {(r["id"], r["version"]) for r in rows.where(c.on_leaves()).select("id", "version").collect()}
             found = whole.filter(c)
             assert {tuple(r) for r in found.docs.select("id", "version").collect()} == want, vars(c)
