@@ -302,15 +302,33 @@ def flat_leaves(df: DataFrame, columns: list[str], options: ParsingOptions | Non
     return F.array(*[leaf(c, F.col(c), kinds[c], options or ParsingOptions()) for c in columns])
 
 
-def flat_leaf_rows(df: DataFrame, key: str, columns: list[str], options: ParsingOptions | None = None) -> DataFrame:
+#: Milliseconds by which bounds on a column of times are wider than those asked for: a part of one that is cut off, or what a clock
+#: change and a time zone can shift a time without zone by.
+_WIDER = {"timestamp": 1, "timestamp_ntz": 2 * 86_400_000}
+
+
+def _about(df: DataFrame, column: str, kind: str, times: tuple[str, int | None, int | None] | None) -> DataFrame:
+    """Rows that a range of times at the column may find: its bounds as ones of the column, which a scan can take."""
+    if kind in _WIDER and times and times[0] == column:
+        for bound, way, compare in ((times[1], -1, "__ge__"), (times[2], 1, "__le__")):
+            if bound is not None:
+                moment = F.timestamp_millis(F.lit(bound + way * _WIDER[kind])).cast(kind)
+                df = df.where(getattr(F.col(column), compare)(moment))
+    return df
+
+
+def flat_leaf_rows(df: DataFrame, key: str, columns: list[str], options: ParsingOptions | None = None, times: tuple[str, int | None, int | None] | None = None) -> DataFrame:
     """A row (id, path and forms of a value) for each value of some columns of a flat table.
 
-    A condition on path and value leaves the one column that it is about, and reaches the table's scan.
+    A condition on path and value leaves the one column that it is about, and reaches the table's scan. Milliseconds of a column of
+    times are no bounds that a scan knows: with the ``times`` of the condition asked for, rows that it can't find are left out.
     """
     kinds = dict(df.dtypes)
     out = None
+    if (options or ParsingOptions()).date_formats != ParsingOptions().date_formats:
+        times = None  # a time's text may be read as another time
     for c in columns:
-        parts = [(df, None)]
+        parts = [(_about(df, c, kinds[c], times), None)]
         if kinds[c] in ("double", "float"):  # apart, so that a bound on finite numbers is one on the column
             finite = F.coalesce(F.abs(F.col(c)) < float("inf"), F.lit(True))
             parts = [(df.where(finite), True), (df.where(~finite), False)]

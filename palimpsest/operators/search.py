@@ -50,6 +50,9 @@ class Condition:
     #: Whether tables can tell its documents.
     looked_up = True
 
+    #: A path and the least and greatest value (or None) that it asks for, if it is a range of times.
+    times: tuple[str, int | None, int | None] | None = None
+
     def __init__(self, test: Test):
         self.test = test
 
@@ -88,7 +91,11 @@ def range_of(field: str, gte=None, lt=None, gt=None, lte=None, kind: str | None
                 out = out & getattr(x(name), compare)(F.lit(_value(bound)))
         return out
 
-    return Condition(test)
+    out = Condition(test)
+    if name == "d":
+        least, most = ([int(_value(v)) for v in x if v is not None] for x in ((gte, gt), (lt, lte)))
+        out.times = (field, max(least, default=None), min(most, default=None))
+    return out
 
 
 def between(field: str, gte=None, lt=None, gt=None, lte=None, kind: str | None = None) -> Column:

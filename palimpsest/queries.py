@@ -233,7 +233,9 @@ def range_number(spark, sf_dir):
 
 @query("SELECT o_orderkey AS id FROM orders WHERE epoch_ms(o_orderdate) >= 820454400000")
 def range_date(spark, sf_dir):
-    return _found(_leaves(spark, sf_dir, "orders", "o_orderkey", ["o_orderdate", "o_orderstatus"]), search.range_of("o_orderdate", gte=820454400000, kind="_d"))
+    asked = search.range_of("o_orderdate", gte=820454400000, kind="_d")
+    orders = _table(spark, sf_dir, "orders")
+    return _found(parsing.flat_leaf_rows(orders, "o_orderkey", ["o_orderdate", "o_orderstatus"], OPTIONS, asked.times), asked)
 
 
 @query("SELECT DISTINCT l_orderkey AS id FROM lineitem WHERE l_quantity >= 4 AND l_quantity < 6")

@@ -371,3 +371,17 @@ def test_plans_reach_the_scan(spark, tmp_path):
         plan = found._jdf.queryExecution().executedPlan().toString()
         assert plan.count("FileScan") == 1 and "GreaterThanOrEqual" in plan and "name" not in plan.split("ReadSchema")[1] and found.count() == n
     assert leaves.where(search.range_of("half", gte=0).of_row()).count() == 99
+
+
+@pytest.mark.parametrize("kind", ["timestamp", "timestamp_ntz"])
+def test_ranges_of_times_reach_the_scan(spark, tmp_path, kind):
+    rows = spark.range(4000).select("id", F.expr(f"cast(timestamp_micros(id * 43200000500 - 86400000000 * 1000) as {kind})").alias("t"), F.lit("x").alias("s"))
+    rows.unionByName(rows.limit(1).select(F.lit(-1).cast("bigint").alias("id"), F.lit(None).cast(kind).alias("t"), "s")).write.parquet(f"{tmp_path}/t")
+    table = spark.read.parquet(f"{tmp_path}/t")
+    for bounds in ({"gte": 43200000}, {"gt": -43200000, "lt": 43200001}, {"gte": -900, "lte": 0}, {"lte": -86400000 * 990}, {"gte": 10**12, "lt": 9 * 10**11}):
+        asked = search.range_of("t", kind="_d", **bounds)
+        want = parsing.flat_leaf_rows(table, "id", ["t", "s"]).where(asked.of_row()).select("id")
+        got = parsing.flat_leaf_rows(table, "id", ["t", "s"], times=asked.times).where(asked.of_row()).select("id")
+        assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        assert "OrEqual(t," in plan and "OrEqual(t," not in want._jdf.queryExecution().executedPlan().toString()
