@@ -9,9 +9,9 @@ from __future__ import annotations
 import hashlib
 import json
 import re
-from collections import defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import accumulate
 
 import pandas as pd
 import pyarrow as pa
@@ -26,40 +26,96 @@ from palimpsest.operators.options import ParsingOptions
 LEAF = "struct<path:string,u:string,u_type:string,t:string,k:string,n:double,d:bigint,b:boolean,lon:double,lat:double,gp:string,gs:string,box:array<double>>"
 PARSED = f"data_types array<string>, parsed_types array<string>, leaves array<{LEAF}>"
 _KEYS = ("path", "u", "u_type", "t", "k", "n", "d", "b", "lon", "lat", "gp", "gs", "box")
-_KINDS = (("n", NUMBER), ("d", DATE), ("b", BOOLEAN), ("t", TEXT), ("k", KEYWORD), ("gp", POINT), ("gs", SHAPE))
 #: What counts as a number in a text; the casts of Spark and Python accept more.
 NUMERIC = r"[-+]?(\d+\.?\d*|\.\d+)([eE][-+]?\d+)?"
 _NUMERIC = re.compile(r"\s*" + NUMERIC + r"\s*")
 
 
-def _geo(found: dict) -> dict:
-    return {"lon": found["lon"], "lat": found["lat"], "gp": found["point"], "gs": found["shape"], "box": list(found["box"])}
+#: Values whose forms a worker remembers, and the longest text among them: longer ones hardly come again.
+REMEMBERED, SHORT = 20_000, 200
+#: What a leaf holds beside its path and its original: all from the typed forms on.
+_NONE = (None,) * 10
+_TAGS = {str: "#s", int: "#i", float: "#f", bool: "#b", list: "#l", dict: "#d", type(None): "#n"}
+_JSON = json.JSONEncoder(ensure_ascii=False).encode
+
+
+def _geo(found: dict) -> tuple:
+    return found["lon"], found["lat"], found["point"], found["shape"], list(found["box"])
+
+
+def _kinds(forms: tuple) -> tuple[str, ...]:
+    """The kinds that a leaf (u, u_type, .., as ``_KEYS`` without the path) holds."""
+    _, _, t, k, n, d, b, _, _, gp, gs, _ = forms
+    found = tuple(name for x, name in ((n, NUMBER), (d, DATE), (b, BOOLEAN), (t, TEXT), (k, KEYWORD), (gp, POINT), (gs, SHAPE)) if x is not None)
+    return (*found, ORIGINAL) if found and forms[0] is not None else found
+
+
+class _Forms(dict):
+    """(forms, kinds) of values by (type, value), under one set of options."""
+
+    def __init__(self, options: ParsingOptions):
+        super().__init__()
+        self.options = options
+        #: The forms of dates in their order, and whether a text must begin with four digits and a hyphen to fit.
+        self.dates = [(form, form.startswith("%Y-")) for form in sorted(options.date_formats)]
+
+    def __missing__(self, key: tuple) -> tuple[tuple, tuple[str, ...]]:
+        value = key[1]
+        found = self.made(value)
+        if not isinstance(value, str) or len(value) <= SHORT:
+            if len(self) >= REMEMBERED:
+                self.clear()
+            self[key] = found
+        return found
+
+    def made(self, value) -> tuple[tuple, tuple[str, ...]]:
+        """Of one value that is neither null nor empty."""
+        options, number, when, boolean, place = self.options, None, None, None, (None,) * 5
+        text = options.float_format.format(value) if isinstance(value, float) else str(value)
+        if isinstance(value, str) and (found := geo.match_wkt(value)):
+            place = _geo(found)
+        low = text.lower()
+        if isinstance(value, bool):
+            boolean = value
+        elif low in options.true_values or low in options.false_values:
+            boolean = low in options.true_values
+        if isinstance(value, (int, float)) and not isinstance(value, bool):
+            number = geo.number_of(value)  # none if it is no finite double, as a very large integer
+        elif _NUMERIC.fullmatch(text):
+            number = geo.number_of(text)
+        year = text[4:5] == "-" and text[:4].isdecimal()
+        for form, dashed in self.dates:
+            if year or not dashed:
+                try:
+                    when = parse_to_timestamp(text, form)
+                    break
+                except ValueError:
+                    continue
+        forms = (_JSON(value), tag(value), text, text[: options.keyword_length], number, when, boolean, *place)
+        return forms, _kinds(forms)
+
+
+@lru_cache(maxsize=100)
+def _forms(options: ParsingOptions) -> _Forms:
+    return _Forms(options)
+
+
+@lru_cache(maxsize=1000)
+def _listed(pairs: tuple[tuple[str, str | tuple[str, ...]], ...]) -> list[str]:
+    """``path.tag,tag`` of (path, tag or tags) in order."""
+    every: dict[str, set] = {}
+    for path, x in pairs:
+        every.setdefault(path, set()).update((x,) if isinstance(x, str) else x)
+    return sorted(f"{path}.{','.join(sorted(x))}" for path, x in every.items())
+
+
+def _types(pairs: dict) -> list[str]:
+    return (_listed if len(pairs) <= 50 else _listed.__wrapped__)(tuple(pairs))  # most documents have a form that others have too
 
 
-@lru_cache(maxsize=200_000, typed=True)
 def parse_value(value, options: ParsingOptions) -> dict:
     """The typed forms of one value that is neither null nor empty."""
-    text = options.float_format.format(value) if isinstance(value, float) else str(value)
-    out = {"u": json.dumps(value, ensure_ascii=False), "u_type": tag(value), "t": text, "k": text[: options.keyword_length]}
-    if isinstance(value, str) and (found := geo.match_wkt(value)):
-        out |= _geo(found)
-    low = text.lower()
-    if isinstance(value, bool):
-        out["b"] = value
-    elif low in options.true_values or low in options.false_values:
-        out["b"] = low in options.true_values
-    if isinstance(value, (int, float)) and not isinstance(value, bool):
-        number = geo.number_of(value)  # none if it is no finite double, as a very large integer
-        out |= {} if number is None else {"n": number}
-    elif _NUMERIC.fullmatch(text) and (number := geo.number_of(text)) is not None:
-        out["n"] = number
-    for form in sorted(options.date_formats):
-        try:
-            out["d"] = parse_to_timestamp(text, form)
-            break
-        except ValueError:
-            continue
-    return out
+    return {k: x for k, x in zip(_KEYS[1:], _forms(options).made(value)[0]) if x is not None}
 
 
 def parse(data: dict, options: ParsingOptions) -> tuple[list[str], list[str], list[dict]]:
@@ -68,64 +124,66 @@ def parse(data: dict, options: ParsingOptions) -> tuple[list[str], list[str], li
 
 
 def parse_placed(data: dict, options: ParsingOptions, digest: bool = True) -> tuple[list[str], list[str], list[dict], str | None]:
-    """What ``parse`` gives, and a digest of the parsed state: of every leaf with its place, whatever the order of keys. Blanks
-    have a place in their list and no leaf, so which blank it is makes no difference."""
-    tags, kinds, leaves, places = defaultdict(set), defaultdict(set), [], []
-    place: list[str] = []
-
-    def add(path: str, leaf: dict) -> dict:
-        leaves.append({"path": path, **leaf})
-        places.append(json.dumps(place))
-        return leaves[-1]
-
-    def values(source: str, path: str, value) -> dict | None:
+    """What ``parse`` gives, and a digest of the parsed state."""
+    tags, kinds, leaves, state = parse_rows(data, options, digest)
+    return tags, kinds, [{k: x for k, x in zip(_KEYS, leaf) if x is not None} for leaf in leaves], state
+
+
+def parse_rows(data: dict, options: ParsingOptions, digest: bool = True) -> tuple[list[str], list[str], list[tuple], str | None]:
+    """(data types, parsed types, leaves, digest): leaves as tuples in the order of ``_KEYS``. The digest is of every leaf with its
+    place, whatever the order of keys. Blanks have a place in their list and no leaf, so which blank it is makes no difference."""
+    tags: dict[tuple, None] = {}
+    leaves: list[tuple] = []
+    places: list[tuple] = []
+    lengths: list[tuple] = []
+    forms, hints = _forms(options), sorted(options.geo_hints)
+
+    def values(source: str, path: str, value, place: tuple) -> int | None:
+        """The number of the leaf, if it is one."""
         if isinstance(value, dict):
-            objects(source, path, value, True)
-        elif isinstance(value, list):
+            return objects(source, path, value, True, place)
+        if isinstance(value, list):
+            source += "."
             for n, x in enumerate(value):
-                tags[source + "."].add(tag(x))
-                if isinstance(x, (dict, list)) or x not in (None, ""):
-                    place.append(n)
-                    values(source + ".", path, x)
-                    place.pop()
+                tags[source, _TAGS.get(type(x)) or tag(x)] = None
+                if x is not None and x != "":
+                    values(source, path, x, (*place, n) if digest else place)
             if value:  # a list as long as another with blanks at its end is another one
-                lengths.append(json.dumps([place, len(value)]))
-        elif value is None or value == "":
-            return add(path, {"u": json.dumps(value), "u_type": tag(value)})
-        else:  # the memo takes both zeros for one
-            return add(path, (parse_value.__wrapped__ if value == 0 and isinstance(value, float) else parse_value)(value, options))
-        return None
-
-    lengths: list[str] = []
-
-    def objects(source: str, path: str, value: dict, within: bool) -> None:
-        if within and (found := geo.match_geojson(value)):
-            add(path, _geo(found))
+                lengths.append((place, len(value)))
+            return None
+        if value is None or value == "":
+            leaves.append((path, _JSON(value), tag(value), *_NONE))
+        elif value == 0 and isinstance(value, float):  # the memo takes both zeros for one
+            leaves.append((path, *forms.made(value)[0]))
+        else:
+            leaves.append((path, *forms[type(value), value][0]))
+        places.append(place)
+        return len(leaves) - 1
+
+    def objects(source: str, path: str, value: dict, within: bool, place: tuple) -> None:
+        if within:
+            if found := geo.match_geojson(value):
+                leaves.append((path, None, None, *_NONE[5:], *_geo(found)))
+                places.append(place)
+            source, path = source + ".", path + "."
         own = {}
         for key, x in value.items():
-            tags[f"{source}.{key}" if within else key].add(tag(x))
-            place.append(key)
-            own[key] = values(f"{source}.{key}" if within else key, f"{path}.{key}" if within else key, x)
-            place.pop()
-        for hint in sorted(options.geo_hints):
-            found = geo.match_hint(value, hint.lat_field, hint.lon_field, hint.radius_field, hint.segments) if own.get(hint.lat_field) else None
+            name = source + key
+            tags[name, _TAGS.get(type(x)) or tag(x)] = None
+            own[key] = values(name, path + key, x, (*place, key) if digest else place)
+        for hint in hints:
+            found = geo.match_hint(value, hint.lat_field, hint.lon_field, hint.radius_field, hint.segments) if own.get(hint.lat_field) is not None else None
             if found:
-                own[hint.lat_field] |= _geo(found)
-
-    objects("", "", data, False)
-    for leaf in leaves:
-        found = [name for key, name in _KINDS if leaf.get(key) is not None]
-        if found:
-            kinds[leaf["path"]].update(found + ([ORIGINAL] if "u" in leaf else []))
-    lists = [sorted(f"{path}.{','.join(sorted(x))}" for path, x in found.items()) for found in (tags, kinds)]
-    if not digest:
-        return lists[0], lists[1], leaves, None
-    state = [lists, sorted(lengths), sorted((at, sorted(leaf.items(), key=lambda x: x[0])) for at, leaf in zip(places, map(_comparable, leaves)))]
-    return lists[0], lists[1], leaves, hashlib.md5(json.dumps(state).encode("utf-8", "surrogatepass")).hexdigest()
+                leaves[own[hint.lat_field]] = (*leaves[own[hint.lat_field]][:8], *_geo(found))
 
-
-def _comparable(leaf: dict) -> dict:
-    return {k: repr(v) for k, v in leaf.items() if v is not None}
+    objects("", "", data, False, ())
+    kinds = {(leaf[0], found): None for leaf in leaves if (found := _kinds(leaf[1:]))}
+    lists = _types(tags), _types(kinds)
+    if not digest:
+        return *lists, leaves, None
+    # No two leaves have one place, and parts that differ first are both keys of an object or both places in a list.
+    state = (lists, sorted(lengths), sorted(zip(places, leaves), key=lambda x: x[0]))
+    return *lists, leaves, hashlib.md5(repr(state).encode("utf-8", "surrogatepass")).hexdigest()
 
 
 def rebuild(data):
@@ -137,6 +195,16 @@ def rebuild(data):
     return data
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """Rows dealt evenly to twice as many tasks as run at once, before Python works on them: a file is read by as many tasks as it has
+    row groups, which hold a million small rows, and all others would wait for these."""
+    return rows.repartition(2 * rows.sparkSession.sparkContext.defaultParallelism)
+
+
+#: Rows, and bytes of their data, about, that are parsed at a time.
+PART, PART_BYTES = 1000, 1 << 20
+
+
 @lru_cache(maxsize=1000)
 def _options(doc: str) -> ParsingOptions:
     return ParsingOptions.from_doc(json.loads(doc))
@@ -153,12 +221,22 @@ def parse_documents(docs: DataFrame, options: ParsingOptions | None = None, data
     own = docs.columns.index(option) if options is None else -1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        leaf = pa.list_(pa.struct([(k, {"n": pa.float64(), "d": pa.int64(), "b": pa.bool_(), "lon": pa.float64(), "lat": pa.float64(), "box": pa.list_(pa.float64())}.get(k, pa.string())) for k in _KEYS]))
-        for batch in batches:
-            given = [options] * batch.num_rows if options is not None else [_options(x) if x else None for x in batch.column(own).to_pylist()]
-            found = [parse_placed(json.loads(x), o, state is not None) if x else (None,) * 4 for x, o in zip(batch.column(at).to_pylist(), given)]
-            columns = [pa.array([x[k] for x in found], t) for k, t in zip(range(len(names)), (pa.list_(pa.string()), pa.list_(pa.string()), leaf, pa.string()))]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *columns], [*batch.schema.names, *names])
+        strings = pa.list_(pa.string())
+        fields = [pa.field(k, {"n": pa.float64(), "d": pa.int64(), "b": pa.bool_(), "lon": pa.float64(), "lat": pa.float64(), "box": pa.list_(pa.float64())}.get(k, pa.string())) for k in _KEYS]
+        for whole in batches:
+            # Leaves take many times the place of their data: a part of the batch at a time.
+            step = max(1, min(PART, PART_BYTES * whole.num_rows // max(whole.column(at).nbytes, 1)))
+            for batch in (whole.slice(start, step) for start in range(0, whole.num_rows, step)):
+                given = [options] * batch.num_rows if options is not None else [_options(x) if x else None for x in batch.column(own).to_pylist()]
+                found = [parse_rows(json.loads(x), o, state is not None) if x else (None,) * 4 for x, o in zip(batch.column(at).to_pylist(), given)]
+                leaves = [leaf for x in found for leaf in x[2] or ()]
+                ends = list(accumulate((len(x[2] or ()) for x in found), initial=0))
+                parts = [pa.array(x, f.type) for x, f in zip(zip(*leaves) if leaves else [()] * len(fields), fields)]
+                offsets = pa.array([None if x[2] is None else end for x, end in zip(found, ends)] + ends[-1:], pa.int32())
+                columns = [pa.array([x[0] for x in found], strings), pa.array([x[1] for x in found], strings), pa.ListArray.from_arrays(offsets, pa.StructArray.from_arrays(parts, fields=fields))]
+                if state:
+                    columns.append(pa.array([x[3] for x in found], pa.string()))
+                yield pa.RecordBatch.from_arrays([*batch.columns, *columns], [*batch.schema.names, *names])
 
     names = ["data_types", "parsed_types", "leaves", *([state] if state else [])]
     types.append(T.StringType())

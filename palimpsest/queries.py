@@ -319,7 +319,7 @@ def _nested(spark, sf_dir) -> DataFrame:
     """Customers as nested objects with keys of their own and lists of objects, through the parsing kernel."""
     c = _table(spark, sf_dir, "customer")
     deep = F.format_string('{"o": {"k%d": {"v": %d}}, "l": [{"a": 1}, %d], "e": [], "n": null}', F.col("c_custkey") % 3, "c_custkey", "c_nationkey")
-    return parsing.parse_documents(c.select(F.col("c_custkey").alias("id"), deep.alias("data")), OPTIONS)
+    return parsing.parse_documents(parsing.spread(c.select(F.col("c_custkey").alias("id"), deep.alias("data"))), OPTIONS)
 
 
 @query("""SELECT DISTINCT 'o' AS parent, 'o.k' || c_custkey % 3 AS child FROM customer UNION ALL SELECT DISTINCT 'o.k' || c_custkey % 3, 'o.k' || c_custkey % 3 || '.v' FROM customer
@@ -765,7 +765,7 @@ def geo_hint_points(spark, sf_dir):
 def _wkt_docs(spark, sf_dir):
     """Customers with their points as WKT texts, through the parsing kernel."""
     points = _table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.expr("c_custkey * 37 % 200 - 100").alias("lat"), F.expr("c_custkey * 91 % 360 - 180").alias("lon"))
-    return parsing.parse_documents(points.select("id", F.format_string('{"where": "POINT (%d %d)"}', "lon", "lat").alias("data")), OPTIONS)
+    return parsing.parse_documents(parsing.spread(points.select("id", F.format_string('{"where": "POINT (%d %d)"}', "lon", "lat").alias("data"))), OPTIONS)
 
 
 @query("SELECT c_custkey AS id, format('POINT ({} {})', c_custkey * 91 % 360 - 180, c_custkey * 37 % 200 - 100) AS gp FROM customer WHERE c_custkey * 37 % 200 - 100 BETWEEN -90 AND 90")
@@ -800,7 +800,7 @@ _X, _Y = "(c_custkey * 91 % 350 - 175)", "(c_custkey * 37 % 170 - 85)"
 def _shapes(spark, sf_dir, form: str, *parts: str) -> DataFrame:
     """Customers with a shape at a place of their own, through the parsing kernel."""
     c = _table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.format_string(form, *[F.expr(x).cast("int") for x in parts]).alias("data"))
-    return parsing.parse_documents(c, OPTIONS)
+    return parsing.parse_documents(parsing.spread(c), OPTIONS)
 
 
 @query(f"SELECT c_custkey AS id, {_X} + 1.0::DOUBLE AS lon, {_Y}::DOUBLE AS lat, format('LINESTRING ({{}} {{}}, {{}} {{}})', {_X}, {_Y}, {_X} + 2, {_Y}) AS gs FROM customer")
