@@ -21,38 +21,53 @@ def fields(docs: DataFrame, column: str = "data_types", weight: str | None = Non
 
 
 def of_combinations(combos: DataFrame) -> DataFrame:
-    """``fields`` from the numbers (x, n) of each path's combinations of tags."""
+    """``fields`` from the numbers (x, n) of each path's combinations of tags. What they are made of is read once: a path's
+    combinations, of six tags at most, are put together and dealt out to their tags."""
     parts = combos.select(F.regexp_extract("x", r"^(.*)\.([^.]*)$", 1).alias("path"), F.split(F.regexp_extract("x", r"^(.*)\.([^.]*)$", 2), ",").alias("tags"), "n")
-    totals = parts.groupBy("path").agg(F.sum("n").alias("count"))
-    tags = parts.select("path", F.explode("tags").alias("tag"), "n").groupBy("path", "tag").agg(F.sum("n").alias("tag_count"))
-    return tags.join(totals, "path").select("path", "tag", "count", "tag_count")
+    paths = parts.groupBy("path").agg(F.sum("n").alias("count"), F.collect_list(F.struct("tags", "n")).alias("own"))
+    tags = paths.select("path", "count", F.explode("own").alias("x")).select("path", "count", F.explode("x.tags").alias("tag"), "x.n")
+    return tags.groupBy("path", "count", "tag").agg(F.sum("n").alias("tag_count")).select("path", "tag", "count", "tag_count")
+
+
+def _linked(profile: DataFrame) -> DataFrame:
+    """(path, container, own, within): a place of the hierarchy, whether a profile's field there is a container, the field itself if
+    it has none around it, and the fields one part longer below; a field is (path, count, entries). The profile is read once, so
+    what it is made of is not made again for each side of a join."""
+    entries = F.array_sort(F.collect_list(F.struct("tag", "tag_count"))).alias("entries")
+    rows = profile.groupBy("path", "count").agg(entries)
+    around = F.when(F.instr("path", ".") > 0, F.regexp_extract("path", r"^(.*)\.[^.]*$", 1))
+    field, container = F.struct("path", "count", "entries"), F.exists("entries", lambda x: x["tag"].isin("#d", "#l"))
+    below = F.struct(around.alias("at"), F.when(around.isNull(), F.col("path")).alias("top"), F.lit(False).alias("container"), field.alias("field"))
+    itself = F.struct(F.col("path").alias("at"), F.lit(None).cast("string").alias("top"), container.alias("container"), F.lit(None).cast(rows.select(field).dtypes[0][1]).alias("field"))
+    return rows.select(F.explode(F.array(below, itself)).alias("x")).select("x.*").groupBy("at", "top").agg(F.bool_or("container").alias("container"), F.collect_list("field").alias("fields"))
 
 
 def listed(profile: DataFrame) -> DataFrame:
     """(path, count, types, parent) of a profile's fields, the most frequent first, then by path. ``types`` maps tags to their
     counts; ``parent`` is the container around a path, or null."""
-    types = F.map_from_entries(F.array_sort(F.collect_list(F.struct("tag", "tag_count")))).alias("types")
-    fields = profile.groupBy("path", "count").agg(types)
-    links = hierarchy(profile).withColumnRenamed("child", "path")
-    return fields.join(links, "path", "left").select("path", "count", "types", "parent").orderBy(F.desc("count"), "path")
+    found = _linked(profile).select(F.when(F.col("container"), F.col("at")).alias("parent"), F.explode("fields").alias("x"))
+    return found.select("x.path", "x.count", F.map_from_entries("x.entries").alias("types"), "parent").orderBy(F.desc("count"), "path")
 
 
 def described(profile: DataFrame) -> DataFrame:
     """``listed`` with what a field is: parsed_path (without the empty parts that stand for lists), is_list_element, is_container,
     and its children in order."""
-    children = hierarchy(profile).groupBy(F.col("parent").alias("path")).agg(F.array_sort(F.collect_list("child")).alias("children"))
+    linked, none = _linked(profile), lambda kind: F.lit(None).cast(kind)
+    parent, inner = F.when(F.col("container"), F.col("at")), F.array_sort(F.transform("fields", lambda x: x["path"]))
+    kind = dict(linked.dtypes)["fields"][len("array<") : -1]
+    fields = F.transform("fields", lambda x: F.struct(x["path"].alias("path"), x.alias("field"), parent.alias("parent"), none("array<string>").alias("children")))
+    held = F.when(F.col("container"), F.array(F.struct(F.col("at").alias("path"), none(kind).alias("field"), none("string").alias("parent"), inner.alias("children"))))
+    both = linked.select(F.explode(F.concat(fields, F.coalesce(held, F.slice(fields, 1, 0)))).alias("x")).select("x.*")
+    merged = both.groupBy("path").agg(*[F.first(c, ignorenulls=True).alias(c) for c in ("field", "parent", "children")]).where("field IS NOT NULL")
     parsed = F.regexp_replace(F.regexp_replace("path", r"\.+", "."), r"\.$", "")
     container = F.exists(F.map_keys("types"), lambda tag: tag.isin("#d", "#l"))
-    rows = listed(profile).join(children, "path", "left").withColumn("children", F.coalesce("children", F.array().cast("array<string>")))
+    rows = merged.select("path", "field.count", F.map_from_entries("field.entries").alias("types"), "parent", F.coalesce("children", F.array().cast("array<string>")).alias("children"))
     return rows.withColumns({"parsed_path": parsed, "is_list_element": F.col("path").endswith("."), "is_container": container}).orderBy(F.desc("count"), "path")
 
 
 def hierarchy(profile: DataFrame) -> DataFrame:
     """(parent, child) of paths in a profile: a container and the paths one part longer below it."""
-    paths = profile.select("path").distinct()
-    containers = profile.where("tag IN ('#d', '#l')").select(F.col("path").alias("parent")).distinct()
-    children = paths.where("instr(path, '.') > 0").select(F.col("path").alias("child"), F.regexp_extract("path", r"^(.*)\.[^.]*$", 1).alias("parent"))
-    return children.join(containers, "parent").select("parent", "child")
+    return _linked(profile).where("container").select(F.col("at").alias("parent"), F.explode("fields").alias("x")).select("parent", F.col("x.path").alias("child"))
 
 
 def changed_counts(docs: DataFrame, exact: bool = False) -> DataFrame:

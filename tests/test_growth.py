@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from palimpsest import queries
-from palimpsest.operators import parsing
+from palimpsest.operators import parsing, profile
 from palimpsest.operators.options import OptionsBuilder
 
 
@@ -30,6 +30,27 @@ def test_one_row_group_is_parsed_by_many_tasks(spark, customers):
         assert sum(found) == 300 and len(found) >= spark.sparkContext.defaultParallelism and max(found) < 100
 
 
+def test_profiles_read_their_documents_once(spark, customers):
+    found = profile.fields(queries._nested(spark, customers))
+    for df in (found, profile.hierarchy(found), profile.listed(found), profile.described(found)):
+        assert df._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
+
+
+def test_profile_of_odd_paths(spark):
+    docs = spark.createDataFrame([(["a.#d,#l", "a..#d", "a..x.#i", "b.#s", "b.y.#i", "c.d.#i", ".#d", "..#s"],), (["a.#s", "a..#i"],)], "data_types array<string>")
+    found = profile.fields(docs)
+    assert {(r["path"], r["tag"]): (r["count"], r["tag_count"]) for r in found.collect()} == {
+        ("a", "#d"): (2, 1), ("a", "#l"): (2, 1), ("a", "#s"): (2, 1), ("a.", "#d"): (2, 1), ("a.", "#i"): (2, 1), ("a..x", "#i"): (1, 1), ("b", "#s"): (1, 1), ("b.y", "#i"): (1, 1), ("c.d", "#i"): (1, 1),
+        ("", "#d"): (1, 1), (".", "#s"): (1, 1),
+    }
+    links = {("a", "a."), ("a.", "a..x"), ("", ".")}  # b is no container, c no field
+    assert {tuple(r) for r in profile.hierarchy(found).collect()} == links
+    assert {(r["parent"], r["path"]) for r in profile.listed(found).where("parent IS NOT NULL").collect()} == links
+    rows = {r["path"]: r for r in profile.described(found).collect()}
+    assert {(p, c) for p, r in rows.items() for c in r["children"]} == links and len(rows) == 8
+    assert rows["a"]["types"] == {"#d": 1, "#l": 1, "#s": 1} and rows["a"]["is_container"] and rows["c.d"]["parent"] is None
+
+
 def test_a_worker_remembers_few_values():
     options = OptionsBuilder().build()
     forms = parsing._forms(options)
