@@ -71,6 +71,9 @@ def tag(value) -> str:
     raise TypeError(f"no tag for {type(value)}")
 
 
+_SORTED = json.JSONEncoder(sort_keys=True, ensure_ascii=False).encode
+
+
 def identity(value) -> str | None:
     """Text that is equal for equal values: numbers and booleans by value, keys in order; None if a NaN is within."""
 
@@ -88,7 +91,7 @@ def identity(value) -> str | None:
         return x
 
     try:
-        return json.dumps(plain(value), sort_keys=True, ensure_ascii=False)
+        return _SORTED(plain(value))
     except ValueError:
         return None
 

@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from palimpsest.functions.values import identity, prepare
+from palimpsest.operators.parsing import spread
+
+_JSON = json.JSONEncoder(ensure_ascii=False).encode
 
 
 @F.pandas_udf(T.StructType([T.StructField("data", T.StringType()), T.StructField("same", T.StringType())]))
@@ -19,7 +22,7 @@ def prepared(ids: pd.Series, data: pd.Series) -> pd.DataFrame:
     for own, x in zip(ids, data):
         value = prepare(json.loads(x)) if isinstance(x, str) and x else {}
         value = {**value, "_id": own} if value else None
-        out.append((json.dumps(value, ensure_ascii=False), identity(value)) if value else (None, "{}"))
+        out.append((_JSON(value), identity(value)) if value else (None, "{}"))
     return pd.DataFrame(out, columns=["data", "same"])
 
 
@@ -37,7 +40,7 @@ def checked(ids: pd.Series, data: pd.Series) -> pd.DataFrame:
         if not isinstance(own, str):
             reason = reason or "no id"
         value = {**value, "_id": own} if value and reason is None else None
-        out.append((json.dumps(value, ensure_ascii=False), identity(value), None) if value else (None, "{}", reason))
+        out.append((_JSON(value), identity(value), None) if value else (None, "{}", reason))
     return pd.DataFrame(out, columns=["data", "same", "reason"])
 
 
@@ -66,7 +69,7 @@ def last_wins(records: DataFrame, order: str = "seq") -> DataFrame:
 def received(records: DataFrame) -> DataFrame:
     """(id, data, same, raw, reason) of records (id, data as JSON, seq): one row an id, the last that is sound; and each different
     row that is not, as it came."""
-    own = records.select(F.col("id").cast("string").alias("id"), F.col("data").cast("string").alias("raw"), "seq")
+    own = spread(records.select(F.col("id").cast("string").alias("id"), F.col("data").cast("string").alias("raw"), "seq"))
     rows = own.select("id", "raw", "seq", checked("id", "raw").alias("x")).select("id", "seq", "x.*", F.when(F.col("x.reason").isNotNull(), F.col("raw")).alias("raw"))
     return rows.groupBy("id", "reason", "raw").agg(F.max_by(F.struct("data", "same"), "seq").alias("x")).select("id", "x.data", "x.same", "raw", "reason")
 

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from palimpsest import queries
-from palimpsest.operators import parsing, profile
+from palimpsest.operators import ingest, parsing, profile
 from palimpsest.operators.options import OptionsBuilder
 
 
@@ -68,3 +68,11 @@ def test_parts_of_a_batch_and_nulls(spark):
         else:
             assert [x["path"] for x in r["leaves"]] == ["a", "a", "b.c"] and r["leaves"][0]["n"] == r["id"] and r["leaves"][2]["d"] == (None if r["id"] % 2 else 1577923200000)
             assert r["data_types"] == ["a.#l", "a..#i,#s", "b.#d", "b.c.#s"] and len(r["state"]) == 32
+
+
+def test_ingest_checks_rows_in_many_tasks(spark, customers):
+    records = spark.read.parquet(f"{customers}/customer.parquet").select(F.col("c_custkey").cast("string").alias("id"), F.to_json(F.struct("c_name")).alias("data"), F.col("c_custkey").alias("seq"))
+    found = ingest.received(records)
+    assert found.count() == 300
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("ArrowEvalPython") < plan.index("Repartition")  # dealt before Python reads a row
