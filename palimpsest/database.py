@@ -305,12 +305,14 @@ class Database:
         return versions.fold(history.select("id", "version", "data"), table, parse, strict).select("id", "version", "next", "data", "parsed.*")
 
     def _archived(self, closed: DataFrame, n: int, manifest: dict, size: int) -> list[dict]:
-        """The archives' tables and a new one that goes on where they end; none is written anew."""
+        """The archives' tables and a new one that goes on where they end; none is written anew. Small archives lie in one folder
+        together, so that there are as many files as the rows ask for and not as many as archives."""
         if not n:
             return manifest.get("arcs", [])
         last, held = tiers.arc_status(manifest)
         rows = tiers.assign(closed, size, last, held, buckets=max(8, tiers.buckets(n, 100_000)))
-        rows = rows.withColumns({"tier": F.lit("arc"), "part": F.col("arc")})
+        few = max(1, tiers.TOGETHER // size)
+        rows = rows.withColumns({"tier": F.lit("arc"), "part": F.floor(F.col("arc") / few).cast("int")})
         table = self.folder.write_parts(rows, "part", -(-min(size, n) // tiers.BUCKET))
         counts = self.folder.parts([table], DOCS).groupBy("arc").agg(F.count("*").alias("n")).collect()
         return [*manifest.get("arcs", []), {**table, "counts": {str(r["arc"]): r["n"] for r in counts}}]

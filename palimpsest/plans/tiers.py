@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 ARCHIVE = 2_000_000
 #: Rows of a bucket of ids, and of a file of an archive, about.
 BUCKET = 1_000_000
+#: Documents of small archives that are written together.
+TOGETHER = 100_000
 
 
 def buckets(rows: int, size: int | None = None) -> int:

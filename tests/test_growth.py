@@ -76,3 +76,14 @@ def test_ingest_checks_rows_in_many_tasks(spark, customers):
     assert found.count() == 300
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert plan.index("ArrowEvalPython") < plan.index("Repartition")  # dealt before Python reads a row
+
+
+def test_small_archives_lie_together(spark, customers):
+    db, _, _ = queries._database(spark, customers)
+    every = lambda: sorted(map(str, db.search("all").docs.select("id", "version", "next", "data", "tier").collect()))
+    before = every()
+    result = db.resync_arcs(size=2)
+    n = db.search("all").docs.where("tier = 'arc'").count()
+    assert result.tiers == {f"arc-{k}": min(2, n - 2 * k) for k in range(-(-n // 2))} and n > 20
+    assert {r["arc"]: r["n"] for r in db.search("all").docs.where("tier = 'arc'").groupBy("arc").agg(F.count("*").alias("n")).collect()} == {k: min(2, n - 2 * k) for k in range(-(-n // 2))}
+    assert sum(len(t["has"]) for t in db.folder.manifest()["arcs"]) == 1 and every() == before
