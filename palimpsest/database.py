@@ -116,18 +116,18 @@ class Database:
         return Tables(*[self._runs(what, manifest=manifest).rows() for what in ("leaves", "postings", "cells", "ends")], self.dictionary)
 
     def dictionary(self) -> DataFrame:
-        """The rests of all words, by which words some edits away are found: made when first asked for, and then of new words alone."""
+        """The pieces of all words, by which words some edits away are found: made when first asked for, and then of new words alone."""
         manifest = self.folder.manifest()
-        made = manifest.get("terms_to", -1)
+        made = manifest.get("pieces_to", -1)
         if any(t["newest"] > made for t in manifest.get("words", [])):
             with self.locks.lock("sync", name=self.name):
                 before = manifest = self.folder.manifest()
                 new = self._runs("words", manifest=manifest).rows(after=made)
-                name, seen = self.folder.write_counted(words.by_rest(words.terms(new)), n=F.count(F.lit(1)))
-                terms = self._runs("terms", words.TERMS, manifest).add(name, seen["n"] or 0).compacted(words.by_rest)
-                manifest = {**manifest, "terms": terms.tables, "terms_to": max(t["newest"] for t in manifest["words"])}
+                name, seen = self.folder.write_counted(words.by_piece(words.terms(new)), n=F.count(F.lit(1)))
+                terms = self._runs("pieces", words.TERMS, manifest).add(name, seen["n"] or 0).compacted(words.by_piece)
+                manifest = {**manifest, "pieces": terms.tables, "pieces_to": max(t["newest"] for t in manifest["words"])}
                 self.folder.change(before, manifest)
-        return self._runs("terms", words.TERMS, manifest).rows()
+        return self._runs("pieces", words.TERMS, manifest).rows()
 
     def records(self) -> DataFrame:
         """(id, version, data) of the current state; an uncommitted one has no version, a deleted one no data."""
@@ -336,7 +336,7 @@ class Database:
             if not manifest.get("history") or last == newest:
                 return WriteResult(0, 0, {})
             if last is None:
-                manifest = {k: v for k, v in manifest.items() if k not in ("arcs", "latest", "indexed", "terms", "terms_to", *DERIVED)}
+                manifest = {k: v for k, v in manifest.items() if k not in ("arcs", "latest", "indexed", "pieces", "pieces_to", *DERIVED)}
             try:
                 out, indexed, deleted = self._synced(manifest, last, size, strict)
             except Exception as error:

@@ -139,6 +139,15 @@ def _swaps(word: str) -> set[str]:
     return {word[:i] + word[i + 1] + word[i] + word[i + 2 :] for i in range(len(word) - 1)} - {word}
 
 
+def exchanged(word: str, edits: int) -> dict[str, int]:
+    """The words that stand for one with neighbours exchanged, and how many edits each allows beside."""
+    exact = _swaps(word) if edits else set()
+    if edits < 2:
+        return dict.fromkeys(exact, 0)
+    twice = set().union(*map(_swaps, {*exact, *(word[:i] + word[i + 1 :] for i in range(len(word)))}))
+    return {**dict.fromkeys(twice, 0), **dict.fromkeys(exact, 1)}
+
+
 def near(found: Column, word: str, edits: int, prefix: int = 0, swaps: bool = False) -> Column:
     """Whether a word is within so many edits of ``word`` and begins with the same ``prefix`` characters.
 
@@ -149,12 +158,11 @@ def near(found: Column, word: str, edits: int, prefix: int = 0, swaps: bool = Fa
         return found == word
     out = F.levenshtein(found, F.lit(word), edits) >= 0
     if swaps:
-        exact = _swaps(word)
-        if edits == 2:
-            for other in sorted(exact):
-                out = out | (F.levenshtein(found, F.lit(other), 1) >= 0)
-            exact = set().union(*map(_swaps, {*exact, *(word[:i] + word[i + 1 :] for i in range(len(word)))}))
-        out = out | (found.isin(sorted(exact)) if exact else F.lit(False))
+        others = exchanged(word, edits)
+        for other in sorted(x for x, n in others.items() if n):
+            out = out | (F.levenshtein(found, F.lit(other), 1) >= 0)
+        exact = sorted(x for x, n in others.items() if not n)
+        out = out | (found.isin(exact) if exact else F.lit(False))
     return out & found.startswith(word[:prefix]) if prefix else out
 
 

@@ -557,7 +557,7 @@ def match_index(spark, sf_dir):
     """Words of documents through postings sorted by word; with edits through the dictionary of words."""
     leaves = _leaves(spark, sf_dir, "documents", "doc_id", ["text"]).select("path", F.col("id").cast("string").alias("id"), F.lit(1).cast("bigint").alias("version"), "t")
     posted = _written(words.by_token(words.postings(leaves)))
-    tables = search.Tables(leaves, posted, terms=lambda: _written(words.by_rest(words.terms(posted))))
+    tables = search.Tables(leaves, posted, terms=lambda: _written(words.by_piece(words.terms(posted))))
     asked = {"or": search.match_of("License nicht"), "and": search.match_of("Und NICHT", "text", "and"), "near": search.match_of("LICENZE", fuzziness=2)}
     parts = [c.documents(tables).select(F.lit(how).alias("how"), F.col("id").cast("bigint").alias("id")) for how, c in asked.items()]
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
@@ -566,11 +566,11 @@ def match_index(spark, sf_dir):
 @query(r"""WITH w AS (SELECT p_partkey AS id, regexp_extract_all(lower(p_type || ' ' || p_name), '[\p{L}\p{N}_]+') AS found FROM part), q AS (SELECT * FROM (VALUES ('mediam', 1), ('mediam', 2), ('stel', 2), ('plted', 1), ('anodised', 3)) q(word, edits))
 SELECT word, edits, id FROM q, w WHERE len(list_filter(found, lambda x: levenshtein(x, word) <= edits)) > 0""")
 def near_words(spark, sf_dir):
-    """Parts with a word some edits away, by what is left of words without some of their characters."""
+    """Parts with a word some edits away, by pieces of words that edits leave."""
     part = _table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.concat_ws(" ", "p_type", "p_name").alias("text"))
     leaves = parsing.flat_leaf_rows(part, "id", ["text"], OPTIONS).select("path", F.col("id").cast("string").alias("id"), F.lit(1).cast("bigint").alias("version"), "t")
     posted = _written(words.by_token(words.postings(leaves)))
-    known = _written(words.by_rest(words.terms(posted)))
+    known = _written(words.by_piece(words.terms(posted)))
     out = None
     for word, edits in (("mediam", 1), ("mediam", 2), ("stel", 2), ("plted", 1), ("anodised", 3)):
         own = words.documents(posted, lambda: known, search.Asked(word, fuzziness=edits)).select(F.lit(word).alias("word"), F.lit(edits).alias("edits"), F.col("id").cast("bigint").alias("id"))
@@ -590,7 +590,7 @@ def match_options(spark, sf_dir):
     without edits, exchanges of neighbours as one edit, queries without words."""
     docs = _leaves(spark, sf_dir, "documents", "doc_id", ["text"]).select("path", F.col("id").cast("string").alias("id"), F.lit(1).cast("bigint").alias("version"), "t")
     posted = _written(words.by_token(words.postings(docs)))
-    known = _written(words.by_rest(words.terms(posted)))
+    known = _written(words.by_piece(words.terms(posted)))
     tables = search.Tables(docs, posted, terms=lambda: known)
     four = "License nicht UND the"
     asked = {

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from palimpsest import queries
-from palimpsest.operators import ingest, parsing, profile
+from palimpsest.operators import ingest, parsing, profile, words
 from palimpsest.operators.options import OptionsBuilder
 
 
@@ -87,3 +87,11 @@ def test_small_archives_lie_together(spark, customers):
     assert result.tiers == {f"arc-{k}": min(2, n - 2 * k) for k in range(-(-n // 2))} and n > 20
     assert {r["arc"]: r["n"] for r in db.search("all").docs.where("tier = 'arc'").groupBy("arc").agg(F.count("*").alias("n")).collect()} == {k: min(2, n - 2 * k) for k in range(-(-n // 2))}
     assert sum(len(t["has"]) for t in db.folder.manifest()["arcs"]) == 1 and every() == before
+
+
+def test_a_word_has_three_rows_in_the_dictionary(spark):
+    known = ["a", "ab", "abc", "license", "x" * 24, "y" * 40]
+    table = words.terms(spark.createDataFrame([(x,) for x in [*known, "license"]], "token string"))
+    assert table.count() == 3 * len(known)
+    assert {r["token"] for r in words.near(table, "b", 2).collect()} == {"a", "ab", "abc"}
+    assert {r["token"] for r in words.near(table, "x" * 22 + "zz", 2).collect()} == {"x" * 24} and words.near(table, "abc", 0).count() == 1
