@@ -13,7 +13,7 @@ from __future__ import annotations
 import itertools
 import math
 import re
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,13 +23,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.llm.common import Memo, expand, materialise, materialise_bucketed, squeeze
+from palimpsest.llm.common import expand, materialise, materialise_bucketed, squeeze
 
 SIDE, CLASSES, WIDTH = 2, 64, 16
 #: Tokens of the vocabulary, one of which stands for all other words.
 VOCABULARY = CLASSES * CLASSES
 #: A round's targets are taken in batches, smaller in small slices, so that these make steps enough too.
 BATCH, RATE = 2048, 0.15
+#: Logits up to this size need no shift before their exponentials are taken in single precision.
+FAR = 80
 #: Rounds at most; they end when the last quarter of a round's targets is, with confidence, predicted less than SETTLED a
 #: token better than the quarter before, each by the network that has not yet seen it in that round.
 ROUNDS, SETTLED = 40, 0.05
@@ -111,52 +113,69 @@ class Network:
     def flat(self) -> np.ndarray:
         return np.concatenate([x.ravel() for x in self.parameters])
 
-    def forward(self, context: np.ndarray, target: np.ndarray):
-        """Hidden layer (targets by WIDTH), softmax of classes and of the target's class (CLASSES by targets), and the
-        log-probability of each target."""
-        vectors, outer, inner, outer_bias, inner_bias = self.parameters
-        hidden = vectors[0][context[:, 0]]
+    def weights(self) -> tuple[np.ndarray, bool]:
+        """Class and member weights side by side, and whether all logits are far from where their exponentials leave the
+        range of single precision: no hidden component is above 1."""
+        _, outer, inner, outer_bias, inner_bias = self.parameters
+        both = np.concatenate([outer, inner], axis=1)
+        return both, bool(np.abs(both).sum(axis=0).max() + max(np.abs(outer_bias).max(), np.abs(inner_bias).max()) < FAR)
+
+    def forward(self, context: np.ndarray, target: np.ndarray, weights: tuple[np.ndarray, bool] | None = None):
+        """Hidden layer (targets by WIDTH), exponentials of the logits of classes and, beside them, of members of the target's
+        class (targets by 2 * CLASSES), the sums of both (targets by 2), and the log-probability of each target."""
+        vectors, _, _, outer_bias, inner_bias = self.parameters
+        both, near = weights or self.weights()
+        hidden = vectors[0].take(context[:, 0], axis=0)
         for k in range(1, 2 * SIDE):
-            hidden += vectors[k][context[:, k]]
+            hidden += vectors[k].take(context[:, k], axis=0)
         np.tanh(hidden, out=hidden)
-        across = np.ascontiguousarray(hidden.T)
-        group, member = np.divmod(target, CLASSES)
-        row, out = np.arange(len(target)), []
-        own = np.take(np.ascontiguousarray(inner_bias.T), group, axis=1)
-        for logits, at in ((outer.T @ across + outer_bias[:, None], group), (np.add(inner.T @ across, own, out=own), member)):
-            logits -= logits.max(axis=0)
-            chosen = logits[at, row]
-            p = np.exp(logits, out=logits)
-            total = p.sum(axis=0)
-            p /= total
-            out.append((p, chosen - np.log(total)))
-        return hidden, out[0][0], out[1][0], out[0][1] + out[1][1]
+        group, member = target // CLASSES, target % CLASSES
+        logits = hidden @ both
+        logits[:, :CLASSES] += outer_bias
+        logits[:, CLASSES:] += inner_bias.take(group, axis=0)
+        halves = logits.reshape(-1, CLASSES)
+        if not near:
+            halves -= halves.max(axis=1, keepdims=True)
+        row = np.arange(len(target))
+        chosen = logits[row, group] + logits[row, CLASSES + member]
+        np.exp(logits, out=logits)
+        total = (halves @ np.ones(CLASSES, np.float32)).reshape(-1, 2)
+        return hidden, logits, total, chosen - np.log(total).sum(axis=1)
 
     def step(self, context: np.ndarray, target: np.ndarray, squares: list[np.ndarray]) -> np.ndarray:
         """One Adagrad step on the mean loss of a batch; the losses before it."""
+        n = len(target)
         order = np.argsort(target.astype(np.int16), kind="stable")
         context, target = context[order], target[order]
-        vectors, outer, inner, _, _ = self.parameters
-        hidden, p_group, p_member, chance = self.forward(context, target)
-        group, member = np.divmod(target, CLASSES)
-        row = np.arange(len(target))
-        p_group[group, row] -= 1
-        p_member[member, row] -= 1
-        p_group /= len(target)
-        p_member /= len(target)
-        back = (outer @ p_group + inner @ p_member).T * (1 - hidden**2)
-        by_group = np.zeros_like(self.parameters[4])
-        first = _starts(group)
-        by_group[group[first]] = np.add.reduceat(p_member, first, axis=1).T
-        gradients = (hidden.T @ p_group.T, hidden.T @ p_member.T, p_group.sum(axis=1), by_group)
-        for k in range(2 * SIDE):
-            order = np.argsort(context[:, k].astype(np.int16), kind="stable")
-            own = context[order, k]
-            first = _starts(own)
-            at, gradient = own[first], np.add.reduceat(back[order], first, axis=0)
-            square = squares[0][k][at] + gradient**2
-            squares[0][k][at] = square
-            vectors[k][at] -= RATE * gradient / np.sqrt(square + 1e-8)
+        both, _ = weights = self.weights()
+        hidden, p, total, chance = self.forward(context, target, weights)
+        halves, share = p.reshape(-1, 2, CLASSES), np.float32(1 / n)
+        halves *= (share / total)[:, :, None]
+        group, row = target // CLASSES, np.arange(n)
+        p[row, group] -= share
+        p[row, CLASSES + target % CLASSES] -= share
+        back = p @ both.T
+        back *= 1 - hidden * hidden
+        by_both, ones = hidden.T @ p, np.ones(n, np.float32)
+        by_group, first = np.zeros_like(self.parameters[4]), _starts(group).tolist()
+        for i, j in zip(first, [*first[1:], n]):
+            by_group[group[i]] = ones[: j - i] @ p[i:j, CLASSES:]
+        # All places have one table of vectors here; pairs of components are added as complex numbers, two at a time.
+        vectors, square = self.parameters[0].reshape(-1, WIDTH), squares[0].reshape(-1, WIDTH)
+        places = (context.T + np.arange(2 * SIDE)[:, None] * (VOCABULARY + 1)).astype(np.int16).ravel()
+        order = np.argsort(places, kind="stable")
+        own = places[order]
+        first = _starts(own)
+        at = own[first].astype(np.intp)
+        gradient = np.add.reduceat(back.take(order % n, axis=0).view(np.complex64), first, axis=0).view(np.float32)
+        own = square.take(at, axis=0)
+        own += gradient * gradient
+        square[at] = own
+        own += np.float32(1e-8)
+        gradient /= np.sqrt(own, out=own)
+        gradient *= np.float32(RATE)
+        vectors[at] = np.subtract(vectors.take(at, axis=0), gradient, out=gradient)
+        gradients = (by_both[:, :CLASSES], by_both[:, CLASSES:], ones @ p[:, :CLASSES], by_group)
         for value, gradient, square in zip(self.parameters[1:], gradients, squares[1:]):
             square += gradient**2
             value -= RATE * gradient / np.sqrt(square + 1e-8)
@@ -172,9 +191,9 @@ def _tokens(text: str | None, numbers: dict[bytes, int], rare: list[bytes] | Non
     """The text's tokens between two paddings on each side; words outside the vocabulary are added to ``rare``."""
     pad, out = np.full(SIDE, _PAD, np.int32), []
     for part in words(text):
-        out.append(np.fromiter((numbers.get(w, _OTHER) for w in part), np.int32, len(part)))
+        out.append(np.fromiter(map(numbers.get, part, itertools.repeat(_OTHER)), np.int32, len(part)))
         if rare is not None:
-            rare += [w for w in part if w not in numbers]
+            rare += itertools.compress(part, (out[-1] == _OTHER).tolist())
     return np.concatenate([pad, *out, pad])
 
 
@@ -295,21 +314,23 @@ def score(docs: DataFrame, numbers: dict[bytes, int], network: Network, counts:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, data = shared.value
-        own, hashes = Network.read(data), Memo(lambda w: xxhash.xxh64_intdigest(w, 42))
+        own = Network.read(data)
         part, block = TaskContext.get().partitionId(), itertools.count()
         ids, tokens, rare, held = [], [], [], 0
+        place: defaultdict[bytes, int] = defaultdict(itertools.count().__next__)  # of each rare word among the block's
 
         def close() -> pa.RecordBatch:
             ends = np.cumsum([0, *map(len, tokens)])
             flat = np.concatenate(tokens)
             at = np.flatnonzero(flat != _PAD)
-            chances = [own.forward(_context(flat, at[k : k + BATCH]), flat[at[k : k + BATCH]])[3] for k in range(0, len(at), BATCH)]
+            weights = own.weights()
+            chances = [own.forward(_context(flat, at[k : k + BATCH]), flat[at[k : k + BATCH]], weights)[3] for k in range(0, len(at), BATCH)]
             sums = np.concatenate([[0.0], *chances]).cumsum(dtype=np.float64)[np.searchsorted(at, ends)]
             sizes = [len(x) - 2 * SIDE for x in tokens]
             if not counted:
                 return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(np.diff(sums))], _SCORED.replace(",", "").split()[::2])
-            distinct, places = np.unique(np.concatenate(rare), return_inverse=True)
-            row = [(part << 32) + next(block), ids, sizes, np.diff(sums).tolist(), [len(x) for x in rare], squeeze(places), distinct.view(np.int64).tolist()]
+            distinct = np.fromiter((xxhash.xxh64_intdigest(w, 42) for w in place), np.uint64, len(place))
+            row = [(part << 32) + next(block), ids, sizes, np.diff(sums).tolist(), [len(x) for x in rare], squeeze(np.concatenate(rare)), distinct.view(np.int64)]
             return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, types)], names)
 
         for batch in batches:
@@ -317,11 +338,12 @@ def score(docs: DataFrame, numbers: dict[bytes, int], network: Network, counts:
                 found: list[bytes] = []
                 ids.append(doc)
                 tokens.append(_tokens(text.as_py(), known, found if counted else None))
-                rare.append(np.fromiter(map(hashes.__getitem__, found), np.uint64, len(found)))
+                rare.append(np.fromiter(map(place.__getitem__, found), np.uint32, len(found)))
                 held += len(tokens[-1])
                 if held >= BLOCK:
                     yield close()
                     ids, tokens, rare, held = [], [], [], 0
+                    place = defaultdict(itertools.count().__next__)
         if ids:
             yield close()
 

@@ -285,6 +285,36 @@ def test_settled_needs_confidence():
     assert lm.settled([1e6, 5e6, 3e7, 1e6, 4.99e6, 3e7]) and not lm.settled([1e6, 5e6, 3e7, 1e6, 4.9e6, 3e7])
 
 
+def test_far_logits_are_shifted():
+    """Logits that single precision could not take the exponentials of, and near ones with and without a shift."""
+    rng = np.random.default_rng(7)
+    network = lm.Network.fresh(rng.integers(1, 50, lm.VOCABULARY).astype(float))
+    context, target = rng.integers(0, lm.VOCABULARY, (40, 2 * lm.SIDE)), rng.integers(0, lm.VOCABULARY, 40)
+    both, near = network.weights()
+    assert near and np.allclose(network.forward(context, target)[3], network.forward(context, target, (both, False))[3], atol=1e-4)
+    network.parameters[0] *= 100
+    network.parameters[1] *= 400
+    network.parameters[2] *= 400
+    want = [plain_chances(network.parameters, a)[t] for a, t in zip(context, target)]
+    assert min(want) < -200 and not network.weights()[1] and np.allclose(network.forward(context, target)[3], want, rtol=1e-3)
+    squares = [np.zeros_like(x) for x in network.parameters]
+    assert np.allclose(network.step(context, target, squares).mean(), -np.mean(want), rtol=1e-3) and all(np.isfinite(x).all() for x in network.parameters)
+
+
+def test_rare_words_of_a_block_keep_their_shares(spark):
+    """Blocks number their rare words as they come; unseen words count as one."""
+    text = " ".join(f"r{k} r{k % 7} c" for k in range(5000))
+    docs = spark.createDataFrame([(1, text), (2, "r4999 c r1"), (3, "c"), (4, "never r2")], "doc_id long, text string").coalesce(1)
+    counts = lm.word_counts(docs.where("doc_id < 4"))
+    numbers, network = lm.train(docs, rounds=0, counts=counts)
+    held = {bytes(r["word"]).decode(): r["n"] for r in counts.collect()}
+    rare = sum(n for w, n in held.items() if w.encode() not in numbers)
+    both = [{r["doc_id"]: r["log_likelihood"] for r in lm.score(docs, numbers, network, x).collect()} for x in (counts, None)]
+    for doc, own in ((1, text), (2, "r4999 c r1"), (3, "c"), (4, "never r2")):
+        want = sum(np.log(held.get(w, 1) / (rare + 1)) for w in own.split() if w.encode() not in numbers)
+        assert both[0][doc] - both[1][doc] == pytest.approx(want, rel=1e-4)
+
+
 def plain_grams(text):
     """The n-grams of a text as they are, without hashing."""
     words = text.encode().split()
