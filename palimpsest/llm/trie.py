@@ -2,9 +2,10 @@
 
 A word is a run of symbols: its bytes, the last one marked as a word's end. Of every prefix of a word only the last token
 matters: it is the one token that ends there and follows the last token of what is before it as merges would have it. So the
-distinct words of some texts are put into a trie, a depth-first walk gives each node the length of its prefix's last token,
+distinct words of some texts are put into a trie, a depth-first walk gives each node its prefix's last token,
 and what several words begin with is computed once. A word's ids are read off backwards, token by token.
-Whether two tokens may follow each other is found by merging the symbols of both, once for each pair.
+The tokens that end a prefix are known from its longest end that a token begins with, which one look into a table gives from
+that of the prefix before. Whether two tokens may follow each other is found by merging the symbols of both, once for each pair.
 
 Every task works on its own texts, so a frequent word costs no one more than a look into a table, and a lost task is done
 again by itself.
@@ -14,11 +15,11 @@ from __future__ import annotations
 
 import hashlib
 import json
-import os
 import re
 from array import array
 from collections.abc import Iterable, Iterator
 from functools import cache
+from itertools import chain
 
 import pyarrow as pa
 from public_tokenizers import path
@@ -62,13 +63,16 @@ class Vocabulary:
         named = {self._symbols(form): form for form in found["model"]["vocab"]}
         self.form = {token: form for token, form in named.items() if token in reachable}
         self.id = {token: found["model"]["vocab"][form] for token, form in self.form.items()}
-        self.longest = max(map(len, self.id))
-        self.tails = {token[k:] for token in self.id for k in range(len(token))}
+        self.shown = {token: str(n) for token, n in self.id.items()}
         self.special = {x["content"]: x["id"] for x in found["added_tokens"]}
         self.form_of = {n: form for form, n in found["model"]["vocab"].items()} | {n: form for form, n in self.special.items()}
         self._special = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
-        self._follows = Memo(lambda pair: self.merged(pair[0] + pair[1]) == list(pair), 1_000_000)
-        self._alone = Memo(lambda token: self.merged(token) == [token])
+        heads = {token[:k] for token in self.id for k in range(len(token) + 1)}
+        own = {token: token for token in self.id}  # equal strings are one, so that their hashes are computed once
+        self.state = Memo(lambda near: self.state[near[1:]], len(heads) + 300_000)
+        self.state.update((head, own.get(head, head)) for head in heads)
+        self._ending = Memo(lambda state: [own[state[k:]] for k in range(len(state)) if state[k:] in own])
+        self._follows = Memo(lambda pair: self.merged(pair[0] + pair[1]) == [x for x in pair if x], 1_000_000)
 
     def _symbols(self, form: str) -> str:
         ends = form.endswith(_MARK)
@@ -77,29 +81,26 @@ class Vocabulary:
 
     def merged(self, symbols: str) -> list[str]:
         """Symbols after all merges, lowest rank first, left before right. For strings of two tokens' length."""
-        parts = list(symbols)
-        while len(parts) > 1:
-            rank, at = min((self.ranks.get(pair, len(self.ranks)), i) for i, pair in enumerate(zip(parts, parts[1:])))
-            if rank == len(self.ranks):
-                break
-            parts[at : at + 2] = [parts[at] + parts[at + 1]]
+        parts, find, none = list(symbols), self.ranks.get, len(self.ranks)
+        pairs = [find(pair, none) for pair in zip(parts, parts[1:])]
+        while pairs and (low := min(pairs)) < none:
+            at = pairs.index(low)
+            parts[at] += parts.pop(at + 1)
+            del pairs[at]
+            if at:
+                pairs[at - 1] = find((parts[at - 1], parts[at]), none)
+            if at < len(pairs):
+                pairs[at] = find((parts[at], parts[at + 1]), none)
         return parts
 
-    def last(self, path: list[str], lengths: list[int]) -> int:
-        """Length of the last token of the prefix ``path``, from those of all shorter prefixes."""
-        end = len(path)
-        start = max(0, end - 2 * self.longest)
-        near, fitting = "".join(path[start:]), []
-        for k in range(1, len(near) + 1):
-            if near[-k:] not in self.tails:
-                break
-            if near[-k:] in self.id:
-                fitting.append(k)
-        for k in reversed(fitting):
-            token, before = near[-k:], lengths[end - k]
-            if self._follows[near[-k - before : -k], token] if k < end else self._alone[token]:
-                return k
-        raise ValueError(f"no token ends {near!r}")
+    def last(self, states: list[str], tokens: list[str]) -> str:
+        """The last token of a prefix, from those of all shorter prefixes, of which the first is empty, and the states of both:
+        each is a prefix's longest end that a token begins with."""
+        end, follows = len(tokens), self._follows
+        for token in self._ending[states[-1]]:
+            if follows[tokens[end - len(token)], token]:
+                return token
+        raise ValueError(f"no token ends {states[-1]!r}")
 
     def words(self, text: str) -> list[str]:
         """The words and special tokens of a text in order, a word as the bytes that the library's rules make of it."""
@@ -127,48 +128,36 @@ def vocabulary(file: str) -> Vocabulary:
 class Trie:
     """Words by their prefixes; they come in ascending order, so a word shares with the one before all it shares with any.
 
-    Nodes are numbers, node 0 is the empty prefix; a node has its symbol, its newest child and the sibling before it.
+    Nodes lie depth first: a word is its path, and has as nodes of its own those beyond what it shares with the word before.
     """
 
     def __init__(self):
-        self.symbol, self.child, self.sibling = array("i", [0]), array("i", [0]), array("i", [0])
-        self.word: dict[int, str] = {}
-        self._trail, self._newest = [0], ""
+        self.word: list[str] = []
+        self.shared = array("q")
 
     def insert(self, word: str) -> None:
-        shared = len(os.path.commonprefix([word, self._newest]))
-        del self._trail[shared + 1 :]
-        for symbol in word[shared:]:
-            above, node = self._trail[-1], len(self.symbol)
-            self.symbol.append(ord(symbol))
-            self.child.append(0)
-            self.sibling.append(self.child[above])
-            self.child[above] = node
-            self._trail.append(node)
-        self.word[self._trail[-1]] = self._newest = word
+        newest, shared = self.word[-1] if self.word else "", 0
+        for a, b in zip(word, newest):
+            if a != b:
+                break
+            shared += 1
+        self.word.append(word)
+        self.shared.append(shared)
 
     def encoded(self, known: Vocabulary) -> Iterator[tuple[str, list[str]]]:
-        """(word, tokens) of all words, depth first: ``lengths`` holds the last tokens' lengths of the prefixes of the path."""
-        path, lengths = [], [0]
-        ahead = [(self.child[0], 1)]
-        while ahead:
-            node, depth = ahead.pop()
-            if not node:
-                continue
-            del path[depth - 1 :], lengths[depth:]
-            path.append(chr(self.symbol[node]))
-            lengths.append(known.last(path, lengths))
-            if node in self.word:
-                yield self.word[node], self._tokens(self.word[node], lengths)
-            ahead += [(self.sibling[node], depth), (self.child[node], depth + 1)]
-
-    @staticmethod
-    def _tokens(word: str, lengths: list[int]) -> list[str]:
-        out, end = [], len(word)
-        while end:
-            out.append(word[end - lengths[end] : end])
-            end -= lengths[end]
-        return out[::-1]
+        """(word, tokens) of all words, depth first; ``states`` and ``last`` are those of the prefixes of the path."""
+        states, last = [""], [""]
+        state, find = known.state, known.last
+        for word, shared in zip(self.word, self.shared):
+            del states[shared + 1 :], last[shared + 1 :]
+            for symbol in word[shared:]:
+                states.append(state[states[-1] + symbol])
+                last.append(find(states, last))
+            out, end = [], len(word)
+            while end:
+                out.append(last[end])
+                end -= len(last[end])
+            yield word, out[::-1]
 
 
 def _symbols(word: str) -> str:
@@ -193,8 +182,8 @@ class _Encoder:
         for own in sorted(of):
             trie.insert(own)
         for own, tokens in trie.encoded(self.known):
-            ids, forms = map(self.known.id.__getitem__, tokens), map(self.known.form.__getitem__, tokens)
-            self.found[of[own]] = (len(tokens), " ".join(map(str, ids)), " ".join(forms))
+            ids, forms = map(self.known.shown.__getitem__, tokens), map(self.known.form.__getitem__, tokens)
+            self.found[of[own]] = (len(tokens), " ".join(ids), " ".join(forms))
 
 
 @cache
@@ -229,14 +218,14 @@ def encode(docs: DataFrame, file: str | None = None, keep: bool = False) -> Data
                     split.append(known.words(text))
                     chars += len(text)
                     at += 1
-                own.learn(w for words in split for w in words)
+                own.learn(chain.from_iterable(split))
                 rows = []
                 for words in split:
-                    found = list(map(own.found.__getitem__, words))
-                    text = " ".join([x[1] for x in found])
+                    many, shown, forms = zip(*map(own.found.__getitem__, words)) if words else ((), (), ())
+                    text = " ".join(shown)
                     numbers = [int(x) for x in text.split()] if keep else []
-                    decoded = decode(numbers, known) if keep else " ".join([x[2] for x in found])
-                    row = (sum(x[0] for x in found), hashlib.sha256(text.encode()).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest())
+                    decoded = decode(numbers, known) if keep else " ".join(forms)
+                    row = (sum(many), hashlib.sha256(text.encode()).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest())
                     rows.append((*row, numbers, decoded) if keep else row)
                 types = [pa.int64(), pa.string(), pa.string(), pa.list_(pa.int32()), pa.string()]
                 names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids", "decoded"][: 6 if keep else 4]

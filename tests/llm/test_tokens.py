@@ -243,3 +243,29 @@ def test_words_not_seen_again_are_found_again(word_library, monkeypatch):
     for text in ("one two three four", "five one", "two <|endoftext|> six"):
         own.learn(known.words(text))
         assert " ".join(own.found[x][1] for x in known.words(text)) == " ".join(map(str, word_library.encode(text, add_special_tokens=False).ids))
+
+
+def test_a_prefix_is_known_by_its_longest_end_that_a_token_begins_with(word_library):
+    """Each distinct prefix is looked at once, by an end of no more than a token's length."""
+    known = trie.Vocabulary(public_tokenizers.path("word_bpe_49k.json"))
+    rng = random.Random(9)
+    made = {"".join(rng.choice("etaoinshr") for _ in range(rng.randrange(1, 40))) for _ in range(300)} | {"x" * 400, "ab" * 150, "the", "thethe"}
+    seen, last = [], known.last
+    known.last = lambda states, tokens: seen.append(states[-1]) or last(states, tokens)
+    own = trie.Trie()
+    for word in sorted(map(trie._symbols, made)):
+        own.insert(word)
+    found = dict(own.encoded(known))
+    heads = {token[:k] for token in known.id for k in range(len(token) + 1)}
+    longest = lambda x: next(x[k:] for k in range(len(x) + 1) if x[k:] in heads)
+    assert sorted(seen) == sorted(map(longest, {w[:n] for w in found for n in range(1, len(w) + 1)}))
+    for word in made:
+        assert [known.id[x] for x in found[trie._symbols(word)]] == word_library.encode(word, add_special_tokens=False).ids
+
+
+def test_merges_of_words_one_by_one(word_library):
+    known = trie.vocabulary(public_tokenizers.path("word_bpe_49k.json"))
+    rng = random.Random(10)
+    for word in ["".join(rng.choice("aeinrstlé") for _ in range(n)) for n in [*range(1, 40), 200]] + ["a" * 50, "e", "abab" * 20]:
+        assert [known.id[x] for x in known.merged(trie._symbols(word))] == word_library.encode(word, add_special_tokens=False).ids
+    assert known.merged("") == []
